@@ -59,7 +59,8 @@ class Subwords:
         self.length = np.zeros(0, np.int64)
         self.pool = np.zeros(0, self.dtype)
 
-    def units(self, texts: pa.Array) -> Words:
+    @staticmethod
+    def units(texts: pa.Array) -> Words:
         data, offs = buffer(texts, lower=True)
         kind = _KIND[data]
         pair = kind[:-1] * 3 + kind[1:]
