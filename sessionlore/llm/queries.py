@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlore.llm import jaccard, langid, packing, pieces, rules, tokens, topk
+from sessionlore.llm import jaccard, langid, packing, pieces, quotes, rules, tokens, topk
 from sessionlore.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(table(spark, sf_dir, "documents"))
 
 
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
