@@ -126,3 +126,11 @@ def row_bytes(docs: DataFrame) -> tuple[int, int]:
     """Rows and text bytes, for numbers of blocks and shards."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     return int(row["n"] or 0), int(row["b"] or 0)
+
+
+def without(docs: DataFrame, rejected: DataFrame, few: int = 500_000) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``rejected``; these ids are
+    stored, and broadcast only if they are few (8 bytes each). Rows with a
+    null doc_id stay."""
+    ids, _ = stored(rejected.select("doc_id").where("doc_id is not null").distinct(), "rejected")
+    return docs.join(F.broadcast(ids) if ids.count() <= few else ids, "doc_id", "left_anti").select(docs.columns)

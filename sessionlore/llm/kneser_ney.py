@@ -38,9 +38,11 @@ BEGIN = 2
 BROADCAST_GRAMS = 3_000_000
 BROADCAST_IDS = 500_000
 BLOCK_BYTES = 8 << 20
-#: The threshold on the log perplexity is q + MARGIN * (q - median), q the
-#: QUANTILE of the trusted documents of the language.
-QUANTILE, MARGIN = 0.995, 0.35
+#: What is held to the threshold is the log perplexity less ALLOWANCE over the
+#: root of the number of characters, since short texts scatter. The threshold
+#: is q + MARGIN * (q - median), q the QUANTILE of the language's trusted
+#: documents.
+QUANTILE, MARGIN, ALLOWANCE = 0.995, 0.35, 1.5
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -217,18 +219,20 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_scored, log_perplexity, threshold, kept) of each row."""
+    """(doc_id, lang, n_scored, log_perplexity, excess, threshold, kept) of
+    each row."""
     marked = with_trust(docs, labels)
     counts, counts_path = stored(gram_counts(marked), "gram-counts")
     logp, logp_path = stored(probabilities(counts), "gram-probabilities")
     rows, _ = stored(scored(marked, logp), "perplexities")
     dropped(docs.sparkSession, counts_path, logp_path)
     rows = rows.withColumn("log_perplexity", F.when(F.col("n_scored") > 0, -F.col("log_p") / F.col("n_scored")))
-    trusted = rows.where("trusted and log_perplexity is not null")
-    limit = lambda: F.percentile_approx("log_perplexity", [0.5, QUANTILE], 10000)
+    rows = rows.withColumn("excess", F.col("log_perplexity") - ALLOWANCE / F.sqrt("n_scored"))
+    trusted = rows.where("trusted and excess is not null")
+    limit = lambda: F.percentile_approx("excess", [0.5, QUANTILE], 10000)
     above = lambda q: (q[1] + MARGIN * (q[1] - q[0])).alias("threshold")
     by_lang = trusted.groupBy("lang").agg(limit().alias("q")).select("lang", above(F.col("q")))
     overall = trusted.agg(limit().alias("q")).select(above(F.col("q")).alias("overall")).first()["overall"]
     met = rows.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
-    kept = F.col("log_perplexity").isNotNull() & (F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)))
-    return met.select("doc_id", "lang", "n_scored", "log_perplexity", "threshold", kept.alias("kept"))
+    kept = F.col("log_perplexity").isNotNull() & (F.coalesce(F.col("excess") <= F.col("threshold"), F.lit(True)))
+    return met.select("doc_id", "lang", "n_scored", "log_perplexity", "excess", "threshold", kept.alias("kept"))

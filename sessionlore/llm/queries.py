@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlore.llm import jaccard, kneser_ney, langid, packing, pieces, quotes, rules, tokens, topk
+from sessionlore.llm import attention, jaccard, kneser_ney, langid, packing, pieces, quotes, rules, tokens, topk
 from sessionlore.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(table(spark, sf_dir, "documents"))
 
