@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # The characters that count as white space at the ends of a text.
 WHITE_SPACE = (
@@ -134,7 +135,7 @@ def lines_of(c: Column | str) -> Column:
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
 
-@F.pandas_udf("array<struct<first:int,n:int>>")
+@F.pandas_udf(ArrayType(StructType([StructField("first", IntegerType()), StructField("n", IntegerType())])))
 def _greedy(costs: pd.Series, limit: pd.Series) -> pd.Series:
     """Cut each list of line costs where the next line would pass the limit; a
     costlier line is a chunk of its own. The texts stay in the JVM."""
@@ -167,7 +168,7 @@ def transcript_chunks(c: Column | str, single_pass: int = SINGLE_PASS_LIMIT, lim
     return F.when(short, F.array(text)).otherwise(F.transform(runs, chunk))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _pieces(texts: pd.Series, limit: pd.Series) -> pd.Series:
     def cut(text: str | None, limit: int):
         if text is None:

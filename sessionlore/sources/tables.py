@@ -41,6 +41,7 @@ def write_markdown(documents: DataFrame, folder: str, as_text: bool = False) ->
     """(session_id, kind, markdown) as one table, or as text files in a folder
     for each kind and session."""
     if as_text:
-        documents.select("kind", "session_id", F.col("markdown").alias("value")).write.partitionBy("kind", "session_id").option("lineSep", "").text(folder)
+        # The sink ends each row with a line end of its own.
+        documents.select("kind", "session_id", F.regexp_replace("markdown", r"\n\z", "").alias("value")).write.partitionBy("kind", "session_id").text(folder)
     else:
         documents.select("session_id", "kind", "markdown").write.parquet(folder)
