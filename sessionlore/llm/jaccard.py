@@ -14,8 +14,10 @@ their sets' Jaccard similarity is 0.8 or more.
    the position is too short for the overlap, are skipped without a look at
    the sets. Lists are joined in bands of like size.
 4. Answers from similar sets: in each list all sets are first compared with
-   its smallest and its largest set. What links to one of these has its
-   component, and needs no comparison with others of that component. Only
+   its central set, the one with the fewest rare shingles (an original has
+   fewer of them than its edited copies), and with its smallest. What links to
+   one of these has its component, and needs no comparison with others of that
+   component. Only
    entries of a list that are then still in different components are compared
    with each other, until no list has an uncompared pair of that kind.
 
@@ -149,18 +151,18 @@ def described(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
 
 
 def index_lists(sets: DataFrame) -> DataFrame:
-    """(token, id, n, pos, and the list's smallest and largest set) of all
+    """(token, n, id, pos, and the list's central and smallest set) of all
     lists with two sets or more."""
     end = ["n", "id", "pos"]
-    rare = sets.select("id", "n", F.posexplode("rare").alias("pos", "token"))
+    ends = [("central", F.struct("n_rare", "id", "n", "pos")), ("small", F.struct("n", "id", "pos"))]
+    rare = sets.select("id", "n", "n_rare", F.posexplode("rare").alias("pos", "token"))
     whole = Window.partitionBy("token")
-    ends = [f(F.struct(*end)).over(whole).alias(c) for f, c in ((F.min, "small"), (F.max, "large"))]
-    listed = rare.select("token", *end, *ends)
+    listed = rare.select("token", *end, *[F.min(x).over(whole).alias(c) for c, x in ends], (F.min("id").over(whole) != F.max("id").over(whole)).alias("shared"))
     # Frequent shingles: HEAVY_MAX lists at most, so their ends can be
     # broadcast, and no list has to meet in one task.
-    often = sets.select("id", "n", "n_rare", F.posexplode("often").alias("k", "token")).select("token", "n", "id", (F.col("n_rare") + F.col("k")).cast("int").alias("pos"))
-    edge = often.groupBy("token").agg(*[f(F.struct(*end)).alias(c) for f, c in ((F.min, "small"), (F.max, "large"))])
-    return listed.unionByName(often.join(F.broadcast(edge), "token").select(listed.columns)).where("small.id != large.id")
+    often = sets.select("id", "n", "n_rare", F.posexplode("often").alias("k", "token")).select("token", "n", "id", "n_rare", (F.col("n_rare") + F.col("k")).cast("int").alias("pos"))
+    edge = often.groupBy("token").agg(*[F.min(x).alias(c) for c, x in ends], (F.min("id") != F.max("id")).alias("shared"))
+    return listed.unionByName(often.join(F.broadcast(edge), "token").select(listed.columns)).where("shared").drop("shared")
 
 
 def overlap(n1: Column, n2: Column) -> Column:
@@ -215,7 +217,7 @@ def classes(docs: DataFrame) -> DataFrame:
         fits = possible(F.col("n"), F.col("pos"), F.col(f"{other}.n"), F.col(f"{other}.pos"))
         return lists.where((a != b) & fits).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(a < b, F.col("n")).otherwise(F.col(f"{other}.n")).alias("na"), F.when(a < b, F.col(f"{other}.n")).otherwise(F.col("n")).alias("nb"))
 
-    first, first_path = stored(near_sketches(pair("small").unionByName(pair("large")).distinct(), sets), "first-pairs")
+    first, first_path = stored(near_sketches(pair("central").unionByName(pair("small")).distinct(), sets), "first-pairs")
     links = linked(first, docs)
     known, known_path = stored(components(links), "components")
     rest, rest_path = stored(near_sketches(unresolved(lists, known), sets).join(first, ["a", "b"], "left_anti"), "other-pairs")
@@ -231,9 +233,9 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def unresolved(lists: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) of one list that are in different components. In
-    each list the component of its smallest set is the main one; only entries
+    each list the component of its central set is the main one; only entries
     of other components look for partners, in bands of like size."""
-    labelled = lists.join(known.select("id", "component"), "id", "left").select("token", "id", "n", "pos", F.col("small.id").alias("main_id"), F.coalesce("component", "id").alias("c"))
+    labelled = lists.join(known.select("id", "component"), "id", "left").select("token", "id", "n", "pos", F.col("central.id").alias("main_id"), F.coalesce("component", "id").alias("c"))
     main = known.select(F.col("id").alias("main_id"), F.col("component").alias("main_c"))
     labelled = labelled.join(main, "main_id", "left").withColumn("main_c", F.coalesce("main_c", "main_id"))
     labelled, _ = stored(labelled.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")), "labelled-lists")

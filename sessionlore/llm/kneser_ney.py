@@ -36,7 +36,7 @@ from sessionlore.llm.textvec import buffer, spread
 ORDER = 4
 BEGIN = 2
 BROADCAST_GRAMS = 3_000_000
-BROADCAST_IDS = 500_000
+BROADCAST_IDS, BROADCAST_LANGS = 500_000, 10_000
 BLOCK_BYTES = 8 << 20
 #: What is held to the threshold is the log perplexity less ALLOWANCE over the
 #: root of the number of characters, since short texts scatter. The threshold
@@ -233,6 +233,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     above = lambda q: (q[1] + MARGIN * (q[1] - q[0])).alias("threshold")
     by_lang = trusted.groupBy("lang").agg(limit().alias("q")).select("lang", above(F.col("q")))
     overall = trusted.agg(limit().alias("q")).select(above(F.col("q")).alias("overall")).first()["overall"]
-    met = rows.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
+    by_lang, _ = stored(by_lang, "thresholds")
+    met = rows.join(F.broadcast(by_lang) if by_lang.count() <= BROADCAST_LANGS else by_lang, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
     kept = F.col("log_perplexity").isNotNull() & (F.coalesce(F.col("excess") <= F.col("threshold"), F.lit(True)))
     return met.select("doc_id", "lang", "n_scored", "log_perplexity", "excess", "threshold", kept.alias("kept"))
