@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlore.llm import attention, jaccard, kneser_ney, langid, packing, pieces, quotes, rules, tokens, topk
+from sessionlore.llm import attention, jaccard, kneser_ney, langid, oracles, packing, pieces, quotes, rules, tokens, topk
 from sessionlore.llm.common import table
 
 
@@ -34,7 +34,7 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.digests(tokens.token_files(table(spark, sf_dir, "documents")))
+    return tokens.token_files(table(spark, sf_dir, "documents"), digest=True)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -153,10 +153,11 @@ def write_files(docs: DataFrame, target: str, path: str | None = None, end_id: i
     arrow_map(ordered, blocks, schema).write.option("compression", "zstd").parquet(f"{target}/blocks")
 
 
-def read_files(spark, target: str) -> DataFrame:
-    """(doc_id, start, ids, n_tokens): the documents of files written by
+def read_files(spark, target: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): the documents of files written by
     :func:`write_files`; ids are packed in 32 bits each. ``start`` counts the
-    ids of all documents before."""
+    ids of all documents before. With ``digest``, ``ids_crc32`` is taken while
+    decoding and stands in place of the ids, which then move nowhere."""
     by_rank = np.frombuffer(spark.read.parquet(f"{target}/ranks").first()["ids"], "<u4")
     blocks = spark.read.parquet(f"{target}/blocks")
     # One row per file here: the running sum over files stays small.
@@ -171,15 +172,17 @@ def read_files(spark, target: str) -> DataFrame:
                 row = batch.slice(i, 1)
                 n = row.column("lengths").flatten().to_numpy()
                 ranks = decoded(np.frombuffer(row.column("control")[0].as_buffer(), np.uint8), np.frombuffer(row.column("data")[0].as_buffer(), np.uint8), n)
-                k = len(n)
+                ids, k = by_rank[ranks], len(n)
+                content = {"ids_crc32": crc32s(ids, n)} if digest else {"ids": packed(ids, n)}
                 yield {
                     "shard": np.repeat(row.column("shard").to_numpy(), k), "block": np.repeat(row.column("block").to_numpy(), k),
-                    "doc_id": row.column("doc_ids").flatten(), "inside": np.cumsum(n) - n, "n_tokens": n, "ids": packed(by_rank[ranks], n),
-                }
+                    "doc_id": row.column("doc_ids").flatten(), "inside": np.cumsum(n) - n, "n_tokens": n,
+                } | content
 
-    schema = "shard int, block int, doc_id long, inside long, n_tokens long, ids binary"
+    last = "ids_crc32" if digest else "ids"
+    schema = f"shard int, block int, doc_id long, inside long, n_tokens long, {last} {'long' if digest else 'binary'}"
     docs = arrow_map(blocks.drop("n_ids"), decode, schema)
-    return docs.join(starts, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    return docs.join(starts, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", last)
 
 
 def crc32s(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -188,19 +191,8 @@ def crc32s(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(raw[e - 4 * k : e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)], np.int64)
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """``ids_crc32`` in place of packed 32-bit ``ids``."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            n = batch.column("n_tokens").to_numpy()
-            yield {"doc_id": batch.column("doc_id"), "start": batch.column("start"), "n_tokens": n, "ids_crc32": crc32s(unpacked(batch.column("ids"), np.dtype("<u4")), n)}
-
-    return arrow_map(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def token_files(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame:
+def token_files(docs: DataFrame, path: str | None = None, end_id: int = 1, digest: bool = False) -> DataFrame:
     """Write all documents to files in the shared folder, and read them back."""
     target = new_path(docs.sparkSession, "token-files")
     write_files(docs, target, path, end_id)
-    return read_files(docs.sparkSession, target)
+    return read_files(docs.sparkSession, target, digest)

@@ -47,3 +47,36 @@ def test_chain(spark, n):
     rows, got = run(spark, [(7, i, "user", f"> message {i - 1}\nmessage {i}" if i else "message 0") for i in range(n)])
     assert len(got) == n
     assert all(rows[7, i, "user"]["depth"] == i and rows[7, i, "user"]["root_turn"] == 0 and rows[7, i, "user"]["place"] == i for i in range(n))
+
+
+def test_equals_sql(spark):
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from sessionlore.llm.oracles import OP10
+
+    rng = random.Random(2)
+    bodies, rows = {}, []
+    for conv in range(12):
+        for turn in range(8):
+            text = "\n".join(f"{rng.choice(['alpha', 'Beta', 'gamma  x'])} {rng.randrange(6)}" for _ in range(rng.randrange(1, 4)))
+            if turn and rng.random() < 0.7:
+                other = bodies[conv, rng.randrange(turn)].split("\n")
+                part = other if rng.random() < 0.6 else other[:1]
+                text = ("On Monday, x wrote:\n" if rng.random() < 0.3 else "") + "\n".join(rng.choice([">", "> ", ">>"[: 1 + turn % 2] + " "]) + x for x in part) + "\n" + text
+            bodies[conv, turn] = text
+            rows += [(conv, turn, rng.choice(["user", "assistant"]), text)] * rng.choice([1, 1, 1, 2])
+    rows += [(1, 3, "user", "twice"), (None, 1, "user", "> a"), (3, None, "user", "b"), (3, 1, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quotes.linked_conversations(df)
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    found = con.execute(OP10)
+    columns = [c[0] for c in found.description]
+    key = lambda r: tuple(map(str, r))
+    want = sorted(found.fetchall(), key=key)
+    assert sorted(map(tuple, got.select(columns).collect()), key=key) == want
+    assert sum(r[columns.index("parent_turn")] is not None for r in want) > 20

@@ -48,7 +48,7 @@ def test_code_round_trip():
 
 
 def test_token_files(docs, reference):
-    got = sorted(tokens.digests(tokens.token_files(docs)).collect(), key=lambda r: r["start"])
+    got = sorted(tokens.token_files(docs, digest=True).collect(), key=lambda r: r["start"])
     ids = [r["doc_id"] for r in got]
     assert ids[0] is None and ids[1:] == sorted(ids[1:]) and len(ids) == len(TEXTS) + 2
     start = 0
@@ -57,6 +57,8 @@ def test_token_files(docs, reference):
         start += r["n_tokens"]
     want = sorted((i, len(reference(t)) + 1, crc([*reference(t), 1])) for i, t in [*enumerate(TEXTS), (3, "a repeated id")])
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got[1:]) == want
+    whole = {(r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4"))) for r in tokens.token_files(docs).collect()}
+    assert whole == {(i, (*reference(t), 1)) for i, t in [*enumerate(TEXTS), (3, "a repeated id"), (None, "no id")]}
 
 
 def test_packing(docs, reference):
@@ -92,4 +94,4 @@ def test_neighbours_share_a_window(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(none).count() == 0
-    assert tokens.digests(tokens.token_files(none)).count() == 0
+    assert tokens.token_files(none).count() == 0
