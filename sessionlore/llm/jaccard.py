@@ -14,8 +14,9 @@ their sets' Jaccard similarity is 0.8 or more.
    the position is too short for the overlap, are skipped without a look at
    the sets. Lists are joined in bands of like size.
 4. Answers from similar sets: in each list all sets are first compared with
-   its central set, the one with the fewest rare shingles (an original has
-   fewer of them than its edited copies), and with its smallest. What links to
+   its central set, the one with the least position (fewest rare shingles
+   before it; an original has fewer than its edited copies), and with its
+   smallest. What links to
    one of these has its component, and needs no comparison with others of that
    component. Only
    entries of a list that are then still in different components are compared
@@ -48,7 +49,7 @@ WIDTH = 5
 #: with HEAVY_DF or more in all, at most HEAVY_MAX go last in the order.
 LOCAL_DF, HEAVY_DF, HEAVY_MAX = 3, 24, 200_000
 SKETCH_BITS = 1024
-#: Lists of document ids up to this size (8 bytes each) may be broadcast.
+#: Lists of ids of up to this length (24 bytes an entry at most) may be broadcast.
 BROADCAST_IDS = 500_000
 
 
@@ -154,13 +155,15 @@ def index_lists(sets: DataFrame) -> DataFrame:
     """(token, n, id, pos, and the list's central and smallest set) of all
     lists with two sets or more."""
     end = ["n", "id", "pos"]
-    ends = [("central", F.struct("n_rare", "id", "n", "pos")), ("small", F.struct("n", "id", "pos"))]
-    rare = sets.select("id", "n", "n_rare", F.posexplode("rare").alias("pos", "token"))
+    ends = [("central", F.struct("pos", "id", "n")), ("small", F.struct("n", "id", "pos"))]
+    # Size and position travel in one number.
+    rare = sets.select("id", "n", F.posexplode("rare").alias("pos", "token")).select("token", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")).repartition("token")
+    rare = rare.select("token", "id", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
     whole = Window.partitionBy("token")
     listed = rare.select("token", *end, *[F.min(x).over(whole).alias(c) for c, x in ends], (F.min("id").over(whole) != F.max("id").over(whole)).alias("shared"))
     # Frequent shingles: HEAVY_MAX lists at most, so their ends can be
     # broadcast, and no list has to meet in one task.
-    often = sets.select("id", "n", "n_rare", F.posexplode("often").alias("k", "token")).select("token", "n", "id", "n_rare", (F.col("n_rare") + F.col("k")).cast("int").alias("pos"))
+    often = sets.select("id", "n", "n_rare", F.posexplode("often").alias("k", "token")).select("token", "n", "id", (F.col("n_rare") + F.col("k")).cast("int").alias("pos"))
     edge = often.groupBy("token").agg(*[F.min(x).alias(c) for c, x in ends], (F.min("id") != F.max("id")).alias("shared"))
     return listed.unionByName(often.join(F.broadcast(edge), "token").select(listed.columns)).where("shared").drop("shared")
 
@@ -205,12 +208,18 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = narrow(docs, "doc_id", "text")
     spark = docs.sparkSession
-    rows, _ = stored(described(docs, frequent(docs)), "shingle-sets")
+    whole, whole_path = stored(described(docs, frequent(docs)), "shingle-sets")
+    rows, _ = stored(whole.select("doc_id", "n", "s1", "s2"), "set-names")
     with_set = rows.where("n > 0 and doc_id is not null")
     reps, _ = stored(with_set.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "representatives")
-    sets = with_set.join(reps, (with_set["doc_id"] == reps["id"]) & (with_set["s1"] == reps["s1"]) & (with_set["s2"] == reps["s2"]), "left_semi").withColumnRenamed("doc_id", "id")
-    sets = sets.select("id", "n", "n_rare", "rare", "often", "sketch")
-    lists, lists_path = stored(index_lists(sets), "index-lists")
+    # Copies are fewer than sets mostly, so it is they that are taken out.
+    names = ["doc_id", "s1", "s2"]
+    copies, copies_path = stored(with_set.join(reps, ["s1", "s2"]).where("doc_id != id").select(names).distinct(), "copies")
+    few = copies.count() <= BROADCAST_IDS
+    sets = whole.where("n > 0 and doc_id is not null").join(F.broadcast(copies) if few else copies, names, "left_anti").withColumnRenamed("doc_id", "id")
+    lists, lists_path = stored(index_lists(sets.select("id", "n", "n_rare", "rare", "often")), "index-lists")
+    sets, sets_path = stored(sets.select("id", "sketch"), "sketches")
+    dropped(spark, whole_path, copies_path)
 
     def pair(other: str) -> DataFrame:
         a, b = F.col("id"), F.col(f"{other}.id")
@@ -225,7 +234,7 @@ def classes(docs: DataFrame) -> DataFrame:
         more = linked(rest, docs)
         known, known_path = stored(components(links.unionByName(more)), "components")
     names, _ = stored(reps.join(known, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id")), "set-components")
-    dropped(spark, lists_path, first_path, rest_path, known_path)
+    dropped(spark, lists_path, sets_path, first_path, rest_path, known_path)
     own = with_set.select("doc_id", "n", "s1", "s2").join(names, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return own.unionByName(alone)
@@ -235,9 +244,12 @@ def unresolved(lists: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) of one list that are in different components. In
     each list the component of its central set is the main one; only entries
     of other components look for partners, in bands of like size."""
-    labelled = lists.join(known.select("id", "component"), "id", "left").select("token", "id", "n", "pos", F.col("central.id").alias("main_id"), F.coalesce("component", "id").alias("c"))
+    # Only sets that link at all are named.
+    few = known.count() <= BROADCAST_IDS
+    hint = F.broadcast if few else (lambda df: df)
+    labelled = lists.join(hint(known.select("id", "component")), "id", "left").select("token", "id", "n", "pos", F.col("central.id").alias("main_id"), F.coalesce("component", "id").alias("c"))
     main = known.select(F.col("id").alias("main_id"), F.col("component").alias("main_c"))
-    labelled = labelled.join(main, "main_id", "left").withColumn("main_c", F.coalesce("main_c", "main_id"))
+    labelled = labelled.join(hint(main), "main_id", "left").withColumn("main_c", F.coalesce("main_c", "main_id"))
     labelled, _ = stored(labelled.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")), "labelled-lists")
     minor = labelled.where("c != main_c").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     other = labelled.select("token", "band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"), (F.col("c") == F.col("main_c")).alias("is_main"))
