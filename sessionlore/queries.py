@@ -70,16 +70,35 @@ def clip_text(spark, sf_dir):
     return transcripts.clip_texts(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("clip"), F.col("turn").alias("pos"), "text"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, '# Transcript' || chr(10) || chr(10) || text AS text FROM documents),
+l AS (SELECT doc_id, string_split_regex(text, '{T.LINE_END}') AS lines FROM d WHERE length(text) > 3000),
+b AS (SELECT doc_id, CASE WHEN len(x) > 2 THEN x[3:] ELSE x END AS lines FROM (SELECT doc_id, CASE WHEN lines[-1] = '' THEN lines[:-2] ELSE lines END AS x FROM l)),
+n AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM b),
+g AS (SELECT doc_id, i, 0 AS chunk_no, length(line) + 1 AS size FROM n WHERE i = 1
+      UNION ALL SELECT n.doc_id, n.i, CASE WHEN g.size + length(n.line) + 1 > 1500 THEN g.chunk_no + 1 ELSE g.chunk_no END,
+                       CASE WHEN g.size + length(n.line) + 1 > 1500 THEN length(n.line) + 1 ELSE g.size + length(n.line) + 1 END FROM g JOIN n ON n.doc_id = g.doc_id AND n.i = g.i + 1)
+SELECT doc_id, 0::BIGINT AS chunk_no, text FROM d WHERE length(text) <= 3000
+UNION ALL SELECT g.doc_id, chunk_no::BIGINT, '# Transcript' || chr(10) || chr(10) || trim(string_agg(line, chr(10) ORDER BY g.i), '{WS}') || chr(10) FROM g JOIN n ON n.doc_id = g.doc_id AND n.i = g.i GROUP BY g.doc_id, chunk_no
+""")
 def transcript_chunks(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     chunks = T.transcript_chunks(F.concat(F.lit("# Transcript\n\n"), "text"), 3000, 1500)
-    return docs.select("doc_id", F.posexplode(chunks).alias("chunk_no", "text"))
+    return docs.select("doc_id", F.posexplode(chunks).alias("chunk_no", "text")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE p AS (
+  SELECT doc_id, 0 AS k, NULL::VARCHAR AS piece, trim(text, '{WS}') AS rest FROM documents WHERE length(text) > 1900
+  UNION ALL SELECT doc_id, k + 1, CASE WHEN length(rest) <= 1900 THEN rest ELSE trim(left(rest, cut), '{WS}') END, CASE WHEN length(rest) <= 1900 THEN '' ELSE ltrim(substr(rest, cut + 1), '{WS}') END
+  FROM (SELECT *, CASE WHEN two > 0 THEN 1900 - two - 1 WHEN one > 0 THEN 1900 - one ELSE 1900 END AS cut FROM (
+    SELECT *, strpos(reverse(left(rest, 1900)), chr(10) || chr(10)) AS two, strpos(reverse(left(rest, 1900)), chr(10)) AS one FROM p WHERE rest <> '')))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::BIGINT AS piece_no, piece AS text FROM p WHERE k > 0 AND piece <> ''
+UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 1900
+""")
 def message_pieces(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.message_pieces("text")).alias("piece_no", "text"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.message_pieces("text")).alias("piece_no", "text"))
+    return rows.withColumn("piece_no", F.col("piece_no").cast("long"))
 
 
 @query(f"""
