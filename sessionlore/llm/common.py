@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A mapInArrow task works on slices of about so many bytes of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,16 +63,32 @@ def arrow_map(
     fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]],
     schema: str,
 ) -> DataFrame:
-    """mapInArrow for a function that yields dicts of columns."""
+    """mapInArrow for a function that yields dicts of columns. Where the
+    session has Spark's default of 10,000 rows a batch it is lowered, since
+    texts may be long."""
     target = to_arrow_schema(StructType.fromDDL(schema))
+    if df.sparkSession.conf.get(BATCH_ROWS, "10000") == "10000":
+        df.sparkSession.conf.set(BATCH_ROWS, "1000")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(batches):
             yield as_batch(columns, target)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def as_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
     arrays = []
     for field in target:

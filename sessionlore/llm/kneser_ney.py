@@ -72,7 +72,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             codes, distinct = pd.factorize(gram)
             trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(float)
             held.append(pd.Series(np.bincount(codes, weights=np.repeat(trusted, n), minlength=len(distinct)).astype(np.int64), index=distinct))
-            if len(held) == 8:
+            if len(held) == 16:
                 held = [pd.concat(held).groupby(level=0, sort=False).sum()]
                 if len(held[0]) > BROADCAST_GRAMS:
                     yield {"g": held[0].index.to_numpy(np.uint64).view(np.int64), "c": held.pop().to_numpy()}
