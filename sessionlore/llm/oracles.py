@@ -30,11 +30,11 @@ units AS (
   SELECT mid, content AS u FROM msg UNION ALL SELECT mid, t FROM runs WHERE level = 0
   UNION ALL SELECT mid, unnest(string_split_regex(content, '\n[ \t]*\n')) FROM msg UNION ALL SELECT mid, unnest(string_split(content, chr(10))) FROM msg),
 origins AS (
-  SELECT conv_id, trim(regexp_replace(lower(u), '\s+', ' ', 'g'), ' ') AS p, min(turn) AS origin FROM units JOIN m USING (mid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
+  SELECT conv_id, trim(regexp_replace(lower(u), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS p, min(turn) AS origin FROM units JOIN m USING (mid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
 quoted AS (
   SELECT mid, run, level, true AS whole, t AS u FROM runs WHERE level > 0 UNION ALL SELECT mid, run, level, false, unnest(string_split(t, chr(10))) FROM runs WHERE level > 0),
 met AS (
-  SELECT q.mid, q.run, q.level, q.whole, o.origin FROM (SELECT quoted.*, trim(regexp_replace(lower(u), '\s+', ' ', 'g'), ' ') AS p, conv_id, turn FROM quoted JOIN m USING (mid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL) q
+  SELECT q.mid, q.run, q.level, q.whole, o.origin FROM (SELECT quoted.*, trim(regexp_replace(lower(u), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS p, conv_id, turn FROM quoted JOIN m USING (mid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL) q
   LEFT JOIN origins o ON o.conv_id = q.conv_id AND o.p = q.p AND o.origin < q.turn WHERE q.p <> ''),
 votes AS (SELECT mid, run, level, origin, max(whole::INT) AS whole, count(*) AS n FROM met GROUP BY mid, run, level, origin),
 chosen AS (

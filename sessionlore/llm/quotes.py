@@ -32,7 +32,7 @@ WROTE = r"(?i)^on .*\bwrote:[ \t]*$"
 
 
 def normalised(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(text), r"[\s ]+", " "))
+    return F.btrim(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "))
 
 
 def digest(text: Column) -> Column:
