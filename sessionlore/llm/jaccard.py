@@ -22,8 +22,9 @@ their sets' Jaccard similarity is 0.8 or more.
    entries of a list that are then still in different components are compared
    with each other, until no list has an uncompared pair of that kind.
 
-A 1024-bit parity sketch bounds the symmetric difference from below and saves
-comparisons; every link is verified on the whole sets.
+A parity sketch of about a bit for each shingle (1024 at least) bounds the
+symmetric difference from below and saves comparisons; every link is verified
+on the whole sets.
 
 Nulls: a null or empty text has an empty set and links with nothing. A row
 with a null doc_id is returned with a null component and takes no part.
@@ -48,7 +49,7 @@ WIDTH = 5
 #: Shingles that a slice of text has three times or more are counted; of those
 #: with HEAVY_DF or more in all, at most HEAVY_MAX go last in the order.
 LOCAL_DF, HEAVY_DF, HEAVY_MAX = 3, 24, 200_000
-SKETCH_BITS = 1024
+SKETCH_BITS = 1024  # at least
 #: Lists of ids of up to this length (24 bytes an entry at most) may be broadcast.
 BROADCAST_IDS = 500_000
 
@@ -139,13 +140,14 @@ def described(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
             position = np.where(often, rare[doc] + place - rare_place, rare_place)
             taken = position < prefix_size(n)[doc]
             a, b = taken & ~often, taken & often
-            bit = (mix(h) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-            parity = np.bincount(doc * SKETCH_BITS + bit, minlength=k * SKETCH_BITS) & 1
-            sketch = np.packbits(parity.astype(np.uint8).reshape(k, SKETCH_BITS), axis=1).view(np.uint64).reshape(-1)
+            bits = 2 ** np.ceil(np.log2(np.maximum(n, SKETCH_BITS))).astype(np.int64)
+            bit = mix(h).astype(np.int64) & (bits - 1)[doc]
+            parity = np.bincount((np.cumsum(bits) - bits)[doc] + bit, minlength=int(bits.sum())) & 1
+            sketch = np.packbits(parity.astype(np.uint8)).view(np.uint64)
             yield {
                 "doc_id": batch.column("doc_id"), "n": n, "s1": sums[0][:k].view(np.int64), "s2": sums[1][:k].view(np.int64), "n_rare": rare,
                 "rare": lists_of(h[a], np.bincount(doc[a], minlength=k)), "often": lists_of(h[b], np.bincount(doc[b], minlength=k)),
-                "sketch": lists_of(sketch, np.full(k, SKETCH_BITS // 64)),
+                "sketch": lists_of(sketch, bits // 64),
             }
 
     return arrow_map(narrow(docs, "doc_id", "text"), run, "doc_id long, n long, s1 long, s2 long, n_rare long, rare array<long>, often array<long>, sketch array<long>")
@@ -181,7 +183,11 @@ def near_sketches(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) whose sketches allow a link."""
     small = sets.select("id", "sketch")
     met = pairs.join(small.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(small.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    # Sizes differ by a quarter at most, so one sketch may be twice as long; its
+    # halves laid on each other are the shorter sketch of the same set.
+    k = F.least(F.size("sa"), F.size("sb"))
+    folded = lambda c: F.when(F.size(c) > k, F.zip_with(F.slice(c, 1, k), F.slice(c, k + 1, k), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with(folded("sa"), folded("sb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     return met.where(apart <= F.col("na") + F.col("nb") - 2 * overlap(F.col("na"), F.col("nb"))).select("a", "b").distinct()
 
 
