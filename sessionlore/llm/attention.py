@@ -8,9 +8,10 @@ others are clustered by the classes that come before them. Windows of 2 * STEP i
 second half, so every id is scored once, with STEP to 2 * STEP - 1 ids of
 context (fewer at the beginning).
 
-Counts cover all training texts. The weights are trained on every
-``SAMPLE``-th window of each training text: parts of the data train copies
-side by side, whose weights are averaged, in ``ROUNDS`` rounds.
+Counts, the company that makes the classes, and the weights cover all windows
+of all training texts. Parts of the data train copies side by side, whose
+weights are averaged, in ``ROUNDS`` rounds; a round takes the windows of its
+turn, so that all rounds together are one pass over every window.
 
 Beside it stands a unigram base score over words with add-half smoothing. Its
 count table has a row per word and is joined in blocks of documents, each
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ from sessionlore.llm.tokens import packed, unpacked
 
 STEP, WIDTH = 16, 32
 DIM, CLASSES, OWN_CLASS, OWN_ROW = 16, 64, 24, 4096
-SAMPLE, ROUNDS, BATCH, RATE = 16, 2, 256, 0.01
+ROUNDS, BATCH, RATE = 2, 256, 0.01
 BLOCK_BYTES = 16 << 20
 PART_WINDOWS = 120_000
 U2 = np.dtype("<u2")
@@ -148,26 +150,29 @@ def log_classes(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
 def gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, nothing: np.ndarray, counted: np.ndarray):
     """Mean loss over the counted targets, and its gradient."""
     e, q, k, v, a, h = attend(w, x, nothing)
-    z = log_classes(w, h)
+    flat = lambda t: t.reshape(-1, DIM)
     n = max(1, counted.sum())
-    b, i = np.nonzero(counted)
-    loss = -z[b, i, y[b, i]].sum() / n
-    d = np.exp(z)
-    np.put_along_axis(d, y[..., None], np.take_along_axis(d, y[..., None], 2) - 1, 2)
-    d *= (counted / n).astype(np.float32)[..., None]
-    g = {"c": d.sum((0, 1)), "o": h.reshape(-1, DIM).T @ d.reshape(-1, CLASSES)}
-    dh = (d @ w["o"].T) * (1 - h * h)
+    d = flat(h) @ w["o"]
+    d += w["c"]
+    d -= d.max(1, keepdims=True)
+    np.exp(d, out=d)
+    d /= d.sum(1, keepdims=True)
+    at, target, mask = np.arange(len(d)), y.reshape(-1), counted.reshape(-1)
+    loss = -np.log(np.maximum(d[at, target][mask], 1e-37)).sum() / n
+    d[at, target] -= 1
+    d *= (mask / n).astype(np.float32)[:, None]
+    g = {"c": d.sum(0), "o": flat(h).T @ d}
+    dh = (d @ w["o"].T).reshape(h.shape) * (1 - h * h)
     da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
     ds = a * (da - (da * a).sum(2, keepdims=True))
     g["b"] = np.bincount(_APART.reshape(-1), weights=ds.sum(0).reshape(-1), minlength=WIDTH).astype(np.float32)
     ds *= np.float32(1 / math.sqrt(DIM))
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    flat = lambda t: t.reshape(-1, DIM)
     g["q"], g["k"], g["v"] = flat(e[:, STEP:]).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
     de = dk @ w["k"].T + dv @ w["v"].T
     de[:, STEP:] += dq @ w["q"].T + dh
-    rows = x.reshape(-1)
-    g["e"] = np.stack([np.bincount(rows, weights=flat(de)[:, j], minlength=ROWS) for j in range(DIM)], 1).astype(np.float32)
+    cells = x.reshape(-1, 1) * DIM + np.arange(DIM)
+    g["e"] = np.bincount(cells.reshape(-1), weights=de.reshape(-1), minlength=ROWS * DIM).reshape(ROWS, DIM).astype(np.float32)
     return loss, g
 
 
@@ -258,16 +263,12 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[dict[str, np.ndarray]
             ids, n = coder.encode(batch.column("text"))
             counts += np.bincount(ids, minlength=size)
             texts += len(n)
-            shift = (batch.column("doc_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
-            chosen, text = windows(ids, n, size, lambda t, k, s=shift: (s[t] + k) % SAMPLE == 0)
-            if len(chosen):
-                number = np.bincount(text, minlength=len(n))
-                number = number[number > 0] * (WIDTH + 1)
-                yield {"id": np.full(len(number), -2), "n": number // (WIDTH + 1), "w": packed(chosen.astype(U2).reshape(-1), number)}
+            first = (batch.column("doc_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % ROUNDS
+            yield {"id": np.full(len(n), -2), "n": -(-(n + 1) // STEP), "first": first, "w": packed(ids.astype(U2), n)}
         used = np.flatnonzero(counts)
-        yield {"id": [*used.tolist(), -1], "n": [*counts[used].tolist(), texts], "w": [b""] * (len(used) + 1)}
+        yield {"id": [*used.tolist(), -1], "n": [*counts[used].tolist(), texts], "first": [0] * (len(used) + 1), "w": [b""] * (len(used) + 1)}
 
-    rows, rows_path = stored(arrow_map(docs.select("doc_id", "text"), read, "id int, n long, w binary"), "subword-windows")
+    rows, rows_path = stored(arrow_map(docs.select("doc_id", "text"), read, "id int, n long, first int, w binary"), "subword-texts")
     # At most as many rows as the vocabulary has ids.
     found = {r["id"]: r["n"] for r in rows.groupBy("id").agg(F.sum("n").alias("n")).collect()}
     counts = np.zeros(size, np.int64)
@@ -275,23 +276,30 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[dict[str, np.ndarray]
         if i >= 0:
             counts[i] = n
     vocabulary = Vocabulary(counts, found.get(-1, 0))
-    sample = rows.where("id = -2").select("w")
+    coded = rows.where("id = -2").select("n", "first", "w")
 
     def company(batches: Iterator[pa.RecordBatch], cls=vocabulary.cls):
         wide = 2 * CLASSES
         total = np.zeros((size + 3) * wide, np.int64)
-        for part in joined(batches):
+        for part in training_windows(batches, size, rows=60_000):
             y, before = part[:, STEP + 1 :], cls[part]
             keys = [y * wide + before[:, STEP:WIDTH]]
             keys += [y * wide + CLASSES + before[:, STEP - i : WIDTH - i] for i in range(4, STEP, 4)]
             total += np.bincount(np.concatenate(keys, None), minlength=len(total))
         used = np.flatnonzero(total)
-        yield {"at": used, "n": total[used]}
+        for i in range(0, len(used), 500_000):
+            yield {"at": used[i : i + 500_000], "n": total[used[i : i + 500_000]]}
+
+    def closed(batches: Iterator[pa.RecordBatch]):
+        parts = [(b.column("at").to_numpy(), b.column("n").to_numpy()) for b in batches]
+        if parts:
+            yield {"at": [np.concatenate([a for a, _ in parts]).astype("<i4").tobytes()], "n": [np.concatenate([n for _, n in parts]).astype("<i8").tobytes()]}
 
-    # A cell for each id and class at most.
-    cells = arrow_map(sample, company, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    # A cell for each id and class at most, 12 bytes each.
+    cells = arrow_map(coded, company, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
     profiles = np.zeros((size + 3) * 2 * CLASSES)
-    profiles[cells["at"]] = cells["n"]
+    for r in arrow_map(cells, closed, "at binary, n binary").collect():
+        profiles[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i8")
     groups = clusters(profiles.reshape(size + 3, -1), np.concatenate((counts, [0, found.get(-1, 0), 0])) + 0.01)
     vocabulary = Vocabulary(counts, found.get(-1, 0), groups)
     w = fresh(vocabulary.bias)
@@ -305,8 +313,8 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[dict[str, np.ndarray]
             rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
 
             def arrays():
-                for part in joined(batches):
-                    yield part[rng.permutation(len(part))[turn::ROUNDS]]
+                for part in training_windows(batches, size, turn):
+                    yield part[rng.permutation(len(part))]
 
             after, seen = trained(w, vocabulary, arrays())
             if seen:
@@ -314,7 +322,7 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[dict[str, np.ndarray]
                 yield {"at": np.arange(len(flat) + 1), "value": np.append(flat * seen, seen)}
 
         # As many rows for each part as the model has weights, summed by weight.
-        summed = arrow_map(sample.repartition(parts), learn, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+        summed = arrow_map(coded.repartition(parts), learn, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
         flat = np.zeros(sum(sizes) + 1)
         flat[summed["at"]] = summed["value"]
         flat = (flat[:-1] / max(flat[-1], 1)).astype(np.float32)
@@ -323,16 +331,27 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[dict[str, np.ndarray]
     return w, vocabulary
 
 
-def joined(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[np.ndarray]:
-    """Windows of packed rows, about ``rows`` at a time."""
+def training_windows(batches: Iterator[pa.RecordBatch], vocabulary_size: int, turn: int | None = None, rows: int = 20_000) -> Iterator[np.ndarray]:
+    """All windows of the coded texts of (n, first, w), or those of one of
+    ``ROUNDS`` turns, about ``rows`` at a time. Turns take the windows of a text
+    in rotation, beginning with ``first``."""
     held: list[np.ndarray] = []
     for batch in batches:
-        held.append(unpacked(batch.column("w"), U2).reshape(-1, WIDTH + 1))
-        if sum(map(len, held)) >= rows:
-            yield np.concatenate(held).astype(np.int64)
-            held = []
-    if held:
-        yield np.concatenate(held).astype(np.int64)
+        ends = np.cumsum(batch.column("n").to_numpy())
+        begin, base = 0, 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(ends.searchsorted(base + rows, "right")))
+            part = batch.slice(begin, end - begin)
+            length = pc.binary_length(part.column("w")).to_numpy().astype(np.int64) // U2.itemsize
+            first = part.column("first").to_numpy()
+            keep = None if turn is None else lambda t, k, first=first: (first[t] + k) % ROUNDS == turn
+            held.append(windows(unpacked(part.column("w"), U2), length, vocabulary_size, keep)[0])
+            if sum(map(len, held)) >= rows:
+                yield np.concatenate(held)
+                held = []
+            base, begin = int(ends[end - 1]), end
+    if sum(map(len, held)):
+        yield np.concatenate(held)
 
 
 def word_hashes(texts: pa.Array) -> tuple[Words, np.ndarray]:
