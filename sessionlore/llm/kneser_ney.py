@@ -7,7 +7,10 @@ toxic. Counts are tables with a row per n-gram, sharded by it; the
 probability of each n-gram of the corpus comes from joins of these tables,
 order by order. A document's perplexity is over all its characters. It is
 rejected above its language's threshold, which comes from quantiles of the
-trusted documents of that language.
+trusted documents of that language. A trusted document is scored without its
+own counts: it is in one of ``FOLDS`` folds (by its text, so that copies are in the
+same one) and meets the counts of the others, as a document without a label meets
+counts that it had no part in.
 
 The table of probabilities is broadcast while it has ``BROADCAST_GRAMS`` rows
 at most; beyond, documents are dealt to blocks, each block joins the
@@ -15,7 +18,7 @@ probabilities of its own n-grams, and is scored with them.
 
 Nulls: a null or empty text has no perplexity and is rejected. Rows without a
 lang, or of one without trusted text, are held to the threshold over all
-languages. Without any trusted text nothing but empty texts is rejected. A null doc_id is kept as a
+languages. Without trusted text in two folds nothing but empty texts is rejected. A null doc_id is kept as a
 row and is never trusted. Repeated doc_ids each count. No rows give no rows.
 """
 
@@ -38,6 +41,7 @@ BEGIN = 2
 BROADCAST_GRAMS = 3_000_000
 BROADCAST_IDS, BROADCAST_LANGS = 500_000, 10_000
 BLOCK_BYTES = 8 << 20
+FOLDS = 4
 #: What is held to the threshold is the log perplexity less ALLOWANCE over the
 #: root of the number of characters, since short texts scatter. The threshold
 #: is q + MARGIN * (q - median), q the QUANTILE of the language's trusted
@@ -61,45 +65,56 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return gram, n
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(g, c) of each 4-gram of all documents: its occurrences in the trusted
-    ones, possibly 0. ``docs`` has text and trusted."""
+def gram_counts(docs: DataFrame, folds: int = 0) -> DataFrame:
+    """(g, c, c1, c2, ...) of each 4-gram of all documents: its occurrences in
+    the trusted ones, and in those outside fold 1, 2, ..., possibly 0. ``docs``
+    has text and trusted, and fold where there are folds."""
+    names = ["c", *[f"c{k}" for k in range(1, folds + 1)]]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held: list[pd.Series] = []
+        held: list[pd.DataFrame] = []
+        closed = lambda t: {"g": t.index.to_numpy(np.uint64).view(np.int64)} | {c: t[c].to_numpy() for c in names}
         for batch in gathered(batches):
             gram, n = grams(batch.column("text"))
             codes, distinct = pd.factorize(gram)
             trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(float)
-            held.append(pd.Series(np.bincount(codes, weights=np.repeat(trusted, n), minlength=len(distinct)).astype(np.int64), index=distinct))
+            fold = batch.column("fold").to_numpy() if folds else None
+            weights = [trusted, *[trusted * (fold != k) for k in range(1, folds + 1)]]
+            held.append(pd.DataFrame({c: np.bincount(codes, weights=np.repeat(w, n), minlength=len(distinct)).astype(np.int64) for c, w in zip(names, weights, strict=True)}, index=distinct))
             if len(held) == 16:
                 held = [pd.concat(held).groupby(level=0, sort=False).sum()]
                 if len(held[0]) > BROADCAST_GRAMS:
-                    yield {"g": held[0].index.to_numpy(np.uint64).view(np.int64), "c": held.pop().to_numpy()}
+                    yield closed(held.pop())
         if held:
-            total = pd.concat(held).groupby(level=0, sort=False).sum()
-            yield {"g": total.index.to_numpy(np.uint64).view(np.int64), "c": total.to_numpy()}
+            yield closed(pd.concat(held).groupby(level=0, sort=False).sum())
 
-    return arrow_map(docs.select("text", "trusted"), run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    read = docs.select("text", "trusted", *["fold"] * bool(folds))
+    return arrow_map(read, run, ", ".join(f"{c} long" for c in ["g", *names])).groupBy("g").agg(*[F.sum(c).alias(c) for c in names])
 
 
 class Discounts:
-    """Absolute discounts of n-grams counted once, twice and more often."""
-
-    def __init__(self, counts: DataFrame):
-        row = counts.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-        n = [row[f"n{k}"] for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        # Where counts of counts are missing (tiny corpora), the plain discount.
-        self.d = [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] and n[k] else y for k in (1, 2, 3)]
-
-    def of(self, c: Column) -> Column:
-        return F.when(c >= 3, self.d[2]).when(c == 2, self.d[1]).when(c == 1, self.d[0]).otherwise(0.0)
+    """Absolute discounts of n-grams counted once, twice and more often, for
+    each column of counts."""
+
+    def __init__(self, counts: DataFrame, names: list[str]):
+        row = counts.agg(*[F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in names for k in (1, 2, 3, 4)]).first()
+        self.d = {}
+        for c in names:
+            n = [row[f"{c}_{k}"] for k in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+            # Where counts of counts are missing (tiny corpora), the plain discount.
+            self.d[c] = [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] and n[k] else y for k in (1, 2, 3)]
+
+    def of(self, name: str) -> Column:
+        c, d = F.col(name), self.d[name]
+        return F.when(c >= 3, d[2]).when(c == 2, d[1]).when(c == 1, d[0]).otherwise(0.0)
 
     def contexts(self, counts: DataFrame) -> DataFrame:
-        """(h, total, back): each context's count, and the mass it gives to
-        the lower order."""
-        return counts.groupBy(F.shiftrightunsigned("g", 16).alias("h")).agg(F.sum("c").alias("total"), F.sum(self.of(F.col("c"))).alias("left")).select("h", "total", (F.col("left") / F.col("total")).alias("back"))
+        """(h, total_c, back_c, ...): each context's count, null if 0, and the
+        mass it gives to the lower order."""
+        sums = [x for c in self.d for x in (F.nullif(F.sum(c), F.lit(0)).alias(f"total_{c}"), F.sum(self.of(c)).alias(f"left_{c}"))]
+        shares = [x for c in self.d for x in (F.col(f"total_{c}"), (F.col(f"left_{c}") / F.col(f"total_{c}")).alias(f"back_{c}"))]
+        return counts.groupBy(F.shiftrightunsigned("g", 16).alias("h")).agg(*sums).select("h", *shares)
 
 
 def suffix(order: int) -> Column:
@@ -107,22 +122,27 @@ def suffix(order: int) -> Column:
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
-    """(g, logp) of every 4-gram in ``counts``, natural logarithm."""
+    """(g, logp, logp1, ...) of every 4-gram in ``counts``, natural logarithm,
+    by the counts c, c1, ..."""
+    names = [c for c in counts.columns if c != "g"]
     seen = {ORDER: counts.where("c > 0")}
     for k in range(ORDER - 1, 0, -1):  # in how many contexts a shorter one occurs
-        seen[k], _ = stored(seen[k + 1].groupBy(suffix(k).alias("g")).agg(F.count(F.lit(1)).alias("c")), f"continuations-{k}")
-    discounts = {k: Discounts(s) for k, s in seen.items()}
-    one = seen[1].agg(F.sum("c").alias("total"), F.sum(discounts[1].of(F.col("c"))).alias("left"), F.count(F.lit(1)).alias("v")).first()
-    total, left, v = one["total"] or 1, one["left"] or 1.0, (one["v"] or 0) + 1
+        seen[k], _ = stored(seen[k + 1].groupBy(suffix(k).alias("g")).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in names]), f"continuations-{k}")
+    discounts = {k: Discounts(s, names) for k, s in seen.items()}
+    one = seen[1].agg(*[x for c in names for x in (F.sum(c).alias(f"total_{c}"), F.sum(discounts[1].of(c)).alias(f"left_{c}"), F.count_if(F.col(c) > 0).alias(f"v_{c}"))]).first()
+
+    def first(c: str) -> Column:
+        total, left, v = one[f"total_{c}"] or 1, one[f"left_{c}"] or 1.0, (one[f"v_{c}"] or 0) + 1
+        return F.coalesce((F.col(c) - discounts[1].of(c)) / total, F.lit(0.0)) + F.lit(left / total / v)
+
     known = counts.select("g")
-    lower = known.select(suffix(1).alias("g")).distinct().join(seen[1], "g", "left").select("g", (F.coalesce((F.col("c") - discounts[1].of(F.col("c"))) / total, F.lit(0.0)) + F.lit(left / total / v)).alias("p"))
+    lower = known.select(suffix(1).alias("g")).distinct().join(seen[1], "g", "left").select("g", *[first(c).alias(f"p_{c}") for c in names])
     for k in range(2, ORDER + 1):
         rows = counts if k == ORDER else known.select(suffix(k).alias("g")).distinct().join(seen[k], "g", "left")
-        rows = rows.select("g", F.coalesce("c", F.lit(0)).alias("c"), F.shiftrightunsigned("g", 16).alias("h"), suffix(k - 1).alias("s"))
-        lower = rows.join(discounts[k].contexts(seen[k]), "h", "left").join(lower.select(F.col("g").alias("s"), F.col("p").alias("q")), "s", "left").select(
-            "g", (F.coalesce((F.col("c") - discounts[k].of(F.col("c"))) / F.col("total"), F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("q")).alias("p")
-        )
-    return lower.select("g", F.log("p").alias("logp"))
+        rows = rows.select("g", *[F.coalesce(c, F.lit(0)).alias(c) for c in names], F.shiftrightunsigned("g", 16).alias("h"), suffix(k - 1).alias("s"))
+        p = lambda c, k=k: F.coalesce((F.col(c) - discounts[k].of(c)) / F.col(f"total_{c}"), F.lit(0.0)) + F.coalesce(f"back_{c}", F.lit(1.0)) * F.col(f"q_{c}")
+        lower = rows.join(discounts[k].contexts(seen[k]), "h", "left").join(lower.select(F.col("g").alias("s"), *[F.col(f"p_{c}").alias(f"q_{c}") for c in names]), "s", "left").select("g", *[p(c).alias(f"p_{c}") for c in names])
+    return lower.select("g", *[F.log(f"p_{c}").alias(f"logp{c[1:]}") for c in names])
 
 
 class Lookup:
@@ -147,8 +167,8 @@ class Lookup:
     def place(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values of keys, all of which are in the table."""
+    def get(self, keys: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Values of keys, all of which are in the table, each from its column."""
         at = self.place(keys)
         found = self.slot[at]
         left = np.flatnonzero(self.keys[at] != keys)
@@ -158,13 +178,15 @@ class Lookup:
             found[left] = self.slot[at]
             wrong = self.keys[at] != keys[left]
             left, at = left[wrong], at[wrong]
-        return self.values[found]
+        return self.values[found, column]
 
 
-def text_scores(texts: pa.Array, table: Lookup) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of each text, and the sum of their log probabilities."""
-    gram, n = grams(texts)
-    sums = np.concatenate(([0.0], np.cumsum(table.get(gram)))) if len(gram) else np.zeros(1)
+def text_scores(batch: pa.RecordBatch, table: Lookup) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of each text, and the sum of their log probabilities, by the
+    column of its fold."""
+    gram, n = grams(batch.column("text"))
+    fold = batch.column("fold").to_numpy() if "fold" in batch.schema.names else np.zeros(len(n), np.int32)
+    sums = np.concatenate(([0.0], np.cumsum(table.get(gram, np.repeat(fold, n))))) if len(gram) else np.zeros(1)
     ends = np.cumsum(n)
     return n, sums[ends] - sums[ends - n]
 
@@ -173,16 +195,18 @@ SCORES = "doc_id long, lang string, trusted boolean, n_scored long, log_p double
 
 
 def scored(docs: DataFrame, logp: DataFrame, limit: int = BROADCAST_GRAMS) -> DataFrame:
-    """``SCORES`` of (doc_id, text, lang, trusted)."""
+    """``SCORES`` of (doc_id, text, lang, trusted), and fold where ``logp`` has
+    columns for folds; fold 0 has the counts of all."""
     spark = docs.sparkSession
+    columns = [c for c in logp.columns if c != "g"]
     if logp.count() <= limit:
         known = logp.toPandas()
-        arrays = spark.sparkContext.broadcast((known["g"].to_numpy(np.int64).view(np.uint64), known["logp"].to_numpy()))
+        arrays = spark.sparkContext.broadcast((known["g"].to_numpy(np.int64).view(np.uint64), np.ascontiguousarray(known[columns].to_numpy())))
 
         def run(batches: Iterator[pa.RecordBatch]):
             table = Lookup(*arrays.value)
             for batch in gathered(batches):
-                n, total = text_scores(batch.column("text"), table)
+                n, total = text_scores(batch, table)
                 yield {c: batch.column(c) for c in ("doc_id", "lang", "trusted")} | {"n_scored": n, "log_p": total}
 
         return arrow_map(docs, run, SCORES)
@@ -198,32 +222,37 @@ def scored(docs: DataFrame, logp: DataFrame, limit: int = BROADCAST_GRAMS) -> Da
         return pa.Table.from_batches([as_batch({"block": np.full(len(g), rows["block"][0].as_py()), "g": g.view(np.int64)}, wanted)])
 
     def answered(rows: pa.Table, known: pa.Table) -> pa.Table:
-        table = Lookup(known["g"].to_numpy().view(np.uint64), known["logp"].to_numpy())
+        table = Lookup(known["g"].to_numpy().view(np.uint64), np.column_stack([known[c].to_numpy() for c in columns]))
         parts = []
         for batch in gathered(rows.to_batches()):
-            n, total = text_scores(batch.column("text"), table)
+            n, total = text_scores(batch, table)
             parts.append(as_batch({c: batch.column(c) for c in ("doc_id", "lang", "trusted")} | {"n_scored": n, "log_p": total}, out))
         return pa.Table.from_batches(parts, out)
 
     requests = dealt.groupBy("block").applyInArrow(asked, "block int, g long")
-    responses = requests.join(logp, "g").select(F.col("block").alias("at"), "g", "logp")
+    responses = requests.join(logp, "g").select(F.col("block").alias("at"), "g", *columns)
     return dealt.groupBy("block").cogroup(responses.groupBy("at")).applyInArrow(answered, SCORES)
 
 
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, lang, trusted)."""
+    """(doc_id, text, lang, trusted, fold), fold 0 for those that are not trusted."""
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"), F.max("toxic").alias("toxic"))
     ids, _ = stored(marked.where("good and coalesce(toxic, 0) = 0").select("doc_id", F.lit(True).alias("trusted")), "trusted")
     few = ids.count() <= BROADCAST_IDS
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(ids) if few else ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    return docs.select("doc_id", "text", "lang").join(F.broadcast(ids) if few else ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))).withColumn("fold", F.when(F.col("trusted"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)) + 1).otherwise(0).cast("int"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, n_scored, log_perplexity, excess, threshold, kept) of
     each row."""
     marked = with_trust(docs, labels)
-    counts, counts_path = stored(gram_counts(marked), "gram-counts")
+    counts, counts_path = stored(gram_counts(marked, FOLDS), "gram-counts")
     logp, logp_path = stored(probabilities(counts), "gram-probabilities")
+    # A fold that has all the trusted text has no counts outside: no threshold from it.
+    outside = counts.agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(1, FOLDS + 1)]).first()
+    usable = [k for k in range(1, FOLDS + 1) if outside[f"c{k}"]]
+    held = F.col("fold").isin(usable) if usable else F.lit(False)
+    marked = marked.withColumn("trusted", held).withColumn("fold", F.when(held, F.col("fold")).otherwise(0))
     rows, _ = stored(scored(marked, logp), "perplexities")
     dropped(docs.sparkSession, counts_path, logp_path)
     rows = rows.withColumn("log_perplexity", F.when(F.col("n_scored") > 0, -F.col("log_p") / F.col("n_scored")))

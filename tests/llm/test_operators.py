@@ -161,6 +161,18 @@ def test_quality_and_edges(spark):
     assert all(r["kept"] == bool(r["n_scored"]) for r in kneser_ney.judged(frame(spark, good + EDGES), labels.limit(0)).collect())
 
 
+def test_thresholds_are_held_out(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(6)) for _ in range(2000)]
+    docs = [(i, prose(rng, 60, words), "en") for i in range(160)] + [(1000 + i, "".join(rng.choice("#%QXZ09") for _ in range(300)), "en") for i in range(10)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in kneser_ney.judged(frame(spark, docs), labels).collect()}
+    # Clean documents whose label is hidden are kept as those with a label are.
+    assert sum(kept[i] for i in range(80, 160)) >= 76 and not any(kept[1000 + i] for i in range(10))
+    # A single trusted text gives no threshold.
+    assert all(r["kept"] for r in kneser_ney.judged(frame(spark, docs), labels.where("doc_id = 0")).collect())
+
+
 # ---- operator 4 --------------------------------------------------------------
 def plain_counts(text):
     w = re.findall(SPACE, text or "")
