@@ -8,8 +8,9 @@ statistic and one on all of them together, since in the joint one an odd
 value of a single rule drowns in the spread of the others. The threshold on
 each forest's score comes from labelled rows, and passing any one rejects.
 
-The forest is fitted on at most ``SAMPLE_ROWS`` labelled rows (those with the
-least hash of doc_id); everything else covers all rows. Without labels of
+The trees are grown on at most ``SAMPLE_ROWS`` labelled rows (those with the
+least hash of doc_id); everything else covers all rows, the thresholds all
+labelled ones. Without labels of
 both kinds, only the base rules decide.
 
 Nulls: a null or empty text has no words and fails. A null doc_id is kept
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlore.llm.common import arrow_map, gathered, narrow, stored
+from sessionlore.llm.common import arrow_map, dropped, gathered, narrow, stored
 from sessionlore.llm.textvec import SPACE, Words, buffer, mix, ranges_hash, runs_hash
 
 MIN_WORDS = 10
@@ -35,9 +36,10 @@ MAX_REPEATED_PERCENT = 20
 REPEAT_WIDTH = 5
 SAMPLE_ROWS = 20_000
 TREES, TREE_ROWS = 48, 256
-#: Share of good labelled documents that a threshold may give up at most, and
-#: share of bad ones that it must find, or else its forest rejects nothing.
-GOOD_LOSS, BAD_FOUND = 0.0005, 0.02
+#: Share of good labelled documents that a threshold may give up at most. A
+#: forest rejects nothing unless most of what it rejects is bad, and that many
+#: bad ones would come by chance less often than CHANCE.
+GOOD_LOSS, CHANCE = 0.0005, 0.01
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -172,15 +174,15 @@ class Forest:
         return 2 ** (-total / len(self.roots) / max(1e-9, float(average_path(self.rows))))
 
 
-def calibrated(score: np.ndarray, bad: np.ndarray) -> float:
-    """The score above which documents are rejected: half way from the least
-    that loses at most ``GOOD_LOSS`` of the good rows to the next bad row."""
-    good = np.sort(score[~bad])
-    if not len(good) or not bad.any():
-        return np.inf
-    least = good[len(good) - 1 - int(GOOD_LOSS * len(good))]
-    above = score[bad & (score > least)]
-    return float((least + above.min()) / 2) if len(above) >= BAD_FOUND * bad.sum() else np.inf
+def convincing(found: int, lost: int, share: float) -> bool:
+    """Whether ``found`` bad of ``found + lost`` rejected rows are most of them, and
+    too many for chance (Chernoff's bound) where a ``share`` of all rows is bad."""
+    n = found + lost
+    if found <= lost or found <= share * n:
+        return False
+    p = found / n
+    apart = p * np.log(p / share) + (0 if lost == 0 else (1 - p) * np.log((1 - p) / (1 - share)))
+    return bool(n * apart >= -np.log(CHANCE))
 
 
 def base_failed(n_words, n_repeat_words):
@@ -190,10 +192,13 @@ def base_failed(n_words, n_repeat_words):
 class Forests:
     """The forests of each statistic and of all, with their thresholds."""
 
-    def __init__(self, x: np.ndarray, bad: np.ndarray):
+    def __init__(self, x: np.ndarray):
         self.columns = [[k] for k in range(x.shape[1])] + [list(range(x.shape[1]))]
         self.forests = [Forest(x[:, c], seed=k) for k, c in enumerate(self.columns)]
-        self.thresholds = [calibrated(f.score(x[:, c]), bad) for f, c in zip(self.forests, self.columns, strict=True)]
+        self.thresholds = [np.inf] * len(self.forests)
+
+    def scores(self, x: np.ndarray) -> list[np.ndarray]:
+        return [f.score(x[:, c]) for f, c in zip(self.forests, self.columns, strict=True)]
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """The largest excess of a score over its threshold; above 0: rejected."""
@@ -206,11 +211,46 @@ class Forests:
 
 def fit(stats: DataFrame, labels: DataFrame) -> Forests | None:
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
-    sample = stats.join(marked, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).toPandas()
-    bad = sample["bad"].to_numpy(bool)
-    if not bad.any() or bad.all():
-        return None
-    return Forests(features({c: sample[c].to_numpy() for c in COUNTS}), bad)
+    labelled, path = stored(stats.join(marked, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))), "labelled-statistics")
+    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).toPandas()
+    forests = None
+    if len(sample):
+        forests = Forests(features({c: sample[c].to_numpy() for c in COUNTS}))
+        forests.thresholds = thresholds(labelled, forests)
+    dropped(stats.sparkSession, path)
+    return forests
+
+
+def thresholds(labelled: DataFrame, forests: Forests) -> list[float]:
+    """For each forest the score above which documents are rejected: half way
+    from the least that loses at most ``GOOD_LOSS`` of all good labelled rows to
+    the next bad row."""
+    names = [f"s{i}" for i in range(len(forests.forests))]
+    never = [np.inf] * len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            scores = forests.scores(features({c: batch.column(c).to_numpy() for c in COUNTS}))
+            yield {"bad": batch.column("bad")} | dict(zip(names, scores, strict=True))
+
+    rows, path = stored(arrow_map(labelled, run, ", ".join(["bad boolean", *(f"{c} double" for c in names)])), "forest-scores")
+    total = rows.agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad")).first()
+    if not total["good"] or not total["bad"]:
+        return never
+    # Somewhat below the wanted place, whose exact value is counted from above.
+    place = max(0.0, 1 - GOOD_LOSS - 3e-5 - 2 / total["good"])
+    low = rows.where(~F.col("bad")).agg(*[F.percentile_approx(c, place, 100_000).alias(c) for c in names]).first()
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("score"), F.lit(low[c]).alias("low")) for c in names])).alias("e")
+    tail = rows.where(~F.col("bad")).select(each).select("e.*").where("score >= low").groupBy("name", "score").count().toPandas().sort_values("score", ascending=False)
+    least = {}
+    for c in names:
+        part = tail[tail["name"] == c]
+        least[c] = float(part["score"].to_numpy()[np.flatnonzero(part["count"].cumsum().to_numpy() > int(GOOD_LOSS * total["good"]))[0]])
+    above = lambda c: F.col(c) > least[c]
+    met = rows.agg(*[x for c in names for x in (F.count_if(F.col("bad") & above(c)).alias(f"{c}_bad"), F.count_if(~F.col("bad") & above(c)).alias(f"{c}_good"), F.min(F.when(F.col("bad") & above(c), F.col(c))).alias(f"{c}_next"))]).first()
+    dropped(labelled.sparkSession, path)
+    share = total["bad"] / (total["bad"] + total["good"])
+    return [(least[c] + met[f"{c}_next"]) / 2 if convincing(met[f"{c}_bad"], met[f"{c}_good"], share) else np.inf for c in names]
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -228,6 +228,17 @@ def test_rules(spark):
     assert rules.judged(docs.limit(0), labels).count() == 0
 
 
+def test_thresholds_cover_all_labels(spark, monkeypatch):
+    rng = random.Random(14)
+    text = lambda end="": " ".join(f"word{rng.randrange(500)}{end}" for _ in range(40))
+    # Six rows that one statistic shows are 1.5 % of the bad ones.
+    docs = [(i, text(), "en") for i in range(1400)] + [(2000 + i, text("%%%"), "en") for i in range(6)]
+    labels = spark.createDataFrame([(d, int(d < 1000)) for d, *_ in docs], "doc_id long, quality int")
+    monkeypatch.setattr(rules, "SAMPLE_ROWS", 500)
+    kept = {r["doc_id"]: r["kept"] for r in rules.judged(frame(spark, docs), labels).collect()}
+    assert all(kept[i] for i in range(1000)) and not any(kept[2000 + i] for i in range(6))
+
+
 # ---- operator 5 --------------------------------------------------------------
 @pytest.mark.parametrize(("n", "copies"), [(900, 300), (3, 0), (1, 0)])
 def test_top_k(spark, n, copies):
