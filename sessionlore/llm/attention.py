@@ -1,25 +1,28 @@
 """Operator 8: language-model scoring with causal self-attention, in numpy.
 
 The model reads subword ids. One head of masked self-attention looks back
-over the window; its sum, and the last id's own vector, give the
-probabilities of classes of subwords, and a subword's share of its class
-comes from counts. The most frequent subwords are classes of their own, the
-others are clustered by the classes that come before them. Windows of 2 * STEP ids overlap by half: each scores its
-second half, so every id is scored once, with STEP to 2 * STEP - 1 ids of
-context (fewer at the beginning).
-
-Counts, the company that makes the classes, and the weights cover all windows
-of all training texts. Parts of the data train copies side by side, whose
-weights are averaged, in ``ROUNDS`` rounds; a round takes the windows of its
-turn, so that all rounds together are one pass over every window.
+over the window; its sum, and the last id's own vector, are the context of the
+next subword. That context gives the probabilities of classes, and, by an
+output vector for each member, those of a class's members: two softmaxes, and
+both depend on the context. The most frequent subwords are classes of their own; the
+others are in classes by frequency. Windows of 2 * STEP ids overlap by half: each
+scores its second half, so every id is scored once, with STEP to 2 * STEP - 1
+ids of context (fewer at the beginning).
+
+The weights are trained on all windows of all training texts. Parts of the data
+train copies side by side, whose weights are averaged, in ``ROUNDS`` rounds; a
+round takes the windows of its turn, so that all rounds together are one pass
+over every window.
 
 Beside it stands a unigram base score over words with add-half smoothing. Its
 count table has a row per word and is joined in blocks of documents, each
-asking for its distinct words only.
+asking for its distinct words only; words that very many blocks ask for are
+broadcast, a bounded number of them.
 
 Nulls: a null text is empty and has only its end. A row with a null doc_id is
 scored, and trains nothing; it is not held out. Repeated rows each count.
-Without training texts every subword is as likely as any other. No rows give no rows.
+Subwords that no training text has share one probability. Without training
+texts every subword is as likely as any other. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -30,21 +33,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlore.llm.common import arrow_map, as_batch, dropped, gathered, row_bytes, stored
+from sessionlore.llm.common import arrow_map, as_batch, dropped, gathered, one_blas_thread, row_bytes, stored
 from sessionlore.llm.langid import is_held_out
 from sessionlore.llm.subwords import Subwords, default_path
 from sessionlore.llm.textvec import Words, buffer, factorized, spread
 from sessionlore.llm.tokens import packed, unpacked
 
 STEP, WIDTH = 16, 32
-DIM, CLASSES, OWN_CLASS, OWN_ROW = 16, 64, 24, 4096
-ROUNDS, BATCH, RATE = 2, 256, 0.01
+DIM, OWN_CLASS, OWN_ROW = 16, 24, 4096
+ROUNDS, BATCH, RATE = 2, 256, 0.02
 BLOCK_BYTES = 16 << 20
 PART_WINDOWS = 120_000
+#: Weights of so many parts are added up in one task.
+ADDED_PARTS = 32
+#: At most so many words that many blocks ask for are broadcast.
+HEAD_WORDS = 1_000_000
 U2 = np.dtype("<u2")
+F4 = np.float32
 
 
 def is_training(doc_id: str = "doc_id") -> Column:
@@ -52,127 +60,165 @@ def is_training(doc_id: str = "doc_id") -> Column:
 
 
 class Vocabulary:
-    """Classes, input rows and shares of the ids 0..size-1, and of the marks
-    for begin, end and nothing (size, size + 1, size + 2)."""
+    """Symbols, classes and input rows of the ids 0..size-1, and of the marks
+    for begin, end and nothing (size, size + 1, size + 2). The symbols are
+    the ids that occur, the end, and one that stands for all other ids;
+    ``first[c]:first[c + 1]`` are the symbols of class c."""
 
-    def __init__(self, counts: np.ndarray, end_count: int, groups: np.ndarray | None = None):
-        """``groups`` are cluster numbers of the ids and marks; without them, ids
-        beyond the most frequent ones are grouped by frequency."""
+    def __init__(self, counts: np.ndarray, end_count: int):
         self.size = len(counts)
-        c = np.concatenate((counts, [0, end_count, 0])).astype(float) + 0.5
-        c[[self.size, self.size + 2]] = 0  # never predicted
-        order = np.argsort(-c, kind="stable")
-        self.cls = np.zeros(len(c), np.int64)
-        self.cls[order[:OWN_CLASS]] = np.arange(OWN_CLASS)
-        rest = order[OWN_CLASS:]
-        mass = np.cumsum(c[rest]) - c[rest] / 2
-        if groups is None:
-            groups = np.zeros(len(c), np.int64)
-            groups[rest] = np.minimum(mass / max(mass[-1], 1e-9) * (CLASSES - OWN_CLASS), CLASSES - OWN_CLASS - 1).astype(np.int64)
-        self.cls[rest] = OWN_CLASS + groups[rest]
-        self.row = OWN_ROW + self.cls
-        own = order[:OWN_ROW]
-        self.row[own] = np.arange(len(own))
-        begin, nothing = OWN_ROW + CLASSES, OWN_ROW + CLASSES + 1
-        self.row[self.size], self.row[self.size + 2] = begin, nothing
-        total = np.bincount(self.cls, weights=c, minlength=CLASSES)
-        with np.errstate(divide="ignore"):
-            self.share = np.log(c / total[self.cls]).astype(np.float32)
-        self.bias = np.log(np.maximum(total, 1e-9) / total.sum()).astype(np.float32)
-
-
-def clusters(profiles: np.ndarray, n: np.ndarray, k: int = CLASSES - OWN_CLASS, rounds: int = 15) -> np.ndarray:
-    """k-means of ids by the company they keep: ``profiles`` has a row of
-    context counts per id, ``n`` their weights."""
-    prior = profiles.sum(0) / max(1.0, profiles.sum())
-    x = profiles + 5 * prior
-    x = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1e-9))
-    order = np.argsort(-n, kind="stable")[: max(k, 2048)]
-    centre = [order[0]]
-    far = ((x[order] - x[order[0]]) ** 2).sum(1)
-    for _ in range(k - 1):  # frequent ids that are far from those chosen
-        centre.append(order[int((far * np.log1p(n[order])).argmax())])
-        far = np.minimum(far, ((x[order] - x[centre[-1]]) ** 2).sum(1))
-    means = x[centre]
-    for _ in range(rounds):
-        near = ((means**2).sum(1) - 2 * x @ means.T).argmin(1)
-        weight = np.bincount(near, weights=n, minlength=k)
-        for j in range(x.shape[1]):
-            means[:, j] = np.where(weight > 0, np.bincount(near, weights=n * x[:, j], minlength=k) / np.maximum(weight, 1e-9), means[:, j])
-    return near
-
-
-ROWS = OWN_ROW + CLASSES + 2
-SHAPES = {"e": (ROWS, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "b": (WIDTH,), "o": (DIM, CLASSES), "c": (CLASSES,)}
+        used = np.flatnonzero(counts)
+        unseen = self.size - len(used)
+        n = np.concatenate((counts[used] + 0.5, [end_count + 0.5, max(0.5 * unseen, 1e-3)]))
+        order = np.argsort(-n, kind="stable")
+        n, m = n[order], len(n)
+        self.n_classes = max(48, round(math.sqrt(m)))
+        own = min(OWN_CLASS, m)
+        rest = n[own:]
+        # A class of mass P with k members costs P * k: least for equal sums of roots.
+        root = np.sqrt(rest)
+        share = (np.cumsum(root) - root / 2) / max(root.sum(), 1e-9)
+        cls = np.concatenate((np.arange(own), own + (share * (self.n_classes - own)).astype(np.int64)))
+        self.first = np.searchsorted(cls, np.arange(self.n_classes + 1))
+        self.large = np.flatnonzero(np.diff(self.first) > 1)
+        symbol = np.full(self.size + 3, int(np.flatnonzero(order == m - 1)[0]))
+        symbol[np.concatenate((used, [self.size + 1]))[order[order < m - 1]]] = np.flatnonzero(order < m - 1)
+        self.cls, self.place = cls[symbol], (np.arange(m) - self.first[cls])[symbol]
+        self.row = np.where(symbol < OWN_ROW, symbol, OWN_ROW + self.cls)
+        self.n_rows = OWN_ROW + self.n_classes + 2 if m > OWN_ROW else m + 2
+        self.row[self.size], self.row[self.size + 2] = self.n_rows - 2, self.n_rows - 1
+        #: Log of what each of the ids behind one symbol has of it.
+        self.share = np.zeros(self.size + 3, F4)
+        self.share[: self.size][counts == 0] = -math.log(max(1, unseen))
+        mass = np.bincount(cls, weights=n, minlength=self.n_classes)
+        self.bias = np.log(np.maximum(mass, 1e-9) / mass.sum()).astype(F4)
+        self.inner_bias = np.log(n / mass[cls]).astype(F4)
+
+    @property
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        square = (DIM, DIM)
+        return {"e": (self.n_rows, DIM), "q": square, "k": square, "v": square, "b": (WIDTH,), "o": (DIM, self.n_classes), "c": (self.n_classes,), "u": (len(self.inner_bias), DIM), "d": (len(self.inner_bias),)}
+
+
 #: Distance from query to key, for the queries of the second half.
 _APART = (STEP + np.arange(STEP))[:, None] - np.arange(WIDTH)
 _HIDDEN = _APART < 0
 _APART = np.clip(_APART, 0, WIDTH - 1)
 
 
-def fresh(bias: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
+def fresh(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
+    """Weights before training; the outputs are the frequencies alone."""
     rng = np.random.default_rng(seed)
-    w = {k: (rng.standard_normal(s) * (0.1 if k == "e" else 0.25)).astype(np.float32) for k, s in SHAPES.items()}
-    w["b"], w["c"] = -0.05 * np.arange(WIDTH, dtype=np.float32), bias.copy()
-    w["o"] *= 0.1
+    w = {k: (rng.standard_normal(s) * (0.1 if k == "e" else 0.25)).astype(F4) for k, s in vocabulary.shapes.items()}
+    w["b"], w["c"], w["d"] = -0.05 * np.arange(WIDTH, dtype=F4), vocabulary.bias.copy(), vocabulary.inner_bias.copy()
+    w["o"], w["u"] = np.zeros_like(w["o"]), np.zeros_like(w["u"])
     return w
 
 
-def attend(w: dict[str, np.ndarray], x: np.ndarray, nothing: np.ndarray):
-    """Hidden vectors of the second half of windows of input rows ``x``, and
-    what led to them."""
-    e = w["e"][x]
-    q, k, v = e[:, STEP:] @ w["q"], e @ w["k"], e @ w["v"]
-    a = shares(w, q, k, nothing)
-    return e, q, k, v, a, np.tanh(a @ v + e[:, STEP:])
+def flat(t: np.ndarray) -> np.ndarray:
+    return t.reshape(-1, t.shape[-1])
 
 
 def shares(w: dict[str, np.ndarray], q: np.ndarray, k: np.ndarray, nothing: np.ndarray) -> np.ndarray:
     """The masked softmax of all queries of a batch over the keys."""
     s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(1 / math.sqrt(DIM))
-    s += np.where(_HIDDEN, np.float32(-1e9), w["b"][_APART])
+    s *= s.dtype.type(1 / math.sqrt(DIM))
+    s += np.where(_HIDDEN, F4(-1e9), w["b"][_APART])
     short = np.flatnonzero(nothing.any(1))
-    s[short] += np.where(nothing[short, None, :], np.float32(-1e9), np.float32(0))
-    s -= s.max(2, keepdims=True)
+    s[short] += np.where(nothing[short, None, :], F4(-1e9), F4(0))
+    if np.abs(q).max(initial=0) * np.abs(k).max(initial=0) * math.sqrt(DIM) + np.abs(w["b"]).max() > 60:
+        s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
+    s /= np.maximum(s @ np.ones((WIDTH, 1), s.dtype), s.dtype.type(1e-30))
     return s
 
 
-def log_classes(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
-    z = h @ w["o"] + w["c"]
-    z -= z.max(-1, keepdims=True)
-    z -= np.log(np.exp(z).sum(-1, keepdims=True))
+def attend(w: dict[str, np.ndarray], x: np.ndarray, nothing: np.ndarray):
+    """Contexts of the second half of windows of input rows ``x``, and what led
+    to them."""
+    e = w["e"][x]
+    last = np.ascontiguousarray(e[:, STEP:])
+    q = (flat(last) @ w["q"]).reshape(last.shape)
+    both = flat(e) @ np.concatenate((w["k"], w["v"]), 1)
+    k, v = [np.ascontiguousarray(both[:, i : i + DIM]).reshape(e.shape) for i in (0, DIM)]
+    a = shares(w, q, k, nothing)
+    h = a @ v
+    h += last
+    return e, last, q, k, v, a, np.tanh(h, out=h)
+
+
+def softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, steep: bool) -> np.ndarray:
+    """Of h @ weights + bias; ``steep`` where an exponent could overflow."""
+    z = h @ weights
+    z += bias
+    if steep:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= np.maximum(z @ np.ones((z.shape[1], 1), z.dtype), z.dtype.type(1e-30))
     return z
 
 
-def gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, nothing: np.ndarray, counted: np.ndarray):
-    """Mean loss over the counted targets, and its gradient."""
-    e, q, k, v, a, h = attend(w, x, nothing)
-    flat = lambda t: t.reshape(-1, DIM)
-    n = max(1, counted.sum())
-    d = flat(h) @ w["o"]
-    d += w["c"]
-    d -= d.max(1, keepdims=True)
-    np.exp(d, out=d)
-    d /= d.sum(1, keepdims=True)
-    at, target, mask = np.arange(len(d)), y.reshape(-1), counted.reshape(-1)
-    loss = -np.log(np.maximum(d[at, target][mask], 1e-37)).sum() / n
-    d[at, target] -= 1
-    d *= (mask / n).astype(np.float32)[:, None]
-    g = {"c": d.sum(0), "o": flat(h).T @ d}
-    dh = (d @ w["o"].T).reshape(h.shape) * (1 - h * h)
+def is_steep(rows: np.ndarray, bias: np.ndarray) -> bool:
+    return np.abs(rows).sum(1).max(initial=0) + np.abs(bias).max(initial=0) > 60  # |h| < 1
+
+
+def predicted(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray, y: np.ndarray, gradient: dict | None = None) -> np.ndarray:
+    """Log probability of each id ``y`` after its context ``h``; with
+    ``gradient``, that of the mean negative log probability is put there."""
+    cls, every = vocabulary.cls[y], np.arange(len(y))
+    z = softmax(h, w["o"], w["c"], is_steep(w["o"].T, w["c"]))
+    p = z[every, cls]
+    scale = h.dtype.type(1 / max(1, len(y)))
+    if gradient is not None:
+        z[every, cls] -= 1
+        z *= scale
+        gradient |= {"c": z.sum(0), "o": h.T @ z, "u": np.zeros_like(w["u"]), "d": np.zeros_like(w["d"]), "h": z @ w["o"].T}
+    order = np.argsort(cls.astype(U2), kind="stable")  # 16 bits sort by radix
+    ends = np.searchsorted(cls[order], np.arange(vocabulary.n_classes + 1))
+    place, steep = vocabulary.place[y], is_steep(w["u"], w["d"])
+    for c in vocabulary.large:
+        some = order[ends[c] : ends[c + 1]]
+        if not len(some):
+            continue
+        members, at = slice(vocabulary.first[c], vocabulary.first[c + 1]), (np.arange(len(some)), place[some])
+        near, u = h[some], w["u"][members]
+        z = softmax(near, u.T, w["d"][members], steep)
+        p[some] *= z[at]
+        if gradient is not None:
+            z[at] -= 1
+            z *= scale
+            gradient["u"][members], gradient["d"][members] = z.T @ near, z.sum(0)
+            gradient["h"][some] += z @ u
+    return np.log(np.maximum(p, 1e-37)) + vocabulary.share[y]
+
+
+def gradient(w: dict[str, np.ndarray], vocabulary: Vocabulary, part: np.ndarray):
+    """Mean loss over the targets of windows of ids, and its gradient."""
+    none = vocabulary.size + 2
+    x, y, nothing = vocabulary.row[part[:, :-1]], part[:, STEP + 1 :].reshape(-1), part[:, :-1] == none
+    e, last, q, k, v, a, h = attend(w, x, nothing)
+    counted = np.flatnonzero(y != none)
+    g: dict[str, np.ndarray] = {}
+    loss = -predicted(w, vocabulary, flat(h)[counted], y[counted], g).mean()
+    dh = np.zeros_like(h)
+    flat(dh)[counted] = g.pop("h")
+    dh *= 1 - h * h
     da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    g["b"] = np.bincount(_APART.reshape(-1), weights=ds.sum(0).reshape(-1), minlength=WIDTH).astype(np.float32)
-    ds *= np.float32(1 / math.sqrt(DIM))
+    da -= ((da * a) @ np.ones((WIDTH, 1), a.dtype))
+    ds = np.multiply(da, a, out=da)
+    g["b"] = np.bincount(_APART.reshape(-1), weights=ds.sum(0).reshape(-1), minlength=WIDTH).astype(h.dtype)
+    ds *= h.dtype.type(1 / math.sqrt(DIM))
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = flat(e[:, STEP:]).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-    de = dk @ w["k"].T + dv @ w["v"].T
-    de[:, STEP:] += dq @ w["q"].T + dh
-    cells = x.reshape(-1, 1) * DIM + np.arange(DIM)
-    g["e"] = np.bincount(cells.reshape(-1), weights=de.reshape(-1), minlength=ROWS * DIM).reshape(ROWS, DIM).astype(np.float32)
+    both = np.concatenate((flat(dk), flat(dv)), 1)
+    g["q"] = flat(last).T @ flat(dq)
+    g["k"], g["v"] = np.split(flat(e).T @ both, 2, axis=1)
+    de = (both @ np.concatenate((w["k"], w["v"]), 1).T).reshape(e.shape)
+    de[:, STEP:] += (flat(dq) @ w["q"].T).reshape(dh.shape) + dh
+    rows = x.reshape(-1)
+    order = np.argsort(rows.astype(U2), kind="stable")
+    heads = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    g["e"] = np.zeros_like(w["e"])
+    g["e"][rows[order][heads]] = np.add.reduceat(flat(de)[order], heads, axis=0)
     return loss, g
 
 
@@ -202,53 +248,37 @@ def text_log_p(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray
     seen, text = windows(ids, n, vocabulary.size)
     none = vocabulary.size + 2
     # One row of the input has one query, key and value wherever it stands.
-    e = w["e"]
-    q, k, v = e @ w["q"] * np.float32(1 / math.sqrt(DIM)), e @ w["k"], e @ w["v"]
-    bias = np.where(_HIDDEN, np.float32(-1e9), w["b"][_APART])
-    # Where nothing can overflow, maxima need not be taken off first.
-    wide = np.abs(w["o"]).sum(0).max() + np.abs(w["c"]).max() > 60  # |h| < 1
-    steep = np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() + np.abs(w["b"]).max() > 60
-    for i in range(0, len(seen), 256):
-        part = seen[i : i + 256]
-        x, y, nothing = vocabulary.row[part[:, :-1]], part[:, STEP + 1 :], part[:, :-1] == none
-        last = x[:, STEP:]
-        s = q[last] @ k[x].transpose(0, 2, 1)
-        s += bias
-        short = np.flatnonzero(nothing.any(1))
-        s[short] += np.where(nothing[short, None, :], np.float32(-1e9), np.float32(0))
-        if steep:
-            s -= s.max(2, keepdims=True)
-        np.exp(s, out=s)
-        h = s @ v[x]
-        h /= np.maximum(s.sum(2, keepdims=True), np.float32(1e-30))
-        h += e[last]
-        h = np.tanh(h, out=h).reshape(-1, DIM)
-        z = h @ w["o"]
-        z += w["c"]
-        if wide:
-            z -= z.max(1, keepdims=True)
-        flat = y.reshape(-1)
-        p = z[np.arange(len(flat)), vocabulary.cls[flat]] + vocabulary.share[flat]
-        p -= np.log(np.exp(z, out=z).sum(1))
-        p[flat == none] = 0
-        total += np.bincount(text[i : i + 256], weights=p.reshape(y.shape).sum(1), minlength=len(n))
+    q, k, v = [w["e"] @ w[c] for c in "qkv"]
+    for i in range(0, len(seen), 4 * BATCH):
+        part = seen[i : i + 4 * BATCH]
+        x, y = vocabulary.row[part[:, :-1]], part[:, STEP + 1 :].reshape(-1)
+        h = shares(w, q[x[:, STEP:]], k[x], part[:, :-1] == none) @ v[x]
+        h += w["e"][x[:, STEP:]]
+        counted = np.flatnonzero(y != none)
+        p = predicted(w, vocabulary, np.tanh(flat(h)[counted]), y[counted])
+        total += np.bincount(text[i + counted // STEP], weights=p, minlength=len(n))
     return total
 
 
-def trained(w: dict[str, np.ndarray], vocabulary: Vocabulary, parts: Iterator[np.ndarray]) -> tuple[dict[str, np.ndarray], int]:
+def trained(w: dict[str, np.ndarray], vocabulary: Vocabulary, parts: Iterator[np.ndarray], rate: float = RATE) -> tuple[dict[str, np.ndarray], int]:
     """Adam over arrays of windows; the weights after, and how many were seen."""
     w = {k: x.copy() for k, x in w.items()}
     m, s = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
-    none, seen, step = vocabulary.size + 2, 0, 0
+    seen, step = 0, 0
     for part in parts:
         for i in range(0, len(part), BATCH):
-            x, y = part[i : i + BATCH, :-1], part[i : i + BATCH, STEP + 1 :]
-            _, g = gradient(w, vocabulary.row[x], vocabulary.cls[y], x == none, y != none)
-            step, seen = step + 1, seen + len(x)
-            for k in w:
-                m[k] += 0.1 * (g[k] - m[k])
-                s[k] += 0.001 * (g[k] * g[k] - s[k])
-                w[k] -= RATE / (1 + step / 2000) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-7)
+            _, g = gradient(w, vocabulary, part[i : i + BATCH])
+            step, seen = step + 1, seen + len(part[i : i + BATCH])
+            pace, wide = F4(rate / (1 + step / 2000) / (1 - 0.9**step)), F4(1 / math.sqrt(1 - 0.999**step))
+            for c, x in w.items():
+                m[c] *= F4(0.9)
+                m[c] += F4(0.1) * g[c]
+                s[c] *= F4(0.999)
+                s[c] += F4(0.001) * np.square(g[c], out=g[c])
+                root = np.sqrt(s[c], out=g[c])
+                root *= wide
+                root += F4(1e-7)
+                x -= pace * np.divide(m[c], root, out=root)
     return w, seen
 
 
@@ -277,56 +307,42 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[dict[str, np.ndarray]
             counts[i] = n
     vocabulary = Vocabulary(counts, found.get(-1, 0))
     coded = rows.where("id = -2").select("n", "first", "w")
-
-    def company(batches: Iterator[pa.RecordBatch], cls=vocabulary.cls):
-        wide = 2 * CLASSES
-        total = np.zeros((size + 3) * wide, np.int64)
-        for part in training_windows(batches, size, rows=60_000):
-            y, before = part[:, STEP + 1 :], cls[part]
-            keys = [y * wide + before[:, STEP:WIDTH]]
-            keys += [y * wide + CLASSES + before[:, STEP - i : WIDTH - i] for i in range(4, STEP, 4)]
-            total += np.bincount(np.concatenate(keys, None), minlength=len(total))
-        used = np.flatnonzero(total)
-        for i in range(0, len(used), 500_000):
-            yield {"at": used[i : i + 500_000], "n": total[used[i : i + 500_000]]}
-
-    def closed(batches: Iterator[pa.RecordBatch]):
-        parts = [(b.column("at").to_numpy(), b.column("n").to_numpy()) for b in batches]
-        if parts:
-            yield {"at": [np.concatenate([a for a, _ in parts]).astype("<i4").tobytes()], "n": [np.concatenate([n for _, n in parts]).astype("<i8").tobytes()]}
-
-    # A cell for each id and class at most, 12 bytes each.
-    cells = arrow_map(coded, company, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    profiles = np.zeros((size + 3) * 2 * CLASSES)
-    for r in arrow_map(cells, closed, "at binary, n binary").collect():
-        profiles[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i8")
-    groups = clusters(profiles.reshape(size + 3, -1), np.concatenate((counts, [0, found.get(-1, 0), 0])) + 0.01)
-    vocabulary = Vocabulary(counts, found.get(-1, 0), groups)
-    w = fresh(vocabulary.bias)
+    w = fresh(vocabulary)
     parts = max(1, math.ceil(found.get(-2, 0) / PART_WINDOWS))
-    names, sizes = list(SHAPES), [int(np.prod(s)) for s in SHAPES.values()]
+    sizes = [int(np.prod(s)) for s in vocabulary.shapes.values()]
     for turn in range(ROUNDS if found.get(-2) else 0):
 
         def learn(batches: Iterator[pa.RecordBatch], w=w, turn=turn):
             from pyspark import TaskContext
 
+            one_blas_thread()
             rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
 
             def arrays():
                 for part in training_windows(batches, size, turn):
                     yield part[rng.permutation(len(part))]
 
-            after, seen = trained(w, vocabulary, arrays())
+            after, seen = trained(w, vocabulary, arrays(), RATE / (1 + turn))
             if seen:
-                flat = np.concatenate([after[k].reshape(-1) for k in names]).astype(np.float64)
-                yield {"at": np.arange(len(flat) + 1), "value": np.append(flat * seen, seen)}
-
-        # As many rows for each part as the model has weights, summed by weight.
-        summed = arrow_map(coded.repartition(parts), learn, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-        flat = np.zeros(sum(sizes) + 1)
-        flat[summed["at"]] = summed["value"]
-        flat = (flat[:-1] / max(flat[-1], 1)).astype(np.float32)
-        w = {k: x.reshape(SHAPES[k]) for k, x in zip(names, np.split(flat, np.cumsum(sizes)[:-1]), strict=True)}
+                yield {"n": [seen], "w": [np.concatenate([after[k].reshape(-1) * seen for k in w], dtype="<f8").tobytes()]}
+
+        def added(batches: Iterator[pa.RecordBatch]):
+            n, total = 0, 0.0
+            for batch in batches:
+                for k, x in zip(batch.column("n").to_pylist(), batch.column("w"), strict=True):
+                    n, total = n + k, total + np.frombuffer(x.as_buffer(), "<f8")
+            if n:
+                yield {"n": [n], "w": [total.tobytes()]}
+
+        # One row a part: its weights, summed in tasks of a bounded number of parts.
+        summed = arrow_map(coded.repartition(parts), learn, "n long, w binary")
+        left = parts
+        while left > ADDED_PARTS:
+            left = math.ceil(left / ADDED_PARTS)
+            summed = arrow_map(summed.repartition(left), added, "n long, w binary")
+        done = summed.collect()
+        mean = sum(np.frombuffer(r["w"], "<f8") for r in done) / sum(r["n"] for r in done)
+        w = {k: x.reshape(s).astype(F4) for (k, s), x in zip(vocabulary.shapes.items(), np.split(mean, np.cumsum(sizes)[:-1]), strict=True)}
     dropped(docs.sparkSession, rows_path)
     return w, vocabulary
 
@@ -359,9 +375,9 @@ def word_hashes(texts: pa.Array) -> tuple[Words, np.ndarray]:
     return words, words.hashes()
 
 
-def word_counts(dealt: DataFrame) -> DataFrame:
-    """(block, h, n, first): for each distinct word of each block, its count in
-    all training texts; ``first`` in one row of each word."""
+def word_counts(dealt: DataFrame) -> tuple[DataFrame, int, int]:
+    """(block, h, n): for each distinct word of each block, its count in all
+    training texts; and the number of training words, all and distinct."""
     target = pa.schema([("block", pa.int32()), ("h", pa.int64()), ("n", pa.int32())])
 
     def asked(rows: pa.Table) -> pa.Table:
@@ -376,9 +392,15 @@ def word_counts(dealt: DataFrame) -> DataFrame:
         total = pd.concat(held).groupby(level=0, sort=False).sum()
         return pa.Table.from_batches([as_batch({"block": np.full(len(total), rows["block"][0].as_py()), "h": total.index.to_numpy(np.uint64).view(np.int64), "n": total.to_numpy()}, target)])
 
-    asked_for = dealt.groupBy("block").applyInArrow(asked, "block int, h long, n int")
-    word = Window.partitionBy("h")
-    return asked_for.select("block", "h", F.sum("n").over(word).alias("n"), (F.min("block").over(word) == F.col("block")).alias("first"))
+    asked_for, _ = stored(dealt.groupBy("block").applyInArrow(asked, "block int, h long, n int"), "asked-words")
+    words, _ = stored(asked_for.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")), "word-totals")
+    row = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.sum("blocks").alias("rows")).first()
+    # A word that many blocks ask for would meet in one task; there are few such.
+    least = max(8, math.ceil(int(row["rows"] or 0) / HEAD_WORDS))
+    head = F.broadcast(words.where(F.col("blocks") >= least).select("h", F.col("n").alias("total")))
+    common = asked_for.join(head, "h").select("block", "h", F.col("total").alias("n"))
+    rare = asked_for.join(head, "h", "left_anti").select("block", "h").join(words.select("h", "n"), "h").select("block", "h", "n")
+    return common.unionByName(rare), int(row["n"] or 0), int(row["v"] or 0)
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, log_counts double, score double"
@@ -394,13 +416,13 @@ def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
     _, text_bytes = row_bytes(docs)
     blocks = max(1, math.ceil(text_bytes / BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    counts, _ = stored(word_counts(dealt), "word-counts")
-    row = counts.where("first").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    counts, n_words, n_distinct = word_counts(dealt)
     texts = docs.where("training").count()
-    n_train, distinct = int(row["n"] or 0) + texts, int(row["v"] or 0) + (texts > 0)
+    n_train, distinct = n_words + texts, n_distinct + (texts > 0)
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("score", pa.float64())])
 
     def score(rows: pa.Table, known: pa.Table) -> pa.Table:
+        one_blas_thread()
         weights, vocabulary = model.value
         coder, parts = Subwords.of(path), []
         keys, values = known["h"].to_numpy().view(np.uint64), known["n"].to_numpy()

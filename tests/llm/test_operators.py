@@ -307,43 +307,63 @@ def test_language(spark):
 
 
 # ---- operator 8 --------------------------------------------------------------
+def random_weights(vocabulary, rng):
+    return {k: x + 0.1 * rng.standard_normal(x.shape).astype(np.float32) for k, x in attention.fresh(vocabulary).items()}
+
+
 def test_gradient():
     rng = np.random.default_rng(9)
     v = attention.Vocabulary(rng.integers(0, 50, 500), 10)
-    w = {k: x.astype(np.float64) for k, x in attention.fresh(v.bias).items()}
+    w = {k: x.astype(np.float64) for k, x in random_weights(v, rng).items()}
     seen, _ = attention.windows(rng.integers(0, 500, 100), np.array([0, 1, 15, 16, 68]), 500)
-    x, y = seen[:, :-1], seen[:, attention.STEP + 1 :]
-    part = v.row[x], v.cls[y], x == 502, y != 502
-    assert part[3].sum() == 105  # each id and each end is a target once
-    _, g = attention.gradient(w, *part)
+    assert (seen[:, attention.STEP + 1 :] != 502).sum() == 105  # each id and each end is a target once
+    _, g = attention.gradient(w, v, seen)
     for k in w:
         d = rng.standard_normal(w[k].shape)
-        up, down = [attention.gradient(w | {k: w[k] + e * d}, *part)[0] for e in (1e-6, -1e-6)]
-        assert abs((up - down) / 2e-6 - (g[k] * d).sum()) < 1e-5
+        up, down = [attention.gradient(w | {k: w[k] + e * d}, v, seen)[0] for e in (1e-6, -1e-6)]
+        assert abs((up - down) / 2e-6 - (g[k] * d).sum()) < 1e-5, k
 
 
-def test_text_log_p():
+@pytest.mark.parametrize(("size", "used"), [(500, 450), (500, 3), (6000, 5500)])
+def test_text_log_p(size, used):
     rng = np.random.default_rng(10)
-    v = attention.Vocabulary(rng.integers(0, 50, 500), 10)
-    w = attention.fresh(v.bias)
+    counts = np.where(np.arange(size) < used, rng.integers(1, 50, size), 0)
+    v = attention.Vocabulary(counts, 10)
+    w = random_weights(v, rng)
     n = np.array([0, 1, 15, 16, 17, 70])
-    ids = rng.integers(0, 500, n.sum())
+    ids = rng.integers(0, size, n.sum())
     got = attention.text_log_p(w, v, ids, n)
+    targets = np.concatenate((np.arange(size), [size + 1]))
+
+    def log_p(h):  # of all next subwords
+        outer = h @ w["o"] + w["c"]
+        out = outer[v.cls[targets]] - np.log(np.exp(outer).sum()) + v.share[targets]
+        for c in range(v.n_classes):
+            inner = w["u"][v.first[c] : v.first[c + 1]] @ h + w["d"][v.first[c] : v.first[c + 1]]
+            here = v.cls[targets] == c
+            out[here] += inner[v.place[targets[here]]] - np.log(np.exp(inner).sum()) if len(inner) > 1 else 0
+        return out
+
     at = 0
-    for k, size in enumerate(n):
-        text = [500, *ids[at : at + size], 501]
-        at += size
+    for k, length in enumerate(n):
+        text = [size, *ids[at : at + length], size + 1]
+        at += length
         total = 0.0
         for t in range(1, len(text)):
             low = max(0, ((t - 1) // 16) * 16 - 16)
             e = w["e"][v.row[text[low:t]]].astype(float)
             s = (e @ w["k"]) @ (e[-1] @ w["q"]) / 4 + w["b"][np.arange(len(e) - 1, -1, -1)]
             a = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
-            z = np.tanh(a @ (e @ w["v"]) + e[-1]) @ w["o"] + w["c"]
-            total += z[v.cls[text[t]]] - np.log(np.exp(z).sum()) + v.share[text[t]]
+            p = log_p(np.tanh(a @ (e @ w["v"]) + e[-1]))
+            assert abs(np.exp(p).sum() - 1) < 1e-4
+            total += p[np.flatnonzero(targets == text[t])[0]]
         assert abs(got[k] - total) < 1e-3 * max(1, abs(total))
-    # The probabilities of all next subwords sum to one.
-    assert abs(np.exp(v.share[np.isfinite(v.share)] + attention.log_classes(w, np.zeros((1, attention.DIM), np.float32))[0][v.cls[np.isfinite(v.share)]]).sum() - 1) < 1e-4
+
+
+def test_no_training_text_is_uniform():
+    v = attention.Vocabulary(np.zeros(500, np.int64), 0)
+    got = attention.text_log_p(attention.fresh(v), v, np.arange(40), np.array([40, 0]))
+    assert np.allclose(got, [-41 * math.log(501), -math.log(501)], rtol=1e-4)
 
 
 def test_scores(spark):
@@ -373,7 +393,13 @@ def test_training_covers_every_window(spark):
     # Texts of a single window train the model too: none of these is every 16th.
     texts = [d for d in range(400) if zlib.crc32(str(d).encode()) % 5 != 1 and (d * 0x9E3779B97F4A7C15 % 2**64 >> 40) % 16][:20]
     weights, vocabulary = attention.fit(frame(spark, [(d, "the cat sat", "en") for d in texts]))
-    assert not np.array_equal(weights["o"], attention.fresh(vocabulary.bias)["o"])
+    assert not np.array_equal(weights["o"], attention.fresh(vocabulary)["o"])
+
+
+def test_model_beats_its_base_score_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    row = attention.scored(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert row[0] / row[2] > row[1] / row[2] + 0.05
 
 
 # ---- operator 9 --------------------------------------------------------------
