@@ -3,7 +3,8 @@
 The tokenizer drops white space and never joins pieces across it, so the ids
 of a text are the ids of its words in a row. A word is cut once more where an
 ASCII letter meets ASCII punctuation (not an apostrophe), which is always a
-border of the tokenizer's own pattern. Distinct units are encoded with the
+border of the tokenizer's own pattern. A word that holds one of the tokenizer's
+own special tokens stays whole, as it stands. Distinct units are encoded with the
 ``tokenizers`` library; a bounded table of them lives as long as the worker.
 """
 
@@ -14,7 +15,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from sessionlore.llm.textvec import Words, buffer, factorized, ranges_hash, spread
+from sessionlore.llm.textvec import SPACE, Words, buffer, factorized, ranges_hash, spread
 
 #: Units that the table of a Python worker holds at most; beyond it starts anew.
 TABLE_UNITS = 1_500_000
@@ -38,7 +39,9 @@ class Subwords:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(SPACE[b] for t in self.special for b in t):
+            raise ValueError("special tokens with white space are not supported")
         vocab = self.tokenizer.get_vocab()
         self.size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
@@ -60,14 +63,25 @@ class Subwords:
         self.pool = np.zeros(0, self.dtype)
 
     @staticmethod
-    def units(texts: pa.Array) -> Words:
+    def units(texts: pa.Array, special: list[bytes] = ()) -> Words:
         data, offs = buffer(texts, lower=True)
         kind = _KIND[data]
         pair = kind[:-1] * 3 + kind[1:]
         cuts = np.flatnonzero((pair == 5) | (pair == 7)) + 1
         heads = np.zeros(len(data) + 1, bool)
         heads[offs] = True
-        return Words(data, offs, cuts[~heads[cuts]])
+        cuts = cuts[~heads[cuts]]
+        if len(found := np.unique(np.concatenate([places(data, t) for t in special])) if special else ()):
+            ends = np.union1d(np.flatnonzero(SPACE[data]), offs)
+            begin, end = ends[np.searchsorted(ends, found, "right") - 1], ends[np.searchsorted(ends, found, "right")]
+            inside = np.zeros(len(data) + 1, np.int64)
+            np.add.at(inside, begin, 1)
+            np.add.at(inside, end, -1)
+            inside = np.cumsum(inside)[:-1] > 0
+            raw, _ = buffer(texts)
+            data = np.where(inside, raw, data)
+            cuts = cuts[~inside[cuts]]
+        return Words(data, offs, cuts)
 
     def lookup(self, units: Words, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows of the table for the distinct hashes ``h``; new ones are encoded."""
@@ -124,7 +138,7 @@ class Subwords:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of each text's ids."""
-        units = self.units(texts)
+        units = self.units(texts, self.special)
         if not len(units):
             return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
         codes, distinct, first = factorized(ranges_hash(units.data, units.start, units.end))
@@ -134,6 +148,14 @@ class Subwords:
         return ids, np.bincount(units.doc, weights=length, minlength=units.n_docs).astype(np.int64)
 
 
+def places(data: np.ndarray, token: bytes) -> np.ndarray:
+    """Where ``token`` begins in ``data``."""
+    at = np.flatnonzero(data[: max(0, len(data) - len(token) + 1)] == token[0])
+    for k in range(1, len(token)):
+        at = at[data[at + k] == token[k]]
+    return at
+
+
 def _one_piece(t: str) -> bool:
     if t.isascii():
         return t.isalpha() or not any(c.isalnum() or c == "'" or c < "!" or c > "~" for c in t)

@@ -11,13 +11,12 @@ from sessionlore.llm import packing, tokens
 from sessionlore.llm.subwords import Subwords, default_path
 
 TEXTS = ["", None, "it's Don't 'stop 'S x's", "a,b.'c '.d ab12 3.5%", "ΑΣ.a Σ é, é. İX", "a b c", "<|endoftext|> x",
-         "’s — ,é. ñ!", "̸ < ̸", "ab\x00c\x1cd", "word " * 9000, "word " * 9000, "same text", "same text"]
+         "’s — ,é. ñ!", "̸ < ̸", "ab\x00c\x1cd", "<|startoftext|>Ab.c<|endoftext|>d'S x<|ENDOFTEXT|>y Q", "<|endoftext|", "|>a <|endoftext|><|endoftext|>", "endoftext|> b.C", "word " * 9000, "word " * 9000, "same text", "same text"]
 
 
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
