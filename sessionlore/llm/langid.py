@@ -9,8 +9,9 @@ words of a language, over all training rows.
 
 Words: lower-cased runs between white space, cut where an ASCII letter meets
 ASCII punctuation; runs without a letter say nothing. A character of no piece
-counts as one step of a small fixed probability. A run of over 128 characters
-is taken as runs of 128.
+counts as one step of a small fixed probability. Pieces with capitals meet no
+lower-cased word and are left out. A run of over 128 characters is cut where no
+piece can span, so that the sum is still over all segmentations.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0. Rows
 whose lang is null train nothing. A null doc_id is kept, and trains nothing
@@ -31,14 +32,14 @@ from sessionlore.llm.common import arrow_map, gathered
 from sessionlore.llm.pieces import default_path
 from sessionlore.llm.subwords import Subwords
 from sessionlore.llm.textvec import factorized, ranges_hash
-from sessionlore.llm.trie import MARK, Trie, length_groups, load_pieces
+from sessionlore.llm.trie import LONG, MARK, Trie, length_groups, load_pieces
 
 UNDETERMINED = "und"
-LONGEST_PIECE = 10
 UNKNOWN = 1e-7
 #: A word's sums carry this factor for each character, to stay in range.
 SCALE = 20.0
-LONGEST_RUN = 128
+#: A long run's sums are brought back into range after so many characters.
+RESCALED = 64
 #: Share of the common start in each language's probabilities.
 SMOOTH = 0.01
 ROUNDS = 1
@@ -53,8 +54,8 @@ class Segmenter:
 
     def __init__(self, path: str):
         pieces, score, _ = load_pieces(path)
-        kept = [p if p and len(p) <= LONGEST_PIECE and p == p.lower() else "" for p in pieces]
-        self.trie = Trie(kept, LONGEST_PIECE)
+        kept = [p if p == p.lower() else "" for p in pieces]
+        self.trie = Trie(kept)
         self.n_pieces = len(kept)
         self.size = np.array([len(p) for p in kept], float)
         start = np.where([bool(p) for p in kept], np.exp(score), 0)
@@ -91,25 +92,52 @@ class Segmenter:
         return a, edges
 
     def groups(self, words: list[str], columns: int):
-        """Parts of words, and the words they are of, in groups of a like length."""
-        parts = [w[i : i + LONGEST_RUN] for w in words for i in range(0, max(1, len(w)), LONGEST_RUN)]
-        of = np.repeat(np.arange(len(words)), [max(1, -(-len(w) // LONGEST_RUN)) for w in words]) if words else np.zeros(0, np.int64)
-        for some in length_groups(np.fromiter(map(len, parts), np.int64, len(parts)), (1 << 20) // max(1, columns)):
-            yield *self.trie.matrix([parts[i] for i in some]), of[some]
+        """Parts of words, and the words they are of, in groups of a like length;
+        a long part is a group by itself, as a text."""
+        spans, of = self.trie.parts(words)
+        length = np.array([b - a for a, b in spans], np.int64)
+        short = np.flatnonzero(length <= LONG)
+        part = lambda i: words[of[i]][slice(*spans[i])]
+        for some in length_groups(length[short], (1 << 20) // max(1, columns)):
+            rows = short[some]
+            yield *self.trie.matrix([part(i) for i in rows]), of[rows]
+        for i in np.flatnonzero(length > LONG):
+            yield part(i), None, of[i]
 
     def log_p(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each word for each column of ``p``."""
         out, q = np.zeros((len(words), p.shape[1])), self.scaled(p)
         for codes, length, of in self.groups(words, p.shape[1]):
+            if length is None:
+                for c in range(p.shape[1]):
+                    a, scale = chain(*self.steps(codes, q[:, c])[:3], len(codes))
+                    out[of, c] += np.log(a[-1]) + scale[-1] - len(codes) * np.log(SCALE)
+                continue
             a, _ = self.forward(codes, length, q)
             np.add.at(out, of, np.log(a[length, np.arange(len(of))]) - length[:, None] * np.log(SCALE))
         return out
 
+    def steps(self, word: str, q: np.ndarray):
+        """Begins, ends, factors and pieces of all steps through a long word."""
+        begin, end, piece = self.trie.edges(word)
+        return begin, end, np.where(piece >= 0, q[piece], UNKNOWN * SCALE), piece
+
     def uses(self, words: list[str], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece for each column of ``p``, when word w
         occurs ``weight[w]`` times."""
         total, q = np.zeros((self.n_pieces, p.shape[1])), self.scaled(p)
         for codes, length, of in self.groups(words, p.shape[1]):
+            if length is None:
+                n = len(codes)
+                for c in np.flatnonzero(weight[of]):
+                    begin, end, factor, piece = self.steps(codes, q[:, c])
+                    a, up = chain(begin, end, factor, n)
+                    # The way back is a chain through the mirrored word.
+                    b, down = chain(n - end, n - begin, factor, n)
+                    whole = np.log(a[-1]) + up[-1]
+                    share = a[begin] * factor * b[n - end] * np.exp(up[begin] + down[n - end] - whole)
+                    total[:, c] += np.bincount(piece[piece >= 0], weights=weight[of, c] * share[piece >= 0], minlength=self.n_pieces)
+                continue
             a, edges = self.forward(codes, length, q)
             every = np.arange(len(of))
             b = np.zeros_like(a)
@@ -124,6 +152,25 @@ class Segmenter:
         return total
 
 
+def chain(begin: np.ndarray, end: np.ndarray, factor: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all ways from 0 to each place up to n: the true sum at place i
+    is a[i] * exp(scale[i]). One pass over the steps."""
+    order = np.argsort(begin, kind="stable")
+    begin, end, factor = begin[order], end[order], factor[order]
+    a, scale = [0.0] * (n + 1), np.zeros(n + 1)
+    a[0] = 1.0
+    borders = np.arange(0, n + RESCALED, RESCALED)
+    cuts = np.searchsorted(begin, borders).tolist()
+    for at, i, j in zip(borders[1:].tolist(), cuts, cuts[1:], strict=False):
+        for s, e, x in zip(begin[i:j].tolist(), end[i:j].tolist(), factor[i:j].tolist(), strict=True):
+            a[e] += a[s] * x
+        if at < n:
+            top = max(a[at : at + RESCALED])
+            a[at : at + RESCALED] = [x / top for x in a[at : at + RESCALED]]
+            scale[at:] += np.log(top)
+    return np.array(a), scale
+
+
 def spelled(units, some: np.ndarray) -> list[str]:
     """Lower-cased units behind the marker; '' for one without a letter."""
     out = []

@@ -4,7 +4,8 @@ White space becomes the marker U+2581, one marker is put before the text, and
 the segmentation with the highest sum of log scores is chosen (of equal ones,
 that whose last pieces are longer). A character of no piece counts as one
 unknown step and is written as its UTF-8 bytes; so is a marker that the text
-itself holds, and the round trip is exact.
+itself holds, and the round trip is exact. A unit of over 128 characters (a text
+without spaces) is cut where no piece can span, which changes nothing.
 
 Only spaces join the marker; no piece has a marker behind a letter, so a text
 is cut before each run of spaces and around line ends, and each distinct unit
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from sessionlore.llm.common import arrow_map, gathered, narrow
 from sessionlore.llm.textvec import buffer, factorized, ranges_hash, spread
 from sessionlore.llm.tokens import crc32s, packed
-from sessionlore.llm.trie import MARK, Trie, length_groups, load_pieces
+from sessionlore.llm.trie import LONG, MARK, Trie, length_groups, load_pieces
 
 #: What an unknown character costs beyond the least piece.
 UNKNOWN = 10.0
@@ -125,15 +126,41 @@ class Pieces:
         """Offsets, lengths and ids of units, whose spaces are markers."""
         # A marker of the text itself must not look like a space: no code.
         marked = [u.replace(MARK, "￿").replace(" ", MARK) for u in units]
-        where = np.fromiter(map(len, marked), np.int64, len(marked))
-        at, length, parts, total = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [], 0
-        for rows in length_groups(where):
-            ids, n = self.viterbi([marked[i] for i in rows], [units[i] for i in rows])
+        spans, of = self.trie.parts(marked)
+        where = np.array([b - a for a, b in spans], np.int64)
+        at, length, parts, total = np.zeros(len(spans), np.int64), np.zeros(len(spans), np.int64), [], 0
+        cut = lambda texts, i: texts[of[i]][slice(*spans[i])]
+        short = np.flatnonzero(where <= LONG)
+        groups = [*(short[g] for g in length_groups(where[short])), *np.flatnonzero(where > LONG).reshape(-1, 1)]
+        for rows in groups:
+            found = [cut(marked, i) for i in rows], [cut(units, i) for i in rows]
+            ids, n = self.viterbi(*found) if where[rows[0]] <= LONG else self.walked(found[0][0], found[1][0])
             at[rows] = total + np.cumsum(n) - n
             length[rows] = n
             parts.append(ids)
             total += len(ids)
-        return at, length, np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        pool = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        n = np.bincount(of, weights=length, minlength=len(units)).astype(np.int64)
+        return np.cumsum(n) - n, n, pool[spread(at, length)]
+
+    def walked(self, word: str, raw: str) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`viterbi` for one long word, in time in proportion to it."""
+        begin, end, piece = self.trie.edges(word)
+        step = np.where(piece >= 0, self.score[piece], self.unknown)
+        best, came = [-np.inf] * (len(word) + 1), [0] * (len(word) + 1)
+        best[0] = 0.0
+        for k, (a, b, x) in enumerate(zip(begin.tolist(), end.tolist(), step.tolist(), strict=True)):
+            if best[a] + x > best[b]:
+                best[b], came[b] = best[a] + x, k
+        place, path = len(word), []
+        while place:
+            path.append(came[place])
+            place = int(begin[came[place]])
+        path.reverse()
+        ids: list[int] = []
+        for k in path:
+            ids += [int(piece[k])] if piece[k] >= 0 else self.byte_id[np.frombuffer(raw[begin[k]].encode(), np.uint8)].tolist()
+        return np.array(ids, np.int32), np.array([len(ids)])
 
     def viterbi(self, words: list[str], raw: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and each word's number of ids; bytes of

@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 
 MARK = "▁"
+#: Longer words are cut where no piece can span the cut, and parts that are
+#: still longer are walked one by one.
+LONG = 128
 
 
 def load_pieces(path: str) -> tuple[list[str], np.ndarray, dict[str, int]]:
@@ -49,6 +52,8 @@ class Trie:
                 node = node.setdefault(self.codes[c], {})
             node[0] = i
         self._place(root)
+        pairs = {(self.codes[a], self.codes[b]) for p, _ in kept for a, b in zip(p, p[1:])}
+        self.pairs = np.sort(np.array([a << 32 | b for a, b in pairs], np.int64))
 
     def _place(self, root: dict) -> None:
         """Breadth first; a node's children go to the lowest base at which
@@ -91,6 +96,46 @@ class Trie:
         codes[np.arange(codes.shape[1]) < length[:, None]] = self.code_of[flat]
         return codes, length
 
+    def parts(self, words: list[str]) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Begin and end of the parts of words, and the words they are of. A
+        cut stands between two characters that no piece has side by side, so every
+        segmentation of the word has it too."""
+        out: list[tuple[int, int]] = []
+        of: list[np.ndarray] = []
+        for i, word in enumerate(words):
+            ends = [len(word)]
+            if len(word) > LONG:
+                codes = self.matrix([word])[0][0].astype(np.int64)
+                pairs = codes[:-1] << 32 | codes[1:]
+                at = np.minimum(np.searchsorted(self.pairs, pairs), max(0, len(self.pairs) - 1))
+                ends = [*(np.flatnonzero(self.pairs[at] != pairs) + 1).tolist(), len(word)] if len(self.pairs) else [*range(1, len(word) + 1)]
+            out += zip([0, *ends[:-1]], ends, strict=True)
+            of.append(np.full(len(ends), i))
+        return out, np.concatenate(of) if of else np.zeros(0, np.int64)
+
+    def edges(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in a long word, by begin and length: begins, ends, ids; -1
+        for a character that is no piece by itself."""
+        codes = np.concatenate((self.matrix([word])[0][0], np.zeros(self.longest, np.int32)))
+        rows, state = np.arange(len(word)), np.zeros(len(word), np.int32)
+        single = np.full(len(word), -1)
+        found = []
+        for k in range(1, self.longest + 1):
+            code = codes[rows + k - 1]
+            into = np.minimum(self.base[state] + code, len(self.check) - 1)
+            alive = (code > 0) & (self.base[state] >= 0) & (self.check[into] == state)
+            rows, state = rows[alive], into[alive]
+            piece = self.value[state]
+            some = piece >= 0
+            if k == 1:
+                single[rows[some]] = piece[some]
+                found.append((np.arange(len(word)), 1, single))
+            else:
+                found.append((rows[some], k, piece[some]))
+        begin, end, piece = np.concatenate([r for r, *_ in found]), np.concatenate([r + k for r, k, _ in found]), np.concatenate([x for *_, x in found])
+        order = np.argsort(begin, kind="stable")
+        return begin[order], end[order], piece[order]
+
     def matches(self, codes: np.ndarray, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Pieces that begin at character ``at``: lengths, with the rows and
         the pieces' ids."""

@@ -267,23 +267,32 @@ def test_top_k_empty(spark):
 def test_segmentations():
     s = langid.Segmenter.of(langid.default_path())
     p = np.column_stack((s.start, s.start * np.random.default_rng(1).uniform(0.5, 2, len(s.start))))
-    found = {t: i for i, t in enumerate(langid.load_pieces(langid.default_path())[0]) if t and len(t) <= langid.LONGEST_PIECE and t == t.lower()}
+    found = {t: i for i, t in enumerate(langid.load_pieces(langid.default_path())[0]) if t and t == t.lower()}
 
     def plain(word, column):
         a = [1.0] + [0.0] * len(word)
+        scale = 0.0
         for j in range(1, len(word) + 1):
-            for i in range(max(0, j - langid.LONGEST_PIECE), j):
+            for i in range(max(0, j - s.trie.longest), j):
                 q = p[found[word[i:j]], column] if word[i:j] in found else langid.UNKNOWN if j - i == 1 else 0
                 a[j] += a[i] * q
-        return math.log(a[-1])
+            if a[j] < 1e-100:
+                a, scale = [x * 1e100 for x in a], scale - math.log(1e100)
+        return math.log(a[-1]) + scale
 
-    words = ["▁the", "▁anblewh", "▁éèïß", "▁漢x", "▁" + "xy" * 30]
+    rng = random.Random(21)
+    long = "▁" + "".join(rng.choice("abcdeionrst") for _ in range(700))
+    words = ["▁the", "▁anblewh", "▁éèïß", "▁漢x", "▁" + "xy" * 30, "▁" + "ab" * 100, long, "▁" + "漢字かな" * 60 + "abc" * 90, "▁" + "a" * 400]
     got = s.log_p(words, p)
     for k, w in enumerate(words):
         assert np.allclose(got[k], [plain(w, 0), plain(w, 1)])
-    assert np.allclose(s.log_p(["▁" + "ab" * 100], p)[0], sum(s.log_p([("▁" + "ab" * 100)[i : i + 128]], p)[0] for i in (0, 128)))
     uses = s.uses(["▁the"], np.ones((1, 2)), p)
     assert np.allclose((uses * s.size[:, None]).sum(0), 4)  # every character is in one piece
+    assert np.allclose((s.uses([long], np.ones((1, 2)), p) * s.size[:, None]).sum(0), 701)
+    # The expected uses are the slope of the log probability.
+    some = s.uses([long], np.ones((1, 2)), p)
+    more = p * np.where(np.arange(len(p))[:, None] == some[:, 0].argmax(), 1.001, 1)
+    assert np.allclose((s.log_p([long], more) - s.log_p([long], p))[0, 0] / math.log(1.001), some[:, 0].max(), rtol=1e-2)
 
 
 def test_language(spark):
@@ -402,11 +411,34 @@ def test_model_beats_its_base_score_on_held_out_text(spark):
     assert row[0] / row[2] > row[1] / row[2] + 0.05
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789+/", "漢字かなあいうえお의는", "a"])
+def test_long_unspaced_texts_take_time_in_proportion(letters):
+    import time
+
+    rng = random.Random(23)
+    text = "".join(rng.choices(letters, k=400_000))
+    coder, segmenter = pieces.Pieces.of(pieces.default_path()), langid.Segmenter.of(langid.default_path())
+    p = np.column_stack([segmenter.start] * 4)
+
+    def took(n):
+        began = time.process_time()
+        coder.clear()
+        ids, count, _ = coder.encode(pa.array([text[:n]]))
+        assert coder.decode(ids, count)[0].tobytes().decode() == text[:n]
+        assert np.isfinite(segmenter.log_p(["▁" + text[:n]], p)).all()
+        return time.process_time() - began
+
+    took(1000)
+    assert took(400_000) < 12 * took(100_000) + 1
+
+
 # ---- operator 9 --------------------------------------------------------------
 def test_viterbi_and_round_trip(spark):
     coder = pieces.Pieces.of(pieces.default_path())
     scores = {t: coder.score[i] for i, t in enumerate(coder.text) if t}
-    texts = ["Hello world", " a  b\nc ", "▁x ▁", "Ünïcødé 漢字\t\r\nx", "a" * 50, "🙂 ok ￿￿", "", None, "x\n\n y"]
+    rng = random.Random(22)
+    unspaced = ["".join(rng.choice(letters) for _ in range(600)) for letters in ("abcdefghijklmnorstuvw", "漢字かなあいうえお", "ab▁ X")]
+    texts = [*unspaced, "a" * 700, "Hello world", " a  b\nc ", "▁x ▁", "Ünïcødé 漢字\t\r\nx", "a" * 50, "🙂 ok ￿￿", "", None, "x\n\n y"]
     ids, n, _ = coder.encode(pa.array(texts))
     data, length = coder.decode(ids, n)
     ends, byte_ends = np.cumsum(n), np.cumsum(length)
