@@ -1,8 +1,8 @@
 """Operator 1: quality by perplexity under a Kneser-Ney model of trusted text.
 
-An interpolated, modified Kneser-Ney model of character 4-grams (case kept:
-letters in the wrong case, symbols and tables are what it should find odd) is
-counted on the trusted documents, those labelled of good quality and not
+An interpolated, modified Kneser-Ney model of 4-grams of UTF-16 units (a
+character, or half of one beyond U+FFFF; case kept: letters in the wrong case,
+symbols and tables are what it should find odd) is counted on the trusted documents, those labelled of good quality and not
 toxic. Counts are tables with a row per n-gram, sharded by it; the
 probability of each n-gram of the corpus comes from joins of these tables,
 order by order. A document's perplexity is over all its characters. It is
@@ -13,7 +13,7 @@ same one) and meets the counts of the others, as a document without a label meet
 counts that it had no part in.
 
 The table of probabilities is broadcast while it has ``BROADCAST_GRAMS`` rows
-at most; beyond, documents are dealt to blocks, each block joins the
+at most (a bounded number goes through the driver); beyond, documents are dealt to blocks, each block joins the
 probabilities of its own n-grams, and is scored with them.
 
 Nulls: a null or empty text has no perplexity and is rejected. Rows without a
@@ -25,6 +25,7 @@ row and is never trusted. Repeated doc_ids each count. No rows give no rows.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from sessionlore.llm.textvec import buffer, spread
 
 ORDER = 4
 BEGIN = 2
-BROADCAST_GRAMS = 3_000_000
+BROADCAST_GRAMS = 1_000_000
 BROADCAST_IDS, BROADCAST_LANGS = 500_000, 10_000
 BLOCK_BYTES = 8 << 20
 FOLDS = 4
@@ -50,15 +51,15 @@ QUANTILE, MARGIN, ALLOWANCE = 0.995, 0.35, 1.5
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram that ends at each character (16 bits a character, those
-    beyond 16 bits taken as one), and each text's number of characters."""
+    """The 4-gram that ends at each UTF-16 unit, and each text's number of units."""
     data, offs = buffer(texts)
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    units = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-16-le"), np.uint16)
+    # A character of four bytes is two units.
+    heads = np.concatenate(([0], np.cumsum(((data & 0xC0) != 0x80).astype(np.int64) + (data >= 0xF0))))
     n = heads[offs[1:]] - heads[offs[:-1]]
-    symbol = np.full(len(points) + (ORDER - 1) * len(n), BEGIN, np.uint64)
+    symbol = np.full(len(units) + (ORDER - 1) * len(n), BEGIN, np.uint64)
     at = spread(np.cumsum(n) - n + (ORDER - 1) * np.arange(1, len(n) + 1), n)
-    symbol[at] = np.minimum(points, 0xFFFF)
+    symbol[at] = units
     gram = symbol[at]
     for k in range(1, ORDER):
         gram = gram | symbol[at - k] << np.uint64(16 * k)
@@ -148,6 +149,15 @@ def probabilities(counts: DataFrame) -> DataFrame:
 class Lookup:
     """An open-addressing table from 64-bit keys to values, in numpy."""
 
+    _open: tuple[str, Lookup | None] = ("", None)
+
+    @classmethod
+    def of(cls, name: str, arrays) -> Lookup:
+        """One per Python worker and broadcast."""
+        if cls._open[0] != name:
+            cls._open = name, cls(*arrays.value)
+        return cls._open[1]
+
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(len(keys) * 2).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
@@ -182,7 +192,7 @@ class Lookup:
 
 
 def text_scores(batch: pa.RecordBatch, table: Lookup) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of each text, and the sum of their log probabilities, by the
+    """Units of each text, and the sum of their log probabilities, by the
     column of its fold."""
     gram, n = grams(batch.column("text"))
     fold = batch.column("fold").to_numpy() if "fold" in batch.schema.names else np.zeros(len(n), np.int32)
@@ -201,10 +211,10 @@ def scored(docs: DataFrame, logp: DataFrame, limit: int = BROADCAST_GRAMS) -> Da
     columns = [c for c in logp.columns if c != "g"]
     if logp.count() <= limit:
         known = logp.toPandas()
-        arrays = spark.sparkContext.broadcast((known["g"].to_numpy(np.int64).view(np.uint64), np.ascontiguousarray(known[columns].to_numpy())))
+        name, arrays = uuid.uuid4().hex, spark.sparkContext.broadcast((known["g"].to_numpy(np.int64).view(np.uint64), np.ascontiguousarray(known[columns].to_numpy())))
 
         def run(batches: Iterator[pa.RecordBatch]):
-            table = Lookup(*arrays.value)
+            table = Lookup.of(name, arrays)
             for batch in gathered(batches):
                 n, total = text_scores(batch, table)
                 yield {c: batch.column(c) for c in ("doc_id", "lang", "trusted")} | {"n_scored": n, "log_p": total}
