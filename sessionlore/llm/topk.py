@@ -3,14 +3,17 @@
 One more coordinate, sqrt(M^2 - |x|^2) with M the longest vector's length
 (0 for a query), turns the inner product into a distance: |q' - x'|^2 =
 |q|^2 + M^2 - 2 q.x. Vectors are keyed by their nearest pivot and their
-distance from it, in rings (annuli) of the pivot. A query first visits the
-rings that its bound ranks nearest, until enough vectors are seen for a k-th
-distance; it then visits each further ring whose triangle-inequality bound
-(|d(q,p) - ring|) does not exceed that distance, and no other.
-
-The index has at most ``PIVOTS * RINGS`` rings however many vectors there
+distance from it, in rings (annuli) of the pivot, which are sorted by the
+triangle inequality for each query: no vector of a ring is nearer than
+|d(q,p) - ring|, for its own pivot and for ``REFERENCES`` other ones, whose
+least and greatest distance every ring knows. A query expands over its sorted rings
+in rounds, each of four times as many vectors, and drops what its k-th distance
+so far excludes; it stops when no ring is left within that distance.
+
+The index has at most ``PIVOTS[1] * RINGS`` rings however many vectors there
 are; large rings are cut into chunks, and queries into blocks. Scores are
-exact integer sums (float64 products below 2^53).
+exact integer sums: float64 products where they stay below 2^53, integers
+beyond. A score that does not fit a long is the nearest long.
 
 Vectors that are null, or hold null or non-finite components, take no part,
 nor does a null vec_id; shorter vectors count as padded with zeros. Repeated
@@ -28,14 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlore.llm.common import arrow_map, as_batch, stored
+from sessionlore.llm.common import arrow_map, as_batch, dropped, stored
 from sessionlore.llm.tokens import packed, unpacked
 
-PIVOTS, RINGS = 32, 32
-PIVOT_SAMPLE = 2048
+#: Least and greatest number of pivots (between, the root of the rows), rings of
+#: a pivot at most, and rows of a ring at least.
+PIVOTS, RINGS, RING_ROWS = (32, 512), 32, 16
+REFERENCES = 16
+PIVOT_SAMPLE = 4096
 CHUNK_ROWS, BLOCK_QUERIES = 8192, 2048
-FIRST_ROWS = 512
-I4 = np.dtype("<i4")
+#: Vectors of the first round, and how many times as many each further one has.
+FIRST_ROWS, GROWTH = 512, 4
+F8 = np.dtype("<f8")
+LONG = np.iinfo(np.int64)
 
 
 def quantised(vectors: DataFrame, factor: int = 256) -> DataFrame:
@@ -52,14 +60,14 @@ def quantised(vectors: DataFrame, factor: int = 256) -> DataFrame:
             good = column.is_valid().to_numpy(zero_copy_only=False) & batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False) & ~bad
             v = np.floor(factor * x[good[row]])
             sq = np.bincount(row[good[row]], weights=v * v, minlength=len(n))[good]
-            yield {"vec_id": batch.column("vec_id").filter(pa.array(good)), "dim": n[good], "sq": sq.astype(np.int64), "v": packed(v.astype(I4), n[good])}
+            yield {"vec_id": batch.column("vec_id").filter(pa.array(good)), "dim": n[good], "sq": sq, "v": packed(v.astype(F8), n[good])}
 
-    return arrow_map(vectors.select("vec_id", "embedding"), run, "vec_id long, dim long, sq long, v binary")
+    return arrow_map(vectors.select("vec_id", "embedding"), run, "vec_id long, dim long, sq double, v binary")
 
 
 def padded(column: pa.Array, n: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros((len(n), width))
-    out[np.arange(width) < n[:, None]] = unpacked(column, I4)
+    out[np.arange(width) < n[:, None]] = unpacked(column, F8)
     return out
 
 
@@ -81,35 +89,43 @@ class Index:
     def rings(self, cells: list, chunk: int = CHUNK_ROWS) -> None:
         self.cell = np.array([(r["pivot"], r["ring"]) for r in cells], np.int64).reshape(-1, 2)
         self.inner, self.outer = np.array([r["inner"] for r in cells]), np.array([r["outer"] for r in cells])
+        self.low, self.high = np.array([r["low"] for r in cells]).T, np.array([r["high"] for r in cells]).T
         self.count = np.array([r["n"] for r in cells], np.int64)
         self.chunks = -(-self.count // chunk)
 
     def bounds(self, x: np.ndarray) -> np.ndarray:
         """The least distance of a vector in each ring, for each query; a
         little less, for rounding."""
-        d = self.distances(x, True)[:, self.cell[:, 0]]
-        low = np.maximum(np.maximum(d - self.outer, self.inner - d), 0)
-        return np.maximum(low * (1 - 1e-9) - 1e-6 * (1 + math.sqrt(self.longest)), 0)
+        every = self.distances(x, True)
+        d = every[:, self.cell[:, 0]]
+        least = np.maximum(d - self.outer, self.inner - d)
+        for k in range(len(self.low)):
+            np.maximum(least, every[:, k, None] - self.high[k], out=least)
+            np.maximum(least, self.low[k] - every[:, k, None], out=least)
+        return np.nan_to_num(np.maximum(least * (1 - 1e-9) - 1e-6 * (1 + math.sqrt(self.longest)), 0))
 
 
 def build(rows: DataFrame) -> tuple[DataFrame, Index] | None:
     """Vectors with pivot, ring and chunk, stored; and the index."""
-    seen = rows.agg(F.max("dim").alias("width"), F.max("sq").alias("longest")).first()
+    seen = rows.agg(F.max("dim").alias("width"), F.max("sq").alias("longest"), F.count(F.lit(1)).alias("n")).first()
     if seen["width"] is None:
         return None
-    width = int(seen["width"])
+    width, n = int(seen["width"]), int(seen["n"])
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).toPandas()
     x = padded(pa.array(sample["v"], pa.binary()), sample["dim"].to_numpy(), width)
-    index = Index(spaced(np.unique(x, axis=0)), width, float(seen["longest"]))
+    index = Index(spaced(np.unique(x, axis=0), min(max(PIVOTS[0], math.isqrt(n)), PIVOTS[1])), width, float(seen["longest"]))
+    refs = min(REFERENCES, len(index.pivots))
 
     def keyed(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             d = index.distances(padded(batch.column("v"), batch.column("dim").to_numpy(), width), False)
             best = d.argmin(1)
-            yield {c: batch.column(c) for c in ("vec_id", "dim", "sq", "v")} | {"pivot": best, "distance": d[np.arange(len(d)), best]}
+            yield {c: batch.column(c) for c in ("vec_id", "dim", "v")} | {"pivot": best, "distance": d[np.arange(len(d)), best], "refs": list(d[:, :refs])}
 
-    near, _ = stored(arrow_map(rows, keyed, "vec_id long, dim long, sq long, v binary, pivot int, distance double"), "pivots")
-    steps = ", ".join(str(k / RINGS) for k in range(1, RINGS))
+    kept = "vec_id long, dim long, v binary, pivot int, distance double, refs array<double>"
+    near, near_path = stored(arrow_map(rows, keyed, kept), "pivots")
+    n_rings = min(RINGS, max(2, n // (len(index.pivots) * RING_ROWS)))
+    steps = ", ".join(str(k / n_rings) for k in range(1, n_rings))
     edges = {r["pivot"]: r["e"] for r in near.groupBy("pivot").agg(F.expr(f"percentile_approx(distance, array({steps}), 1000)").alias("e")).collect()}
 
     def ringed(batches: Iterator[pa.RecordBatch]):
@@ -118,10 +134,11 @@ def build(rows: DataFrame) -> tuple[DataFrame, Index] | None:
             ring = np.zeros(len(pivot), np.int64)
             for p in np.unique(pivot):
                 ring[pivot == p] = np.searchsorted(edges[p], distance[pivot == p])
-            yield {c: batch.column(c) for c in ("vec_id", "dim", "sq", "v", "pivot", "distance")} | {"ring": ring}
+            yield {c: batch.column(c) for c in ("vec_id", "dim", "v", "pivot", "distance", "refs")} | {"ring": ring}
 
-    placed = arrow_map(near, ringed, "vec_id long, dim long, sq long, v binary, pivot int, distance double, ring int")
-    cells = placed.groupBy("pivot", "ring").agg(F.min("distance").alias("inner"), F.max("distance").alias("outer"), F.count(F.lit(1)).alias("n")).orderBy("pivot", "ring").collect()
+    placed = arrow_map(near, ringed, f"{kept}, ring int")
+    reach = [F.array(*[f(F.col("refs")[k]) for k in range(refs)]).alias(c) for c, f in (("low", F.min), ("high", F.max))]
+    cells = placed.groupBy("pivot", "ring").agg(F.min("distance").alias("inner"), F.max("distance").alias("outer"), F.count(F.lit(1)).alias("n"), *reach).orderBy("pivot", "ring").collect()
     index.rings(cells)
     chunks = {(int(p), int(r)): (k, int(c)) for k, ((p, r), c) in enumerate(zip(index.cell, index.chunks, strict=True))}
 
@@ -133,14 +150,27 @@ def build(rows: DataFrame) -> tuple[DataFrame, Index] | None:
             yield {c: batch.column(c) for c in ("vec_id", "dim", "v")} | {"cell": cell, "chunk": ((h >> np.uint64(32)) % n.astype(np.uint64)).astype(np.int64)}
 
     indexed, _ = stored(arrow_map(placed, cut, "vec_id long, dim long, v binary, cell int, chunk int"), "rings")
+    dropped(rows.sparkSession, near_path)
     return indexed, index
 
 
-def spaced(x: np.ndarray) -> np.ndarray:
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers, held within a long."""
+    size = lambda t: math.sqrt(float((t * t).sum(1).max(initial=0)))
+    most = size(q) * size(x)
+    if most < 2.0**53:
+        return (q @ x.T).astype(np.int64)
+    if most < 2.0**62 and max(np.abs(q).max(), np.abs(x).max()) < 2.0**62:
+        return q.astype(np.int64) @ x.T.astype(np.int64)
+    whole = np.array([[int(v) for v in row] for row in q], object).reshape(q.shape) @ np.array([[int(v) for v in row] for row in x], object).reshape(x.shape).T
+    return np.clip(whole, int(LONG.min), int(LONG.max)).astype(np.int64)
+
+
+def spaced(x: np.ndarray, n: int) -> np.ndarray:
     """Pivots far from each other, by farthest-first choice from the sample."""
     chosen = [int((x**2).sum(1).argmax())]
     far = ((x - x[chosen[0]]) ** 2).sum(1)
-    while len(chosen) < min(PIVOTS, len(x)):
+    while len(chosen) < min(n, len(x)):
         chosen.append(int(far.argmax()))
         far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
     return x[chosen]
@@ -148,46 +178,56 @@ def spaced(x: np.ndarray) -> np.ndarray:
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) for the queries vec_id % every == 0."""
+    return searched(vectors, every, k)[0]
+
+
+def searched(vectors: DataFrame, every: int = 50, k: int = 5, counted: bool = False) -> tuple[DataFrame, float | None]:
+    """The rows of :func:`top_k`; and, if ``counted``, the share of all pairs of
+    a query and a vector that were compared."""
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score long"
-    rows, _ = stored(quantised(vectors), "vectors")
+    rows, rows_path = stored(quantised(vectors), "vectors")
     built = build(rows)
     if built is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long"), None
     indexed, index = built
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
-    blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
+    queries, _ = stored(rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct(), "queries")
+    dropped(spark, rows_path)
+    n_queries = queries.count()
+    blocks = max(1, math.ceil(n_queries / BLOCK_QUERIES))
 
-    def visits(first: bool):
-        """Rows (cell, chunk, block, query) of the rings to visit. The first
-        visit goes to the nearest rings with ``FIRST_ROWS`` vectors, the second
-        to the others within the k-th distance so far."""
+    def visits(begin: int, end: int):
+        """Rows (cell, chunk, block, query) of the rings to visit: those that
+        have from ``begin`` to ``end`` vectors before them in a query's order
+        and are within its k-th distance so far."""
 
         def run(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
+                for at in range(0, batch.num_rows, 128):
+                    part = batch.slice(at, 128)
                     x = padded(part.column("v"), part.column("dim").to_numpy(), index.width)
                     low = index.bounds(x)
                     order = np.argsort(low, 1, kind="stable")
                     before = np.cumsum(index.count[order], 1) - index.count[order]
                     near = np.zeros(low.shape, bool)
-                    np.put_along_axis(near, order, before < FIRST_ROWS, 1)
-                    if not first:
-                        kth = part.column("kth").to_numpy(zero_copy_only=False).astype(float)
-                        limit = (x**2).sum(1) + index.longest - 2 * kth
-                        reach = np.where(np.isnan(kth), np.inf, np.sqrt(np.maximum(limit, 0)))
-                        near = ~near & (low <= reach[:, None])
+                    np.put_along_axis(near, order, (before >= begin) & (before < end), 1)
+                    kth = part.column("kth").to_numpy(zero_copy_only=False).astype(float)
+                    limit = (x**2).sum(1) + index.longest - 2 * kth
+                    reach = np.where(np.isnan(kth) | (kth <= LONG.min), np.inf, np.sqrt(np.maximum(limit, 0)))
+                    near &= low <= reach[:, None]
                     q, cell = np.nonzero(near)
                     n = index.chunks[cell]
                     q, cell = np.repeat(q, n), np.repeat(cell, n)
                     chunk = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
                     ids = part.column("vec_id").take(pa.array(q))
-                    yield {"cell": cell, "chunk": chunk, "block": np.abs(ids.to_numpy()) // every % blocks, "query_id": ids, "q_dim": part.column("dim").take(pa.array(q)), "q": part.column("v").take(pa.array(q))}
+                    yield {
+                        "cell": cell, "chunk": chunk, "block": np.abs(ids.to_numpy()) // every % blocks, "query_id": ids,
+                        "q_dim": part.column("dim").take(pa.array(q)), "q": part.column("v").take(pa.array(q)), "share": index.count[cell] / index.chunks[cell],
+                    }
 
         return run
 
-    visit_schema = "cell int, chunk int, block int, query_id long, q_dim long, q binary"
+    visit_schema = "cell int, chunk int, block int, query_id long, q_dim long, q binary, share double"
     target = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -200,15 +240,15 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             x, ids = x[by_id], ids[by_id]
             q_ids, q = right["query_id"].to_numpy(), padded(right["q"].combine_chunks(), right["q_dim"].to_numpy(), index.width)
             for at in range(0, len(q), 256):
-                score = q[at : at + 256] @ x.T
-                score[q_ids[at : at + 256, None] == ids] = -np.inf
-                kth = -np.partition(-score, min(k, len(ids)) - 1, 1)[:, min(k, len(ids)) - 1]
-                r, c = np.nonzero((score >= kth[:, None]) & (score > -np.inf))
-                order = np.lexsort((c, -score[r, c], r))
+                score, own = products(q[at : at + 256], x), q_ids[at : at + 256, None] == ids
+                score[own] = LONG.min
+                kth = np.partition(score, len(ids) - min(k, len(ids)), 1)[:, len(ids) - min(k, len(ids))]
+                r, c = np.nonzero((score >= kth[:, None]) & ~own)
+                order = np.lexsort((c, ~score[r, c], r))  # ~s falls as s grows
                 r, c = r[order], c[order]
                 place = np.arange(len(r)) - np.searchsorted(r, r)
                 r, c = r[place < k], c[place < k]
-                out.append((q_ids[at + r], ids[c], score[r, c].astype(np.int64)))
+                out.append((q_ids[at + r], ids[c], score[r, c]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.Table.from_batches([as_batch(dict(zip(target.names, columns, strict=True)), target)])
 
@@ -217,12 +257,19 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         wanted = visit.select(*[F.col(c).alias(c) for c in ("cell", "chunk", "block")]).distinct()
         left = indexed.join(wanted, ["cell", "chunk"])
         key = ["cell", "chunk", "block"]
-        return left.groupBy(*key).cogroup(visit.groupBy(*key)).applyInArrow(best, schema)
+        return left.groupBy(*key).cogroup(visit.drop("share").groupBy(*key)).applyInArrow(best, schema)
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    seen, _ = stored(search(arrow_map(queries, visits(True), visit_schema)), "first-visit")
-    # One row per rank: repeated rows of a query are one query.
-    ranked = seen.withColumn("rank", rank)
-    kth = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    rest = search(arrow_map(queries.join(kth, "vec_id", "left").select("vec_id", "dim", "v", "kth"), visits(False), visit_schema))
-    return seen.unionByName(rest).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = spark.createDataFrame([], f"{schema}, rank int")
+    begin, end, compared, path = 0, FIRST_ROWS, 0.0, None
+    while begin < int(index.count.sum()):
+        kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+        visit = arrow_map(queries.join(kth, "vec_id", "left").select("vec_id", "dim", "v", "kth"), visits(begin, end), visit_schema)
+        if counted:
+            compared += visit.agg(F.sum("share")).first()[0] or 0.0
+        known = found.drop("rank").unionByName(search(visit)).withColumn("rank", rank).where(F.col("rank") <= k)
+        found, new_path = stored(known, "nearest")
+        if path:
+            dropped(spark, path)
+        begin, end, path = end, end * GROWTH, new_path
+    return found.select("query_id", "rank", "vec_id", "score"), compared / max(1, n_queries * int(index.count.sum())) if counted else None

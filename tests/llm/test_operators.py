@@ -261,6 +261,35 @@ def test_top_k(spark, n, copies):
     assert [tuple(r) for r in got] == want
 
 
+def test_top_k_beyond_32_bits(spark):
+    rng = np.random.default_rng(31)
+    rows = [(i, [float(y) for y in rng.normal(size=4) * 10 ** rng.choice([0, 4, 7, 9, 30], p=[0.4, 0.3, 0.2, 0.05, 0.05])]) for i in range(400)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).orderBy("query_id", "rank").collect()
+    v = {i: [math.floor(256 * y) for y in e] for i, e in rows}
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = []
+    for q in range(0, 400, 50):
+        best = sorted((-held(sum(a * b for a, b in zip(v[q], v[i], strict=True))), i) for i in v if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert [tuple(r) for r in got] == want
+
+
+def test_top_k_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(32)
+    centres = rng.normal(size=(60, 16)) * 8
+    x = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)) * 0.5
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, share = topk.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), counted=True)
+    v = np.floor(256 * x).astype(np.int64)
+    want = []
+    for q in range(0, 6000, 50):
+        s = v @ v[q]
+        s[q] = -(2**62)
+        want += [(q, k + 1, int(i), int(s[i])) for k, i in enumerate(np.lexsort((np.arange(6000), -s))[:5])]
+    print(f"share of compared vectors: {share:.3f}")
+    assert share < 0.5 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_top_k_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
