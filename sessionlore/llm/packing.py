@@ -4,8 +4,8 @@ Documents are dealt to shards by their most characteristic term (highest BM25
 weight) and doc_id, in a range partitioning, so that a term with a third of
 all documents is spread over many shards. Each shard is an inverted BM25 index of
 its documents, with idf and mean length over the whole collection. A window of 4096 ids
-begins with a seed; its best unused neighbours by BM25 fill the window, the
-last one is cut, and its rest begins the next window as the new seed. The
+begins with a seed; its best unused neighbours by BM25 over all its terms fill
+the window, the last one is cut, and its rest begins the next window as the new seed. The
 open end of a partition is cut into sequences of powers of two, which need
 no padding.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlore.llm.common import arrow_map, row_bytes, slices, stored
+from sessionlore.llm.common import arrow_map, dropped, row_bytes, slices, stored
 from sessionlore.llm.subwords import Subwords, default_path
 from sessionlore.llm.textvec import spread
 from sessionlore.llm.tokens import packed, tokenized, unpacked
@@ -32,9 +32,8 @@ from sessionlore.llm.tokens import packed, tokenized, unpacked
 WINDOW = 4096
 END_ID = 2
 K1, B = 1.2, 0.75
-#: Terms of a seed that are looked up, and ids of one shard's index.
-QUERY_TERMS = 16
-SHARD_IDS = 3_000_000
+#: Ids of one shard's index.
+SHARD_IDS = 1_500_000
 PARTITION_BYTES = 48 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -58,7 +57,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Data
     coder = Subwords.of(path)
     size, dtype = coder.size, coder.dtype
     _, text_bytes = row_bytes(docs)
-    tokens, _ = stored(tokenized(docs, path), "tokens")
+    tokens, tokens_path = stored(tokenized(docs, path), "tokens")
 
     def frequencies(batches: Iterator[pa.RecordBatch]):
         df, rows, total = np.zeros(size + 1, np.int64), 0, 0
@@ -90,7 +89,10 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Data
             yield {"key": best, "doc_id": batch.column("doc_id"), "n_tokens": n, "ids": batch.column("ids")}
 
     n_parts = max(1, math.ceil(text_bytes / PARTITION_BYTES))
-    dealt = arrow_map(tokens, keyed, "key int, doc_id long, n_tokens long, ids binary").repartitionByRange(n_parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    # Stored, so that the ranges are sampled from keys alone.
+    with_keys, _ = stored(arrow_map(tokens, keyed, "key int, doc_id long, n_tokens long, ids binary"), "keyed-tokens")
+    dropped(docs.sparkSession, tokens_path)
+    dealt = with_keys.repartitionByRange(n_parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
 
     def fill(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
@@ -173,44 +175,74 @@ class Packer:
         return out
 
 
+class Postings:
+    """The inverted index of a shard: for each term the rows that have it, with
+    their weights. Used rows are taken out whenever they are half of it."""
+
+    def __init__(self, flat: np.ndarray, n: np.ndarray, idf: np.ndarray, mean: float):
+        self.row, self.term, tf = terms_of(flat, n)
+        self.weight = weights(self.row, tf, idf[self.term], n, mean).astype(np.float32)
+        self.begin = np.searchsorted(self.row, np.arange(len(n) + 1))
+        self.n_terms, self.used, self.since = len(idf), np.zeros(len(n), bool), 0
+        self.build(np.arange(len(self.row)))
+
+    def build(self, kept: np.ndarray) -> None:
+        by_term = kept[np.argsort(self.term[kept], kind="stable")]
+        self.rows, self.weights = self.row[by_term], self.weight[by_term]
+        self.first = np.searchsorted(self.term[by_term], np.arange(self.n_terms + 1))
+        self.left = len(by_term)
+
+    def use(self, row: int) -> None:
+        self.used[row] = True
+        self.since += int(self.begin[row + 1] - self.begin[row])
+        if self.since * 2 > self.left:
+            self.since = 0
+            self.build(np.flatnonzero(~self.used[self.row]))
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused rows by falling BM25 score for the seed, in time in proportion
+        to the postings of its terms."""
+        terms = self.term[self.begin[seed] : self.begin[seed + 1]]
+        at = spread(self.first[terms], self.first[terms + 1] - self.first[terms])
+        rows, gain = self.rows[at], self.weights[at]
+        if len(rows) * 4 < len(self.used):
+            found, code = np.unique(rows, return_inverse=True)
+            score = np.bincount(code, weights=gain, minlength=len(found))
+        else:
+            score = np.bincount(rows, weights=gain, minlength=len(self.used))
+            found = np.flatnonzero(score)
+            score = score[found]
+        free = ~self.used[found]
+        found, score = found[free], score[free]
+        while len(found):  # the best of them first; mostly they fill the window
+            best = score >= np.partition(score, len(score) - 64)[len(score) - 64] if len(score) > 64 else np.ones(len(score), bool)
+            yield from found[best][np.argsort(-score[best], kind="stable")].tolist()
+            found, score = found[~best], score[~best]
+
+
 def retrieval_order(flat: np.ndarray, n: np.ndarray, idf: np.ndarray, mean: float, filled: int = 0) -> list[int]:
     """The order in which the documents of a shard fill windows; ``filled`` ids
-    are in the first window already."""
-    row, term, tf = terms_of(flat, n)
-    w = weights(row, tf, idf[term], n, mean)
-    by_term = np.argsort(term, kind="stable")
-    posting_row, posting_w = row[by_term], w[by_term]
-    first = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
-    by_row = np.searchsorted(row, np.arange(len(n) + 1))
-    used = np.zeros(len(n), bool)
+    are in the first window already. Documents without terms are nobody's
+    neighbours and come last, as they stand."""
+    index = Postings(flat, n, idf, mean)
     order: list[int] = []
-    next_seed, seed, room = 0, -1, WINDOW - filled % WINDOW
+    some = np.flatnonzero(n > 0)
+    next_seed, room = 0, WINDOW - filled % WINDOW
     queue: Iterator[int] = iter(())
-    while len(order) < len(n):
-        doc = next((i for i in queue if not used[i]), -1)
-        if doc < 0:
-            while used[next_seed]:
+    while len(order) < len(some):
+        doc = next((i for i in queue if not index.used[i]), -1)
+        seed = doc < 0
+        if seed:
+            while index.used[some[next_seed]]:
                 next_seed += 1
-            doc = seed = next_seed
-            queue = None
-        used[doc] = True
+            doc = int(some[next_seed])
+        index.use(doc)
         order.append(doc)
         length = int(n[doc]) + 1
         if length >= room:  # the rest of this document begins the next window
-            room, seed, queue = WINDOW - (length - room) % WINDOW, doc, None
+            room, seed = WINDOW - (length - room) % WINDOW, True
         else:
             room -= length
-        if queue is None:
-            queue = iter(neighbours(seed, term, w, by_row, first, posting_row, posting_w, used))
-    return order
-
-
-def neighbours(seed: int, term, w, by_row, first, posting_row, posting_w, used) -> list[int]:
-    """Unused documents by falling BM25 score for the seed's best terms."""
-    own = slice(by_row[seed], by_row[seed + 1])
-    best = term[own][np.argsort(-w[own], kind="stable")[:QUERY_TERMS]]
-    at = spread(first[best], first[best + 1] - first[best])
-    score = np.bincount(posting_row[at], weights=posting_w[at], minlength=len(used))
-    score[used] = 0
-    found = np.flatnonzero(score)
-    return found[np.argsort(-score[found], kind="stable")].tolist()
+        if seed:
+            queue = index.neighbours(doc)
+    return order + np.flatnonzero(n == 0).tolist()

@@ -1,5 +1,6 @@
 """Operators 3 and 6 against the tokenizers library and plain loops."""
 
+import collections
 import zlib
 
 import numpy as np
@@ -90,6 +91,58 @@ def test_neighbours_share_a_window(spark):
     assert len(first) == 1
 
 
+def plain_order(texts, window):
+    """BM25 over all terms, a loop over documents for each seed."""
+    import math
+
+    n = [len(t) for t in texts]
+    mean, df = max(1.0, sum(n) / len(n)), collections.Counter(x for t in texts for x in set(t))
+    idf = lambda x: math.log1p((len(texts) - df[x] + 0.5) / (df[x] + 0.5))
+    w = [{x: idf(x) * c * (packing.K1 + 1) / (c + packing.K1 * (1 - packing.B + packing.B * len(t) / mean)) for x, c in collections.Counter(t).items()} for t in texts]
+    left, order, room, queue = [i for i in range(len(texts)) if n[i]], [], window, []
+    while left:
+        queue = [i for i in queue if i in left]
+        seed = not queue
+        doc = (queue or left)[0]
+        left.remove(doc)
+        order.append(doc)
+        if n[doc] + 1 >= room:
+            room, seed = window - (n[doc] + 1 - room) % window, True
+        else:
+            room -= n[doc] + 1
+        if seed:
+            score = {i: sum(w[i].get(x, 0) for x in set(texts[doc])) for i in left}
+            queue = sorted((i for i in left if score[i] > 0), key=lambda i: (-round(score[i], 4), i))
+    return order + [i for i in range(len(texts)) if not n[i]]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_retrieval_order_is_plain_bm25(seed, monkeypatch):
+    monkeypatch.setattr(packing, "WINDOW", 64)
+    rng = np.random.default_rng(seed)
+    texts = [rng.integers(0, 400, rng.integers(0, 40)).tolist() for _ in range(150)]
+    n = np.array([len(t) for t in texts])
+    df = np.bincount([x for t in texts for x in set(t)], minlength=400)
+    idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5))
+    got = packing.retrieval_order(np.array([x for t in texts for x in t]), n, idf, max(1.0, n.mean()))
+    assert got == plain_order(texts, 64)
+
+
+def test_many_empty_and_lonely_texts_take_linear_time():
+    import time
+
+    idf = np.ones(40_000)
+
+    def took(n):
+        began = time.process_time()
+        assert len(packing.retrieval_order(np.zeros(0, np.uint16), np.zeros(n, np.int64), idf, 1.0)) == n
+        assert len(packing.retrieval_order(np.arange(n // 10) % 40_000, np.ones(n // 10, np.int64), idf, 1.0)) == n // 10
+        return time.process_time() - began
+
+    took(1000)
+    assert took(400_000) < 12 * took(100_000) + 1
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(none).count() == 0
