@@ -9,8 +9,8 @@ others are in classes by frequency. Windows of 2 * STEP ids overlap by half: eac
 scores its second half, so every id is scored once, with STEP to 2 * STEP - 1
 ids of context (fewer at the beginning).
 
-The weights are trained on all windows of all training texts. Parts of the data
-train copies side by side, whose weights are averaged, in ``ROUNDS`` rounds; a
+The weights are trained on all training texts, in windows end to end, so that
+every id is a target once. Parts of the data train copies side by side, whose weights are averaged, in ``ROUNDS`` rounds; a
 round takes the windows of its turn, so that all rounds together are one pass
 over every window.
 
@@ -44,9 +44,9 @@ from sessionlore.llm.tokens import packed, unpacked
 
 STEP, WIDTH = 16, 32
 DIM, OWN_CLASS, OWN_ROW = 16, 24, 4096
-ROUNDS, BATCH, RATE = 2, 256, 0.02
+ROUNDS, BATCH, RATE = 2, 256, 0.03
 BLOCK_BYTES = 16 << 20
-PART_WINDOWS = 120_000
+PART_WINDOWS = 200_000
 #: Weights of so many parts are added up in one task.
 ADDED_PARTS = 32
 #: At most so many words that many blocks ask for are broadcast.
@@ -100,10 +100,8 @@ class Vocabulary:
         return {"e": (self.n_rows, DIM), "q": square, "k": square, "v": square, "b": (WIDTH,), "o": (DIM, self.n_classes), "c": (self.n_classes,), "u": (len(self.inner_bias), DIM), "d": (len(self.inner_bias),)}
 
 
-#: Distance from query to key, for the queries of the second half.
-_APART = (STEP + np.arange(STEP))[:, None] - np.arange(WIDTH)
-_HIDDEN = _APART < 0
-_APART = np.clip(_APART, 0, WIDTH - 1)
+#: Distance from query to key, for the last 1, 2, ... places of a window as queries.
+_APART = {n: (WIDTH - n + np.arange(n))[:, None] - np.arange(WIDTH) for n in (STEP, WIDTH)}
 
 
 def fresh(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
@@ -123,7 +121,8 @@ def shares(w: dict[str, np.ndarray], q: np.ndarray, k: np.ndarray, nothing: np.n
     """The masked softmax of all queries of a batch over the keys."""
     s = q @ k.transpose(0, 2, 1)
     s *= s.dtype.type(1 / math.sqrt(DIM))
-    s += np.where(_HIDDEN, F4(-1e9), w["b"][_APART])
+    apart = _APART[q.shape[1]]
+    s += np.where(apart < 0, F4(-1e9), w["b"][np.maximum(apart, 0)])
     short = np.flatnonzero(nothing.any(1))
     s[short] += np.where(nothing[short, None, :], F4(-1e9), F4(0))
     if np.abs(q).max(initial=0) * np.abs(k).max(initial=0) * math.sqrt(DIM) + np.abs(w["b"]).max() > 60:
@@ -134,17 +133,14 @@ def shares(w: dict[str, np.ndarray], q: np.ndarray, k: np.ndarray, nothing: np.n
 
 
 def attend(w: dict[str, np.ndarray], x: np.ndarray, nothing: np.ndarray):
-    """Contexts of the second half of windows of input rows ``x``, and what led
-    to them."""
+    """Contexts of all places of windows of input rows ``x``, and what led to them."""
     e = w["e"][x]
-    last = np.ascontiguousarray(e[:, STEP:])
-    q = (flat(last) @ w["q"]).reshape(last.shape)
-    both = flat(e) @ np.concatenate((w["k"], w["v"]), 1)
-    k, v = [np.ascontiguousarray(both[:, i : i + DIM]).reshape(e.shape) for i in (0, DIM)]
+    all_three = flat(e) @ np.concatenate((w["q"], w["k"], w["v"]), 1)
+    q, k, v = [np.ascontiguousarray(all_three[:, i : i + DIM]).reshape(e.shape) for i in (0, DIM, 2 * DIM)]
     a = shares(w, q, k, nothing)
     h = a @ v
-    h += last
-    return e, last, q, k, v, a, np.tanh(h, out=h)
+    h += e
+    return e, q, k, v, a, np.tanh(h, out=h)
 
 
 def softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, steep: bool) -> np.ndarray:
@@ -193,10 +189,10 @@ def predicted(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray, y
 
 
 def gradient(w: dict[str, np.ndarray], vocabulary: Vocabulary, part: np.ndarray):
-    """Mean loss over the targets of windows of ids, and its gradient."""
+    """Mean loss over all targets of windows of ids, and its gradient."""
     none = vocabulary.size + 2
-    x, y, nothing = vocabulary.row[part[:, :-1]], part[:, STEP + 1 :].reshape(-1), part[:, :-1] == none
-    e, last, q, k, v, a, h = attend(w, x, nothing)
+    x, y, nothing = vocabulary.row[part[:, :-1]], part[:, 1:].reshape(-1), part[:, :-1] == none
+    e, q, k, v, a, h = attend(w, x, nothing)
     counted = np.flatnonzero(y != none)
     g: dict[str, np.ndarray] = {}
     loss = -predicted(w, vocabulary, flat(h)[counted], y[counted], g).mean()
@@ -206,14 +202,12 @@ def gradient(w: dict[str, np.ndarray], vocabulary: Vocabulary, part: np.ndarray)
     da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
     da -= ((da * a) @ np.ones((WIDTH, 1), a.dtype))
     ds = np.multiply(da, a, out=da)
-    g["b"] = np.bincount(_APART.reshape(-1), weights=ds.sum(0).reshape(-1), minlength=WIDTH).astype(h.dtype)
+    g["b"] = np.bincount(np.maximum(_APART[WIDTH], 0).reshape(-1), weights=ds.sum(0).reshape(-1), minlength=WIDTH).astype(h.dtype)
     ds *= h.dtype.type(1 / math.sqrt(DIM))
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    both = np.concatenate((flat(dk), flat(dv)), 1)
-    g["q"] = flat(last).T @ flat(dq)
-    g["k"], g["v"] = np.split(flat(e).T @ both, 2, axis=1)
-    de = (both @ np.concatenate((w["k"], w["v"]), 1).T).reshape(e.shape)
-    de[:, STEP:] += (flat(dq) @ w["q"].T).reshape(dh.shape) + dh
+    all_three = np.concatenate((flat(dq), flat(dk), flat(dv)), 1)
+    g["q"], g["k"], g["v"] = np.split(flat(e).T @ all_three, 3, axis=1)
+    de = (all_three @ np.concatenate((w["q"], w["k"], w["v"]), 1).T).reshape(e.shape) + dh
     rows = x.reshape(-1)
     order = np.argsort(rows.astype(U2), kind="stable")
     heads = np.flatnonzero(np.diff(rows[order], prepend=-1))
@@ -222,8 +216,8 @@ def gradient(w: dict[str, np.ndarray], vocabulary: Vocabulary, part: np.ndarray)
     return loss, g
 
 
-def windows(ids: np.ndarray, n: np.ndarray, vocabulary_size: int, keep=None) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of WIDTH + 1 ids (the last STEP are targets), and the text of
+def windows(ids: np.ndarray, n: np.ndarray, vocabulary_size: int, keep=None, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of WIDTH + 1 ids (the last ``step`` are targets), and the text of
     each. ``keep(text, number)`` chooses windows."""
     begin, end, none = vocabulary_size, vocabulary_size + 1, vocabulary_size + 2
     length = n + 2
@@ -231,13 +225,13 @@ def windows(ids: np.ndarray, n: np.ndarray, vocabulary_size: int, keep=None) ->
     at = np.cumsum(length) - length
     full[at], full[at + length - 1] = begin, end
     full[spread(at + 1, n)] = ids
-    count = -(-(n + 1) // STEP)
+    count = -(-(n + 1) // step)
     text = np.repeat(np.arange(len(n)), count)
     number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     if keep is not None:
         chosen = keep(text, number)
         text, number = text[chosen], number[chosen]
-    place = (STEP * number - STEP)[:, None] + np.arange(WIDTH + 1)
+    place = (step * (number + 1) - WIDTH)[:, None] + np.arange(WIDTH + 1)
     inside = (place >= 0) & (place < length[text][:, None])
     return np.where(inside, full[np.where(inside, place + at[text][:, None], 0)], none), text
 
@@ -249,8 +243,8 @@ def text_log_p(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray
     none = vocabulary.size + 2
     # One row of the input has one query, key and value wherever it stands.
     q, k, v = [w["e"] @ w[c] for c in "qkv"]
-    for i in range(0, len(seen), 4 * BATCH):
-        part = seen[i : i + 4 * BATCH]
+    for i in range(0, len(seen), 1024):
+        part = seen[i : i + 1024]
         x, y = vocabulary.row[part[:, :-1]], part[:, STEP + 1 :].reshape(-1)
         h = shares(w, q[x[:, STEP:]], k[x], part[:, :-1] == none) @ v[x]
         h += w["e"][x[:, STEP:]]
@@ -294,7 +288,7 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[dict[str, np.ndarray]
             counts += np.bincount(ids, minlength=size)
             texts += len(n)
             first = (batch.column("doc_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % ROUNDS
-            yield {"id": np.full(len(n), -2), "n": -(-(n + 1) // STEP), "first": first, "w": packed(ids.astype(U2), n)}
+            yield {"id": np.full(len(n), -2), "n": -(-(n + 1) // WIDTH), "first": first, "w": packed(ids.astype(U2), n)}
         used = np.flatnonzero(counts)
         yield {"id": [*used.tolist(), -1], "n": [*counts[used].tolist(), texts], "first": [0] * (len(used) + 1), "w": [b""] * (len(used) + 1)}
 
@@ -347,7 +341,7 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[dict[str, np.ndarray]
     return w, vocabulary
 
 
-def training_windows(batches: Iterator[pa.RecordBatch], vocabulary_size: int, turn: int | None = None, rows: int = 20_000) -> Iterator[np.ndarray]:
+def training_windows(batches: Iterator[pa.RecordBatch], vocabulary_size: int, turn: int | None = None, rows: int = 10_000) -> Iterator[np.ndarray]:
     """All windows of the coded texts of (n, first, w), or those of one of
     ``ROUNDS`` turns, about ``rows`` at a time. Turns take the windows of a text
     in rotation, beginning with ``first``."""
@@ -361,7 +355,7 @@ def training_windows(batches: Iterator[pa.RecordBatch], vocabulary_size: int, tu
             length = pc.binary_length(part.column("w")).to_numpy().astype(np.int64) // U2.itemsize
             first = part.column("first").to_numpy()
             keep = None if turn is None else lambda t, k, first=first: (first[t] + k) % ROUNDS == turn
-            held.append(windows(unpacked(part.column("w"), U2), length, vocabulary_size, keep)[0])
+            held.append(windows(unpacked(part.column("w"), U2), length, vocabulary_size, keep, WIDTH)[0])
             if sum(map(len, held)) >= rows:
                 yield np.concatenate(held)
                 held = []

@@ -355,8 +355,10 @@ def test_gradient():
     rng = np.random.default_rng(9)
     v = attention.Vocabulary(rng.integers(0, 50, 500), 10)
     w = {k: x.astype(np.float64) for k, x in random_weights(v, rng).items()}
-    seen, _ = attention.windows(rng.integers(0, 500, 100), np.array([0, 1, 15, 16, 68]), 500)
-    assert (seen[:, attention.STEP + 1 :] != 502).sum() == 105  # each id and each end is a target once
+    ids, n = rng.integers(0, 500, 100), np.array([0, 1, 15, 16, 68])
+    assert (attention.windows(ids, n, 500)[0][:, attention.STEP + 1 :] != 502).sum() == 105  # each id and each end is a target once
+    seen, _ = attention.windows(ids, n, 500, step=attention.WIDTH)
+    assert (seen[:, 1:] != 502).sum() == 105
     _, g = attention.gradient(w, v, seen)
     for k in w:
         d = rng.standard_normal(w[k].shape)
@@ -425,9 +427,9 @@ def test_training_covers_every_window(spark):
     rng = np.random.default_rng(12)
     n = np.array([0, 1, 15, 16, 17, 300, 5000])
     ids = rng.integers(0, 500, n.sum())
-    count = -(-(n + 1) // attention.STEP)
+    count = -(-(n + 1) // attention.WIDTH)
     batch = pa.record_batch({"n": count, "first": np.arange(len(n)) % attention.ROUNDS, "w": attention.packed(ids.astype("<u2"), n)})
-    want = collections.Counter(map(bytes, attention.windows(ids, n, 500)[0]))
+    want = collections.Counter(map(bytes, attention.windows(ids, n, 500, step=attention.WIDTH)[0]))
     got = [collections.Counter(bytes(w) for part in attention.training_windows(iter([batch]), 500, turn, rows) for w in part) for turn in (None, *range(attention.ROUNDS)) for rows in (7, 20_000)]
     assert got[0] == got[1] == want and sum(got[2::2], collections.Counter()) == sum(got[3::2], collections.Counter()) == want
     # Texts of a single window train the model too: none of these is every 16th.
