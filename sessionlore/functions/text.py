@@ -3,10 +3,8 @@ two greedy splits."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # The characters that count as white space at the ends of a text.
 WHITE_SPACE = (
@@ -129,66 +127,34 @@ def question_prompt(question: Column | str, context: Column | str) -> Column:
     return F.concat(F.lit("Question: "), col(question), F.lit("\n\nRelevant campaign notes:\n"), col(context))
 
 
-def lines_of(c: Column | str) -> Column:
-    """The lines of a text; a line end at its end begins no further line."""
-    lines = F.split(col(c), LINE_END, -1)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-
-
-@F.pandas_udf(ArrayType(StructType([StructField("first", IntegerType()), StructField("n", IntegerType())])))
-def _greedy(costs: pd.Series, limit: pd.Series) -> pd.Series:
-    """Cut each list of line costs where the next line would pass the limit; a
-    costlier line is a chunk of its own. The texts stay in the JVM."""
-
-    def cut(costs, limit):
-        out, first, total = [], 0, 0
-        for i, cost in enumerate(costs):
-            if i > first and total + cost > limit:
-                out.append({"first": first + 1, "n": i - first})
-                first, total = i, 0
-            total += cost
-        if len(costs):
-            out.append({"first": first + 1, "n": len(costs) - first})
-        return out
-
-    return pd.Series([None if c is None else cut(c, m) for c, m in zip(costs, limit, strict=True)])
+def _parts(text: Column, pattern: str) -> Column:
+    """What the pattern's first group takes, again and again, from the begin of
+    the text to its end; without white space around, and without blank ones.
+    Each step of the pattern takes at least a character."""
+    found = F.regexp_extract_all(text, F.lit(f"(?s){pattern}"), F.lit(1))
+    return F.filter(F.transform(found, strip), lambda x: x != "")
 
 
 def transcript_chunks(c: Column | str, single_pass: int = SINGLE_PASS_LIMIT, limit: int = CHUNK_LIMIT) -> Column:
     """Chunks of a transcript for a model. One within ``single_pass`` (or
     ``limit``) is one chunk, unchanged; else the heading's two lines go and
-    whole lines fill chunks greedily, a line costing its length and one."""
+    whole lines fill chunks greedily, a line costing its length and one. The time
+    is in proportion to the length."""
     text = col(c)
-    lines = lines_of(text)
-    body = F.when(F.size(lines) > 2, F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0)))).otherwise(lines)
-    runs = _greedy(F.transform(body, lambda x: F.length(x) + 1), F.lit(limit))
-    chunk = lambda r: F.concat(F.lit(TRANSCRIPT_HEADING + "\n\n"), strip(F.array_join(F.slice(body, r["first"], r["n"]), "\n")), F.lit("\n"))
-    short = F.length(text) <= max(single_pass, limit)
-    # The helper gets no lines where they are not needed.
-    return F.when(short, F.array(text)).otherwise(F.transform(runs, chunk))
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _pieces(texts: pd.Series, limit: pd.Series) -> pd.Series:
-    def cut(text: str | None, limit: int):
-        if text is None:
-            return None
-        if len(text) <= limit:
-            return [text]
-        out, rest = [], text.strip()
-        while len(rest) > limit:
-            head = rest[:limit]
-            at = next((p for p in (head.rfind("\n\n"), head.rfind("\n")) if p >= 0), limit)
-            if piece := rest[:at].strip():
-                out.append(piece)
-            rest = rest[at:].lstrip()
-        return [*out, rest] if rest else out
-
-    return pd.Series([cut(t, n) for t, n in zip(texts, limit, strict=True)])
+    # Every line ends with \n; two lines go if there are more.
+    lines = F.concat(F.regexp_replace(F.regexp_replace(text, LINE_END, "\n"), r"\n\z", ""), F.lit("\n"))
+    body = F.regexp_replace(lines, r"(?s)\A[^\n]*\n[^\n]*\n(?=.)", "")
+    # As many characters as fit up to a line end, else one line.
+    found = F.regexp_extract_all(body, F.lit(f"(?s)(.{{0,{limit - 1}}}\n|[^\n]*\n)"), F.lit(1))
+    chunks = F.transform(found, lambda x: F.concat(F.lit(TRANSCRIPT_HEADING + "\n\n"), strip(x), F.lit("\n")))
+    return F.when(F.length(text) <= max(single_pass, limit), F.array(text)).otherwise(chunks)
 
 
 def message_pieces(c: Column | str, limit: int = MESSAGE_LIMIT) -> Column:
-    """A message as pieces of at most ``limit`` characters, cut at the last
-    blank line, else the last line end, else anywhere. A short message stays
-    as it is."""
-    return _pieces(col(c), F.lit(limit))
+    """A message as pieces of at most ``limit`` characters. A short message stays
+    as it is. Of a longer one, white space at the ends goes; a piece is the rest
+    if that fits, else as much as fits before a blank line, else before a line
+    end, else ``limit`` characters; white space between pieces goes."""
+    text = col(c)
+    ends = rf".{{1,{limit}}}\z|.{{1,{limit - 2}}}(?=\n\n)|.{{1,{limit - 1}}}(?=\n)|.{{{limit}}}"
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(_parts(strip(text), f"({ends})[{WHITE_SPACE}]*"))

@@ -8,13 +8,20 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda t, x: t + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
+def wide(v: Column) -> Column:
+    return v.cast("array<double>")
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(wide(v), F.lit(0.0), lambda t, x: t + x * x))
+
+
+def cosine(a: Column, b: Column, norms: tuple[Column, Column] | None = None) -> Column:
     """Cosine in double precision. An empty side or a zero vector gives 0; of
-    unequal lengths the product covers the shorter, the norms all."""
-    wide = lambda v: F.transform(v, lambda x: x.cast("double"))
+    unequal lengths the product covers the shorter, the norms all. ``norms``
+    are those of both where they are known."""
     a, b = wide(a), wide(b)
-    n = F.least(F.size(a), F.size(b))
-    product = _sum(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x * y))
-    norms = [F.sqrt(_sum(F.transform(v, lambda x: x * x))) for v in (a, b)]
-    usable = (n > 0) & (norms[0] != 0) & (norms[1] != 0)
-    return F.coalesce(F.when(usable, product / (norms[0] * norms[1])), F.lit(0.0))
+    product = _sum(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))))
+    size = norms or (norm(a), norm(b))
+    usable = (size[0] != 0) & (size[1] != 0)
+    return F.coalesce(F.when(usable, product / (size[0] * size[1])), F.lit(0.0))

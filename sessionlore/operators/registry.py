@@ -29,11 +29,13 @@ def with_names(rows: DataFrame, registry: DataFrame, fallback: str, name: str =
 def with_names_as_of(rows: DataFrame, updates: DataFrame, fallback: str, at: str = "started_at", name: str = "character_name") -> DataFrame:
     """As :func:`with_names`, with the last update at or before ``at``: updates
     and rows are sorted together, one shuffle by key. A null key finds
-    nothing."""
-    ups = updates.select(*KEYS, F.col("updated_at").alias("_at"), F.lit(0).alias("_kind"), F.struct("character_name").alias("_update"), *( [F.col("seq").alias("_seq")] if "seq" in updates.columns else [F.lit(0).alias("_seq")]))
-    mine = rows.withColumn("_at", F.col(at)).withColumn("_kind", F.lit(1)).withColumn("_seq", F.lit(0))
-    w = Window.partitionBy(*KEYS).orderBy("_at", "_kind", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    nothing; such rows are spread over all tasks."""
+    null_key = F.col(KEYS[0]).isNull() | F.col(KEYS[1]).isNull()
+    ups = updates.where(~null_key).select(*KEYS, F.col("updated_at").alias("_at"), F.lit(0).alias("_kind"), F.struct("character_name").alias("_update"), *( [F.col("seq").alias("_seq")] if "seq" in updates.columns else [F.lit(0).alias("_seq")]))
+    ups = ups.withColumn("_salt", F.lit(0).cast("long"))
+    salt = F.when(null_key, F.monotonically_increasing_id()).otherwise(0)
+    mine = rows.withColumn("_at", F.col(at)).withColumn("_kind", F.lit(1)).withColumn("_seq", F.lit(0)).withColumn("_salt", salt)
+    w = Window.partitionBy(*KEYS, "_salt").orderBy("_at", "_kind", "_seq").rowsBetween(Window.unboundedPreceding, 0)
     met = mine.unionByName(ups, allowMissingColumns=True).withColumn("_last", F.last("_update", ignorenulls=True).over(w))
-    known = F.col("_last").isNotNull() & F.col(KEYS[0]).isNotNull() & F.col(KEYS[1]).isNotNull()
-    out = met.where("_kind = 1").withColumn(name, F.when(known, F.col("_last.character_name")).otherwise(F.col(fallback)))
-    return out.drop("_at", "_kind", "_seq", "_update", "_last")
+    out = met.where("_kind = 1").withColumn(name, F.when(F.col("_last").isNotNull(), F.col("_last.character_name")).otherwise(F.col(fallback)))
+    return out.drop("_at", "_kind", "_seq", "_update", "_last", "_salt")

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlore.functions.text import NO_NOTES_ANSWER, titled
-from sessionlore.functions.vectors import cosine
+from sessionlore.functions.vectors import cosine, norm, wide
 
 # Fixed value: notes per question.
 DEPTH = 8
 #: Vectors of questions are broadcast up to this many bytes, and beyond that
-#: shuffled by guild.
+#: meet the notes in groups of a bounded size.
 BROADCAST_BYTES = 64 << 20
+#: Notes and questions of one group of :func:`top_notes_batch`, about.
+GROUP_NOTES, GROUP_QUESTIONS = 20_000, 4096
 
 
 def with_vectors(notes: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -37,26 +39,51 @@ def _small(questions: DataFrame) -> bool:
 def top_notes(questions: DataFrame, notes: DataFrame, k: int = DEPTH, digits: int | None = None) -> DataFrame:
     """(question_id, note_id, score, rank): the ``k`` notes (guild_id, id,
     embedding) of each question's guild with the highest cosine; ties by note
-    id. Expressions only; every task keeps its best ``k`` per question before
-    the shuffle. ``digits`` rounds the score first."""
-    asked = questions.select("question_id", "guild_id", F.col("embedding").alias("_q"))
-    asked = F.broadcast(asked) if _small(questions) else asked
-    score = cosine(F.col("_q"), F.col("embedding"))
+    id. Expressions only, norms once a row; every task keeps its best ``k`` per
+    question before the shuffle. Where the questions are too many to be
+    broadcast, a guild's notes and questions are dealt to groups, as in
+    :func:`top_notes_batch`. ``digits`` rounds the score first."""
+    asked = questions.select("question_id", "guild_id", wide(F.col("embedding")).alias("_q"), norm(F.col("embedding")).alias("_nq"))
+    rows = notes.select("guild_id", "id", wide(F.col("embedding")).alias("_v"), norm(F.col("embedding")).alias("_nv"))
+    key = ["guild_id"]
+    if _small(questions):
+        asked = F.broadcast(asked)
+    else:
+        rows, asked = _grouped(rows, asked)
+        key = ["guild_id", "block", "salt"]
+    score = cosine(F.col("_q"), F.col("_v"), (F.col("_nq"), F.col("_nv")))
     score = F.round(score, digits) if digits is not None else score
-    return _best(notes.join(asked, "guild_id").select("question_id", F.col("id").alias("note_id"), score.alias("score")), k)
+    return _best(rows.join(asked, key).select("question_id", F.col("id").alias("note_id"), score.alias("score")), k)
 
 
-def top_notes_batch(questions: DataFrame, notes: DataFrame, k: int = DEPTH, block: int = 4096) -> DataFrame:
+def _grouped(notes: DataFrame, questions: DataFrame, group_notes: int = GROUP_NOTES, group_questions: int = GROUP_QUESTIONS) -> tuple[DataFrame, DataFrame]:
+    """Notes and questions with (block, salt): a guild's questions are dealt to
+    blocks and its notes to salts, and each block meets each salt once. Only
+    guilds of more than one block or salt are listed, so few that the list is
+    broadcast: at most one for each ``group_notes`` notes or ``group_questions``
+    questions."""
+
+    def large(rows: DataFrame, size: int, name: str) -> DataFrame:
+        counts = rows.groupBy("guild_id").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
+        return F.broadcast(counts.where(F.col(name) > 1))
+
+    n_salts, n_blocks = large(notes, group_notes, "_salts"), large(questions, group_questions, "_blocks")
+
+    def dealt(rows: DataFrame, key: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        met = rows.join(n_salts, "guild_id", "left").join(n_blocks, "guild_id", "left")
+        part = F.pmod(F.xxhash64(key), F.coalesce(n_own, F.lit(1).cast("long")))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n_other, F.lit(1).cast("long")) - 1))
+        return met.withColumn(own, part).withColumn(other, every).drop("_salts", "_blocks")
+
+    return dealt(notes, "id", "salt", "_salts", "block", "_blocks"), dealt(questions, "question_id", "block", "_blocks", "salt", "_salts")
+
+
+def top_notes_batch(questions: DataFrame, notes: DataFrame, k: int = DEPTH, group_notes: int = GROUP_NOTES, group_questions: int = GROUP_QUESTIONS) -> DataFrame:
     """As :func:`top_notes` for many questions and vectors of one length: a
-    matrix product of each Arrow batch of notes with its guilds' questions,
-    which are dealt out in blocks, ``block`` questions each."""
-    n_blocks = max(1, -(-questions.count() // block))
-    asked = questions.select("guild_id", "question_id", F.col("embedding").cast("array<double>").alias("q"), F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)).alias("block"))
-    salted = notes.select("guild_id", F.col("id").alias("note_id"), F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("salt"))
-    # A guild with very many notes is spread over salts; a question goes to all.
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("salt")
-    left = salted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    right = asked.select("guild_id", "question_id", "q", "block", salts)
+    matrix product for each group of a guild's notes and questions."""
+    asked = questions.select("guild_id", "question_id", wide(F.col("embedding")).alias("q"))
+    left, right = _grouped(notes.select("guild_id", "id", wide(F.col("embedding")).alias("v")), asked, group_notes, group_questions)
+    left = left.withColumnRenamed("id", "note_id")
 
     def best(rows: Iterator[pd.DataFrame] | pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"question_id": [], "note_id": [], "score": []}).astype({"question_id": "int64", "note_id": "int64"})

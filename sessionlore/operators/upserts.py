@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def last_per_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -15,13 +16,16 @@ def last_per_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
 
 def numbered(rows: DataFrame, order: str, start: Column, name: str = "id") -> DataFrame:
-    """Dense ids after ``start`` by a rising integer column. Quantiles cut the
-    rows into ranges; each is numbered by itself from the number of rows in
-    the ranges before, so no single task sees all rows."""
+    """Dense ids after ``start`` by a rising integer column, or by a struct whose
+    first field is one. Quantiles of it cut the rows into ranges; each is
+    numbered by itself from the number of rows in the ranges before, so no
+    single task sees all rows."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = [k / parts for k in range(1, parts)]
-    bounds = (rows.agg(F.percentile_approx(order, steps, 1000).alias("b")).first()["b"] if steps else None) or []
-    part = F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<bigint>"), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    kind = rows.schema[order].dataType
+    leading = F.col(order)[kind.names[0]] if isinstance(kind, StructType) else F.col(order)
+    bounds = (rows.agg(F.percentile_approx(leading, steps, 1000).alias("b")).first()["b"] if steps else None) or []
+    part = F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<bigint>"), lambda b: b < leading)) if bounds else F.lit(0)
     placed = rows.withColumn("_part", part)
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per range.

@@ -47,8 +47,8 @@ def session_summaries(sessions: DataFrame, segments: DataFrame, make_model: Call
 def notes_after(existing: DataFrame, updates: DataFrame, sessions: DataFrame, as_of: Column) -> DataFrame:
     """Notes after the updates of sessions (id, guild_id), in session order."""
     rows = updates.join(sessions.select(F.col("id").alias("session_id"), "guild_id"), "session_id")
-    seq = F.col("session_id") * (1 << 32) + F.col("seq.stage") * (1 << 31) + F.col("seq.chunk_no") * (1 << 16) + F.col("seq.pos")
-    batch = rows.select("guild_id", "note_type", "title", "content", F.col("session_id").alias("source_session_id"), F.col("metadata").alias("metadata_json"), seq.cast("long").alias("seq"))
+    seq = F.struct("session_id", "seq")
+    batch = rows.select("guild_id", "note_type", "title", "content", F.col("session_id").alias("source_session_id"), F.col("metadata").alias("metadata_json"), seq.alias("seq"))
     return notes.upsert(existing, batch, as_of)
 
 

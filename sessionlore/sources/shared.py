@@ -9,10 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Read from ``spark.checkpoint.dir``; a local one is made only where that
-    is unset, as in tests."""
+    """Read from ``spark.checkpoint.dir``. Where that is unset, a local session
+    gets a folder of its own, as in tests; on a cluster it is an error, since each
+    executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

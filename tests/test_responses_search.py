@@ -69,7 +69,7 @@ def test_merge(spark):
         assert [(r["note_type"], r["title"], r["content"]) for r in got if r["session_id"] == s] == merge_plainly(group)
 
 
-def test_cosine_and_top(spark):
+def test_cosine_and_top(spark, monkeypatch):
     def plain(a, b):
         n = sum(x * y for x, y in zip(a, b, strict=False))
         d = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
@@ -83,7 +83,10 @@ def test_cosine_and_top(spark):
     asked = [(q, q % 4, [float(x) for x in rng.integers(-2, 3, 4)]) for q in range(9)]
     n = spark.createDataFrame(notes, "id long, guild_id long, note_type string, title string, content string, embedding array<double>")
     q = spark.createDataFrame(asked, "question_id long, guild_id long, embedding array<double>")
-    for rows in (search.top_notes(q, n, 5), search.top_notes_batch(q, n, 5, block=2)):
+    small = search.top_notes(q, n, 5)
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(search._grouped, "__defaults__", (10, 2))
+    for rows in (small, search.top_notes(q, n, 5), search.top_notes_batch(q, n, 5), search.top_notes_batch(q, n, 5, group_notes=7, group_questions=1)):
         found = rows.orderBy("question_id", "rank").collect()
         for k, guild, v in asked:
             scores = {i: plain(v, w) for i, g, *_, w in notes if g == guild}

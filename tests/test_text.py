@@ -38,27 +38,43 @@ def test_preview(spark):
     assert one(spark, "x" * 111, T.preview("x")) == "x" * 107 + "..."
 
 
-def split_plainly(text, limit):
-    if len(text) <= limit:
-        return [text]
-    out, text = [], text.strip()
-    while len(text) > limit:
-        cut = text.rfind("\n\n", 0, limit)
-        cut = cut if cut >= 0 else text.rfind("\n", 0, limit)
-        cut = cut if cut >= 0 else limit
-        out += [p for p in [text[:cut].strip()] if p]
-        text = text[cut:].lstrip()
-    return out + ([text] if text else [])
-
-
 def test_message_pieces(spark):
+    known = {
+        "": [""], "  short ": ["  short "], " " * 60: [], "x" * 61: ["x" * 30, "x" * 30, "x"], "a" * 29 + "\n\n" + "b" * 40: ["a" * 29, "b" * 30, "b" * 10],
+        "a" * 28 + "\n\n" + "b" * 40: ["a" * 28, "b" * 30, "b" * 10], "one\n\ntwo\nthree" + " four" * 6: ["one", "two", "three four four four four four", "four"],
+        "one\ntwo three four five six seven eight": ["one", "two three four five six seven", "eight"], "🙂" * 31: ["🙂" * 30, "🙂"],
+    }
     rng = random.Random(3)
-    texts = ["", "  short ", " " * 60, "x" * 61, "a" * 29 + "\n\n" + "b" * 40, None] + ["".join(rng.choice("ab \n") for _ in range(rng.randint(0, 200))) for _ in range(200)]
+    texts = [None, *known, *("".join(rng.choice("ab \n") for _ in range(rng.randint(0, 200))) for _ in range(300))]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").select("i", T.message_pieces("x", 30).alias("p")).collect()
     for r in rows:
-        text = texts[r["i"]]
-        assert r["p"] == (None if text is None else split_plainly(text, 30))
-        assert text is None or all(len(p) <= 30 for p in r["p"])
+        text, got = texts[r["i"]], r["p"]
+        if text is None or len(text) <= 30:
+            assert got == (None if text is None else [text])
+            continue
+        assert got == known.get(text, got)
+        assert "".join("".join(got).split()) == "".join(text.split()) and all(0 < len(p) <= 30 and p == p.strip() for p in got)
+        # Each cut is the last one of its kind that fits.
+        at = 0
+        for piece, later in zip(got, got[1:], strict=False):
+            begin = text.index(piece, at)
+            at = text.index(later[0], begin + len(piece))
+            taken, head = text[begin:at].rstrip(), text.strip()[len(text[:begin].lstrip()) :][:30]
+            blank, line = head.rfind("\n\n"), head.rfind("\n")
+            assert taken == piece == head[: blank if blank > 0 else line if line > 0 else 30].strip()
+
+
+def test_splits_take_linear_time(spark):
+    import time
+
+    def took(n):
+        rows = spark.createDataFrame([("some words of a line\n" * n,)], "x string")
+        began = time.time()
+        assert rows.select(F.size(T.transcript_chunks("x", 90_000, 45_000)), F.size(T.message_pieces("x"))).first()[0] > 1
+        return time.time() - began
+
+    took(10_000)
+    assert took(400_000) < 8 * took(100_000) + 2
 
 
 def chunk_plainly(text, limit):
