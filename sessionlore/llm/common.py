@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,25 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from sessionlore.sources.shared import new_path
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A mapInArrow task works on slices of about so many bytes of text.
 SLICE_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. It is read from
-    ``spark.checkpoint.dir``; a local one is made only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: the lineage ends
     there, and a lost executor costs no recomputation."""
@@ -65,7 +51,7 @@ def arrow_map(
 ) -> DataFrame:
     """mapInArrow for a function that yields dicts of columns. Where the
     session has Spark's default of 10,000 rows a batch it is lowered, since
-    texts may be long."""
+    texts may be long; it stays so, as the plan runs later and reads it then."""
     target = to_arrow_schema(StructType.fromDDL(schema))
     if df.sparkSession.conf.get(BATCH_ROWS, "10000") == "10000":
         df.sparkSession.conf.set(BATCH_ROWS, "1000")
