@@ -72,23 +72,25 @@ def recent(notes: DataFrame, n: int = RECENT) -> DataFrame:
     return notes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def _joined(notes: DataFrame, n: int, line: Column, between: str) -> DataFrame:
-    """(guild_id, text) of at most ``n`` notes a guild, in order of rank."""
-    rows = recent(notes, n).groupBy("guild_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("xs"))
+def _joined(guilds: DataFrame, notes: DataFrame, n: int, line: Column, between: str) -> DataFrame:
+    """(guild_id, text) of at most ``n`` notes of each of the guilds, in order of
+    rank; notes of other guilds are left out before they are ranked."""
+    asked = notes.join(guilds.select("guild_id").distinct(), "guild_id", "left_semi")
+    rows = recent(asked, n).groupBy("guild_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("xs"))
     return rows.select("guild_id", F.array_join(F.col("xs.line"), between).alias("text"))
 
 
 def listing(guilds: DataFrame, notes: DataFrame, n: int = LISTED) -> DataFrame:
     """(guild_id, listing)."""
     line = F.concat(F.lit("- #"), F.col("id").cast("string"), F.lit(" ["), F.col("note_type"), F.lit("] "), F.col("title"), F.lit(": "), preview("content"))
-    rows = _joined(notes, n, line, "\n").select("guild_id", F.concat(F.lit(LIST_HEADING + "\n\n"), F.col("text")).alias("listing"))
+    rows = _joined(guilds, notes, n, line, "\n").select("guild_id", F.concat(F.lit(LIST_HEADING + "\n\n"), F.col("text")).alias("listing"))
     return guilds.select("guild_id").join(rows, "guild_id", "left").select("guild_id", F.coalesce("listing", F.lit(NO_NOTES)).alias("listing"))
 
 
 def snapshots(guilds: DataFrame, notes: DataFrame, n: int = RECENT) -> DataFrame:
     """(guild_id, markdown): recent notes under a heading each."""
     part = F.concat(F.lit("## ["), F.col("note_type"), F.lit("] "), F.col("title"), F.lit("\n\n"), F.col("content"))
-    rows = _joined(notes, n, part, "\n\n")
+    rows = _joined(guilds, notes, n, part, "\n\n")
     text = F.concat(F.lit(SNAPSHOT_HEADING), F.coalesce(F.concat(F.lit("\n\n"), F.col("text")), F.lit("")))
     return guilds.select("guild_id").join(rows, "guild_id", "left").select("guild_id", F.concat(F.rtrim(text, F.lit(WHITE_SPACE)), F.lit("\n")).alias("markdown"))
 
@@ -96,5 +98,5 @@ def snapshots(guilds: DataFrame, notes: DataFrame, n: int = RECENT) -> DataFrame
 def prior_contexts(guilds: DataFrame, notes: DataFrame, n: int = RECENT) -> DataFrame:
     """(guild_id, context): recent notes as text. It is for display; summaries
     must not read it, or old notes would leak into them."""
-    rows = _joined(notes, n, titled("note_type", "title", "content"), "\n\n")
+    rows = _joined(guilds, notes, n, titled("note_type", "title", "content"), "\n\n")
     return guilds.select("guild_id").join(rows, "guild_id", "left").select("guild_id", F.coalesce("text", F.lit(NO_PRIOR_NOTES)).alias("context"))

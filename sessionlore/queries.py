@@ -173,13 +173,17 @@ def failure_quarantine(spark, sf_dir):
     return rows.select("event_id", "user_id", F.col("failures").cast("long").alias("failures"), "action")
 
 
-@query("""
-SELECT 'u' || user_id AS path, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::BIGINT AS packet_no, (event_id % 65536)::BIGINT AS sequence,
-       (event_id % 1000003)::BIGINT AS timestamp, props AS payload FROM events
+@query(f"""
+SELECT 'u' || user_id || '/' || burst AS path, (row_number() OVER (PARTITION BY user_id, burst ORDER BY event_id) - 1)::BIGINT AS packet_no, (event_id % 65536)::BIGINT AS sequence,
+       (event_id % 1000003)::BIGINT AS timestamp, props AS payload FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS burst FROM (
+    SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= {GAP_US})::INT, 0) AS new FROM events))
 """)
 def packet_archive_roundtrip(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("arrival_no"), (F.col("event_id") % 65536).alias("sequence"),
+    """An archive for each burst of a user."""
+    bursts = packets.with_bursts(_events(spark, sf_dir), ["user_id"], GAP_US, at="ts", order="event_id")
+    rows = bursts.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), F.col("burst").cast("string")).alias("path"), F.col("event_id").alias("arrival_no"), (F.col("event_id") % 65536).alias("sequence"),
         (F.col("event_id") % 1000003).alias("timestamp"), F.col("props").cast("binary").alias("payload"),
     )
     return packets_of(archives_of(rows)).select("path", F.col("packet_no").cast("long").alias("packet_no"), F.col("sequence").cast("long").alias("sequence"), "timestamp", F.col("payload").cast("string").alias("payload"))
@@ -212,12 +216,12 @@ def name_lookup(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id, CASE WHEN trim(regexp_replace(left(text, 40), '[^\\p{{L}}\\p{{N}}]', '_', 'g'), '_') = '' THEN 'speaker' ELSE trim(regexp_replace(left(text, 40), '[^\\p{{L}}\\p{{N}}]', '_', 'g'), '_') END AS safe_name,
+SELECT doc_id, CASE WHEN trim(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '_', 'g'), '_') = '' THEN 'speaker' ELSE trim(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '_', 'g'), '_') END AS safe_name,
        CASE WHEN length(p) > 110 THEN left(p, 107) || '...' ELSE p END AS preview
 FROM (SELECT doc_id, text, trim(regexp_replace(text, '[{WS}]+', ' ', 'g'), '{WS}') AS p FROM documents)
 """)
 def safe_names(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.safe_name(F.substring("text", 1, 40)).alias("safe_name"), T.preview("text").alias("preview"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.safe_name("text").alias("safe_name"), T.preview("text").alias("preview"))
 
 
 # ---- sessions --------------------------------------------------------------
@@ -321,11 +325,12 @@ def recent_notes(spark, sf_dir):
     return notes.recent(_notes(spark, sf_dir), 20).select("guild_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
-_GUILDS = "(SELECT r_regionkey::BIGINT * 6 AS guild_id FROM region)"
+# All guilds, and one without notes.
+_GUILDS = "(SELECT DISTINCT guild_id FROM " + _N + " UNION ALL SELECT -1)"
 
 
 def _guilds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "region").select((F.col("r_regionkey").cast("long") * 6).alias("guild_id"))
+    return _notes(spark, sf_dir).select("guild_id").distinct().unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("guild_id")))
 
 
 @query(f"""
@@ -384,7 +389,7 @@ def note_corrections(spark, sf_dir):
 # ---- search ----------------------------------------------------------------
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vectors = read(spark, sf_dir, "embeddings")
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("note_type"), F.col("source").alias("title"), F.substring("text", 1, 60).alias("content"))
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("note_type"), F.col("source").alias("title"), F.col("text").alias("content"))
     notes_ = search.with_vectors(rows, vectors.select(F.col("vec_id").alias("note_id"), "embedding")).join(vectors.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("guild_id")), "id")
     questions = vectors.where("vec_id % 40 = 0").select(F.col("vec_id").alias("question_id"), F.col("label").cast("long").alias("guild_id"), "embedding")
     return questions, notes_
@@ -411,7 +416,7 @@ def semantic_topk_batch(spark, sf_dir):
 
 
 @query(f"""
-SELECT question_id, string_agg('[' || lang || '] ' || source || chr(10) || left(text, 60), chr(10) || chr(10) ORDER BY rank) AS context
+SELECT question_id, string_agg('[' || lang || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
 FROM ({_TOP}) t JOIN documents d ON d.doc_id = t.note_id GROUP BY question_id
 """)
 def retrieval_context(spark, sf_dir):
@@ -491,8 +496,11 @@ def live_failure_quarantine(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from sessionlore import table_queries  # noqa: F401  adds its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
