@@ -15,8 +15,9 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.b) AS component_i
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id, s.n
 """
 
-OP10 = r"""
-WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, count(*) AS copies, row_number() OVER (ORDER BY conv_id, turn, role, text) AS mid FROM conversations GROUP BY conv_id, turn, role, text),
+#: The messages of the conversations ``src``, as rows ``placed``.
+_MESSAGES = r"""
+m AS (SELECT conv_id, turn, role, text, count(*) AS copies, row_number() OVER (ORDER BY conv_id, turn, role, text) AS mid FROM src GROUP BY conv_id, turn, role, text),
 raw AS (SELECT mid, unnest(string_split_regex(coalesce(text, ''), '\r\n|\r|\n')) AS raw, generate_subscripts(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), 1) AS i FROM m),
 lev AS (SELECT *, length(regexp_replace(regexp_extract(raw, '^[ \t]*((?:>[ \t]*)+)', 1), '[^>]', '', 'g')) AS level FROM raw),
 lines AS (
@@ -43,17 +44,31 @@ link AS (SELECT mid, level, origin, whole, top FROM chosen WHERE r = 1),
 per AS (
   SELECT mid, count(*) AS n_quotes, count(origin) AS n_linked, (arg_max(origin, [whole, top, -origin]) FILTER (WHERE level = 1 AND origin IS NOT NULL)) AS parent FROM link GROUP BY mid),
 up AS (SELECT conv_id, turn, min(parent) AS parent FROM per JOIN m USING (mid) WHERE parent IS NOT NULL GROUP BY conv_id, turn),
-climb AS (
-  SELECT conv_id, turn, parent AS root, 1 AS depth FROM up
-  UNION ALL SELECT c.conv_id, c.turn, u.parent, c.depth + 1 FROM climb c JOIN up u ON u.conv_id = c.conv_id AND u.turn = c.root),
-roots AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM climb GROUP BY conv_id, turn)
-SELECT msg.conv_id, msg.turn, msg.role,
-       CASE WHEN msg.conv_id IS NOT NULL AND msg.turn IS NOT NULL THEN count(*) OVER (PARTITION BY msg.conv_id ORDER BY msg.turn NULLS FIRST, msg.role NULLS FIRST, msg.text NULLS FIRST ROWS UNBOUNDED PRECEDING) - 1
-            - count(*) FILTER (WHERE msg.turn IS NULL) OVER (PARTITION BY msg.conv_id) END::BIGINT AS place,
+turns AS (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+tree AS (
+  SELECT conv_id, turn, [turn] AS path FROM turns t WHERE NOT EXISTS (SELECT 1 FROM up u WHERE u.conv_id = t.conv_id AND u.turn = t.turn)
+  UNION ALL SELECT u.conv_id, u.turn, list_append(t.path, u.turn) FROM up u JOIN tree t ON t.conv_id = u.conv_id AND t.turn = u.parent),
+placed AS (
+  SELECT msg.conv_id, msg.turn, msg.role,
+       CASE WHEN path IS NOT NULL THEN row_number() OVER (PARTITION BY msg.conv_id, path IS NULL ORDER BY path, msg.role NULLS FIRST, msg.text NULLS FIRST) - 1 END::BIGINT AS place,
        msg.copies::BIGINT AS copies, msg.levels::BIGINT AS quote_levels, coalesce(per.n_quotes, 0)::BIGINT AS n_quotes, coalesce(per.n_linked, 0)::BIGINT AS n_linked, per.parent AS parent_turn,
-       CASE WHEN per.parent IS NOT NULL THEN roots.root ELSE msg.turn END AS root_turn, CASE WHEN per.parent IS NOT NULL THEN roots.depth ELSE 0 END::BIGINT AS depth,
+       coalesce(path[1], msg.turn) AS root_turn, coalesce(len(path) - 1, 0)::BIGINT AS depth,
        '<|' || coalesce(msg.role, 'unknown') || '|>' || chr(10) || msg.content || chr(10) || '<|end|>' AS formatted
-FROM msg LEFT JOIN per ON per.mid = msg.mid LEFT JOIN roots ON roots.conv_id = msg.conv_id AND roots.turn = msg.turn
+  FROM msg LEFT JOIN per ON per.mid = msg.mid LEFT JOIN tree ON tree.conv_id = msg.conv_id AND tree.turn = msg.turn)
+"""
+
+OP10_MESSAGES = "WITH RECURSIVE src AS (SELECT * FROM conversations)," + _MESSAGES + "SELECT * FROM placed"
+
+OP10 = r"""
+WITH RECURSIVE q AS (SELECT conv_id, turn AS source, min(text) AS quoted FROM conversations GROUP BY conv_id, turn),
+src AS (
+  SELECT conv_id, turn, role, CASE WHEN coalesce(quoted, '') <> '' THEN 'On Monday, someone wrote:' || chr(10) || '> ' || replace(CASE WHEN turn % 2 = 0 THEN quoted ELSE split_part(quoted, chr(10), 1) END, chr(10), chr(10) || '> ')
+    || chr(10) || chr(10) || coalesce(text, '') ELSE text END AS text
+  FROM (SELECT *, CASE WHEN turn > 0 THEN greatest(turn - 1 - turn % 3, 0) END AS source FROM conversations) c LEFT JOIN q USING (conv_id, source)),
+""" + _MESSAGES + r"""
+SELECT conv_id, coalesce(place // 64, -1)::BIGINT AS part, count(*)::BIGINT AS n_messages, sum(n_quotes)::BIGINT AS n_quotes, sum(n_linked)::BIGINT AS n_linked,
+       string_agg(coalesce(turn::VARCHAR, '?') || '<' || coalesce(parent_turn::VARCHAR, '-') || '/' || depth, ',' ORDER BY place) AS replies, string_agg(formatted, chr(10) ORDER BY place) AS conversation
+FROM placed GROUP BY conv_id, place // 64, CASE WHEN place IS NULL THEN formatted END
 """
 
 SQL = {"op2_ngram_jaccard": OP2, "op10_quotation_linking": OP10}

@@ -52,7 +52,9 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.linked_conversations(table(spark, sf_dir, "conversations"))
+    """The chats as mail that quotes, its links, and the conversations without quotes."""
+    mail = quotes.quoting(table(spark, sf_dir, "conversations"))
+    return quotes.conversations(quotes.linked_conversations(mail))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,15 +7,17 @@ quoted ones are joined to the earliest message of the same conversation whose
 own text has them: as its whole text, one of its runs or paragraphs, or one of its
 lines. A message answers (``parent_turn``) the earlier message that most of its
 level-1 lines come from; a whole passage counts more than lines. Messages
-are returned without quotes, in reply order: a reply follows what it answers,
-since that has an earlier turn; ``root_turn`` and ``depth`` come from pointer
-doubling over the parents.
+are returned without quotes, in reply order: a message, then each of its
+replies with the replies to it, by turn. ``place`` comes from the parents alone:
+sizes of subtrees and sums along the way up to the root by pointer doubling, so
+in as many steps as the logarithm of the depth. :func:`conversations` joins the
+messages in that order, in parts of ``BUCKET`` messages.
 
 Nulls: a null text is empty. Rows with a null conv_id or turn are kept, link
 with nothing, and have null places. Equal rows are one message (``copies``
 says how many); different rows of one turn are ordered by role and text. An
 empty table gives no rows. Very long texts stay one row; nothing collects
-the messages of a conversation.
+the messages of a conversation but in such parts.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlore.llm.common import narrow, stored
+from sessionlore.llm.common import dropped, narrow, stored
 
-#: Turns that share a bucket when places are counted.
+#: Turns that share a bucket when places are counted, and messages of a part.
 BUCKET = 64
 MARKS = r"^[ \t]*((?:>[ \t]*)+)"
 WROTE = r"(?i)^on .*\bwrote:[ \t]*$"
@@ -90,39 +92,112 @@ def links(messages: DataFrame) -> DataFrame:
     return votes.groupBy("conv_id", "turn", "key", "level", "run").agg((-best["early"]).alias("origin"), F.max("n").alias("n"), best["whole"].alias("whole"))
 
 
-def threads(parents: DataFrame) -> DataFrame:
-    """(conv_id, turn, root_turn, depth) of the turns with a parent."""
-    now, _ = stored(parents.groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("root_turn")).withColumn("depth", F.lit(1)), "threads")
+def before(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the earlier turns of their key.
+    Buckets of turns are summed first: a key's window holds buckets only."""
+    bucketed = rows.withColumn("bucket", F.floor(F.col("turn") / BUCKET))
+    totals = bucketed.groupBy(*keys, "bucket").agg(F.sum(value).alias("n"))
+    earlier = totals.select(*keys, "bucket", (F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket")) - F.col("n")).alias("earlier"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, "bucket").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return bucketed.withColumn("inside", inside).join(earlier, [*keys, "bucket"]).withColumn(name, F.col("earlier") + F.col("inside")).drop("bucket", "inside", "earlier")
+
+
+def climbed(step, now: DataFrame, name: str) -> DataFrame:
+    """Repeat a doubling ``step`` (which adds ``moved``) until nothing moves."""
+    now, path = stored(now, name)
     while True:
-        up = now.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"))
-        step, _ = stored(now.join(up, ["conv_id", "root_turn"], "left").select("conv_id", "turn", F.coalesce("next", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "threads")
-        now = step.drop("moved")
-        if not step.where("moved").limit(1).count():
+        done, new_path = stored(step(now), name)
+        dropped(now.sparkSession, path)
+        now, path = done.drop("moved"), new_path
+        if not done.where("moved").limit(1).count():
             return now
 
 
+def with_sizes(turns: DataFrame) -> DataFrame:
+    """``size`` of each turn (conv_id, turn, messages, parent_turn): messages in
+    it and in all below it. Each step adds what is twice as far below."""
+
+    def step(now: DataFrame) -> DataFrame:
+        below = now.where("up is not null").groupBy("conv_id", F.col("up").alias("turn")).agg(F.sum("size").alias("more"))
+        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"))
+        met = now.join(below, ["conv_id", "turn"], "left").join(above, ["conv_id", "up"], "left")
+        return met.select("conv_id", "turn", "messages", "parent_turn", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.col("next").alias("up"), F.col("next").isNotNull().alias("moved"))
+
+    now = climbed(step, turns.withColumn("size", F.col("messages")).withColumn("up", F.col("parent_turn")), "subtrees")
+    return now.select("conv_id", "turn", "messages", "parent_turn", "size")
+
+
+def threads(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, root_turn, depth, first): ``first`` is the place of the
+    turn's first message in the reply order of its conversation."""
+    sized, sized_path = stored(with_sizes(turns), "sizes")
+    roots = before(sized.where("parent_turn is null"), ["conv_id"], "size", "first").select("conv_id", "turn", F.col("turn").alias("root_turn"), F.lit(0).alias("depth"), "first")
+    replies = before(sized.where("parent_turn is not null"), ["conv_id", "parent_turn"], "size", "older")
+    parents = sized.select("conv_id", F.col("turn").alias("parent_turn"), F.col("messages").alias("own"))
+    # From a reply's parent to itself: the parent's messages and its earlier replies.
+    steps = replies.join(parents, ["conv_id", "parent_turn"]).select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth"), (F.col("own") + F.col("older")).alias("first"))
+
+    def step(now: DataFrame) -> DataFrame:
+        up = now.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"), F.col("first").alias("ahead"))
+        added = lambda c, x: (F.col(c) + F.coalesce(x, F.lit(0))).alias(c)
+        return now.join(up, ["conv_id", "root_turn"], "left").select("conv_id", "turn", F.coalesce("next", "root_turn").alias("root_turn"), added("depth", "more"), added("first", "ahead"), F.col("next").isNotNull().alias("moved"))
+
+    below = climbed(step, steps, "threads")
+    starts = roots.select("conv_id", "root_turn", F.col("first").alias("start"))
+    out = below.join(starts, ["conv_id", "root_turn"]).select("conv_id", "turn", "root_turn", "depth", (F.col("start") + F.col("first")).alias("first")).unionByName(roots)
+    out, _ = stored(out, "reply-order")
+    dropped(turns.sparkSession, sized_path)
+    return out
+
+
 def linked_conversations(conversations: DataFrame) -> DataFrame:
     """One row per message, see above."""
     messages, _ = stored(parsed(conversations), "messages")
-    found, _ = stored(links(messages), "quote-links")
+    found, found_path = stored(links(messages), "quote-links")
     per_message = found.groupBy("conv_id", "turn", "key").agg(
         F.count(F.lit(1)).alias("n_quotes"),
         F.count("origin").alias("n_linked"),
         F.max(F.when((F.col("level") == 1) & F.col("origin").isNotNull(), F.struct("whole", "n", (-F.col("origin")).alias("early")))).alias("best"),
     ).select("conv_id", "turn", "key", "n_quotes", "n_linked", (-F.col("best.early")).alias("parent_turn"))
     per_message, _ = stored(per_message, "parents")
-    roots = threads(per_message.where("parent_turn is not null"))
-    rows = messages.withColumn("key", message_key()).withColumn("bucket", F.floor(F.col("turn") / BUCKET))
-    sizes = rows.where("conv_id is not null and turn is not null").groupBy("conv_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("conv_id", "bucket", (F.sum("n").over(Window.partitionBy("conv_id").orderBy("bucket")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("conv_id", "bucket").orderBy("turn", "role", "text"))
-    placed = rows.withColumn("place", place).join(before, ["conv_id", "bucket"], "left")
-    out = placed.join(per_message, ["conv_id", "turn", "key"], "left").join(roots, ["conv_id", "turn"], "left")
+    dropped(conversations.sparkSession, found_path)
+    counts = messages.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("messages"))
+    parents = per_message.where("parent_turn is not null").groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("parent_turn"))
+    order = threads(counts.join(parents, ["conv_id", "turn"], "left"))
+    rank = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    placed = messages.withColumn("key", message_key()).withColumn("rank", rank)
+    out = placed.join(per_message, ["conv_id", "turn", "key"], "left").join(order, ["conv_id", "turn"], "left")
     role = F.coalesce("role", F.lit("unknown"))
     return out.select(
-        "conv_id", "turn", "role", (F.col("before") + F.col("place") - 1).alias("place"), "copies", "quote_levels",
+        "conv_id", "turn", "role", (F.col("first") + F.col("rank") - 1).alias("place"), "copies", "quote_levels",
         F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn",
-        F.when(F.col("parent_turn").isNotNull(), F.col("root_turn")).otherwise(F.col("turn")).alias("root_turn"),
-        F.when(F.col("parent_turn").isNotNull(), F.col("depth")).otherwise(0).alias("depth"),
+        F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"),
         F.concat(F.lit("<|"), role, F.lit("|>\n"), F.col("content"), F.lit("\n<|end|>")).alias("formatted"),
     )
+
+
+def conversations(messages: DataFrame, size: int = BUCKET) -> DataFrame:
+    """(conv_id, part, n_messages, n_quotes, n_linked, replies, conversation) of
+    rows of :func:`linked_conversations`: a conversation's text in reply order,
+    ``size`` messages a part. ``replies`` names turn, parent and depth of each
+    message. A message without a place is a part of its own, number -1."""
+    line = F.concat(F.coalesce(F.col("turn").cast("string"), F.lit("?")), F.lit("<"), F.coalesce(F.col("parent_turn").cast("string"), F.lit("-")), F.lit("/"), F.col("depth").cast("string"))
+    rows = messages.select("conv_id", "place", "n_quotes", "n_linked", line.alias("line"), "formatted")
+    loose = rows.where("place is null").select("conv_id", F.lit(-1).cast("long").alias("part"), F.lit(1).cast("long").alias("n_messages"), "n_quotes", "n_linked", F.col("line").alias("replies"), F.col("formatted").alias("conversation"))
+    parts = rows.where("place is not null").groupBy("conv_id", F.floor(F.col("place") / size).cast("long").alias("part")).agg(
+        F.count(F.lit(1)).alias("n_messages"), F.sum("n_quotes").alias("n_quotes"), F.sum("n_linked").alias("n_linked"), F.array_sort(F.collect_list(F.struct("place", "line", "formatted"))).alias("xs")
+    )
+    joined = parts.select("conv_id", "part", "n_messages", "n_quotes", "n_linked", F.array_join(F.col("xs.line"), ",").alias("replies"), F.array_join(F.col("xs.formatted"), "\n").alias("conversation"))
+    return joined.unionByName(loose)
+
+
+def quoting(conversations: DataFrame) -> DataFrame:
+    """The conversations as mail: a turn quotes an earlier one before its own
+    text, whole or by its first line. Chat tables have no quotes by themselves."""
+    rows = narrow(conversations, "conv_id", "turn", "role", "text")
+    quoted = rows.groupBy("conv_id", F.col("turn").alias("source")).agg(F.min("text").alias("quoted"))
+    source = F.greatest(F.col("turn") - 1 - F.col("turn") % 3, F.lit(0))
+    met = rows.withColumn("source", F.when(F.col("turn") > 0, source)).join(quoted, ["conv_id", "source"], "left")
+    part = F.when(F.col("turn") % 2 == 0, F.col("quoted")).otherwise(F.substring_index("quoted", "\n", 1))
+    mail = F.concat(F.lit("On Monday, someone wrote:\n> "), F.replace(part, F.lit("\n"), F.lit("\n> ")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    return met.select("conv_id", "turn", "role", F.when(F.coalesce("quoted", F.lit("")) != "", mail).otherwise(F.col("text")).alias("text"))

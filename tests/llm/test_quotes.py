@@ -32,6 +32,24 @@ def test_levels_links_and_order(spark):
     assert [rows[1, t, r]["place"] for t, r in ((0, "user"), (1, "assistant"), (2, "user"), (3, "user"), (4, "user"))] == [0, 1, 2, 3, 4]
 
 
+def test_replies_follow_what_they_answer(spark):
+    # 0 <- 2 <- 5, 0 <- 3, 1 <- 4: two threads that are told in turns.
+    parent = {2: 0, 5: 2, 3: 0, 4: 1}
+    rows, got = run(spark, [(1, t, "user", (f"> text of {parent[t]}\n" if t in parent else "") + f"text of {t}") for t in range(6)] + [(1, 2, "system", "beside")])
+    assert sorted((r["place"], r["turn"], r["role"]) for r in got) == [(0, 0, "user"), (1, 2, "system"), (2, 2, "user"), (3, 5, "user"), (4, 3, "user"), (5, 1, "user"), (6, 4, "user")]
+    frame = spark.createDataFrame(got)
+    parts = {r["part"]: r for r in quotes.conversations(frame, 4).collect()}
+    assert parts[0]["replies"] == "0<-/0,2<-/1,2<0/1,5<2/2" and parts[1]["n_messages"] == 3
+    whole = quotes.conversations(frame).first()["conversation"]
+    assert [whole.index(f"text of {t}") for t in (0, 2, 5, 3, 1, 4)] == sorted(whole.index(f"text of {t}") for t in range(6)) and ">" not in whole.replace("|>", "")
+
+
+def test_mail_quotes_earlier_turns(spark):
+    rows = [(1, 0, "user", "a\nb"), (1, 1, "bot", "c"), (1, 2, "user", None), (1, None, "user", "d"), (None, 1, "user", "e"), (2, 1, "user", "f")]
+    got = {(r["conv_id"], r["turn"]): r["text"] for r in quotes.quoting(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(1, 0): "a\nb", (1, 1): "On Monday, someone wrote:\n> a\n\nc", (1, 2): "On Monday, someone wrote:\n> a\n> b\n\n", (1, None): "d", (None, 1): "e", (2, 1): "f"}
+
+
 def test_edges(spark):
     long = "word " * 40000
     rows, got = run(spark, [
@@ -55,7 +73,7 @@ def test_equals_sql(spark):
     import duckdb
     import pandas as pd
 
-    from sessionlore.llm.oracles import OP10
+    from sessionlore.llm.oracles import OP10, OP10_MESSAGES
 
     rng = random.Random(2)
     bodies, rows = {}, []
@@ -74,9 +92,14 @@ def test_equals_sql(spark):
     conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
     con = duckdb.connect()
     con.register("conversations", conversations)
-    found = con.execute(OP10)
+    found = con.execute(OP10_MESSAGES)
     columns = [c[0] for c in found.description]
     key = lambda r: tuple(map(str, r))
     want = sorted(found.fetchall(), key=key)
     assert sorted(map(tuple, got.select(columns).collect()), key=key) == want
     assert sum(r[columns.index("parent_turn")] is not None for r in want) > 20
+    found = con.execute(OP10)
+    columns = [c[0] for c in found.description]
+    want = sorted(found.fetchall(), key=key)
+    parts = quotes.conversations(quotes.linked_conversations(quotes.quoting(df)))
+    assert sorted(map(tuple, parts.select(columns).collect()), key=key) == want
