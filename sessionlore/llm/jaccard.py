@@ -10,9 +10,10 @@ their sets' Jaccard similarity is 0.8 or more.
    by hash, with a bounded list of frequent shingles last; any order gives
    the same links, this one keeps the lists short.
 3. Block skipping: an entry of a list carries its set's size and its
-   position; entries whose sizes differ by over a fifth, or whose rest behind
-   the position is too short for the overlap, are skipped without a look at
-   the sets. Lists are joined in bands of like size.
+   position. Lists are cut into blocks by size and by position; from its own size
+   and position an entry knows which blocks can hold a partner (of a like
+   size, and with enough left behind both positions for the overlap), and meets
+   no other. Inside a block the same is asked of each entry.
 4. Answers from similar sets: in each list all sets are first compared with
    its central set, the one with the least position (fewest rare shingles
    before it; an original has fewer than its edited copies), and with its
@@ -34,6 +35,7 @@ for two texts may join their components. No rows give no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +48,13 @@ from sessionlore.llm.components import components
 from sessionlore.llm.textvec import Words, buffer, mix, runs_hash
 
 WIDTH = 5
-#: Shingles that a slice of text has three times or more are counted; of those
-#: with HEAVY_DF or more in all, at most HEAVY_MAX go last in the order.
-LOCAL_DF, HEAVY_DF, HEAVY_MAX = 3, 24, 200_000
+#: Shingles that a task has three times or more among LOCAL_SETS are counted; of
+#: those with HEAVY_DF or more in all, at most HEAVY_MAX go last in the order.
+LOCAL_DF, LOCAL_SETS, HEAVY_DF, HEAVY_MAX = 3, 2_000_000, 24, 200_000
+#: Blocks of a list: sizes by a factor, positions by a share of the size.
+SIZE_STEP, PLACE_STEP, PLACES = 1.1, 0.05, 4
+#: Groups of so many copies and more are joined by broadcast, few as they are.
+MANY_COPIES = 64
 SKETCH_BITS = 1024  # at least
 #: Lists of ids of up to this length (24 bytes an entry at most) may be broadcast.
 BROADCAST_IDS = 500_000
@@ -103,12 +109,26 @@ def lists_of(values: np.ndarray, n: np.ndarray) -> pa.Array:
 def frequent(docs: DataFrame) -> np.ndarray:
     """Hashes of the most frequent shingles, sorted; HEAVY_MAX at most."""
 
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        values, n = [np.concatenate(x) for x in zip(*held, strict=True)]
+        order = np.argsort(values)
+        heads = np.flatnonzero(np.diff(values[order], prepend=np.uint64(0)) != 0) if len(values) else np.zeros(0, np.int64)
+        heads = heads if len(heads) and heads[0] == 0 else np.concatenate(([0], heads))[: len(values)]
+        values, n = values[order][heads], np.add.reduceat(n[order], heads) if len(heads) else n
+        return values[n >= LOCAL_DF], n[n >= LOCAL_DF]
+
     def run(batches: Iterator[pa.RecordBatch]):
+        held, size = [], 0
         for batch in gathered(batches):
             values, _, _ = shingle_sets(batch.column("text"))
-            values, n = np.unique(values, return_counts=True)
-            often = n >= LOCAL_DF
-            yield {"token": values[often].view(np.int64), "n": n[often]}
+            held.append(np.unique(values, return_counts=True))
+            size += len(held[-1][0])
+            if size > LOCAL_SETS:
+                held = [added(held)]
+                size = len(held[0][0])
+        if held:
+            values, n = added(held)
+            yield {"token": values.view(np.int64), "n": n}
 
     counted = arrow_map(docs.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     most = counted.where(F.col("n") >= HEAVY_DF).orderBy(F.col("n").desc(), "token").limit(HEAVY_MAX).toPandas()
@@ -217,10 +237,11 @@ def classes(docs: DataFrame) -> DataFrame:
     whole, whole_path = stored(described(docs, frequent(docs)), "shingle-sets")
     rows, _ = stored(whole.select("doc_id", "n", "s1", "s2"), "set-names")
     with_set = rows.where("n > 0 and doc_id is not null")
-    reps, _ = stored(with_set.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "representatives")
+    reps, _ = stored(with_set.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "representatives")
+    many = max(MANY_COPIES, math.ceil(rows.count() / BROADCAST_IDS))
     # Copies are fewer than sets mostly, so it is they that are taken out.
     names = ["doc_id", "s1", "s2"]
-    copies, copies_path = stored(with_set.join(reps, ["s1", "s2"]).where("doc_id != id").select(names).distinct(), "copies")
+    copies, copies_path = stored(of_set(with_set, reps, many).where("doc_id != id").select(names).distinct(), "copies")
     few = copies.count() <= BROADCAST_IDS
     sets = whole.where("n > 0 and doc_id is not null").join(F.broadcast(copies) if few else copies, names, "left_anti").withColumnRenamed("doc_id", "id")
     lists, lists_path = stored(index_lists(sets.select("id", "n", "n_rare", "rare", "often")), "index-lists")
@@ -239,26 +260,54 @@ def classes(docs: DataFrame) -> DataFrame:
     if rest.limit(1).count():
         more = linked(rest, docs)
         known, known_path = stored(components(links.unionByName(more)), "components")
-    names, _ = stored(reps.join(known, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id")), "set-components")
+    names, _ = stored(reps.join(known, "id", "left").select("s1", "s2", "copies", F.coalesce("component", "id").alias("component_id")), "set-components")
     dropped(spark, lists_path, sets_path, first_path, rest_path, known_path)
-    own = with_set.select("doc_id", "n", "s1", "s2").join(names, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    own = of_set(with_set.select("doc_id", "n", "s1", "s2"), names, many).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return own.unionByName(alone)
 
 
+def of_set(rows: DataFrame, sets: DataFrame, many: int) -> DataFrame:
+    """``rows`` with the columns of their set. A set of ``many`` copies would
+    meet in one task; there are at most rows / many of these."""
+    key = ["s1", "s2"]
+    large = sets.where(F.col("copies") >= many)
+    small = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(sets.where(F.col("copies") < many), key)
+    return rows.join(F.broadcast(large), key).unionByName(small).drop("copies")
+
+
+def size_block(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
+
+
+def blocks_of(n: Column, pos: Column) -> Column:
+    """(place, size) of the blocks that can hold a partner of an entry: sizes
+    within a fifth, at most 9/4 (n - pos) - n for what is left behind the entry,
+    and at least 4 n / (5 - 9 r) where r is the least share before the partner."""
+    most = F.least(1.25 * n, 2.25 * (n - pos) - n) * (1 + 1e-9)
+    every = []
+    for k in range(PLACES):
+        least = 4 * n / (5 - 9 * PLACE_STEP * k) * (1 - 1e-9)
+        place = F.lit(k).alias("place")
+        sizes = F.transform(F.sequence(size_block(least), size_block(most)), lambda b: F.struct(place, b.alias("size")))  # noqa: B023
+        every.append(F.when(least <= most, sizes).otherwise(F.array().cast("array<struct<place:int,size:int>>")))
+    return F.concat(*every)
+
+
 def unresolved(lists: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) of one list that are in different components. In
     each list the component of its central set is the main one; only entries
-    of other components look for partners, in bands of like size."""
+    of other components look for partners, in the blocks that can hold one."""
     # Only sets that link at all are named.
     few = known.count() <= BROADCAST_IDS
     hint = F.broadcast if few else (lambda df: df)
     labelled = lists.join(hint(known.select("id", "component")), "id", "left").select("token", "id", "n", "pos", F.col("central.id").alias("main_id"), F.coalesce("component", "id").alias("c"))
     main = known.select(F.col("id").alias("main_id"), F.col("component").alias("main_c"))
     labelled = labelled.join(hint(main), "main_id", "left").withColumn("main_c", F.coalesce("main_c", "main_id"))
-    labelled, _ = stored(labelled.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")), "labelled-lists")
-    minor = labelled.where("c != main_c").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    other = labelled.select("token", "band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"), (F.col("c") == F.col("main_c")).alias("is_main"))
-    met = minor.join(other, ["token", "band"]).where((F.col("ca") != F.col("cb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
+    labelled, _ = stored(labelled, "labelled-lists")
+    minor = labelled.where("c != main_c").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"), F.explode(blocks_of(F.col("n"), F.col("pos"))).alias("block"))
+    place = F.least(F.floor(F.col("pos") / F.col("n") / PLACE_STEP), F.lit(PLACES - 1)).cast("int")
+    other = labelled.select("token", F.struct(place.alias("place"), size_block(F.col("n")).alias("size")).alias("block"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"), (F.col("c") == F.col("main_c")).alias("is_main"))
+    met = minor.join(other, ["token", "block"]).where((F.col("ca") != F.col("cb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
     less = F.col("a") < F.col("b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(less, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(less, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()

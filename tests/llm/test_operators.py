@@ -94,6 +94,38 @@ def test_jaccard(spark, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_classes(rows)
 
 
+def test_blocks_hold_every_possible_partner(spark):
+    rng = random.Random(41)
+    rows = [(n, rng.randrange(jaccard.prefix_size(n))) for n in rng.choices([*range(1, 40), 100, 333, 5000], k=500)]
+    entries = spark.createDataFrame(rows, "n long, pos int")
+    a = entries.select(F.col("n").alias("n1"), F.col("pos").alias("p1"), F.explode(jaccard.blocks_of(F.col("n"), F.col("pos"))).alias("block"))
+    place = F.least(F.floor(F.col("pos") / F.col("n") / jaccard.PLACE_STEP), F.lit(jaccard.PLACES - 1)).cast("int")
+    b = entries.select(F.struct(place.alias("place"), jaccard.size_block(F.col("n")).alias("size")).alias("block"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    met = a.join(b, "block").cache()
+    fits = jaccard.possible(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"))
+    got = collections.Counter(map(tuple, met.where(fits).select("n1", "p1", "n2", "p2").collect()))
+    every = entries.toDF("n1", "p1").crossJoin(entries.toDF("n2", "p2"))
+    assert got == collections.Counter(map(tuple, every.where(fits).collect()))
+    alike = every.where("5 * least(n1, n2) >= 4 * greatest(n1, n2)").count()
+    assert met.count() < 0.7 * alike  # entries of a like size that are skipped by position
+
+
+def test_jaccard_with_large_groups_and_long_texts(spark, monkeypatch):
+    rng = random.Random(42)
+    monkeypatch.setattr(jaccard, "MANY_COPIES", 5)
+    monkeypatch.setattr(jaccard, "LOCAL_SETS", 500)
+    monkeypatch.setattr(jaccard, "HEAVY_DF", 6)
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, f"{common} " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(rng.choice([3, 60, 400])))) for i in range(60)]
+    rows += [(100 + i, "the very same text in many rows of the table") for i in range(30)] + [(200 + i, "another text that three rows have") for i in range(3)]
+    got = jaccard.classes(frame(spark, [(d, t, "x") for d, t in rows])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_classes(rows)
+    # The common passage is found frequent although no slice has it often.
+    monkeypatch.undo()
+    monkeypatch.setattr(jaccard, "gathered", lambda batches: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
+    assert len(jaccard.frequent(spark.createDataFrame(rows[:60], "doc_id long, text string").coalesce(1))) == 36
+
+
 def test_jaccard_edges(spark):
     got = [(r["doc_id"], r["component_id"]) for r in jaccard.classes(frame(spark, EDGES)).collect()]
     assert sorted(got, key=str) == sorted([(None, None), (9001, 9001), (9002, 9002), (9003, 9003), (9004, 9004), (9004, 9004), (9005, 9005)], key=str)
