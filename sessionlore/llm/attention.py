@@ -400,13 +400,14 @@ def word_counts(dealt: DataFrame) -> tuple[DataFrame, int, int]:
 SCORES = "doc_id long, n_tokens long, n_known long, log_counts double, score double"
 
 
-def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
+def scored(docs: DataFrame, path: str | None = None, with_model: bool = True) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)
-    of each row of (doc_id, text), logarithms to base 10."""
+    of each row of (doc_id, text), logarithms to base 10. ``with_model`` false
+    leaves the score null and trains nothing."""
     path = path or default_path()
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", is_training().alias("training"))
-    model = spark.sparkContext.broadcast(fit(docs.where("training"), path))
+    model = spark.sparkContext.broadcast(fit(docs.where("training"), path) if with_model else None)
     _, text_bytes = row_bytes(docs)
     blocks = max(1, math.ceil(text_bytes / BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
@@ -417,8 +418,7 @@ def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def score(rows: pa.Table, known: pa.Table) -> pa.Table:
         one_blas_thread()
-        weights, vocabulary = model.value
-        coder, parts = Subwords.of(path), []
+        parts = []
         keys, values = known["h"].to_numpy().view(np.uint64), known["n"].to_numpy()
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
@@ -427,12 +427,14 @@ def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
             words, h = word_hashes(batch.column("text"))
             at = np.searchsorted(keys, h)
             k = batch.num_rows
-            ids, n = coder.encode(batch.column("text"))
+            if model.value:
+                ids, n = Subwords.of(path).encode(batch.column("text"))
+                score = text_log_p(*model.value, ids.astype(np.int64), n) / np.log(10)
             parts.append(as_batch({
                 "doc_id": batch.column("doc_id"), "n_tokens": words.counts() + 1,
                 "n_known": np.bincount(words.doc, weights=values[at] > 0, minlength=k).astype(np.int64) + (texts > 0),
                 "log_counts": np.bincount(words.doc, weights=logs[at], minlength=k) + np.log10(texts + 0.5),
-                "score": text_log_p(weights, vocabulary, ids.astype(np.int64), n) / np.log(10),
+                "score": score if model.value else pa.nulls(k, pa.float64()),
             }, out))
         return pa.Table.from_batches(parts, out)
 

@@ -71,4 +71,39 @@ SELECT conv_id, coalesce(place // 64, -1)::BIGINT AS part, count(*)::BIGINT AS n
 FROM placed GROUP BY conv_id, place // 64, CASE WHEN place IS NULL THEN formatted END
 """
 
-SQL = {"op2_ngram_jaccard": OP2, "op10_quotation_linking": OP10}
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP5 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON c.vec_id <> q.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+RULE_COUNTS = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, {_WORDS.format('text')} AS w FROM d),
+runs AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1))) AS i, w FROM w WHERE len(w) >= 5),
+named AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS run FROM runs),
+often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS k FROM named) WHERE k > 1),
+repeats AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, i + unnest(range(5)) AS place FROM often) GROUP BY doc_id),
+lines AS (SELECT doc_id, line, count(*) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line),
+dups AS (SELECT doc_id, sum(k - 1) AS n FROM lines GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+       coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, len(w) < 10 OR 100 * coalesce(repeats.n, 0) > 20 * len(w) AS base_failed
+FROM w LEFT JOIN repeats USING (doc_id) LEFT JOIN dups USING (doc_id)
+"""
+
+_CRC32 = """xor(list_reduce(list_concat([4294967295], list_transform(string_split({}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295)"""
+
+WORD_SCORES = rf"""
+WITH d AS (SELECT doc_id, {_CRC32.format('doc_id')} % 5 = 1 AS held_out, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(list_append(w, ' ')) AS t FROM d),
+c AS (SELECT t, count(*) AS c FROM t WHERE NOT held_out GROUP BY t),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c.c)::BIGINT AS n_known, any_value(n.n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5::DOUBLE) / (n.n + 0.5::DOUBLE * (n.v + 1)))), 5) AS base_score
+FROM t LEFT JOIN c USING (t) CROSS JOIN n GROUP BY doc_id, held_out
+"""
+
+SQL = {"op2_ngram_jaccard": OP2, "op5_exact_topk": OP5, "op10_quotation_linking": OP10, "rule_counts": RULE_COUNTS, "word_scores": WORD_SCORES}

@@ -57,8 +57,21 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(quotes.linked_conversations(mail))
 
 
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base rules of operator 4 alone, which SQL can express."""
+    rows = rules.statistics(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rules.base_failed(F.col("n_words"), F.col("n_repeat_words")).alias("base_failed"))
+
+
+def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base score of operator 8 alone, which SQL can express."""
+    rows = attention.scored(table(spark, sf_dir, "documents"), with_model=False)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    numbered = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return numbered | {"rule_counts": rule_counts, "word_scores": word_scores}
 
 
 def oracle_sql() -> dict[str, str]:
