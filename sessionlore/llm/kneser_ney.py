@@ -103,8 +103,10 @@ class Discounts:
         for c in names:
             n = [row[f"{c}_{k}"] for k in (1, 2, 3, 4)]
             y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-            # Where counts of counts are missing (tiny corpora), the plain discount.
-            self.d[c] = [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] and n[k] else y for k in (1, 2, 3)]
+            # Where counts of counts are missing or leave nothing (tiny corpora), the
+            # plain discount: without any, an unseen n-gram would be impossible.
+            modified = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] else 0 for k in (1, 2, 3)]
+            self.d[c] = [d if d > 0 else y for d in modified]
 
     def of(self, name: str) -> Column:
         c, d = F.col(name), self.d[name]
