@@ -144,7 +144,7 @@ def plain_kneser_ney(trusted, queries):
     def discounts(c):
         n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        return [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] and n[k] else y for k in (1, 2, 3)]
+        return [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] and k * n[k - 1] > (k + 1) * y * n[k] else y for k in (1, 2, 3)]
 
     d = {k: discounts(c) for k, c in counts.items()}
     off = lambda k, c: d[k][min(c, 3) - 1] if c else 0.0
@@ -195,6 +195,36 @@ def test_quality_and_edges(spark):
     assert all(r["kept"] == bool(r["n_scored"]) for r in kneser_ney.judged(frame(spark, good + EDGES), labels.limit(0)).collect())
 
 
+def test_verdicts_are_those_of_a_plain_version(spark):
+    import xxhash
+
+    rng = random.Random(43)
+    words = {"en": ["the", "cat", "sat", "on", "a", "mat", "dog."], "fr": ["le", "été", "où", "chat", "noir", "Ça"]}
+    docs = [(i, prose(rng, rng.randrange(5, 50), words[lang]) + rng.choice(["", "", " #!", " QX 9"]), lang) for i, lang in enumerate(["en", "fr"] * 60)]
+    docs += [(200 + i, prose(rng, 20, words["en"]), None) for i in range(5)] + [(300, "", "en")]
+    trusted = {i for i in range(120) if i % 3}
+    fold = {d: xxhash.xxh64(t.encode(), seed=42).intdigest() for d, t, _ in docs}
+    fold = {d: (h - (h >> 63 << 64)) % kneser_ney.FOLDS + 1 if d in trusted else 0 for d, h in fold.items()}
+    excess = {}
+    for k in range(kneser_ney.FOLDS + 1):
+        mine = [(d, t) for d, t, _ in docs if fold[d] == k]
+        scores = plain_kneser_ney([t for d, t, _ in docs if d in trusted and (not k or fold[d] != k)], [t for _, t in mine])
+        excess |= {d: None if s is None else s - kneser_ney.ALLOWANCE / math.sqrt(len(t)) for (d, t), s in zip(mine, scores, strict=True)}
+
+    def limit(values):
+        values = sorted(values)
+        low, high = [values[max(0, math.ceil(p * len(values)) - 1)] for p in (0.5, kneser_ney.QUANTILE)]
+        return high + kneser_ney.MARGIN * (high - low)
+
+    limits = {lang: limit([excess[d] for d, _, x in docs if d in trusted and x == lang]) for lang in words}
+    limits[None] = limit([excess[d] for d in trusted])
+    want = {d: excess[d] is not None and excess[d] <= limits[lang] + 1e-9 for d, _, lang in docs}
+    labels = spark.createDataFrame([(d, 1, 0) for d in trusted], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: (r["kept"], r["threshold"]) for r in kneser_ney.judged(frame(spark, docs), labels).collect()}
+    assert {d: k for d, (k, _) in got.items()} == want and not all(want.values())
+    assert all(abs(got[d][1] - limits[lang]) < 1e-9 for d, _, lang in docs)
+
+
 def test_thresholds_are_held_out(spark):
     rng = random.Random(13)
     words = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(6)) for _ in range(2000)]
@@ -262,6 +292,32 @@ def test_rules(spark):
     assert rules.judged(docs.limit(0), labels).count() == 0
 
 
+def test_verdicts_follow_from_plain_thresholds(spark):
+    rng = random.Random(44)
+    text = lambda end="": " ".join(f"word{rng.randrange(500)}{end if rng.random() < 0.4 else ''}" for _ in range(40))
+    docs = [(i, text(), "en") for i in range(300)] + [(1000 + i, text("%%"), "en") for i in range(30)] + [(2000, "few words", "en")]
+    bad = {d for d, *_ in docs if d >= 1000}
+    labels = spark.createDataFrame([(d, int(d not in bad)) for d, *_ in docs], "doc_id long, quality int")
+    stats = rules.statistics(frame(spark, docs)).cache()
+    forests = rules.fit(stats, labels)
+    rows = stats.toPandas()
+    x = rules.features({c: rows[c].to_numpy() for c in rules.COUNTS})
+    use = (rows["n_words"] >= rules.MIN_WORDS).to_numpy()
+    is_bad = rows["doc_id"].isin(bad).to_numpy()
+    rejected = np.zeros(len(rows), bool)
+    for forest, columns in zip(forests.forests, forests.columns, strict=True):
+        score = forest.score(x[:, columns])
+        good = sorted(score[use & ~is_bad], reverse=True)
+        least = good[int(rules.GOOD_LOSS * len(good))]
+        above = score[use & is_bad & (score > least)]
+        lost = int((score[use & ~is_bad] > least).sum())
+        if rules.convincing(len(above), lost, (use & is_bad).sum() / use.sum()):
+            rejected |= score > (least + min(above)) / 2
+    got = {r["doc_id"]: r["kept"] for r in rules.judged(frame(spark, docs), labels).collect()}
+    assert got == {d: bool(u and not r) for d, u, r in zip(rows["doc_id"], use, rejected, strict=True)}
+    assert sum(got[d] for d in range(300)) == 300 and not any(got[d] for d in bad)
+
+
 def test_thresholds_cover_all_labels(spark, monkeypatch):
     rng = random.Random(14)
     text = lambda end="": " ".join(f"word{rng.randrange(500)}{end}" for _ in range(40))
@@ -497,6 +553,15 @@ def test_long_unspaced_texts_take_time_in_proportion(letters):
     assert took(400_000) < 12 * took(100_000) + 1
 
 
+def test_long_unspaced_texts_in_all_operators(spark):
+    rng = random.Random(45)
+    long = "".join(rng.choices("abcdefghij漢字", k=60_000))
+    docs = frame(spark, [(1, long, "en"), (2, "the thing with", "en"), (3, long + " end", "de")])
+    assert all(r["round_trip"] for r in pieces.round_trips(docs).collect())
+    assert all(0 < r["score"] <= 1 for r in langid.predict(docs, langid.train(docs)).collect())
+    assert {(r["n_tokens"], r["score"] < 0) for r in attention.scored(docs).collect()} == {(2, True), (4, True), (3, True)}
+
+
 # ---- operator 9 --------------------------------------------------------------
 def test_viterbi_and_round_trip(spark):
     coder = pieces.Pieces.of(pieces.default_path())

@@ -40,6 +40,21 @@ def test_language_stage(spark, sf_dir):
     assert langid.UNDETERMINED == "und"
 
 
+def test_quality_and_packing_stages(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = table(spark, sf_dir, "documents").where("doc_id < 40")
+    rows = [(None, "no id", "en", "s", 1), (90001, None, "en", "s", 1), (90002, "", None, "s", 1), (90003, "%$#@! 7#Q" * 40, "en", "s", 1)]
+    docs = kept.unionByName(kept.limit(1)).unionByName(spark.createDataFrame(rows, schema))
+    left = corpus_pipeline.quality(spark, docs, sf_dir)
+    ids = [r["doc_id"] for r in left.collect()]
+    assert left.columns == COLUMNS and None in ids and not {90001, 90002, 90003} & set(ids)
+    assert corpus_pipeline.quality(spark, docs.limit(0), sf_dir).count() == 0
+    pieces = corpus_pipeline.packed(spark, docs, sf_dir).collect()
+    assert sum(r["length"] for r in pieces) == sum(r["n_tokens"] + 1 for r in tokens.tokenized(docs).collect())
+    assert corpus_pipeline.packed(spark, docs.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_near_duplicates_stage(spark, sf_dir):
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(5, text, "en", "s", 1), (3, text + " more", "en", "s", 1), (9, "other", "en", "s", 1), (10, "", "en", "s", 1), (11, "", "en", "s", 1), (None, text, "en", "s", 1)]

@@ -44,6 +44,11 @@ def test_replies_follow_what_they_answer(spark):
     assert [whole.index(f"text of {t}") for t in (0, 2, 5, 3, 1, 4)] == sorted(whole.index(f"text of {t}") for t in range(6)) and ">" not in whole.replace("|>", "")
 
 
+def test_equal_votes_go_to_the_earlier_turn(spark):
+    rows, _ = run(spark, [(1, 0, "user", "first line\nx"), (1, 1, "user", "second line\ny"), (1, 2, "user", "> second line\n> first line\nboth"), (1, 3, "user", "first line\nx"), (1, 4, "user", "> first line\n> x\nwhole")])
+    assert rows[1, 2, "user"]["parent_turn"] == 0 and rows[1, 4, "user"]["parent_turn"] == 0
+
+
 def test_mail_quotes_earlier_turns(spark):
     rows = [(1, 0, "user", "a\nb"), (1, 1, "bot", "c"), (1, 2, "user", None), (1, None, "user", "d"), (None, 1, "user", "e"), (2, 1, "user", "f")]
     got = {(r["conv_id"], r["turn"]): r["text"] for r in quotes.quoting(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
