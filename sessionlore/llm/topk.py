@@ -11,7 +11,8 @@ in rounds, each of four times as many vectors, and drops what its k-th distance
 so far excludes; it stops when no ring is left within that distance.
 
 The index has at most ``PIVOTS[1] * RINGS`` rings however many vectors there
-are; large rings are cut into chunks, and queries into blocks. Scores are
+are; the vectors of a pivot are cut into chunks, and queries into blocks. A block
+meets a chunk once a round, and there each query the rings that it visits. Scores are
 exact integer sums: float64 products where they stay below 2^53, integers
 beyond. A score that does not fit a long is the nearest long.
 
@@ -87,11 +88,15 @@ class Index:
         return np.sqrt(np.maximum(d, 0))
 
     def rings(self, cells: list, chunk: int = CHUNK_ROWS) -> None:
+        """``cells`` by pivot and ring."""
         self.cell = np.array([(r["pivot"], r["ring"]) for r in cells], np.int64).reshape(-1, 2)
         self.inner, self.outer = np.array([r["inner"] for r in cells]), np.array([r["outer"] for r in cells])
         self.low, self.high = np.array([r["low"] for r in cells]).T, np.array([r["high"] for r in cells]).T
         self.count = np.array([r["n"] for r in cells], np.int64)
-        self.chunks = -(-self.count // chunk)
+        #: Where each pivot's rings begin, its number, and its number of chunks.
+        self.begin = np.flatnonzero(np.diff(self.cell[:, 0], prepend=-1))
+        self.pivot = self.cell[self.begin, 0]
+        self.chunks = -(-np.add.reduceat(self.count, self.begin) // chunk)
 
     def bounds(self, x: np.ndarray) -> np.ndarray:
         """The least distance of a vector in each ring, for each query; a
@@ -140,16 +145,15 @@ def build(rows: DataFrame) -> tuple[DataFrame, Index] | None:
     reach = [F.array(*[f(F.col("refs")[k]) for k in range(refs)]).alias(c) for c, f in (("low", F.min), ("high", F.max))]
     cells = placed.groupBy("pivot", "ring").agg(F.min("distance").alias("inner"), F.max("distance").alias("outer"), F.count(F.lit(1)).alias("n"), *reach).orderBy("pivot", "ring").collect()
     index.rings(cells)
-    chunks = {(int(p), int(r)): (k, int(c)) for k, ((p, r), c) in enumerate(zip(index.cell, index.chunks, strict=True))}
+    chunks = np.zeros(len(index.pivots), np.uint64)
+    chunks[index.pivot] = index.chunks
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            at = [chunks[key] for key in zip(batch.column("pivot").to_pylist(), batch.column("ring").to_pylist(), strict=True)]
-            cell, n = np.array(at, np.int64).reshape(-1, 2).T
             h = batch.column("vec_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            yield {c: batch.column(c) for c in ("vec_id", "dim", "v")} | {"cell": cell, "chunk": ((h >> np.uint64(32)) % n.astype(np.uint64)).astype(np.int64)}
+            yield {c: batch.column(c) for c in ("vec_id", "dim", "v", "pivot", "ring")} | {"chunk": ((h >> np.uint64(32)) % chunks[batch.column("pivot").to_numpy()]).astype(np.int64)}
 
-    indexed, _ = stored(arrow_map(placed, cut, "vec_id long, dim long, v binary, cell int, chunk int"), "rings")
+    indexed, _ = stored(arrow_map(placed, cut, "vec_id long, dim long, v binary, pivot int, ring int, chunk int"), "rings")
     dropped(rows.sparkSession, near_path)
     return indexed, index
 
@@ -197,9 +201,9 @@ def searched(vectors: DataFrame, every: int = 50, k: int = 5, counted: bool = Fa
     blocks = max(1, math.ceil(n_queries / BLOCK_QUERIES))
 
     def visits(begin: int, end: int):
-        """Rows (cell, chunk, block, query) of the rings to visit: those that
-        have from ``begin`` to ``end`` vectors before them in a query's order
-        and are within its k-th distance so far."""
+        """Rows (pivot, chunk, block, query, rings) with the rings to visit, a bit
+        each: those that have from ``begin`` to ``end`` vectors before them in a
+        query's order and are within its k-th distance so far."""
 
         def run(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
@@ -215,48 +219,58 @@ def searched(vectors: DataFrame, every: int = 50, k: int = 5, counted: bool = Fa
                     limit = (x**2).sum(1) + index.longest - 2 * kth
                     reach = np.where(np.isnan(kth) | (kth <= LONG.min), np.inf, np.sqrt(np.maximum(limit, 0)))
                     near &= low <= reach[:, None]
-                    q, cell = np.nonzero(near)
-                    n = index.chunks[cell]
-                    q, cell = np.repeat(q, n), np.repeat(cell, n)
+                    rings = np.add.reduceat(near << index.cell[:, 1], index.begin, axis=1)
+                    rows = np.add.reduceat(near * index.count, index.begin, axis=1)
+                    q, at_pivot = np.nonzero(rings)
+                    n = index.chunks[at_pivot]
+                    q, at_pivot = np.repeat(q, n), np.repeat(at_pivot, n)
                     chunk = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
                     ids = part.column("vec_id").take(pa.array(q))
                     yield {
-                        "cell": cell, "chunk": chunk, "block": np.abs(ids.to_numpy()) // every % blocks, "query_id": ids,
-                        "q_dim": part.column("dim").take(pa.array(q)), "q": part.column("v").take(pa.array(q)), "share": index.count[cell] / index.chunks[cell],
+                        "pivot": index.pivot[at_pivot], "chunk": chunk, "block": np.abs(ids.to_numpy()) // every % blocks, "query_id": ids, "rings": rings[q, at_pivot],
+                        "q_dim": part.column("dim").take(pa.array(q)), "q": part.column("v").take(pa.array(q)), "share": rows[q, at_pivot] / index.chunks[at_pivot],
                     }
 
         return run
 
-    visit_schema = "cell int, chunk int, block int, query_id long, q_dim long, q binary, share double"
+    visit_schema = "pivot int, chunk int, block int, query_id long, rings long, q_dim long, q binary, share double"
     target = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
+    def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray):
+        score, own = products(q, x), q_ids[:, None] == ids
+        score[own] = LONG.min
+        kth = np.partition(score, len(ids) - min(k, len(ids)), 1)[:, len(ids) - min(k, len(ids))]
+        r, c = np.nonzero((score >= kth[:, None]) & ~own)
+        order = np.lexsort((c, ~score[r, c], r))  # ~s falls as s grows
+        r, c = r[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c = r[place < k], c[place < k]
+        return q_ids[r], ids[c], score[r, c]
+
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
-            x = padded(left["v"].combine_chunks(), left["dim"].to_numpy(), index.width)
+            x, rings = padded(left["v"].combine_chunks(), left["dim"].to_numpy(), index.width), left["ring"].to_numpy()
             ids = left["vec_id"].to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            x, ids = x[by_id], ids[by_id]
-            q_ids, q = right["query_id"].to_numpy(), padded(right["q"].combine_chunks(), right["q_dim"].to_numpy(), index.width)
-            for at in range(0, len(q), 256):
-                score, own = products(q[at : at + 256], x), q_ids[at : at + 256, None] == ids
-                score[own] = LONG.min
-                kth = np.partition(score, len(ids) - min(k, len(ids)), 1)[:, len(ids) - min(k, len(ids))]
-                r, c = np.nonzero((score >= kth[:, None]) & ~own)
-                order = np.lexsort((c, ~score[r, c], r))  # ~s falls as s grows
-                r, c = r[order], c[order]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                r, c = r[place < k], c[place < k]
-                out.append((q_ids[at + r], ids[c], score[r, c]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+            order = np.lexsort((ids, rings))
+            x, ids, rings = x[order], ids[order], rings[order]
+            asked, q_ids, q = right["rings"].to_numpy(), right["query_id"].to_numpy(), padded(right["q"].combine_chunks(), right["q_dim"].to_numpy(), index.width)
+            begin = np.flatnonzero(np.diff(rings, prepend=-1))
+            for low, high in zip(begin, [*begin[1:], len(rings)], strict=True):
+                some = np.flatnonzero(asked >> rings[low] & 1)
+                out += [nearest(q_ids[some[at : at + 256]], q[some[at : at + 256]], ids[low:high], x[low:high]) for at in range(0, len(some), 256)]
+        q_id, vec_id, score = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        order = np.lexsort((vec_id, ~score, q_id))  # the best of all rings
+        order = order[np.arange(len(order)) - np.searchsorted(q_id[order], q_id[order]) < k]
+        columns = [q_id[order], vec_id[order], score[order]]
         return pa.Table.from_batches([as_batch(dict(zip(target.names, columns, strict=True)), target)])
 
     def search(visit: DataFrame) -> DataFrame:
         # Each block of queries meets each chunk that one of them visits.
-        wanted = visit.select(*[F.col(c).alias(c) for c in ("cell", "chunk", "block")]).distinct()
-        left = indexed.join(wanted, ["cell", "chunk"])
-        key = ["cell", "chunk", "block"]
+        key = ["pivot", "chunk", "block"]
+        wanted = visit.select(*[F.col(c).alias(c) for c in key]).distinct()
+        left = indexed.join(wanted, ["pivot", "chunk"])
         return left.groupBy(*key).cogroup(visit.drop("share").groupBy(*key)).applyInArrow(best, schema)
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
