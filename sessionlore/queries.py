@@ -142,6 +142,22 @@ def speech_segments(spark, sf_dir):
     return rows.select("user_id", "burst", F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"), "n_packets", F.round("duration_s", 6).alias("duration_s"))
 
 
+@query(f"""
+SELECT user_id % 10 AS session_id, user_id, burst, kind AS first_type, n::BIGINT AS n_packets, forced FROM (
+  SELECT *, burst = max(burst) OVER (PARTITION BY user_id) AND end_us - ended_us < {GAP_US} AS forced FROM (
+    SELECT user_id, burst, max(us) AS ended_us, count(*) AS n, arg_min(event_type, (us, event_id)) AS kind FROM (
+      SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS burst FROM (
+        SELECT user_id, event_id, event_type, epoch_us(ts) AS us, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= {GAP_US})::INT, 0) AS new FROM events)) GROUP BY user_id, burst) b
+  JOIN (SELECT user_id % 10 AS s, max(epoch_us(ts)) AS end_us FROM events GROUP BY 1) e ON e.s = b.user_id % 10) WHERE forced OR n * 20000 >= {MIN_US}
+""")
+def named_segments(spark, sf_dir):
+    """Bursts with the type of their first event; each session ends with its last event."""
+    rows = _events(spark, sf_dir).withColumn("session_id", F.col("user_id") % 10)
+    ends = rows.groupBy("session_id").agg(F.max("ts").alias("end_at"))
+    found = packets.speech_segments(rows, ["session_id", "user_id"], GAP_US, MIN_US, session_end=ends, names=("event_type",), at="ts", order="event_id")
+    return found.select("session_id", "user_id", "burst", F.col("event_type").alias("first_type"), "n_packets", "forced")
+
+
 @query(f"""
 SELECT user_id, count(*)::BIGINT AS n_packets, sum(CASE WHEN gap BETWEEN 1 AND {LOSS_LIMIT} THEN gap ELSE 0 END)::BIGINT AS concealed,
        sum((event_type = 'error')::INT)::BIGINT AS corrupt, (count(*) + sum(CASE WHEN gap BETWEEN 1 AND {LOSS_LIMIT} THEN gap ELSE 0 END))::BIGINT AS frames
@@ -216,12 +232,12 @@ def name_lookup(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id, CASE WHEN trim(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '_', 'g'), '_') = '' THEN 'speaker' ELSE trim(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '_', 'g'), '_') END AS safe_name,
-       CASE WHEN length(p) > 110 THEN left(p, 107) || '...' ELSE p END AS preview
-FROM (SELECT doc_id, text, trim(regexp_replace(text, '[{WS}]+', ' ', 'g'), '{WS}') AS p FROM documents)
+SELECT doc_id, s AS safe_name, (doc_id * 1000) || '_' || doc_id || '_' || s || '.skopus' AS archive, CASE WHEN length(p) > 110 THEN left(p, 107) || '...' ELSE p END AS preview
+FROM (SELECT doc_id, coalesce(nullif(trim(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '_', 'g'), '_'), ''), 'speaker') AS s, trim(regexp_replace(text, '[{WS}]+', ' ', 'g'), '{WS}') AS p FROM documents)
 """)
 def safe_names(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.safe_name("text").alias("safe_name"), T.preview("text").alias("preview"))
+    """Whole texts as names of speakers, as file names and as previews."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.safe_name("text").alias("safe_name"), T.archive_name(_second("doc_id"), "doc_id", "text").alias("archive"), T.preview("text").alias("preview"))
 
 
 # ---- sessions --------------------------------------------------------------
@@ -371,27 +387,43 @@ def note_merge(spark, sf_dir):
     return summaries.merged_updates(rows).drop("metadata")
 
 
+def _corrections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Notes and rejected corrections after one for each label, some blank and
+    some from a server that has no such note."""
+    rows = _notes(spark, sf_dir).withColumn("metadata_json", F.when(F.col("id") % 3 == 0, "[1]").when(F.col("id") % 3 == 1, '{"corrected_by_user_id": 9, "k": [1]}').otherwise("{broken"))
+    owner = rows.select(F.col("id").alias("doc_id"), F.when(F.col("guild_id") % 7 == 3, -1).otherwise(F.col("guild_id")).alias("guild_id"))
+    given = read(spark, sf_dir, "labels").join(owner, "doc_id").select("guild_id", F.col("doc_id").alias("note_id"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit(" corrected "), F.col("doc_id").cast("string"))).alias("content"), F.col("quality").cast("long").alias("user_id"), F.col("doc_id").alias("seq"))
+    return notes.corrected(rows, given, F.lit(AS_OF).cast("timestamp"))
+
+
 @query(f"""
 WITH c AS (SELECT doc_id, quality, toxic, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'corrected ' || doc_id END AS content FROM labels)
 SELECT n.id, CASE WHEN c.content <> '' THEN c.content ELSE n.content END AS content, coalesce(c.content <> '', false) AS corrected, CASE WHEN c.content <> '' THEN quality::BIGINT END AS corrected_by
 FROM {_N} n LEFT JOIN c ON c.doc_id = n.id AND n.guild_id % 7 <> 3
 """)
 def note_corrections(spark, sf_dir):
-    rows = _notes(spark, sf_dir).withColumn("metadata_json", F.when(F.col("id") % 3 == 0, "[1]").when(F.col("id") % 3 == 1, '{"corrected_by_user_id": 9, "k": [1]}').otherwise("{broken"))
-    owner = rows.select(F.col("id").alias("doc_id"), F.when(F.col("guild_id") % 7 == 3, -1).otherwise(F.col("guild_id")).alias("guild_id"))
-    given = read(spark, sf_dir, "labels").join(owner, "doc_id").select("guild_id", F.col("doc_id").alias("note_id"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit(" corrected "), F.col("doc_id").cast("string"))).alias("content"), F.col("quality").cast("long").alias("user_id"), F.col("doc_id").alias("seq"))
-    done, _ = notes.corrected(rows, given, F.lit(AS_OF).cast("timestamp"))
+    done, _ = _corrections(spark, sf_dir)
     part = lambda name, kind: F.try_variant_get(F.try_parse_json("metadata_json"), f"$.{name}", kind)
     was = F.coalesce(part("manually_corrected", "boolean"), F.lit(False))
     return done.select("id", "content", was.alias("corrected"), F.when(was, part("corrected_by_user_id", "long")).alias("corrected_by"))
 
 
+@query(f"""
+SELECT doc_id AS note_id, CASE WHEN doc_id % 5 = 0 THEN '{notes.BLANK_CORRECTION}' ELSE 'Could not find note #' || doc_id || ' in this server.' END AS error
+FROM labels l JOIN {_N} n ON n.id = l.doc_id WHERE doc_id % 5 = 0 OR guild_id % 7 = 3
+""")
+def note_rejections(spark, sf_dir):
+    return _corrections(spark, sf_dir)[1].select("note_id", "error")
+
+
 # ---- search ----------------------------------------------------------------
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vectors = read(spark, sf_dir, "embeddings")
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("note_type"), F.col("source").alias("title"), F.col("text").alias("content"))
     notes_ = search.with_vectors(rows, vectors.select(F.col("vec_id").alias("note_id"), "embedding")).join(vectors.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("guild_id")), "id")
     questions = vectors.where("vec_id % 40 = 0").select(F.col("vec_id").alias("question_id"), F.col("label").cast("long").alias("guild_id"), "embedding")
+    # The same questions in a server without notes.
+    questions = questions.unionByName(questions.select((-1 - F.col("question_id")).alias("question_id"), F.lit(-1).cast("long").alias("guild_id"), "embedding"))
     return questions, notes_
 
 
@@ -418,6 +450,7 @@ def semantic_topk_batch(spark, sf_dir):
 @query(f"""
 SELECT question_id, string_agg('[' || lang || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
 FROM ({_TOP}) t JOIN documents d ON d.doc_id = t.note_id GROUP BY question_id
+UNION ALL SELECT -1 - vec_id, '{T.NO_NOTES_ANSWER}' FROM embeddings WHERE vec_id % 40 = 0
 """)
 def retrieval_context(spark, sf_dir):
     questions, rows = _vectors(spark, sf_dir)
