@@ -92,7 +92,9 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Data
     # Stored, so that the ranges are sampled from keys alone.
     with_keys, _ = stored(arrow_map(tokens, keyed, "key int, doc_id long, n_tokens long, ids binary"), "keyed-tokens")
     dropped(docs.sparkSession, tokens_path)
-    dealt = with_keys.repartitionByRange(n_parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    # The row number spreads rows of one key and one doc_id (a null, say).
+    with_keys = with_keys.withColumn("row", F.monotonically_increasing_id())
+    dealt = with_keys.repartitionByRange(n_parts, "key", "doc_id", "row").sortWithinPartitions("key", "doc_id", "ids").drop("row")
 
     def fill(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
