@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlore.llm.common import arrow_map, as_batch, dropped, gathered, one_blas_thread, row_bytes, stored
+from sessionlore.llm.common import arrow_map, as_batch, gathered, one_blas_thread, row_bytes, slices, stored
 from sessionlore.llm.langid import is_held_out
 from sessionlore.llm.subwords import Subwords, default_path
 from sessionlore.llm.textvec import Words, buffer, factorized, spread
@@ -245,9 +245,9 @@ def text_log_p(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray
     q, k, v = [w["e"] @ w[c] for c in "qkv"]
     for i in range(0, len(seen), 1024):
         part = seen[i : i + 1024]
-        x, y = vocabulary.row[part[:, :-1]], part[:, STEP + 1 :].reshape(-1)
-        h = shares(w, q[x[:, STEP:]], k[x], part[:, :-1] == none) @ v[x]
-        h += w["e"][x[:, STEP:]]
+        x, y = vocabulary.row[part[:, :-1]], part[:, -STEP:].reshape(-1)
+        h = shares(w, q[x[:, -STEP:]], k[x], part[:, :-1] == none) @ v[x]
+        h += w["e"][x[:, -STEP:]]
         counted = np.flatnonzero(y != none)
         p = predicted(w, vocabulary, np.tanh(flat(h)[counted]), y[counted])
         total += np.bincount(text[i + counted // STEP], weights=p, minlength=len(n))
@@ -276,31 +276,43 @@ def trained(w: dict[str, np.ndarray], vocabulary: Vocabulary, parts: Iterator[np
     return w, seen
 
 
-def fit(docs: DataFrame, path: str | None = None) -> tuple[dict[str, np.ndarray], Vocabulary]:
-    """Weights and vocabulary from all rows of (doc_id, text)."""
-    path = path or default_path()
-    size = Subwords.of(path).size
+def coded(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+    """(row, doc_id, training, text, w): rows of (doc_id, text, training) with a
+    number and the packed ids of their texts, stored, so that each text is encoded
+    once and its parts are read where they are needed."""
 
     def read(batches: Iterator[pa.RecordBatch]):
-        coder, counts, texts = Subwords.of(path), np.zeros(size, np.int64), 0
+        from pyspark import TaskContext
+
+        coder, row = Subwords.of(path), TaskContext.get().partitionId() << 33
         for batch in gathered(batches):
-            ids, n = coder.encode(batch.column("text"))
-            counts += np.bincount(ids, minlength=size)
-            texts += len(n)
-            first = (batch.column("doc_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % ROUNDS
-            yield {"id": np.full(len(n), -2), "n": -(-(n + 1) // WIDTH), "first": first, "w": packed(ids.astype(U2), n)}
+            k = batch.num_rows
+            ids, n = coder.encode(batch.column("text")) if with_ids else (np.zeros(0), np.zeros(k, np.int64))
+            yield {c: batch.column(c) for c in ("doc_id", "training", "text")} | {"row": row + np.arange(k), "w": packed(ids.astype(U2), n)}
+            row += k
+
+    return stored(arrow_map(docs.select("doc_id", "text", "training"), read, "row long, doc_id long, training boolean, text string, w binary"), "coded-texts")[0]
+
+
+def fit(rows: DataFrame, size: int) -> tuple[dict[str, np.ndarray], Vocabulary]:
+    """Weights and vocabulary from all rows (row, w) of packed ids below ``size``."""
+    texts = rows.select("row", "w")
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        counts, n, n_windows = np.zeros(size, np.int64), 0, 0
+        for batch in batches:
+            counts += np.bincount(unpacked(batch.column("w"), U2), minlength=size)
+            n, n_windows = n + batch.num_rows, n_windows + int(n_training_windows(batch).sum())
         used = np.flatnonzero(counts)
-        yield {"id": [*used.tolist(), -1], "n": [*counts[used].tolist(), texts], "first": [0] * (len(used) + 1), "w": [b""] * (len(used) + 1)}
+        yield {"id": [*used.tolist(), -1, -2], "n": [*counts[used].tolist(), n, n_windows]}
 
-    rows, rows_path = stored(arrow_map(docs.select("doc_id", "text"), read, "id int, n long, first int, w binary"), "subword-texts")
     # At most as many rows as the vocabulary has ids.
-    found = {r["id"]: r["n"] for r in rows.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    found = {r["id"]: r["n"] for r in arrow_map(texts, count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
     counts = np.zeros(size, np.int64)
     for i, n in found.items():
         if i >= 0:
             counts[i] = n
     vocabulary = Vocabulary(counts, found.get(-1, 0))
-    coded = rows.where("id = -2").select("n", "first", "w")
     w = fresh(vocabulary)
     parts = max(1, math.ceil(found.get(-2, 0) / PART_WINDOWS))
     sizes = [int(np.prod(s)) for s in vocabulary.shapes.values()]
@@ -329,7 +341,7 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[dict[str, np.ndarray]
                 yield {"n": [n], "w": [total.tobytes()]}
 
         # One row a part: its weights, summed in tasks of a bounded number of parts.
-        summed = arrow_map(coded.repartition(parts), learn, "n long, w binary")
+        summed = arrow_map(texts.repartition(parts), learn, "n long, w binary")
         left = parts
         while left > ADDED_PARTS:
             left = math.ceil(left / ADDED_PARTS)
@@ -337,23 +349,27 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[dict[str, np.ndarray]
         done = summed.collect()
         mean = sum(np.frombuffer(r["w"], "<f8") for r in done) / sum(r["n"] for r in done)
         w = {k: x.reshape(s).astype(F4) for (k, s), x in zip(vocabulary.shapes.items(), np.split(mean, np.cumsum(sizes)[:-1]), strict=True)}
-    dropped(docs.sparkSession, rows_path)
     return w, vocabulary
 
 
+def n_training_windows(batch: pa.RecordBatch) -> np.ndarray:
+    length = pc.binary_length(batch.column("w")).to_numpy().astype(np.int64) // U2.itemsize
+    return -(-(length + 1) // WIDTH)
+
+
 def training_windows(batches: Iterator[pa.RecordBatch], vocabulary_size: int, turn: int | None = None, rows: int = 10_000) -> Iterator[np.ndarray]:
-    """All windows of the coded texts of (n, first, w), or those of one of
+    """All windows of the coded texts of (row, w), or those of one of
     ``ROUNDS`` turns, about ``rows`` at a time. Turns take the windows of a text
-    in rotation, beginning with ``first``."""
+    in rotation, beginning with the one that its number says."""
     held: list[np.ndarray] = []
     for batch in batches:
-        ends = np.cumsum(batch.column("n").to_numpy())
+        ends = np.cumsum(n_training_windows(batch))
         begin, base = 0, 0
         while begin < batch.num_rows:
             end = max(begin + 1, int(ends.searchsorted(base + rows, "right")))
             part = batch.slice(begin, end - begin)
             length = pc.binary_length(part.column("w")).to_numpy().astype(np.int64) // U2.itemsize
-            first = part.column("first").to_numpy()
+            first = part.column("row").to_numpy() % ROUNDS
             keep = None if turn is None else lambda t, k, first=first: (first[t] + k) % ROUNDS == turn
             held.append(windows(unpacked(part.column("w"), U2), length, vocabulary_size, keep, WIDTH)[0])
             if sum(map(len, held)) >= rows:
@@ -397,27 +413,40 @@ def word_counts(dealt: DataFrame) -> tuple[DataFrame, int, int]:
     return common.unionByName(rare), int(row["n"] or 0), int(row["v"] or 0)
 
 
-SCORES = "doc_id long, n_tokens long, n_known long, log_counts double, score double"
-
-
 def scored(docs: DataFrame, path: str | None = None, with_model: bool = True) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)
     of each row of (doc_id, text), logarithms to base 10. ``with_model`` false
     leaves the score null and trains nothing."""
     path = path or default_path()
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", is_training().alias("training"))
-    model = spark.sparkContext.broadcast(fit(docs.where("training"), path) if with_model else None)
-    _, text_bytes = row_bytes(docs)
+    rows = coded(docs.select("doc_id", "text", is_training().alias("training")), path, with_model)
+    base = base_scores(rows)
+    if with_model:
+        model = docs.sparkSession.sparkContext.broadcast(fit(rows.where("training"), Subwords.of(path).size))
+
+        def score(batches: Iterator[pa.RecordBatch]):
+            one_blas_thread()
+            for batch in slices(batches, "w", 1 << 20):
+                n = pc.binary_length(batch.column("w")).to_numpy().astype(np.int64) // U2.itemsize
+                yield {"row": batch.column("row"), "score": text_log_p(*model.value, unpacked(batch.column("w"), U2).astype(np.int64), n) / np.log(10)}
+
+        base = base.join(arrow_map(rows.select("row", "w"), score, "row long, score double"), "row")
+    else:
+        base = base.withColumn("score", F.lit(None).cast("double"))
+    return base.select("doc_id", is_held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def base_scores(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, n_tokens, n_known, train_tokens, base_score) of rows (row,
+    doc_id, training, text)."""
+    _, text_bytes = row_bytes(rows)
     blocks = max(1, math.ceil(text_bytes / BLOCK_BYTES))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    dealt = rows.select("row", "doc_id", "training", "text", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
     counts, n_words, n_distinct = word_counts(dealt)
-    texts = docs.where("training").count()
+    texts = rows.where("training").count()
     n_train, distinct = n_words + texts, n_distinct + (texts > 0)
-    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("score", pa.float64())])
+    out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64())])
 
-    def score(rows: pa.Table, known: pa.Table) -> pa.Table:
-        one_blas_thread()
+    def look_up(rows: pa.Table, known: pa.Table) -> pa.Table:
         parts = []
         keys, values = known["h"].to_numpy().view(np.uint64), known["n"].to_numpy()
         order = np.argsort(keys)
@@ -427,21 +456,14 @@ def scored(docs: DataFrame, path: str | None = None, with_model: bool = True) ->
             words, h = word_hashes(batch.column("text"))
             at = np.searchsorted(keys, h)
             k = batch.num_rows
-            if model.value:
-                ids, n = Subwords.of(path).encode(batch.column("text"))
-                score = text_log_p(*model.value, ids.astype(np.int64), n) / np.log(10)
             parts.append(as_batch({
-                "doc_id": batch.column("doc_id"), "n_tokens": words.counts() + 1,
+                "row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": words.counts() + 1,
                 "n_known": np.bincount(words.doc, weights=values[at] > 0, minlength=k).astype(np.int64) + (texts > 0),
                 "log_counts": np.bincount(words.doc, weights=logs[at], minlength=k) + np.log10(texts + 0.5),
-                "score": score if model.value else pa.nulls(k, pa.float64()),
             }, out))
         return pa.Table.from_batches(parts, out)
 
     answers = counts.select(F.col("block").alias("at"), "h", "n")
-    rows = dealt.groupBy("block").cogroup(answers.groupBy("at")).applyInArrow(score, SCORES)
+    met = dealt.select("row", "doc_id", "text", "block").groupBy("block").cogroup(answers.groupBy("at")).applyInArrow(look_up, "row long, doc_id long, n_tokens long, n_known long, log_counts double")
     scale = math.log10(n_train + 0.5 * (distinct + 1))
-    return rows.select(
-        "doc_id", is_held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("log_counts") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score",
-    )
+    return met.select("row", "doc_id", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), (F.col("log_counts") - F.col("n_tokens") * F.lit(scale)).alias("base_score"))

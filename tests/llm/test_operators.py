@@ -515,14 +515,15 @@ def test_training_covers_every_window(spark):
     rng = np.random.default_rng(12)
     n = np.array([0, 1, 15, 16, 17, 300, 5000])
     ids = rng.integers(0, 500, n.sum())
-    count = -(-(n + 1) // attention.WIDTH)
-    batch = pa.record_batch({"n": count, "first": np.arange(len(n)) % attention.ROUNDS, "w": attention.packed(ids.astype("<u2"), n)})
+    batch = pa.record_batch({"row": np.arange(len(n)), "w": attention.packed(ids.astype("<u2"), n)})
     want = collections.Counter(map(bytes, attention.windows(ids, n, 500, step=attention.WIDTH)[0]))
     got = [collections.Counter(bytes(w) for part in attention.training_windows(iter([batch]), 500, turn, rows) for w in part) for turn in (None, *range(attention.ROUNDS)) for rows in (7, 20_000)]
     assert got[0] == got[1] == want and sum(got[2::2], collections.Counter()) == sum(got[3::2], collections.Counter()) == want
     # Texts of a single window train the model too: none of these is every 16th.
     texts = [d for d in range(400) if zlib.crc32(str(d).encode()) % 5 != 1 and (d * 0x9E3779B97F4A7C15 % 2**64 >> 40) % 16][:20]
-    weights, vocabulary = attention.fit(frame(spark, [(d, "the cat sat", "en") for d in texts]))
+    path = attention.default_path()
+    rows = attention.coded(frame(spark, [(d, "the cat sat", "en") for d in texts]).withColumn("training", F.lit(True)), path)
+    weights, vocabulary = attention.fit(rows, attention.Subwords.of(path).size)
     assert not np.array_equal(weights["o"], attention.fresh(vocabulary)["o"])
 
 
