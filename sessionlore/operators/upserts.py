@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,11 +29,12 @@ def numbered(rows: DataFrame, order: str, start: Column, name: str = "id") -> Da
     bounds = (rows.agg(F.percentile_approx(leading, steps, 1000).alias("b")).first()["b"] if steps else None) or []
     part = F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<bigint>"), lambda b: b < leading)) if bounds else F.lit(0)
     placed = rows.withColumn("_part", part)
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per range.
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    # One number per range.
+    sizes = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
+    before = [0, *itertools.accumulate(sizes.get(k, 0) for k in range(parts - 1))]
     local = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return placed.withColumn("_local", local).join(F.broadcast(before), "_part").withColumn(name, start + F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
+    ahead = F.element_at(F.lit(before).cast("array<bigint>"), F.col("_part") + 1)
+    return placed.withColumn("_local", local).withColumn(name, start + ahead + F.col("_local")).drop("_part", "_local")
 
 
 def merged(existing: DataFrame, batch: DataFrame, keys: list[str], replaced: list[str]) -> DataFrame:

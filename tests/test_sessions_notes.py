@@ -26,6 +26,17 @@ def test_dense_ids(spark):
     assert numbered(rows.limit(0), "seq", F.lit(0)).count() == 0
 
 
+def test_notes_of_large_sessions_get_ids_in_order(spark):
+    from sessionlore.plans.workloads import notes_after
+
+    places = [(2**40, 1, 0, 0), (2**40, 0, 40_000, 70_000), (2**40, 0, 40_000, 65_535), (2**31 - 1, 1, 0, 3), (2**31, 0, 2, 1)]
+    rows = [(s, (stage, chunk, pos), "k", f"t{i}", "c", "{}") for i, (s, stage, chunk, pos) in enumerate(places)]
+    updates = spark.createDataFrame(rows, "session_id long, seq struct<stage:int,chunk_no:int,pos:int>, note_type string, title string, content string, metadata string")
+    owners = spark.createDataFrame([(s, 1) for s in {p[0] for p in places}], "id long, guild_id long")
+    done = notes_after(spark.createDataFrame([], NOTES), updates, owners, F.lit("2024-06-01").cast("timestamp")).orderBy("id").collect()
+    assert [(r["id"], r["title"]) for r in done] == [(1, "t3"), (2, "t4"), (3, "t2"), (4, "t1"), (5, "t0")]
+
+
 def test_new_sessions_and_lookup(spark):
     asked = spark.createDataFrame([(1, 2, 3, None, 5), (1, 2, 3, "x", 1)], "guild_id long, voice_channel_id long, text_channel_id long, title string, seq long")
     rows = sessions.new_sessions(asked, 7, now())
