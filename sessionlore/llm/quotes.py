@@ -102,52 +102,61 @@ def before(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame
     return bucketed.withColumn("inside", inside).join(earlier, [*keys, "bucket"]).withColumn(name, F.col("earlier") + F.col("inside")).drop("bucket", "inside", "earlier")
 
 
-def climbed(step, now: DataFrame, name: str) -> DataFrame:
-    """Repeat a doubling ``step`` (which adds ``moved``) until nothing moves."""
-    now, path = stored(now, name)
-    while True:
-        done, new_path = stored(step(now), name)
-        dropped(now.sparkSession, path)
-        now, path = done.drop("moved"), new_path
-        if not done.where("moved").limit(1).count():
-            return now
-
-
 def with_sizes(turns: DataFrame) -> DataFrame:
     """``size`` of each turn (conv_id, turn, messages, parent_turn): messages in
-    it and in all below it. Each step adds what is twice as far below."""
+    it and in all below it. Each step adds what is twice as far below, and goes on
+    with the turns that have something twice as far above."""
+    spark = turns.sparkSession
+    active, path = stored(turns.where("parent_turn is not null").select("conv_id", "turn", F.col("messages").alias("size"), F.col("parent_turn").alias("up")), "subtrees")
+    more, paths = turns.select("conv_id", "turn", F.lit(0).cast("long").alias("more")).limit(0), []
+    while active.limit(1).count():
+        below, below_path = stored(active.groupBy("conv_id", F.col("up").alias("turn")).agg(F.sum("size").alias("more")), "below")
+        more, paths = more.unionByName(below), [*paths, below_path]
+        above = active.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"))
+        step = active.join(above, ["conv_id", "up"]).join(below, ["conv_id", "turn"], "left")
+        active, new_path = stored(step.select("conv_id", "turn", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.col("next").alias("up")), "subtrees")
+        dropped(spark, path)
+        path = new_path
+    added = more.groupBy("conv_id", "turn").agg(F.sum("more").alias("more"))
+    out, _ = stored(turns.join(added, ["conv_id", "turn"], "left").select("conv_id", "turn", "messages", "parent_turn", (F.col("messages") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
+    dropped(spark, path, *paths)
+    return out
 
-    def step(now: DataFrame) -> DataFrame:
-        below = now.where("up is not null").groupBy("conv_id", F.col("up").alias("turn")).agg(F.sum("size").alias("more"))
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"))
-        met = now.join(below, ["conv_id", "turn"], "left").join(above, ["conv_id", "up"], "left")
-        return met.select("conv_id", "turn", "messages", "parent_turn", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.col("next").alias("up"), F.col("next").isNotNull().alias("moved"))
 
-    now = climbed(step, turns.withColumn("size", F.col("messages")).withColumn("up", F.col("parent_turn")), "subtrees")
-    return now.select("conv_id", "turn", "messages", "parent_turn", "size")
+def at_roots(steps: DataFrame) -> DataFrame:
+    """``steps`` (conv_id, turn, root_turn, depth, first), whose root_turn is the
+    parent, with the true root and the sums on the way to it. Pointers double;
+    those that have arrived are set aside."""
+    keep = ["conv_id", "turn", "root_turn", "depth", "first"]
+    active, path = stored(steps.select(keep), "threads")
+    done, paths = active.limit(0), [path]
+    while True:
+        every = done.unionByName(active)
+        up = every.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"), F.col("first").alias("ahead"))
+        met = active.join(up, ["conv_id", "root_turn"], "left")
+        added = lambda c, x: (F.col(c) + F.coalesce(x, F.lit(0))).alias(c)
+        step, path = stored(met.select("conv_id", "turn", F.coalesce("next", "root_turn").alias("root_turn"), added("depth", "more"), added("first", "ahead"), F.col("next").isNotNull().alias("moved")), "threads")
+        done, active, paths = done.unionByName(step.where("not moved").select(keep)), step.where("moved").select(keep), [*paths, path]
+        if not active.limit(1).count():
+            out, _ = stored(done, "roots")
+            dropped(steps.sparkSession, *paths)
+            return out
 
 
 def threads(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, root_turn, depth, first): ``first`` is the place of the
     turn's first message in the reply order of its conversation."""
-    sized, sized_path = stored(with_sizes(turns), "sizes")
+    sized = with_sizes(turns)
     roots = before(sized.where("parent_turn is null"), ["conv_id"], "size", "first").select("conv_id", "turn", F.col("turn").alias("root_turn"), F.lit(0).alias("depth"), "first")
     replies = before(sized.where("parent_turn is not null"), ["conv_id", "parent_turn"], "size", "older")
     parents = sized.select("conv_id", F.col("turn").alias("parent_turn"), F.col("messages").alias("own"))
     # From a reply's parent to itself: the parent's messages and its earlier replies.
     steps = replies.join(parents, ["conv_id", "parent_turn"]).select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth"), (F.col("own") + F.col("older")).alias("first"))
 
-    def step(now: DataFrame) -> DataFrame:
-        up = now.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"), F.col("first").alias("ahead"))
-        added = lambda c, x: (F.col(c) + F.coalesce(x, F.lit(0))).alias(c)
-        return now.join(up, ["conv_id", "root_turn"], "left").select("conv_id", "turn", F.coalesce("next", "root_turn").alias("root_turn"), added("depth", "more"), added("first", "ahead"), F.col("next").isNotNull().alias("moved"))
-
-    below = climbed(step, steps, "threads")
+    below = at_roots(steps)
     starts = roots.select("conv_id", "root_turn", F.col("first").alias("start"))
     out = below.join(starts, ["conv_id", "root_turn"]).select("conv_id", "turn", "root_turn", "depth", (F.col("start") + F.col("first")).alias("first")).unionByName(roots)
-    out, _ = stored(out, "reply-order")
-    dropped(turns.sparkSession, sized_path)
-    return out
+    return stored(out, "reply-order")[0]
 
 
 def linked_conversations(conversations: DataFrame) -> DataFrame:
