@@ -113,7 +113,7 @@ def test_blocks_hold_every_possible_partner(spark):
 def test_jaccard_with_large_groups_and_long_texts(spark, monkeypatch):
     rng = random.Random(42)
     monkeypatch.setattr(jaccard, "MANY_COPIES", 5)
-    monkeypatch.setattr(jaccard, "LOCAL_SETS", 500)
+    monkeypatch.setattr(jaccard, "LOCAL_SHINGLES", 500)
     monkeypatch.setattr(jaccard, "HEAVY_DF", 6)
     common = " ".join(f"c{i}" for i in range(40))
     rows = [(i, f"{common} " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(rng.choice([3, 60, 400])))) for i in range(60)]
@@ -123,7 +123,7 @@ def test_jaccard_with_large_groups_and_long_texts(spark, monkeypatch):
     # The common passage is found frequent although no slice has it often.
     monkeypatch.undo()
     monkeypatch.setattr(jaccard, "gathered", lambda batches: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
-    assert len(jaccard.frequent(spark.createDataFrame(rows[:60], "doc_id long, text string").coalesce(1))) == 36
+    assert len(jaccard.frequent(spark.createDataFrame(rows[:60], "doc_id long, text string").coalesce(1))[0]) == 36
 
 
 def test_jaccard_edges(spark):
