@@ -341,7 +341,7 @@ def fit(rows: DataFrame, size: int) -> tuple[dict[str, np.ndarray], Vocabulary]:
                 yield {"n": [n], "w": [total.tobytes()]}
 
         # One row a part: its weights, summed in tasks of a bounded number of parts.
-        summed = arrow_map(texts.repartition(parts), learn, "n long, w binary")
+        summed = arrow_map(texts.coalesce(parts), learn, "n long, w binary")
         left = parts
         while left > ADDED_PARTS:
             left = math.ceil(left / ADDED_PARTS)
