@@ -7,8 +7,8 @@ their sets' Jaccard similarity is 0.8 or more.
    hashes tell sets apart); only one of them goes on.
 2. Index lists: in one order of all shingles, linked sets share a shingle
    among the first n - ceil(0.8 n) + 1 of each (their prefixes). The order is
-   by hash, with a bounded list of frequent shingles last, the most frequent at
-   the end; any order gives the same links, this one keeps the lists short.
+   by hash, with a bounded list of frequent shingles last; any order gives
+   the same links, this one keeps the lists short.
 3. Block skipping: an entry of a list carries its set's size and its
    position. Lists are cut into blocks by size and by position; from its own size
    and position an entry knows which blocks can hold a partner (of a like
@@ -48,9 +48,12 @@ from sessionlore.llm.components import components
 from sessionlore.llm.textvec import Words, buffer, mix, runs_hash
 
 WIDTH = 5
-#: Shingles that a task has three times or more among LOCAL_SHINGLES are counted; of
+#: Shingles that LOCAL_DOCS documents in a row (fewer at the end of a task) have
+#: three times or more are counted there, whatever the length of the texts; of
 #: those with HEAVY_DF or more in all, at most HEAVY_MAX go last in the order.
-LOCAL_DF, LOCAL_SHINGLES, HEAVY_DF, HEAVY_MAX = 3, 2_000_000, 24, 200_000
+LOCAL_DF, LOCAL_DOCS, HEAVY_DF, HEAVY_MAX = 3, 1000, 24, 200_000
+#: Shingles held at a time; beyond, those seen less than three times are let go.
+LOCAL_SHINGLES = 2_000_000
 #: Blocks of a list: sizes by a factor, positions by a share of the size.
 SIZE_STEP, PLACE_STEP, PLACES = 1.1, 0.05, 4
 #: Groups of so many copies and more are joined by broadcast, few as they are.
@@ -106,9 +109,8 @@ def lists_of(values: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.uint64).view(np.int64)))
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent shingles, sorted, HEAVY_MAX at most; and in how
-    many documents each was counted."""
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent shingles, sorted; HEAVY_MAX at most."""
 
     def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         values, n = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -119,26 +121,29 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return values[n >= LOCAL_DF], n[n >= LOCAL_DF]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held, size = [], 0
+        held, size, docs = [], 0, 0
         for batch in gathered(batches):
-            values, _, _ = shingle_sets(batch.column("text"))
-            held.append(np.unique(values, return_counts=True))
-            size += len(held[-1][0])
-            if size > LOCAL_SHINGLES:
-                held = [added(held)]
-                size = len(held[0][0])
+            for at in range(0, batch.num_rows, LOCAL_DOCS):
+                part = batch.slice(at, LOCAL_DOCS)
+                held.append(np.unique(shingle_sets(part.column("text"))[0], return_counts=True))
+                size, docs = size + len(held[-1][0]), docs + part.num_rows
+                if size > LOCAL_SHINGLES:
+                    held = [added(held)]
+                    size = len(held[0][0])
+                if docs >= LOCAL_DOCS:
+                    values, n = added(held)
+                    held, size, docs = [], 0, 0
+                    yield {"token": values.view(np.int64), "n": n}
         if held:
             values, n = added(held)
             yield {"token": values.view(np.int64), "n": n}
 
     counted = arrow_map(docs.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     most = counted.where(F.col("n") >= HEAVY_DF).orderBy(F.col("n").desc(), "token").limit(HEAVY_MAX).toPandas()
-    token, n = most["token"].to_numpy(np.int64).view(np.uint64), most["n"].to_numpy(np.int64)
-    order = np.argsort(token)
-    return token[order], n[order]
+    return np.sort(most["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def described(docs: DataFrame, heavy: np.ndarray, heavy_n: np.ndarray) -> DataFrame:
+def described(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     """Of each document: set size, two sums that identify the set, its prefix
     (the rare and the frequent part of it), and its sketch."""
 
@@ -151,17 +156,17 @@ def described(docs: DataFrame, heavy: np.ndarray, heavy_n: np.ndarray) -> DataFr
             for s, salt in zip(sums, (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A62), strict=True):
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)))))
                 s[:k] = total[ends] - total[ends - n]
-            often, count = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+            often = np.zeros(len(h), bool)
             if len(heavy):
                 at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
                 often = heavy[at] == h
-                count[often] = heavy_n[at[often]]
-                # Each set in its order: by hash, then the frequent ones by number.
-                order = np.lexsort((h, count, doc)) if often.any() else slice(None)
-                h, often = h[order], often[order]
+            # Position of each item in its set's order: rare ones first.
             rare_before = np.concatenate(([0], np.cumsum(~often)))
             rare = rare_before[ends] - rare_before[ends - n]
-            taken = np.arange(len(h)) - (ends - n)[doc] < prefix_size(n)[doc]
+            place = np.arange(len(h)) - (ends - n)[doc]
+            rare_place = rare_before[:-1] - rare_before[ends - n][doc]
+            position = np.where(often, rare[doc] + place - rare_place, rare_place)
+            taken = position < prefix_size(n)[doc]
             a, b = taken & ~often, taken & often
             bits = 2 ** np.ceil(np.log2(np.maximum(n, SKETCH_BITS))).astype(np.int64)
             bit = mix(h).astype(np.int64) & (bits - 1)[doc]
@@ -237,7 +242,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = narrow(docs, "doc_id", "text")
     spark = docs.sparkSession
-    whole, whole_path = stored(described(docs, *frequent(docs)), "shingle-sets")
+    whole, whole_path = stored(described(docs, frequent(docs)), "shingle-sets")
     rows, _ = stored(whole.select("doc_id", "n", "s1", "s2"), "set-names")
     with_set = rows.where("n > 0 and doc_id is not null")
     reps, _ = stored(with_set.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "representatives")
