@@ -106,4 +106,29 @@ SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c.c)::BIGINT AS n_k
 FROM t LEFT JOIN c USING (t) CROSS JOIN n GROUP BY doc_id, held_out
 """
 
-SQL = {"op2_ngram_jaccard": OP2, "op5_exact_topk": OP5, "op10_quotation_linking": OP10, "rule_counts": RULE_COUNTS, "word_scores": WORD_SCORES}
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+phrases AS (SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, (VALUES (1), (2), (3)) AS t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM phrases GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM cand),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, p.a AS l, q.a AS r, (1000000::HUGEINT * c.a * c.a // (p.a::HUGEINT * q.a))::BIGINT AS score
+  FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = array_to_string(w[1:cut], ' ') JOIN f q ON q.lang = c.lang AND q.phrase = array_to_string(w[cut + 1:], ' ')),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM cand WHERE k = 3) GROUP BY lang, part),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, phrase) AS rank
+  FROM least s LEFT JOIN longer g ON g.lang = s.lang AND g.part = s.phrase WHERE g.a IS NULL OR 100 * g.a < 50 * s.a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+EDITED_TEXTS = """
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(left(text, length(text) - length(text) // 2) || left(following, length(text) // 2)) AS edited_sha256
+FROM (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST), first_value(text) OVER (ORDER BY doc_id NULLS FIRST)) AS following FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+"""
+
+SQL = {"op2_ngram_jaccard": OP2, "op5_exact_topk": OP5, "op10_quotation_linking": OP10, "rule_counts": RULE_COUNTS, "word_scores": WORD_SCORES, "op12_collocations": COLLOCATIONS, "edited_texts": EDITED_TEXTS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlore.llm import attention, jaccard, kneser_ney, langid, oracles, packing, pieces, quotes, rules, tokens, topk
+from sessionlore.llm import attention, collocations, fuzzy, jaccard, kneser_ney, langid, oracles, packing, pieces, quotes, rules, tokens, topk
 from sessionlore.llm.common import table
 
 
@@ -57,6 +57,23 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(quotes.linked_conversations(mail))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fuzzy_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy.compared_with_next(table(spark, sf_dir, "documents"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts of operator 13 alone, which SQL can express."""
+    return fuzzy.compared_with_next(table(spark, sf_dir, "documents"), with_prints=False).select("doc_id", "n_chars", "edited_sha256")
+
+
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and base rules of operator 4 alone, which SQL can express."""
     rows = rules.statistics(table(spark, sf_dir, "documents"))
@@ -71,7 +88,7 @@ def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     numbered = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
-    return numbered | {"rule_counts": rule_counts, "word_scores": word_scores}
+    return numbered | {"rule_counts": rule_counts, "word_scores": word_scores, "edited_texts": edited_texts}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -106,12 +106,20 @@ class Words:
 
 def ranges_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each byte range; equal bytes have equal hashes anywhere."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
+    return hash_of(prefix_sums(data), start, end) if len(start) else np.zeros(0, np.uint64)
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """What :func:`hash_of` takes the hashes of byte ranges from."""
+    up, _ = powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return sums
+
+
+def hash_of(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    _, down = powers(len(sums))
     h = (sums[end] - sums[start]) * down[start]
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
