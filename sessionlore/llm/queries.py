@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlore.llm import attention, collocations, fuzzy, jaccard, kneser_ney, langid, oracles, packing, pieces, quotes, rules, tokens, topk
+from sessionlore.llm import alignment, attention, collocations, fuzzy, jaccard, kneser_ney, langid, oracles, packing, pieces, quotes, rules, tokens, topk
 from sessionlore.llm.common import table
 
 
