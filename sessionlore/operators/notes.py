@@ -18,14 +18,19 @@ SNAPSHOT_HEADING = "# Campaign Notes Snapshot"
 BLANK_CORRECTION = "Corrected content cannot be empty."
 
 
+def prepared(batch: DataFrame) -> DataFrame:
+    """A batch with stripped parts, without the rows that have a blank one."""
+    rows = batch.select("guild_id", *[strip(c).alias(c) for c in ("note_type", "title", "content")], "source_session_id", "metadata_json", "seq")
+    return rows.where((F.col("note_type") != "") & (F.col("title") != "") & (F.col("content") != ""))
+
+
 def upsert(notes: DataFrame, batch: DataFrame, as_of: Column, last_id: int | None = None) -> DataFrame:
     """Notes after a batch (guild_id, note_type, title, content,
     source_session_id, metadata_json, seq). A known key keeps id and
     created_at; a new one gets the next id, in order of its first row in the
     batch; the last row's values stand. ``seq`` is an integer, or a struct that
     begins with one. Parts are stripped, and rows with a blank one go."""
-    rows = batch.select("guild_id", *[strip(c).alias(c) for c in ("note_type", "title", "content")], "source_session_id", "metadata_json", "seq")
-    rows = rows.where((F.col("note_type") != "") & (F.col("title") != "") & (F.col("content") != ""))
+    rows = prepared(batch)
     newest = last_per_key(rows, KEYS, ["seq"]).drop("seq")
     order = rows.groupBy(*KEYS).agg(F.min("seq").alias("seq"))
     if last_id is None:

@@ -1,4 +1,4 @@
-"""Parquet tables with fixed schemas, versioned snapshots, and text sinks."""
+"""Parquet tables with fixed schemas, and text sinks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlore.schemas import TABLES
+from sessionlore.sources.versions import read_version
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,20 +22,10 @@ def append_rows(df: DataFrame, folder: str, name: str) -> None:
     write_table(df, folder, name, mode="append")
 
 
-def write_snapshot(df: DataFrame, folder: str, name: str, version: int) -> None:
-    """A new version beside the old ones: what is being read is not replaced."""
-    write_table(df, f"{folder}/v={version}", name)
-
-
 def latest_snapshot(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, int]:
-    """The newest complete version, or an empty table and -1."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [int(p.split("=")[1]) for p in (s.getPath().getName() for s in fs.listStatus(path)) if p.startswith("v=")] if fs.exists(path) else []
-    done = [v for v in versions if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v={v}/{name}/_SUCCESS"))]
-    if not done:
-        return spark.createDataFrame([], TABLES[name]), -1
-    return read_table(spark, f"{folder}/v={max(done)}", name), max(done)
+    """The newest version of a table that :mod:`sessionlore.sources.versions` keeps,
+    or an empty table and -1."""
+    return read_version(spark, folder, name)
 
 
 def write_markdown(documents: DataFrame, folder: str, as_text: bool = False) -> None:

@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sessionlore.operators import notes, registry
 from sessionlore.operators.packets import IDLE_US, MIN_SPEECH_US, PACKET_US, QUARANTINE_AFTER
-from sessionlore.sources.tables import latest_snapshot, write_snapshot
+from sessionlore.sources.versions import merge
 
 
 def live_segments(packets: DataFrame, keys: list[str], idle_us: int = IDLE_US, min_speech_us: int = MIN_SPEECH_US, packet_us: int = PACKET_US, delay: str = "10 seconds", names: tuple[str, ...] = (), at: str = "received_at") -> DataFrame:
@@ -94,14 +95,29 @@ def live_quarantine(packets: DataFrame, order: str, outcome: str = "outcome", ke
     return packets.select(key, order, outcome).groupBy(key).applyInPandasWithState(step, out, "failures long", "append", GroupStateTimeout.NoTimeout)
 
 
-def snapshot_writer(folder: str, name: str, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: each batch turns the newest snapshot of a
-    table into the next one. The batch number is the version, so a batch that
-    is run again after a failure changes nothing more."""
+def snapshot_writer(folder: str, name: str, apply: Callable[..., DataFrame], keys: list[str] | None = None, buckets: int = 1, stream: str | None = None, counter: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: each batch turns the newest version of a table
+    into the next one, as :func:`sessionlore.sources.versions.merge` says. A batch is
+    told by its stream and number, so one that is run again after a failure changes
+    nothing more, and a new stream over an old table loses nothing. The stream is the
+    running query's id, which its checkpoint keeps, unless it is named here."""
 
     def write(batch: DataFrame, number: int) -> None:
-        current, version = latest_snapshot(batch.sparkSession, folder, name)
-        if version < number:
-            write_snapshot(apply(current, batch), folder, name, number)
+        query = stream or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        merge(batch, folder, name, apply, keys, buckets, query, number, counter)
 
     return write
+
+
+def notes_writer(folder: str, as_of: Column, buckets: int = 64, stream: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Notes of batches as :func:`sessionlore.operators.notes.upsert` merges them."""
+    write = snapshot_writer(folder, "campaign_notes", lambda old, batch, last: notes.upsert(old, batch, as_of, last), notes.KEYS, buckets, stream, "id")
+    return lambda batch, number: write(notes.prepared(batch), number)
+
+
+def vectors_writer(folder: str, buckets: int = 64, stream: str | None = None) -> Callable[[DataFrame, int], None]:
+    return snapshot_writer(folder, "note_embeddings", notes.upsert_embeddings, ["note_id"], buckets, stream)
+
+
+def registry_writer(folder: str, buckets: int = 64, stream: str | None = None) -> Callable[[DataFrame, int], None]:
+    return snapshot_writer(folder, "character_registry", registry.register, registry.KEYS, buckets, stream)
