@@ -41,9 +41,9 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 #: Text bytes for each prefix partition.
 PARTITION_BYTES = 4 << 20
 #: Entries of a container before it bursts, and of a trie before subtrees leave it.
-BURST, LIMIT = 1 << 16, 3 << 20
+BURST, LIMIT = 1 << 16, 3 << 19
 #: Phrases of a run that are turned into texts at a time.
-RUN_PHRASES = 1 << 18
+RUN_PHRASES = 1 << 17
 BITS = 21
 _MASK = np.int64((1 << BITS) - 1)
 _BREAK = np.zeros(256, bool)
@@ -325,7 +325,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, partition_bytes: int = PA
 
     def count(batches: Iterator[pa.RecordBatch]):
         trie = Phrases(parts, burst, limit)
-        for batch in gathered(batches):
+        for batch in gathered(batches, limit=1 << 20):
             yield from trie.feed(batch.column("text"), batch.column("lang").to_pylist())
         yield from trie.drain()
 
