@@ -17,7 +17,7 @@ LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 MESSAGE_LIMIT, ERROR_LIMIT, PREVIEW_LIMIT = 1900, 1800, 110
 SINGLE_PASS_LIMIT, CHUNK_LIMIT = 90_000, 45_000
 # Headings and texts.
-TRANSCRIPT_HEADING = "# Transcript"
+TRANSCRIPT_HEADING, TRANSCRIPT_PROMPT = "# Transcript", "Session transcript:\n"
 NO_NOTES_ANSWER = "I do not have any campaign notes saved yet."
 
 
@@ -120,7 +120,7 @@ def prompts(instructions: Column, attempt: Column | str, stage: Column | str, re
 
 
 def transcript_prompt(transcript: Column | str) -> Column:
-    return F.concat(F.lit("Session transcript:\n"), col(transcript))
+    return F.concat(F.lit(TRANSCRIPT_PROMPT), col(transcript))
 
 
 def question_prompt(question: Column | str, context: Column | str) -> Column:

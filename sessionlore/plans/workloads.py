@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sessionlore.functions.text import display_label, embedding_text, summary_markdown, transcript_chunks
 from sessionlore.operators import inference, notes, packets, registry, search, summaries, transcripts
+from sessionlore.operators.calls import Wording, answered
+from sessionlore.sources.shared import new_path
 
 
 def segments_of_recordings(rows: DataFrame, updates: DataFrame, session_end: DataFrame | None = None) -> DataFrame:
@@ -27,19 +29,22 @@ def model_inputs(markdown: DataFrame, single_pass: int, limit: int) -> DataFrame
     return rows.select("session_id", stage.alias("stage"), F.posexplode("chunks").alias("chunk_no", "text"))
 
 
-def session_summaries(sessions: DataFrame, segments: DataFrame, make_model: Callable, persist: Callable[[DataFrame, str], DataFrame], single_pass: int = 90_000, limit: int = 45_000, attempts: int = 3, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(session_id, markdown) and the final note updates. ``persist`` stores the
-    responses of a stage before they are used twice."""
-    calls = model_inputs(transcripts.transcripts(sessions, segments), single_pass, limit)
+def session_summaries(sessions: DataFrame, segments: DataFrame, make_model: Callable, persist: Callable[[DataFrame, str], DataFrame], single_pass: int = 90_000, limit: int = 45_000, attempts: int = 3, partitions: int | None = None, wording: Wording = Wording("", "", ""), ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(session_id, markdown) and the final note updates. The model gets prompts in
+    the caller's ``wording``; a call is repeated only if its reply was refused. Replies
+    are kept in ``ledger``, a folder (a new one by default): a run over the same
+    ledger asks only what is missing there. ``persist`` stores the responses of a
+    stage before they are used twice."""
+    spark = sessions.sparkSession
+    ledger = ledger or new_path(spark, "ledger")
+    calls = persist(model_inputs(transcripts.transcripts(sessions, segments), single_pass, limit), "calls")
 
-    def answered(rows: DataFrame, name: str) -> DataFrame:
-        tried = rows.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-        out = inference.with_model(tried, "text", make_model, "raw", partitions=partitions)
-        return persist(summaries.accepted_responses(out.withColumnRenamed("raw_error", "error")), name)
+    def replied(rows: DataFrame, name: str) -> DataFrame:
+        return persist(answered(rows, make_model, ledger, wording, persist, attempts, partitions, name=name).drop("n_attempts"), name)
 
-    first = answered(calls, "responses")
+    first = replied(calls, "responses")
     recaps = summaries.recaps(first).select("session_id", F.lit("final").alias("stage"), F.lit(0).alias("chunk_no"), F.col("markdown").alias("text"))
-    accepted = first.unionByName(answered(recaps, "final-responses"))
+    accepted = first.unionByName(replied(persist(recaps, "recaps"), "final-responses"))
     last = accepted.where("stage != 'chunk' and payload is not null")
     return last.select("session_id", summary_markdown("payload.session_notes_markdown", "payload.cinematic_summary_markdown").alias("markdown")), summaries.final_updates(accepted)
 

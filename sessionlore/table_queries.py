@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionlore.functions import text as T
 from sessionlore.operators import inference, notes, packets, registry, sessions, summaries, transcripts
+from sessionlore.operators.calls import Wording, answered
 from sessionlore.plans import workloads
 from sessionlore.queries import AS_OF, GAP_US, MIN_US, WS, _event_stream, _events, _N, _notes, _replayed, _responses, _second, _segments, query, read
 from sessionlore.schemas import CHARACTERS
@@ -188,15 +189,16 @@ def _summarising():
         update = {"note_type": "NPC" if len(text) % 2 else "npc", "title": f"T{len(text) % 3}", "content": text[14:60], "metadata": {}}
         return json.dumps({"session_notes_markdown": f"{len(text)} " + text[14:60] + "n" * 80, "cinematic_summary_markdown": "c" * 80 + text[-40:], "note_updates": [update, update | {"title": " "}]})
 
-    return lambda texts: [one(t) for t in texts]
+    return lambda texts: [one(t.split(T.TRANSCRIPT_PROMPT, 1)[1]) for t in texts]
 
 
+_WORDING = Wording("Tell what happened.", "Say more.", "One story of all parts.")
 _SINGLE, _LIMIT = 2600, 900
 
 
 def _summarised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = _segments(spark, sf_dir)
-    return workloads.session_summaries(rows.select("session_id"), rows, _summarising, stored, _SINGLE, _LIMIT, attempts=2)
+    return workloads.session_summaries(rows.select("session_id"), rows, _summarising, stored, _SINGLE, _LIMIT, attempts=2, wording=_WORDING)
 
 
 _CALLS = f"""
@@ -222,6 +224,51 @@ def session_summaries(spark, sf_dir):
     return _summarised(spark, sf_dir)[0]
 
 
+def _choosy():
+    """Refuses by the length of the transcript: always, until it is asked again, never."""
+
+    def one(prompt: str) -> str:
+        told, text = prompt.split(T.TRANSCRIPT_PROMPT, 1)
+        again, kind = _WORDING.retry in told, len(text) % 5
+        if kind == 0 or (kind == 3 and not again):
+            raise ValueError("no reply")
+        good = kind == 4 or again and kind != 2
+        return json.dumps({"session_notes_markdown": "n" * 90 if good else "None", "cinematic_summary_markdown": "c" * 90})
+
+    def model(prompts: list) -> list:
+        return [one(p) for p in prompts]
+
+    return model
+
+
+@query("""
+WITH c AS (SELECT conv_id AS session_id, CASE WHEN turn % 2 = 0 THEN 'chunk' ELSE 'single' END AS stage, turn::BIGINT AS chunk_no, length(text) % 5 AS kind FROM conversations)
+SELECT session_id, stage, chunk_no, CASE kind WHEN 4 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 0 END::BIGINT AS attempt, CASE kind WHEN 0 THEN 'Could not generate summary' WHEN 2 THEN 'Could not generate non-empty summary' END AS error,
+       CASE kind WHEN 4 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 3 END::BIGINT AS n_attempts FROM c
+""")
+def retry_rounds(spark, sf_dir):
+    """A model that answers some calls at once, others when asked again, some never."""
+    calls = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.when(F.col("turn") % 2 == 0, "chunk").otherwise("single").alias("stage"), F.col("turn").cast("int").alias("chunk_no"), "text")
+    done = answered(calls, _choosy, new_path(spark, "ledger"), _WORDING, stored)
+    return done.select("session_id", "stage", F.col("chunk_no").cast("long").alias("chunk_no"), F.coalesce(F.col("attempt").cast("long"), F.lit(0).cast("long")).alias("attempt"), "error", "n_attempts")
+
+
+@query("""
+SELECT stage, attempt, count(*)::BIGINT AS n_calls FROM (
+  SELECT DISTINCT CASE WHEN turn % 2 = 0 THEN 'chunk' ELSE 'single' END AS stage, turn, a::BIGINT AS attempt, text FROM conversations, (VALUES (1), (2), (3)) AS t(a)
+  WHERE a <= CASE length(text) % 5 WHEN 4 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 3 END) GROUP BY stage, attempt
+""")
+def ledger_calls(spark, sf_dir):
+    """How many prompts reached the model in each round, of a run that is ended after
+    its first round and then repeated over the same ledger."""
+    calls = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.when(F.col("turn") % 2 == 0, "chunk").otherwise("single").alias("stage"), F.col("turn").cast("int").alias("chunk_no"), "text")
+    ledger = new_path(spark, "ledger")
+    answered(calls, _choosy, ledger, _WORDING, stored, attempts=1)
+    answered(calls, _choosy, ledger, _WORDING, stored)
+    rows = spark.read.parquet(ledger)
+    return rows.groupBy("stage", F.col("attempt").cast("long").alias("attempt")).agg(F.count(F.lit(1)).alias("n_calls"))
+
+
 _UPDATES = _CALLS + f""",
 raw AS (SELECT session_id, true AS chunked, 0 AS stage, chunk_no, text FROM part UNION ALL SELECT session_id, chunked, 1, 0, text FROM last),
 u AS (SELECT session_id, chunked, stage, chunk_no, CASE WHEN length(text) % 2 = 1 THEN 'NPC' ELSE 'npc' END AS note_type, 'T' || (length(text) % 3) AS title, trim(substr(text, 15, 46), '{WS}') AS content FROM raw),
@@ -308,13 +355,31 @@ def live_registry(spark, sf_dir):
     """A stream of name updates; each batch makes the next snapshot of the registry."""
     folder = new_path(spark, "registry")
     rows = _event_stream(spark, sf_dir).select(F.lit(1).cast("long").alias("guild_id"), "user_id", F.concat(F.lit(" event "), F.col("event_id").cast("string")).alias("character_name"), F.col("ts").alias("updated_at"), F.col("event_id").alias("seq"))
-    write = live.snapshot_writer(f"{folder}/table", "character_registry", registry.register)
+    write = live.registry_writer(f"{folder}/table", buckets=8)
     rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     found, version = latest_snapshot(spark, f"{folder}/table", "character_registry")
     assert version >= 0 and found.schema == CHARACTERS
     return found.select("user_id", "character_name", F.unix_micros("updated_at").alias("updated_us"))
 
 
+@query("""
+SELECT guild_id, note_type, title, arg_max(content, seq) AS content, max(seq) AS source_session_id, count(*) OVER ()::BIGINT AS n_notes FROM (
+  SELECT user_id % 7 AS guild_id, event_type AS note_type, 'T' || (user_id % 11) AS title, 'event ' || event_id AS content, event_id AS seq FROM events) GROUP BY guild_id, note_type, title
+""")
+def live_notes(spark, sf_dir):
+    """A stream of note updates; each batch merges into the buckets that it touches.
+    Ids are dense over all batches."""
+    folder = new_path(spark, "notes")
+    rows = _event_stream(spark, sf_dir).select(
+        (F.col("user_id") % 7).alias("guild_id"), F.concat(F.col("event_type"), F.lit(" ")).alias("note_type"), F.concat(F.lit(" T"), (F.col("user_id") % 11).cast("string")).alias("title"),
+        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("content"), F.col("event_id").alias("source_session_id"), F.lit("{}").alias("metadata_json"), F.col("event_id").alias("seq"),
+    )
+    write = live.notes_writer(f"{folder}/table", F.lit(AS_OF).cast("timestamp"), buckets=8)
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    found, _ = latest_snapshot(spark, f"{folder}/table", "campaign_notes")
+    return found.select("guild_id", "note_type", "title", "content", "source_session_id", F.lit(found.agg(F.max("id")).first()[0]).cast("long").alias("n_notes"))
+
+
 @query(f"""
 WITH e AS (SELECT user_id, epoch_us(ts) AS us, event_type = 'purchase' AS ended FROM events),
 g AS (SELECT *, coalesce(sum(ended::INT) OVER (PARTITION BY user_id ORDER BY us, ended ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS era FROM e),
