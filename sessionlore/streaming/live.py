@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sessionlore.operators import notes, registry
 from sessionlore.operators.packets import IDLE_US, MIN_SPEECH_US, PACKET_US, QUARANTINE_AFTER
 from sessionlore.sources.versions import merge
+from sessionlore.streaming import ordered
 
 
 def live_segments(packets: DataFrame, keys: list[str], idle_us: int = IDLE_US, min_speech_us: int = MIN_SPEECH_US, packet_us: int = PACKET_US, delay: str = "10 seconds", names: tuple[str, ...] = (), at: str = "received_at") -> DataFrame:
@@ -29,70 +30,51 @@ def live_segments(packets: DataFrame, keys: list[str], idle_us: int = IDLE_US, m
     return rows.where(F.col("n_packets") * packet_us >= min_speech_us).select(*keys, "started_at", "ended_at", "n_packets", (F.col("n_packets") * packet_us / 1e6).alias("duration_s"), *names)
 
 
-def live_segments_with_end(packets: DataFrame, keys: list[str], idle_us: int = IDLE_US, min_speech_us: int = MIN_SPEECH_US, packet_us: int = PACKET_US, delay: str = "10 seconds", at: str = "received_at", ended: str = "session_ended") -> DataFrame:
+def live_segments_with_end(packets: DataFrame, keys: list[str], idle_us: int = IDLE_US, min_speech_us: int = MIN_SPEECH_US, packet_us: int = PACKET_US, delay: str = "10 seconds", at: str = "received_at", ended: str = "session_ended", names: tuple[str, ...] = ()) -> DataFrame:
     """As :func:`live_segments`, and a row whose ``ended`` column is true closes
-    the burst that is still open, however short it is. State is one open burst per
-    key: two times and a count. Rows of a trigger are sorted by time; the
-    event-time timer closes bursts that go quiet."""
-    kept = packets.select(*keys, at, ended).schema
-    out = ", ".join([*(f"`{k}` {kept[k].dataType.simpleString()}" for k in keys), "started_at timestamp", "ended_at timestamp", "n_packets long", "duration_s double", "forced boolean"])
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, n = state.get if state.exists else (0, 0, 0)
-        rows: list[tuple] = []
-
-        def close(forced: bool) -> None:
-            nonlocal n
-            if n and (forced or n * packet_us >= min_speech_us):
-                rows.append((*key, pd.Timestamp(start, unit="us"), pd.Timestamp(last, unit="us"), n, n * packet_us / 1e6, forced))
-            n = 0
-
-        if state.hasTimedOut:
-            close(False)
-        else:
-            whole = pd.concat(list(parts)).sort_values([at, ended], kind="stable")
-            for t, end in zip(whole[at].astype("datetime64[us]").astype("int64"), whole[ended].fillna(False), strict=True):
-                if n and t - last >= idle_us:
-                    close(False)
-                if end:
-                    close(True)
-                else:
-                    start, last, n = (start if n else t), t, n + 1
-        if n:
-            state.update((int(start), int(last), int(n)))
-            state.setTimeoutTimestamp(max((last + idle_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+    the burst that is still open, however short it is. Packets are taken in order of
+    time once the watermark has passed them, whatever trigger they come in. State is
+    the times within the delay and one open burst for each key."""
+    return ordered.segments(packets, keys, idle_us, min_speech_us, packet_us, delay, at, ended, names)
+
+
+def live_quarantine(packets: DataFrame, order: str, outcome: str = "outcome", key: str = "ssrc", limit: int = QUARANTINE_AFTER, at: str | None = None, delay: str = "10 seconds", forget: str | None = None) -> DataFrame:
+    """(ssrc, order, outcome, action) with one counter per source as state. With
+    ``at``, a time, packets count in order of it and of ``order`` over all triggers, and
+    the time is returned too; without, in order of arrival, and of ``order`` within a
+    trigger. A source that has had none for ``forget`` (as "1 hour") begins anew, and
+    its state goes; one without failures has none."""
+    if at is not None:
+        return ordered.quarantine(packets, key, at, [order], outcome, limit, delay, None if forget is None else int(pd.Timedelta(forget).total_seconds() * 1e6))
+    kept = packets.select(key, order, outcome).schema
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "action string"])
+    silence = None if forget is None else int(pd.Timedelta(forget).total_seconds() * 1000)
+
+    def step(key_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures = state.get[0] if state.exists and not state.hasTimedOut else 0
+        whole = None
+        if not state.hasTimedOut:
+            whole = pd.concat(list(parts)).sort_values(order, kind="stable")
+            actions, failures = ordered.runs_of_failures(whole[outcome].to_numpy(object), failures, limit)
+            whole = whole.assign(action=actions)
+        if failures:
+            state.update((int(failures),))
+            if silence is not None:
+                state.setTimeoutDuration(silence)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(rows, columns=[*keys, "started_at", "ended_at", "n_packets", "duration_s", "forced"])
+        if whole is not None:
+            yield whole
 
-    rows = packets.select(*keys, at, ended).withWatermark(at, delay)
-    return rows.groupBy(*keys).applyInPandasWithState(step, out, "start long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if silence is None else GroupStateTimeout.ProcessingTimeTimeout
+    return packets.select(key, order, outcome).groupBy(key).applyInPandasWithState(step, out, "failures long", "append", timeout)
 
 
-def live_quarantine(packets: DataFrame, order: str, outcome: str = "outcome", key: str = "ssrc", limit: int = QUARANTINE_AFTER) -> DataFrame:
-    """(ssrc, order, outcome, action) with one counter per source as state; rows
-    of a trigger count in the given order."""
-    kept = packets.select(key, order, outcome).schema
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "action string"])
-
-    def step(key_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures = state.get[0] if state.exists else 0
-        whole = pd.concat(list(parts)).sort_values(order, kind="stable")
-        actions: list[str | None] = []
-        for result in whole[outcome]:
-            if result == "error":
-                failures += 1
-                actions.append("quarantine" if failures == limit else "drop")
-                failures %= limit
-            elif result == "data":
-                failures = 0
-                actions.append("pass")
-            else:
-                actions.append(None)
-        state.update((int(failures),))
-        yield whole.assign(action=actions)
-
-    return packets.select(key, order, outcome).groupBy(key).applyInPandasWithState(step, out, "failures long", "append", GroupStateTimeout.NoTimeout)
+def live_names_as_of(rows: DataFrame, updates: DataFrame, fallback: str, at: str = "started_at", name: str = "character_name", delay: str = "10 seconds") -> DataFrame:
+    """As :func:`sessionlore.operators.registry.with_names_as_of`, of a stream of rows and
+    one of updates; a row leaves once the watermark has passed it, so that updates
+    before it have come."""
+    return ordered.names_as_of(rows, updates, registry.KEYS, at, fallback, name, delay)
 
 
 def snapshot_writer(folder: str, name: str, apply: Callable[..., DataFrame], keys: list[str] | None = None, buckets: int = 1, stream: str | None = None, counter: str | None = None) -> Callable[[DataFrame, int], None]:
