@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlore.functions.text import archive_name
+from sessionlore.functions.text import archive_name, suffix_route, wav_path
 
 # Silence that closes a segment, packet length and the least
 # speech of a segment, in microseconds; the largest gap that is concealed, in
@@ -50,6 +50,17 @@ def with_archive_path(segments: DataFrame, folder: Column, name: str = "characte
     return segments.withColumn("audio_path", F.concat_ws("/", folder, archive_name("started_at", "user_id", name)))
 
 
+def routed(segments: DataFrame, files: DataFrame, path: str = "audio_path") -> DataFrame:
+    """Segments with ``route`` (``ready``, ``decode`` or ``unsupported``) and
+    ``ready_path``, the file to be transcribed: of a packed one, the wav beside it,
+    which is there or has to be made. ``files`` (path) are those that exist."""
+    there = files.select(F.col("path").alias("_wav"), F.lit(True).alias("_there")).where(F.lower("_wav").endswith(".wav")).distinct()
+    met = segments.withColumn("_wav", wav_path(path)).join(there, "_wav", "left")
+    route = suffix_route(path, F.coalesce("_there", F.lit(False)))
+    ready = F.when(F.lower(F.col(path)).endswith(".wav"), F.col(path)).when(route != "unsupported", F.col("_wav"))
+    return met.withColumn("route", route).withColumn("ready_path", ready).select(*segments.columns, "route", "ready_path")
+
+
 def loss_profile(packets: DataFrame, segment: list[str], limit: int = MAX_CONCEALED, sequence: str = "sequence", order: str = "arrival_no", corrupt: str | None = None) -> DataFrame:
     """Packets, concealed frames, corrupt packets and decoded frames of each
     segment. A gap of 1 to ``limit`` sequence numbers (16 bits, wrapping) is

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from sessionlore.functions.text import display_label, embedding_text, summary_markdown, transcript_chunks
 from sessionlore.operators import inference, notes, packets, registry, search, summaries, transcripts
+from sessionlore.operators import sessions as states
 from sessionlore.operators.calls import Wording, answered
+from sessionlore.operators.upserts import numbered
+from sessionlore.schemas import COMPLETED
+from sessionlore.sources.packets import listing, write_archives
 from sessionlore.sources.shared import new_path
 
 
@@ -22,6 +26,38 @@ def segments_of_recordings(rows: DataFrame, updates: DataFrame, session_end: Dat
     return packets.with_archive_path(named, F.concat(F.lit("sessions/"), F.col("session_id").cast("string"), F.lit("/audio")))
 
 
+def recordings_to_transcripts(rows: DataFrame, updates: DataFrame, session_end: DataFrame | None, folder: str, make_model: Callable, persist: Callable[[DataFrame, str], DataFrame], last_id: int = 0, partitions: int | None = None, idle_us: int = packets.IDLE_US, min_speech_us: int = packets.MIN_SPEECH_US) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Packets of sessions to archive files below ``folder``, segments with texts,
+    outcomes (session_id, n_segments, n_done, n_skipped, status, error) and
+    transcripts (session_id, markdown; only of sessions that did not fail). The model
+    gets the address of each segment's wav, where one is there, or of its archive.
+    ``arrival_no`` is a packet's own number in its session."""
+    spark = rows.sparkSession
+    good = packets.valid_packets(rows).withColumn("label", display_label("display_name", "name", "user_id"))
+    keys = ["guild_id", "session_id", "user_id"]
+    found = packets.speech_segments(good, keys, idle_us, min_speech_us, session_end=session_end, names=("label",))
+    named = registry.with_names_as_of(found, updates, "label")
+    paths = packets.with_archive_path(named, F.concat(F.lit("sessions/"), F.col("session_id").cast("string"), F.lit("/audio")))
+    # Times first, so that ids follow the recording.
+    numbered_rows = persist(numbered(paths.withColumn("_order", F.struct(F.unix_micros("started_at").alias("us"), "session_id", "user_id")), "_order", F.lit(last_id).cast("long")).drop("_order"), "segments")
+    # Payloads stay out of the sort by silence: they meet the thin rows afterwards.
+    thin = packets.with_bursts(good.select(*keys, "received_at", "arrival_no"), keys, idle_us).join(numbered_rows.select(*keys, "burst", F.col("audio_path").alias("path")), [*keys, "burst"])
+    placed = good.select(*keys, "arrival_no", "sequence", F.col("rtp_timestamp").alias("timestamp"), "payload").join(thin.select(*keys, "arrival_no", "path"), [*keys, "arrival_no"])
+    write_archives(placed, folder)
+    segments = numbered_rows.select("id", "session_id", "user_id", F.col("label").alias("display_name"), "character_name", "started_at", "ended_at", "audio_path", F.lit(None).cast("string").alias("transcript_text"))
+    ways = packets.routed(segments, listing(spark, folder)).where("route != 'unsupported'")
+    asked = ways.select("session_id", "audio_path", F.concat(F.lit(folder.rstrip("/") + "/"), F.when(F.col("route") == "ready", F.col("ready_path")).otherwise(F.col("audio_path"))).alias("address"))
+    replies = persist(inference.with_model(asked, "address", make_model, "transcript_text", partitions=partitions).drop("address"), "texts")
+    done = states.apply_transcripts(segments, replies.where("transcript_text_error is null").withColumn("seq", F.lit(0)))
+    decoded = replies.where("transcript_text_error is null").select("session_id", "audio_path", F.lit(True).alias("decodable")).distinct()
+    done = persist(done.join(decoded, ["session_id", "audio_path"], "left").withColumn("decodable", F.coalesce("decodable", F.lit(False))), "transcribed")
+    every = rows.select("session_id", F.lit("audio").alias("mode")).distinct()
+    outcomes = persist(states.outcomes(every, done), "outcomes")
+    completed = outcomes.where(F.col("status") == COMPLETED).select("session_id")
+    texts = transcripts.transcripts(completed, done.join(completed, "session_id", "left_semi"))
+    return done.drop("decodable"), outcomes.drop("mode"), texts
+
+
 def model_inputs(markdown: DataFrame, single_pass: int, limit: int) -> DataFrame:
     """(session_id, stage, chunk_no, text): one row per model call."""
     rows = markdown.select("session_id", transcript_chunks("markdown", single_pass, limit).alias("chunks"))

@@ -529,7 +529,7 @@ def live_failure_quarantine(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from sessionlore import stream_queries, table_queries  # noqa: F401  add their own
+    from sessionlore import file_queries, stream_queries, table_queries  # noqa: F401  add their own
 
     return dict(_queries)
 

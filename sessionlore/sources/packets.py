@@ -1,34 +1,116 @@
 """Packet archives: files of framed packets. A frame is an 8-byte header
-(sequence u16, timestamp u32, size u16; little-endian) and the payload."""
+(sequence u16, timestamp u32, size u16; little-endian) and the payload.
+
+:func:`read_archives` reads files with Spark's own reader, from any store that it
+knows. :class:`Archives` is a data source that writes them (and reads them too), in
+stores that ``pyarrow.fs`` reaches: a shared mount, HDFS, or an object store.
+"""
 
 from __future__ import annotations
 
-import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
-#: Fixed value: the header's layout.
-HEADER = "<HIH"
+#: Fixed value: the header's size (u16, u32, u16).
 HEADER_SIZE = 8
 HEADER_ERROR, PAYLOAD_ERROR = "Corrupted Opus packet header", "Corrupted Opus packet payload"
 PACKET_SCHEMA = "path string, packet_no int, sequence int, timestamp long, payload binary, error string"
+#: Bytes of files that one task reads, and file bytes of one batch of packets.
+PARTITION_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+#: Files of which frames are looked for in step.
+IN_STEP = 16
+
+
+def _within(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start, start+1, ... of all ranges in a row."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
+
+
+def frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(file, place) of each frame of files, byte ranges of ``data``, in order; and for
+    each file 0, or 1 for a broken header, 2 for a broken payload."""
+    broken = np.zeros(len(begin), np.int8)
+    file, at = np.flatnonzero(begin < end), begin[begin < end]
+    files, places = [], []
+    while len(file) > IN_STEP:  # a frame of every file that has one left
+        short = at + HEADER_SIZE > end[file]
+        broken[file[short]] = 1
+        file, at = file[~short], at[~short]
+        following = at + HEADER_SIZE + data[at + 6] + data[at + 7].astype(np.int64) * 256
+        cut = following > end[file]
+        broken[file[cut]] = 2
+        files.append(file[~cut])
+        places.append(at[~cut])
+        more = ~cut & (following < end[file])
+        file, at = file[more], following[more]
+    view = memoryview(data)
+    for f, place in zip(file.tolist(), at.tolist(), strict=True):
+        last, found = int(end[f]), []
+        while place < last:
+            if place + HEADER_SIZE > last:
+                broken[f] = 1
+                break
+            following = place + HEADER_SIZE + view[place + 6] + 256 * view[place + 7]
+            if following > last:
+                broken[f] = 2
+                break
+            found.append(place)
+            place = following
+        files.append(np.full(len(found), f))
+        places.append(np.array(found, np.int64))
+    file, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (files, places))
+    order = np.lexsort((at, file))
+    kept = order[broken[file[order]] == 0]
+    return file[kept], at[kept], broken
+
 
+def packet_batch(paths: pa.Array, contents: pa.Array) -> dict:
+    """Columns of ``PACKET_SCHEMA`` for files; a broken one has one row, an error."""
+    contents = contents.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, raw = contents.buffers()
+    offs = np.frombuffer(offsets, np.int64)[contents.offset : contents.offset + len(contents) + 1] if len(contents) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    file, at, broken = frames(data, offs[:-1], offs[1:])
+    byte = lambda k: data[at + k].astype(np.int64)
+    size = byte(6) + byte(7) * 256
+    bad = np.flatnonzero(broken)
+    order = np.argsort(np.concatenate((file, bad)), kind="stable")
+    is_bad = np.concatenate((np.zeros(len(file), bool), np.ones(len(bad), bool)))[order]
+    size_of = np.concatenate((size, np.zeros(len(bad), np.int64)))[order]
+    payload = data[_within(at + HEADER_SIZE, size)]
+    ends = np.concatenate(([0], np.cumsum(size_of)))
+    payloads = pa.Array.from_buffers(pa.large_binary(), len(order), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(payload.tobytes())])
+    masked = lambda x, kind: pa.array(np.concatenate((x, np.zeros(len(bad), np.int64)))[order], kind, mask=is_bad)
+    number = np.arange(len(file)) - np.searchsorted(file, file)
+    message = np.where(broken == 1, HEADER_ERROR, PAYLOAD_ERROR).astype(object)
+    return {
+        "path": paths.take(pa.array(np.concatenate((file, bad))[order])), "packet_no": masked(number, pa.int32()), "sequence": masked(byte(0) + byte(1) * 256, pa.int32()),
+        "timestamp": masked(byte(2) + (byte(3) << 8) + (byte(4) << 16) + (byte(5) << 24), pa.int64()),
+        "payload": pc.if_else(pa.array(is_bad), pa.scalar(None, pa.binary()), payloads.cast(pa.binary())),
+        "error": pa.array(np.where(is_bad, message[np.concatenate((file, bad))[order]], None), pa.string()),
+    }
 
-def parse(content: bytes) -> tuple[list[tuple[int, int, bytes]], str | None]:
-    packets, at = [], 0
-    while at < len(content):
-        if at + HEADER_SIZE > len(content):
-            return [], HEADER_ERROR
-        sequence, timestamp, size = struct.unpack_from(HEADER, content, at)
-        at += HEADER_SIZE
-        if at + size > len(content):
-            return [], PAYLOAD_ERROR
-        packets.append((sequence, timestamp, content[at : at + size]))
-        at += size
-    return packets, None
+
+_ARROW = pa.schema([("path", pa.string()), ("packet_no", pa.int32()), ("sequence", pa.int32()), ("timestamp", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
+
+
+def _batches(paths: pa.Array, contents: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Packets of some files at a time."""
+    sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in contents], np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_BYTES, prepend=-1))
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True):
+        found = packet_batch(paths[i:j].cast(pa.string()), contents[i:j])
+        yield pa.RecordBatch.from_arrays([found[f.name] for f in _ARROW], schema=_ARROW)
 
 
 def packets_of(archives: DataFrame) -> DataFrame:
@@ -36,32 +118,209 @@ def packets_of(archives: DataFrame) -> DataFrame:
     rows; a broken one has a single row with ``error`` and no packet, and
     other files are not touched by it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                packets, error = parse(bytes(content) if content is not None else b"")
-                rows += [(path, None, None, None, None, error)] if error else [(path, i, *p, None) for i, p in enumerate(packets)]
-            out = pd.DataFrame(rows, columns=["path", "packet_no", "sequence", "timestamp", "payload", "error"])
-            yield out.astype({"packet_no": "Int32", "sequence": "Int32", "timestamp": "Int64"})
+            yield from _batches(batch.column("path"), batch.column("content"))
 
-    return archives.select("path", "content").mapInPandas(run, PACKET_SCHEMA)
+    return archives.select("path", "content").mapInArrow(run, PACKET_SCHEMA)
 
 
 def read_archives(spark: SparkSession, folder: str, pattern: str = "*.skopus") -> DataFrame:
+    """Packets of all archives in a folder and those below."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return packets_of(files)
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the files in a folder and those below, as paths below it;
+    no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    # Spark gives whole addresses, whose form differs from store to store.
+    name = F.concat(F.lit("/"), F.regexp_extract("path", r"^[A-Za-z0-9]+:/*(.*)$", 1))
+    base = "/" + folder.split(":", 1)[-1].strip("/") + "/"
+    return files.select(F.substr(name, F.instr(name, base) + len(base)).alias("path"), "length")
+
+
+def framed(packets: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of packets (sequence, timestamp, payload) as frames in a row, and the
+    place at which each one ends."""
+    payload = packets.column("payload").cast(pa.large_binary()).fill_null(b"")
+    _, offsets, raw = payload.buffers()
+    offs = np.frombuffer(offsets, np.int64)[payload.offset : payload.offset + len(payload) + 1]
+    size = np.diff(offs)
+    if len(size) and size.max() > 0xFFFF:
+        raise ValueError("a payload of over 65,535 bytes does not fit a frame")
+    ends = np.cumsum(size + HEADER_SIZE)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    header = np.zeros(len(size), [("sequence", "<u2"), ("timestamp", "<u4"), ("size", "<u2")])
+    header["sequence"], header["timestamp"], header["size"] = packets.column("sequence").to_numpy(), packets.column("timestamp").to_numpy(), size
+    begin = ends - size - HEADER_SIZE
+    out[(begin[:, None] + np.arange(HEADER_SIZE)).reshape(-1)] = header.view(np.uint8).reshape(-1)
+    out[_within(begin + HEADER_SIZE, size)] = np.frombuffer(raw, np.uint8)[offs[0] : offs[-1]] if raw is not None else 0
+    return out, ends
+
+
 def archives_of(packets: DataFrame) -> DataFrame:
     """(path, content) of packets (path, arrival_no, sequence, timestamp,
     payload), framed in arrival order. A segment's packets are one value, as
     they are one file; a segment ends at the first silence."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            framed = [b"".join(struct.pack(HEADER, p["sequence"], p["timestamp"], len(p["payload"])) + p["payload"] for p in packets) for packets in batch["packets"]]
-            yield pd.DataFrame({"path": batch["path"], "content": framed})
+            lists = batch.column("packets")
+            every = lists.flatten()
+            raw, ends = framed(pa.RecordBatch.from_struct_array(every))
+            counts = np.array([len(x) for x in lists], np.int64)
+            cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+            content = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), content.cast(pa.binary())], ["path", "content"])
 
     fields = F.struct("arrival_no", "sequence", "timestamp", "payload")
-    return packets.groupBy("path").agg(F.array_sort(F.collect_list(fields)).alias("packets")).mapInPandas(run, "path string, content binary")
+    return packets.groupBy("path").agg(F.array_sort(F.collect_list(fields)).alias("packets")).mapInArrow(run, "path string, content binary")
+
+
+# ---- files -------------------------------------------------------------------
+def _store(folder: str):
+    """A store and the folder's place in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+
+
+def _checked(path: str) -> str:
+    if path.startswith("/") or ":" in path or ".." in path.split("/") or not path.strip("/"):
+        raise ValueError(f"not a path below the folder: {path}")
+    return path
+
+
+@dataclass
+class Files(InputPartition):
+    paths: list[str]
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    staged: str
+    paths: list[str]
+
+
+class Archives(DataSource):
+    """``spark.read.format("skopus").load(folder)`` gives ``PACKET_SCHEMA``; its paths
+    are below the folder. To be written are packets (path, sequence, timestamp,
+    payload), those of a path in a row and in order, or whole files (path, content);
+    :func:`write_archives` sorts packets so. Register it with :func:`register`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "skopus"
+
+    def schema(self) -> str:
+        return PACKET_SCHEMA
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return ArchiveReader(self.options["path"], self.options.get("suffix", ".skopus"), int(self.options.get("partitionBytes", PARTITION_BYTES)))
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        if overwrite:
+            raise ValueError("archives are only added: use mode('append')")
+        return ArchiveWriter(self.options["path"])
+
+
+class ArchiveReader(DataSourceReader):
+    def __init__(self, folder: str, suffix: str, partition_bytes: int):
+        self.folder, self.suffix, self.partition_bytes = folder, suffix, partition_bytes
+
+    def partitions(self) -> list[Files]:
+        """Files in tasks of about as many bytes each; a larger file is one task."""
+        from pyarrow import fs
+
+        store, base = _store(self.folder)
+        found = [f for f in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if f.is_file and f.path.lower().endswith(self.suffix) and "/_staged-" not in f.path]
+        found.sort(key=lambda f: f.path)
+        ends = np.cumsum([f.size or 0 for f in found])
+        cuts = np.flatnonzero(np.diff(np.maximum(ends - 1, 0) // self.partition_bytes, prepend=-1)).tolist()
+        return [Files([f.path[len(base.rstrip("/")) + 1 :] for f in found[i:j]]) for i, j in zip(cuts, [*cuts[1:], len(found)], strict=True)]
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        store, base = _store(self.folder)
+        held, size = [], 0
+        for k, path in enumerate(partition.paths):
+            with store.open_input_stream(f"{base}/{path}") as file:
+                held.append((path, file.read()))
+            size += len(held[-1][1])
+            if size >= BATCH_BYTES or k == len(partition.paths) - 1:
+                yield from _batches(pa.array([p for p, _ in held]), pa.array([c for _, c in held], pa.large_binary()))
+                held, size = [], 0
+
+
+class ArchiveWriter(DataSourceArrowWriter):
+    """A task writes files of its own, in a staged folder; the commit of the job puts
+    them in place. Files of failed tasks and jobs are never seen."""
+
+    def __init__(self, folder: str):
+        self.folder, self.job = folder, f"_staged-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, base = _store(self.folder)
+        staged, paths, file, current = f"{self.job}/{uuid.uuid4().hex}", [], None, None
+        try:
+            for batch in iterator:
+                names = batch.column("path").to_pylist()
+                if "content" in batch.schema.names:
+                    content = batch.column("content").cast(pa.large_binary()).fill_null(b"")
+                    pieces = [(p, c.as_buffer()) for p, c in zip(names, content, strict=True)]
+                    whole = True
+                else:
+                    raw, ends = framed(batch)
+                    cuts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+                    places = [0, *ends.tolist()]
+                    pieces = [(names[i], raw[places[i] : places[j]]) for i, j in zip(cuts, [*cuts[1:], len(names)], strict=True)]
+                    whole = False
+                for path, piece in pieces:
+                    if whole or path != current:
+                        if file is not None:
+                            file.close()
+                        place = f"{base}/{staged}/{_checked(path)}"
+                        store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                        file, current = store.open_output_stream(place), path
+                        paths.append(path)
+                    file.write(pa.py_buffer(piece))
+        finally:
+            if file is not None:
+                file.close()
+        return Written(staged, paths)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, base = _store(self.folder)
+        for message in messages:
+            for path in message.paths if message else []:
+                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                store.move(f"{base}/{message.staged}/{path}", f"{base}/{path}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        store, base = _store(self.folder)
+        from pyarrow import fs
+
+        if store.get_file_info(f"{base}/{self.job}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{base}/{self.job}")
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(Archives)
+
+
+def write_archives(packets: DataFrame, folder: str, partitions: int | None = None) -> None:
+    """Write packets (path, arrival_no, sequence, timestamp, payload) to files below
+    ``folder``, in order of arrival. A file is written as its packets come: no segment
+    is held as a whole."""
+    register(packets.sparkSession)
+    rows = packets.select("path", "arrival_no", F.col("sequence").cast("int").alias("sequence"), F.col("timestamp").cast("long").alias("timestamp"), "payload")
+    dealt = rows.repartition(partitions, "path") if partitions else rows.repartition("path")
+    dealt.sortWithinPartitions("path", "arrival_no").drop("arrival_no").write.format("skopus").mode("append").save(folder)
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write whole files (path, content)."""
+    register(files.sparkSession)
+    files.select("path", "content").write.format("skopus").mode("append").save(folder)
