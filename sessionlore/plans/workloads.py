@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlore.functions.text import display_label, embedding_text, summary_markdown, transcript_chunks
-from sessionlore.operators import inference, notes, packets, registry, search, summaries, transcripts
+from sessionlore.operators import inference, notes, packets, registry, search, slices, summaries, transcripts
 from sessionlore.operators import sessions as states
 from sessionlore.operators.calls import Wording, answered
 from sessionlore.operators.upserts import numbered
@@ -41,7 +41,7 @@ def recordings_to_transcripts(rows: DataFrame, updates: DataFrame, session_end:
     # Times first, so that ids follow the recording.
     numbered_rows = persist(numbered(paths.withColumn("_order", F.struct(F.unix_micros("started_at").alias("us"), "session_id", "user_id")), "_order", F.lit(last_id).cast("long")).drop("_order"), "segments")
     # Payloads stay out of the sort by silence: they meet the thin rows afterwards.
-    thin = packets.with_bursts(good.select(*keys, "received_at", "arrival_no"), keys, idle_us).join(numbered_rows.select(*keys, "burst", F.col("audio_path").alias("path")), [*keys, "burst"])
+    thin = slices.with_bursts(good.select(*keys, "received_at", "arrival_no"), keys, idle_us).join(numbered_rows.select(*keys, "burst", F.col("audio_path").alias("path")), [*keys, "burst"])
     placed = good.select(*keys, "arrival_no", "sequence", F.col("rtp_timestamp").alias("timestamp"), "payload").join(thin.select(*keys, "arrival_no", "path"), [*keys, "arrival_no"])
     write_archives(placed, folder)
     segments = numbered_rows.select("id", "session_id", "user_id", F.col("label").alias("display_name"), "character_name", "started_at", "ended_at", "audio_path", F.lit(None).cast("string").alias("transcript_text"))

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlore.queries import GAP_US, MIN_US, _events, _outcomes, _QUARANTINE, _replayed, query
+from sessionlore.operators import slices
+from sessionlore.queries import _QUARANTINE, GAP_US, MIN_US, _events, _outcomes, _replayed, query
 from sessionlore.sources.shared import new_path
 from sessionlore.streaming import live
 
@@ -65,3 +66,34 @@ def live_names_asof(spark, sf_dir):
     starts = rows.select("guild_id", "user_id", "event_id", "event_type", F.col("ts").alias("started_at"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("fallback"))
     done = _replayed(spark, live.live_names_as_of(starts, updates, "fallback", delay=DELAY), "live-names")
     return done.where("event_type = 'click'").select("event_id", "user_id", "character_name")
+
+
+# ---- one speaker that has all rows -------------------------------------------
+_ONE = f"""
+SELECT burst::BIGINT AS burst, min(us) AS started_us, max(us) AS ended_us, count(*)::BIGINT AS n_packets FROM (
+  SELECT us, sum(new) OVER (ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM (
+    SELECT event_id, epoch_us(ts) AS us, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) >= 300000000)::INT, 0) AS new FROM events)) GROUP BY burst
+"""
+
+
+@query(_ONE)
+def hot_speaker_bursts(spark, sf_dir):
+    """All events as one speaker's, by slices of a day; five minutes of silence cut."""
+    rows = slices.with_bursts(_events(spark, sf_dir).select(F.lit(1).alias("speaker"), "ts", "event_id"), ["speaker"], 300_000_000, "ts", "event_id", slice_us=86_400_000_000)
+    return rows.groupBy("burst").agg(F.min(F.unix_micros("ts")).alias("started_us"), F.max(F.unix_micros("ts")).alias("ended_us"), F.count(F.lit(1)).alias("n_packets"))
+
+
+@query("""
+SELECT count(*)::BIGINT AS n_packets, sum(CASE WHEN gap BETWEEN 1 AND 75 THEN gap ELSE 0 END)::BIGINT AS concealed, sum((event_type = 'error')::INT)::BIGINT AS corrupt
+FROM (SELECT event_type, ((event_id % 65536 - lag(event_id % 65536) OVER (ORDER BY ts, event_id) - 1) % 65536 + 65536) % 65536 AS gap FROM events)
+""")
+def hot_speaker_loss(spark, sf_dir):
+    rows = _events(spark, sf_dir).select(F.lit(1).alias("speaker"), "ts", F.struct("ts", "event_id").alias("at"), (F.col("event_id") % 65536).alias("sequence"), (F.col("event_type") == "error").alias("corrupt"))
+    return slices.loss_profile(rows, ["speaker"], slices.by_time("ts", 86_400_000_000), order="at", corrupt="corrupt").select("n_packets", "concealed", "corrupt")
+
+
+@query(_QUARANTINE.replace("PARTITION BY user_id, run", "PARTITION BY run").replace("PARTITION BY user_id ", ""))
+def hot_speaker_quarantine(spark, sf_dir):
+    rows = _outcomes(_events(spark, sf_dir)).withColumn("speaker", F.lit(1))
+    done = slices.quarantine(rows, ["speaker"], ["ts", "event_id"], slices.by_time("ts", 86_400_000_000))
+    return done.select("event_id", "user_id", F.col("failures").cast("long").alias("failures"), "action")
