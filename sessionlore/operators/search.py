@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlore.functions.text import NO_NOTES_ANSWER, titled
@@ -56,6 +56,14 @@ def top_notes(questions: DataFrame, notes: DataFrame, k: int = DEPTH, digits: in
     return _best(rows.join(asked, key).select("question_id", F.col("id").alias("note_id"), score.alias("score")), k)
 
 
+def _filled(vectors: pd.Series, width: int) -> np.ndarray:
+    """Vectors as rows of ``width``, zeros behind the shorter ones."""
+    lengths = vectors.str.len().to_numpy(np.int64)
+    out = np.zeros((len(vectors), width))
+    out[np.arange(width) < lengths[:, None]] = np.concatenate([np.asarray(x, float) for x in vectors]) if len(vectors) else 0
+    return out
+
+
 def _grouped(notes: DataFrame, questions: DataFrame, group_notes: int = GROUP_NOTES, group_questions: int = GROUP_QUESTIONS) -> tuple[DataFrame, DataFrame]:
     """Notes and questions with (block, salt): a guild's questions are dealt to
     blocks and its notes to salts, and each block meets each salt once. Only
@@ -79,22 +87,29 @@ def _grouped(notes: DataFrame, questions: DataFrame, group_notes: int = GROUP_NO
 
 
 def top_notes_batch(questions: DataFrame, notes: DataFrame, k: int = DEPTH, group_notes: int = GROUP_NOTES, group_questions: int = GROUP_QUESTIONS) -> DataFrame:
-    """As :func:`top_notes` for many questions and vectors of one length: a
-    matrix product for each group of a guild's notes and questions."""
-    asked = questions.select("guild_id", "question_id", wide(F.col("embedding")).alias("q"))
-    left, right = _grouped(notes.select("guild_id", "id", wide(F.col("embedding")).alias("v")), asked, group_notes, group_questions)
+    """As :func:`top_notes` for many questions: a matrix product for each group of a
+    guild's notes and questions. Shorter vectors are filled up with zeros; one that is
+    null or holds a null has no likeness to any."""
+
+    def whole(v: Column) -> Column:
+        return F.when(v.isNull() | F.exists(v, lambda x: x.isNull()), F.array().cast("array<double>")).otherwise(wide(v))
+
+    asked = questions.select("guild_id", "question_id", whole(F.col("embedding")).alias("q"))
+    left, right = _grouped(notes.select("guild_id", "id", whole(F.col("embedding")).alias("v")), asked, group_notes, group_questions)
     left = left.withColumnRenamed("id", "note_id")
 
     def best(rows: Iterator[pd.DataFrame] | pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"question_id": [], "note_id": [], "score": []}).astype({"question_id": "int64", "note_id": "int64"})
         if not len(rows) or not len(questions):
             return out
-        ids, v, q = rows["note_id"].to_numpy(), np.array(rows["v"].tolist()), np.array(questions["q"].tolist())
+        width = int(max(rows["v"].str.len().max(), questions["q"].str.len().max()))
+        ids, v, q = rows["note_id"].to_numpy(), _filled(rows["v"], width), _filled(questions["q"], width)
         order = np.argsort(ids, kind="stable")
         ids, v = ids[order], v[order]
         norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
         score = np.divide(q @ v.T, norms, out=np.zeros(norms.shape), where=norms != 0)
-        at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        # What is no number comes first, as in Spark's order.
+        at = np.argsort(-np.where(np.isnan(score), np.inf, score), axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"question_id": np.repeat(questions["question_id"].to_numpy(), at.shape[1]), "note_id": ids[at].reshape(-1), "score": np.take_along_axis(score, at, 1).reshape(-1)})
 
     key = ["guild_id", "block", "salt"]

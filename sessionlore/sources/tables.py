@@ -22,6 +22,13 @@ def append_rows(df: DataFrame, folder: str, name: str) -> None:
     write_table(df, folder, name, mode="append")
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """A table of the catalogue whose rows are dealt to buckets by ``key`` and sorted in
+    them: tables that have as many buckets join by it without a shuffle."""
+    dealt = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    (dealt.option("path", path) if path else dealt).saveAsTable(table)
+
+
 def latest_snapshot(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, int]:
     """The newest version of a table that :mod:`sessionlore.sources.versions` keeps,
     or an empty table and -1."""

@@ -102,6 +102,16 @@ def read_version(spark: SparkSession, folder: str, name: str, version: int | Non
     return _read(spark, folder, name, found), found["version"] if found else -1
 
 
+def read_changed(spark: SparkSession, folder: str, name: str, since: int, until: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of the buckets whose files are not the same in two versions, as they were
+    in ``since`` (-1: before the first) and as they are in ``until`` (the newest by
+    default); and the number of the latter."""
+    old, new = manifest(spark, folder, since) if since >= 0 else None, manifest(spark, folder, until)
+    before, after = (old or {"files": {}})["files"], (new or {"files": {}})["files"]
+    changed = sorted(int(b) for b in {*before, *after} if before.get(b) != after.get(b))
+    return _read(spark, folder, name, old, changed), _read(spark, folder, name, new, changed), new["version"] if new else -1
+
+
 def bucket_of(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int") if keys else F.lit(0)
 
