@@ -54,7 +54,7 @@ def rolling(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     width = np.minimum(np.diff(offs), WINDOW - 1)
     short = spread(offs[:-1], width)
     inside = short - np.repeat(offs[:-1], width)
-    for j in range(WINDOW):
+    for j in range(min(WINDOW, len(data))):
         part = spaced[: len(data) - j] * weight
         lost = short[inside < j] - j
         part[lost[lost >= 0]] = 0  # bytes of the text before
