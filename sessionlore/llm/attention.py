@@ -10,7 +10,8 @@ scores its second half, so every id is scored once, with STEP to 2 * STEP - 1
 ids of context (fewer at the beginning).
 
 The weights are trained on all training texts, in windows end to end, so that
-every id is a target once. Parts of the data train copies side by side, whose weights are averaged, in ``ROUNDS`` rounds; a
+every id is a target once. Parts of the data train copies side by side, whose weights are
+averaged, twice with one part and up to MOST_ROUNDS times with many; a
 round takes the windows of its turn, so that all rounds together are one pass
 over every window.
 
@@ -44,7 +45,7 @@ from sessionlore.llm.tokens import packed, unpacked
 
 STEP, WIDTH = 16, 32
 DIM, OWN_CLASS, OWN_ROW = 16, 24, 4096
-ROUNDS, BATCH, RATE = 2, 256, 0.03
+ROUNDS, MOST_ROUNDS, BATCH, RATE = 2, 8, 256, 0.03
 BLOCK_BYTES = 16 << 20
 PART_WINDOWS = 200_000
 #: Weights of so many parts are added up in one task.
@@ -294,8 +295,16 @@ def coded(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     return stored(arrow_map(docs.select("doc_id", "text", "training"), read, "row long, doc_id long, training boolean, text string, w binary"), "coded-texts")[0]
 
 
-def fit(rows: DataFrame, size: int) -> tuple[dict[str, np.ndarray], Vocabulary]:
-    """Weights and vocabulary from all rows (row, w) of packed ids below ``size``."""
+def rounds_of(parts: int) -> int:
+    """How often copies are averaged in the single pass over all windows: more of them
+    drift apart sooner; but a round needs some ten thousand windows for each copy."""
+    return min(MOST_ROUNDS, ROUNDS + 2 * (parts - 1).bit_length())
+
+
+def fit(rows: DataFrame, size: int, part_windows: int = PART_WINDOWS, rounds: int | None = None) -> tuple[dict[str, np.ndarray], Vocabulary]:
+    """Weights and vocabulary from all rows (row, w) of packed ids below ``size``. A
+    copy of the weights learns from about ``part_windows`` windows; ``rounds`` are
+    averages of the copies, :func:`rounds_of` their number by default."""
     texts = rows.select("row", "w")
 
     def count(batches: Iterator[pa.RecordBatch]):
@@ -314,9 +323,10 @@ def fit(rows: DataFrame, size: int) -> tuple[dict[str, np.ndarray], Vocabulary]:
             counts[i] = n
     vocabulary = Vocabulary(counts, found.get(-1, 0))
     w = fresh(vocabulary)
-    parts = max(1, math.ceil(found.get(-2, 0) / PART_WINDOWS))
+    parts = max(1, math.ceil(found.get(-2, 0) / part_windows))
+    rounds = rounds or rounds_of(parts)
     sizes = [int(np.prod(s)) for s in vocabulary.shapes.values()]
-    for turn in range(ROUNDS if found.get(-2) else 0):
+    for turn in range(rounds if found.get(-2) else 0):
 
         def learn(batches: Iterator[pa.RecordBatch], w=w, turn=turn):
             from pyspark import TaskContext
@@ -325,10 +335,10 @@ def fit(rows: DataFrame, size: int) -> tuple[dict[str, np.ndarray], Vocabulary]:
             rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
 
             def arrays():
-                for part in training_windows(batches, size, turn):
+                for part in training_windows(batches, size, turn, rounds):
                     yield part[rng.permutation(len(part))]
 
-            after, seen = trained(w, vocabulary, arrays(), RATE / (1 + turn))
+            after, seen = trained(w, vocabulary, arrays(), RATE / (1 + turn * ROUNDS / rounds))
             if seen:
                 yield {"n": [seen], "w": [np.concatenate([after[k].reshape(-1) * seen for k in w], dtype="<f8").tobytes()]}
 
@@ -357,9 +367,9 @@ def n_training_windows(batch: pa.RecordBatch) -> np.ndarray:
     return -(-(length + 1) // WIDTH)
 
 
-def training_windows(batches: Iterator[pa.RecordBatch], vocabulary_size: int, turn: int | None = None, rows: int = 10_000) -> Iterator[np.ndarray]:
+def training_windows(batches: Iterator[pa.RecordBatch], vocabulary_size: int, turn: int | None = None, rounds: int = ROUNDS, rows: int = 10_000) -> Iterator[np.ndarray]:
     """All windows of the coded texts of (row, w), or those of one of
-    ``ROUNDS`` turns, about ``rows`` at a time. Turns take the windows of a text
+    ``rounds`` turns, about ``rows`` at a time. Turns take the windows of a text
     in rotation, beginning with the one that its number says."""
     held: list[np.ndarray] = []
     for batch in batches:
@@ -369,8 +379,8 @@ def training_windows(batches: Iterator[pa.RecordBatch], vocabulary_size: int, tu
             end = max(begin + 1, int(ends.searchsorted(base + rows, "right")))
             part = batch.slice(begin, end - begin)
             length = pc.binary_length(part.column("w")).to_numpy().astype(np.int64) // U2.itemsize
-            first = part.column("row").to_numpy() % ROUNDS
-            keep = None if turn is None else lambda t, k, first=first: (first[t] + k) % ROUNDS == turn
+            first = part.column("row").to_numpy() % rounds
+            keep = None if turn is None else lambda t, k, first=first: (first[t] + k) % rounds == turn
             held.append(windows(unpacked(part.column("w"), U2), length, vocabulary_size, keep, WIDTH)[0])
             if sum(map(len, held)) >= rows:
                 yield np.concatenate(held)

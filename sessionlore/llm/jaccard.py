@@ -252,6 +252,13 @@ def classes(docs: DataFrame) -> DataFrame:
     copies, copies_path = stored(of_set(with_set, reps, many).where("doc_id != id").select(names).distinct(), "copies")
     few = copies.count() <= BROADCAST_IDS
     sets = whole.where("n > 0 and doc_id is not null").join(F.broadcast(copies) if few else copies, names, "left_anti").withColumnRenamed("doc_id", "id")
+    # Repeated rows of one id and text are one set.
+    repeated, _ = stored(with_set.groupBy(*names).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias("id"), "s1", "s2"), "repeated-rows")
+    n_repeated = repeated.count()
+    if n_repeated:
+        hint = F.broadcast if n_repeated <= BROADCAST_IDS else (lambda df: df)
+        key = ["id", "s1", "s2"]
+        sets = sets.join(hint(repeated), key, "left_anti").unionByName(sets.join(hint(repeated), key, "left_semi").dropDuplicates(key))
     lists, lists_path = stored(index_lists(sets.select("id", "n", "n_rare", "rare", "often")), "index-lists")
     sets, sets_path = stored(sets.select("id", "sketch"), "sketches")
     dropped(spark, whole_path, copies_path)

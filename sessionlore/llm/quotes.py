@@ -174,8 +174,11 @@ def linked_conversations(conversations: DataFrame) -> DataFrame:
     parents = per_message.where("parent_turn is not null").groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("parent_turn"))
     order = threads(counts.join(parents, ["conv_id", "turn"], "left"))
     rank = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    placed = messages.withColumn("key", message_key()).withColumn("rank", rank)
+    # Rows without a conversation or a turn meet nothing: they stay out of windows and joins.
+    keyed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    placed = messages.where(keyed).withColumn("key", message_key()).withColumn("rank", rank)
     out = placed.join(per_message, ["conv_id", "turn", "key"], "left").join(order, ["conv_id", "turn"], "left")
+    out = out.unionByName(messages.where(~keyed), allowMissingColumns=True)
     role = F.coalesce("role", F.lit("unknown"))
     return out.select(
         "conv_id", "turn", "role", (F.col("first") + F.col("rank") - 1).alias("place"), "copies", "quote_levels",

@@ -132,7 +132,9 @@ def write_files(docs: DataFrame, target: str, path: str | None = None, end_id: i
 
     rows = arrow_map(tokens, encode, "doc_id long, n_tokens long, control binary, data binary")
     n_files = max(1, math.ceil(text_bytes / FILE_BYTES))
-    ordered = rows.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "control", "data")
+    # Rows of one id (a null, say) go in order of their hash; the row number spreads equal ones.
+    keyed = rows.withColumn("h", F.xxhash64("control", "data")).withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(n_files, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").drop("h", "row")
 
     def blocks(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
