@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlore.functions import text as T
-from sessionlore.operators import inference, notes, packets, registry, sessions, summaries, transcripts
+from sessionlore.operators import inference, long_transcripts, notes, packets, registry, sessions, summaries, transcripts
 from sessionlore.operators.calls import Wording, answered
 from sessionlore.plans import workloads
 from sessionlore.queries import AS_OF, GAP_US, MIN_US, WS, _event_stream, _events, _N, _notes, _replayed, _responses, _second, _segments, query, read
@@ -269,6 +269,14 @@ def ledger_calls(spark, sf_dir):
     return rows.groupBy("stage", F.col("attempt").cast("long").alias("attempt")).agg(F.count(F.lit(1)).alias("n_calls"))
 
 
+@query(_CALLS + f"SELECT session_id, CASE WHEN k > 1 THEN 'chunk' ELSE 'single' END AS stage, chunk_no::BIGINT AS chunk_no, text FROM chunks UNION ALL SELECT session_id, 'single', 0, text FROM d WHERE length(text) <= {_SINGLE}")
+def long_transcript_chunks(spark, sf_dir):
+    """Chunks for the model, made from lines and not from whole transcripts."""
+    rows = _segments(spark, sf_dir)
+    made = long_transcripts.chunks(rows.select("session_id"), rows, stored, _SINGLE, _LIMIT)
+    return made.select("session_id", "stage", F.col("chunk_no").cast("long").alias("chunk_no"), "text")
+
+
 _UPDATES = _CALLS + f""",
 raw AS (SELECT session_id, true AS chunked, 0 AS stage, chunk_no, text FROM part UNION ALL SELECT session_id, chunked, 1, 0, text FROM last),
 u AS (SELECT session_id, chunked, stage, chunk_no, CASE WHEN length(text) % 2 = 1 THEN 'NPC' ELSE 'npc' END AS note_type, 'T' || (length(text) % 3) AS title, trim(substr(text, 15, 46), '{WS}') AS content FROM raw),
@@ -319,19 +327,18 @@ def response_values(spark, sf_dir):
 
 @query(f"""
 WITH p AS (SELECT conv_id, turn, turn % 4 AS stage_no, trim(text, '{WS}') AS t FROM conversations)
-SELECT conv_id AS session_id, stage, chunk_no::BIGINT AS chunk_no, '# Transcript' AS heading, (length(t) * 2 + 2)::BIGINT AS n FROM (
+SELECT conv_id AS session_id, stage, chunk_no::BIGINT AS chunk_no, '# Transcript' || chr(10) || chr(10) || t || chr(10) || chr(10) || t || chr(10) AS markdown FROM (
   SELECT conv_id, CASE WHEN turn % 2 = 0 THEN 'chunk' ELSE 'single' END AS stage, turn AS chunk_no, t FROM p WHERE length(t) >= CASE WHEN turn % 2 = 0 THEN 40 ELSE 80 END AND turn % 7 <> 6)
 """)
 def recap_parts(spark, sf_dir):
-    """Accepted responses of each turn as a chunk or a whole, with the length of
-    the recap of its chunk; every seventh call has an error beside its reply."""
+    """Accepted responses of each turn as a chunk or a whole, with the recap of its
+    chunk; every seventh call has an error beside its reply."""
     rows = read(spark, sf_dir, "conversations")
     raw = F.to_json(F.struct(F.col("text").alias("session_notes_markdown"), F.col("text").alias("cinematic_summary_markdown")))
     calls = rows.select(F.col("conv_id").alias("session_id"), F.when(F.col("turn") % 2 == 0, "chunk").otherwise("single").alias("stage"), F.col("turn").cast("int").alias("chunk_no"), F.lit(1).alias("attempt"), raw.alias("raw"), F.when(F.col("turn") % 7 == 6, "failed").alias("error"))
     accepted = stored(summaries.accepted_responses(calls).where("payload is not null"), "accepted")
     parts = summaries.recaps(accepted.select(F.struct("session_id", "stage", "chunk_no").alias("session_id"), F.lit("chunk").alias("stage"), F.lit(0).alias("chunk_no"), "payload"))
-    body = F.length("markdown") - len(T.TRANSCRIPT_HEADING) - 3
-    return parts.select("session_id.session_id", "session_id.stage", F.col("session_id.chunk_no").cast("long").alias("chunk_no"), F.substring_index("markdown", "\n", 1).alias("heading"), body.cast("long").alias("n"))
+    return parts.select("session_id.session_id", "session_id.stage", F.col("session_id.chunk_no").cast("long").alias("chunk_no"), "markdown")
 
 
 @query(f"SELECT doc_id AS note_id, (length(lang) + 1 + length(title) + 1 + length(text))::DOUBLE AS size, 2.0::DOUBLE AS n FROM (SELECT doc_id, lang, text, split_part(text, ' ', 1) AS title FROM documents) WHERE (length(lang) + length(title) + length(text) + 2) % 5 <> 0")
