@@ -38,7 +38,8 @@ from sessionlore.llm.common import arrow_map, as_batch, dropped, gathered, row_b
 from sessionlore.llm.textvec import buffer, spread
 
 ORDER = 4
-BEGIN = 2
+#: Stands before a text: the first half of a character, which in texts only a second half follows.
+BEGIN = 0xD800
 BROADCAST_GRAMS = 1_000_000
 BROADCAST_IDS, BROADCAST_LANGS = 500_000, 10_000
 BLOCK_BYTES = 8 << 20

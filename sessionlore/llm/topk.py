@@ -16,8 +16,9 @@ meets a chunk once a round, and there each query the rings that it visits. Score
 exact integer sums: float64 products where they stay below 2^53, integers
 beyond. A score that does not fit a long is the nearest long.
 
-Vectors that are null, or hold null or non-finite components, take no part,
-nor does a null vec_id; shorter vectors count as padded with zeros. Repeated
+Pivots are chosen from PIVOT_SAMPLE vectors, which affects speed only. Vectors that
+are null, or hold components that are null or not finite (or are not any more,
+times 256), take no part, nor does a null vec_id; shorter vectors count as padded with zeros. Repeated
 rows each count; rows of one vec_id are no candidates of each other. No rows
 give no rows.
 """
@@ -57,9 +58,11 @@ def quantised(vectors: DataFrame, factor: int = 256) -> DataFrame:
             flat = column.flatten()
             x = pa.compute.fill_null(flat, np.nan).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(n)), n)
+            with np.errstate(over="ignore"):
+                x = factor * x
             bad = np.bincount(row[~np.isfinite(x)], minlength=len(n)) > 0
             good = column.is_valid().to_numpy(zero_copy_only=False) & batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False) & ~bad
-            v = np.floor(factor * x[good[row]])
+            v = np.floor(x[good[row]])
             sq = np.bincount(row[good[row]], weights=v * v, minlength=len(n))[good]
             yield {"vec_id": batch.column("vec_id").filter(pa.array(good)), "dim": n[good], "sq": sq, "v": packed(v.astype(F8), n[good])}
 

@@ -37,3 +37,24 @@ def test_null_keys_meet_nothing(spark):
     assert got.count() == len(rows)
     assert got.where("conv_id is null and (place is not null or n_quotes != 0 or depth != 0 or not (root_turn <=> turn))").count() == 0
     assert [r["parent_turn"] for r in got.where("conv_id = 1 and turn = 1").collect()] == [0]
+
+
+def test_begin_mark_is_in_no_text():
+    import pyarrow as pa
+
+    from sessionlore.llm import kneser_ney
+
+    texts = ["abc", "\x02abc", "\U00010000abc", "퟿abc", "x\U00010000\U000103ffy"]
+    gram, n = kneser_ney.grams(pa.array(texts))
+    ends = n.cumsum()
+    begins = [{int(g) for g in gram[e - k : e - k + 3]} for e, k in zip(ends, n, strict=True)]
+    later = {int(g) for e, k in zip(ends, n, strict=True) for g in gram[e - k + 3 : e]}
+    assert not set.union(*begins) & later and not begins[0] & begins[1]
+
+
+def test_vectors_that_are_too_long_take_no_part(spark):
+    from sessionlore.llm import topk
+
+    rows = [(0, [1.0, 2.0]), (50, [1e307, 1.0]), (7, [float("inf"), 0.0]), (8, [2.0, 0.5]), (9, None)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 8, 512 * 256 + 128 * 512)]
