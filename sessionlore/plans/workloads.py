@@ -15,6 +15,7 @@ from sessionlore.operators.upserts import numbered
 from sessionlore.schemas import COMPLETED
 from sessionlore.sources.packets import listing, write_archives
 from sessionlore.sources.shared import new_path
+from sessionlore.sources.tables import append_rows, read_table
 
 
 def segments_of_recordings(rows: DataFrame, updates: DataFrame, session_end: DataFrame | None = None) -> DataFrame:
@@ -58,6 +59,14 @@ def recordings_to_transcripts(rows: DataFrame, updates: DataFrame, session_end:
     return done.drop("decodable"), outcomes.drop("mode"), texts
 
 
+def append_segments(rows: DataFrame, folder: str, order: str = "seq") -> None:
+    """Append segments to the table in ``folder``; their ids follow the table's, in the
+    rising ``order``, an integer column."""
+    spark = rows.sparkSession
+    last = read_table(spark, folder, "transcript_segments").agg(F.max("id")).first()[0] or 0
+    append_rows(numbered(rows, order, F.lit(last).cast("long")), folder, "transcript_segments")
+
+
 def model_inputs(markdown: DataFrame, single_pass: int, limit: int) -> DataFrame:
     """(session_id, stage, chunk_no, text): one row per model call."""
     rows = markdown.select("session_id", transcript_chunks("markdown", single_pass, limit).alias("chunks"))

@@ -36,6 +36,19 @@ def segment_appends(spark, sf_dir):
     return read_table(spark, folder, "transcript_segments").select("id", "session_id", "display_name", "audio_path", "transcript_text", F.unix_micros("started_at").alias("started_us"))
 
 
+@query("""
+SELECT session_id, transcript_text, row_number() OVER (ORDER BY odd, session_id, turn)::BIGINT AS id FROM (SELECT conv_id AS session_id, turn, text AS transcript_text, turn % 2 AS odd FROM conversations)
+""")
+def segment_ids(spark, sf_dir):
+    """Segments of even turns, then those of odd turns, get ids in order of their append."""
+    rows = _segments(spark, sf_dir).withColumn("user_id", F.lit(1)).withColumn("ended_at", F.lit(None).cast("timestamp")).withColumn("seq", F.col("session_id") * 100_000 + F.col("id"))
+    folder = new_path(spark, "tables")
+    write_table(rows.limit(0), folder, "transcript_segments")
+    for odd in (0, 1):
+        workloads.append_segments(rows.where(F.col("id") % 2 == odd).drop("id"), folder)
+    return read_table(spark, folder, "transcript_segments").select("session_id", "transcript_text", "id")
+
+
 @query("""
 SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY c_custkey) AS id, c_nationkey::BIGINT AS guild_id, c_name AS title, 'recording' AS status, true AS fresh FROM customer
 """)
