@@ -50,9 +50,10 @@ def weights(row: np.ndarray, tf: np.ndarray, idf: np.ndarray, n: np.ndarray, mea
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[row] / mean))
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """One row per piece: the document's ids ``start``..``start+length``, at
-    ``offset`` in sequence ``sequence_id``."""
+    ``offset`` in sequence ``sequence_id``. A shard's index has about ``shard_ids`` ids;
+    the text of a partition, whose shards follow each other, about ``partition_bytes``."""
     path = path or default_path()
     coder = Subwords.of(path)
     size, dtype = coder.size, coder.dtype
@@ -88,7 +89,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Data
             best[row[order][head]] = term[order][head]
             yield {"key": best, "doc_id": batch.column("doc_id"), "n_tokens": n, "ids": batch.column("ids")}
 
-    n_parts = max(1, math.ceil(text_bytes / PARTITION_BYTES))
+    n_parts = max(1, math.ceil(text_bytes / partition_bytes))
     # Stored, so that the ranges are sampled from keys alone.
     with_keys, _ = stored(arrow_map(tokens, keyed, "key int, doc_id long, n_tokens long, ids binary"), "keyed-tokens")
     dropped(docs.sparkSession, tokens_path)
@@ -99,7 +100,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Data
     def fill(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        packer = Packer(TaskContext.get().partitionId() << 32, end_id, dtype, idf, mean)
+        packer = Packer(TaskContext.get().partitionId() << 32, end_id, dtype, idf, mean, shard_ids)
         for batch in batches:
             yield from packer.add(batch)
         yield from packer.finish()
@@ -110,18 +111,18 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Data
 class Packer:
     """Packs the documents of one partition, shard by shard."""
 
-    def __init__(self, first_sequence: int, end_id: int, dtype: np.dtype, idf: np.ndarray, mean: float):
-        self.sequence, self.end_id, self.dtype, self.idf, self.mean = first_sequence, end_id, dtype, idf, mean
+    def __init__(self, first_sequence: int, end_id: int, dtype: np.dtype, idf: np.ndarray, mean: float, shard_ids: int = SHARD_IDS):
+        self.sequence, self.end_id, self.dtype, self.idf, self.mean, self.shard_ids = first_sequence, end_id, dtype, idf, mean, shard_ids
         self.held: list[pa.RecordBatch] = []
         self.size = 0
         #: The open window: documents (id, ids, place of the first id here).
         self.open: list[tuple[object, np.ndarray, int]] = []
 
     def add(self, batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in slices([batch], "ids", SHARD_IDS * self.dtype.itemsize // 4):
+        for part in slices([batch], "ids", self.shard_ids * self.dtype.itemsize // 4):
             self.held.append(part)
             self.size += part.num_rows + int(np.sum(part.column("n_tokens").to_numpy()))
-            if self.size >= SHARD_IDS:
+            if self.size >= self.shard_ids:
                 yield self.shard(last=False)
 
     def finish(self) -> Iterator[dict]:
