@@ -1,7 +1,12 @@
 """The corpus pipeline: quality classifier, language identification, n-gram
 Jaccard join, packing. Each stage takes (spark, docs, sf_dir); all but the
 last return the columns of documents. A stage that rejects a doc_id rejects
-all its rows; rows with a null doc_id stay."""
+all its rows; rows with a null doc_id stay.
+
+Null and empty texts with an id go in the first stage (they have no perplexity). Of a group of
+near copies the least doc_id stays, so there are no ties; of its rows with one and
+the same text one stays, whichever, since further columns are not compared. Empty
+tables give empty tables, and no sequences."""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlore.llm import jaccard, kneser_ney, langid, packing
-from sessionlore.llm.common import stored, table, without
+from sessionlore.llm.common import dropped, once, stored, table, without
 
 #: A document goes when another language than its own is this sure.
 SURE = 0.9
@@ -30,8 +35,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that of the least id."""
-    return without(docs, jaccard.classes(docs).where("component_id < doc_id"))
+    """One document of each component of near copies: that of the least id, once."""
+    return once(without(docs, jaccard.classes(docs).where("component_id < doc_id")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -151,3 +151,16 @@ def without(docs: DataFrame, rejected: DataFrame, few: int = 500_000) -> DataFra
     null doc_id stay."""
     ids, _ = stored(rejected.select("doc_id").where("doc_id is not null").distinct(), "rejected")
     return docs.join(F.broadcast(ids) if ids.count() <= few else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def once(docs: DataFrame, few: int = 500_000) -> DataFrame:
+    """``docs`` with one of the rows that have one doc_id and one text; rows with a null
+    doc_id all stay. Texts move only where an id is repeated."""
+    ids, path = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    n = ids.count()
+    if not n:
+        dropped(docs.sparkSession, path)
+        return docs
+    hint = F.broadcast(ids) if n <= few else ids
+    again = docs.join(hint, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(hint, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))

@@ -71,3 +71,11 @@ def test_near_duplicates_stage(spark, sf_dir):
     rows = [(5, text, "en", "s", 1), (3, text + " more", "en", "s", 1), (9, "other", "en", "s", 1), (10, "", "en", "s", 1), (11, "", "en", "s", 1), (None, text, "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()} == {3, 9, 10, 11, None}
+
+
+def test_repeated_rows_stay_once(spark, sf_dir):
+    text = "some words of a text that is rather long " * 3
+    rows = [(1, text, "en", "s", 1)] * 50 + [(2, text, "en", "s", 1)] * 5 + [(None, text, "en", "s", 1)] * 3 + [(7, "quite another text of seven words", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(str(r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect())
+    assert left == ["1", "7", "None", "None", "None"]
