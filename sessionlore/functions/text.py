@@ -156,5 +156,6 @@ def message_pieces(c: Column | str, limit: int = MESSAGE_LIMIT) -> Column:
     if that fits, else as much as fits before a blank line, else before a line
     end, else ``limit`` characters; white space between pieces goes."""
     text = col(c)
-    ends = rf".{{1,{limit}}}\z|.{{1,{limit - 2}}}(?=\n\n)|.{{1,{limit - 1}}}(?=\n)|.{{{limit}}}"
+    # Possessive: what is longer than a piece does not end within it, however one looks back.
+    ends = rf".{{1,{limit}}}+\z|.{{1,{limit - 2}}}(?=\n\n)|.{{1,{limit - 1}}}(?=\n)|.{{{limit}}}"
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(_parts(strip(text), f"({ends})[{WHITE_SPACE}]*"))
