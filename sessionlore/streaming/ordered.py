@@ -19,12 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 #: Of (summary, released rows, watermark in us) makes (summary or None, rows of the
 #: result, time in us at which it must be called again or None).
 Step = Callable[[tuple, pd.DataFrame, int], tuple]
 
 
+#: Exact times, and columns that are null.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+
+
 def _packed(rows: pd.DataFrame) -> bytes:
     sink = io.BytesIO()
     table = pa.Table.from_pandas(rows, preserve_index=False)
@@ -179,8 +184,10 @@ def names_as_of(rows: DataFrame, updates: DataFrame, keys: list[str], at: str, f
     for k in keys:
         null_key = null_key | F.col(k).isNull()
     mine = [c for c in rows.columns if c not in keys]
-    ups = updates.where(~null_key).select(*keys, F.col("updated_at").alias(at), F.lit(0).alias("_kind"), F.col("seq").cast("long").alias("_seq"), F.col("character_name").alias("_name"))
-    both = rows.where(~null_key).select(*keys, *mine, F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_seq")).unionByName(ups, allowMissingColumns=True)
+    # A row's own columns pass as one text: missing ones would turn whole numbers into floats.
+    own = F.to_json(F.struct(*mine), _JSON).alias("_row")
+    ups = updates.where(~null_key).select(*keys, F.col("updated_at").alias(at), F.lit(0).alias("_kind"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("_seq"), F.col("character_name").alias("_name"), F.lit("").alias("_row"))
+    both = rows.where(~null_key).select(*keys, at, F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_seq"), F.col(fallback).cast("string").alias("_name"), own).unionByName(ups)
 
     def step(held: tuple, released: pd.DataFrame, mark: int) -> tuple:
         known, told = held
@@ -188,12 +195,13 @@ def names_as_of(rows: DataFrame, updates: DataFrame, keys: list[str], at: str, f
             return (held if known else None), None, None
         is_update = (released["_kind"] == 0).to_numpy()
         names, place = released["_name"].to_numpy(object), np.maximum.accumulate(np.where(is_update, np.arange(len(released)), -1))
-        found = np.where(place >= 0, names[np.maximum(place, 0)], told)
-        out = released[mine].assign(**{name: np.where((place >= 0) | bool(known), found, released[fallback].to_numpy(object))})[~is_update]
+        found = np.where(place >= 0, names[np.maximum(place, 0)], told if known else names)
+        out = pd.DataFrame({"_row": released["_row"].to_numpy(object)[~is_update], "_found": found[~is_update]})
         if place[-1] >= 0:
             known, told = True, names[place[-1]]
         return ((True, told) if known else None), out, None
 
-    output = f"{ddl(rows, [*keys, *mine])}, `{name}` string"
-    met = in_order(both, keys, at, ["_kind", "_seq"], delay, step, "_known boolean, _told string", output)
+    met = in_order(both, keys, at, ["_kind", "_seq"], delay, step, "_known boolean, _told string", f"{ddl(rows, keys)}, _row string, _found string")
+    kind = StructType([rows.schema[c] for c in mine])
+    met = met.select(*keys, F.from_json("_row", kind, _JSON).alias("_row"), F.col("_found").alias(name)).select(*keys, "_row.*", name)
     return met.unionByName(rows.where(null_key).select(*keys, *mine, F.col(fallback).cast("string").alias(name)))

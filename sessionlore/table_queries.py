@@ -12,7 +12,7 @@ from sessionlore.functions import text as T
 from sessionlore.operators import inference, long_transcripts, notes, packets, registry, sessions, summaries, transcripts
 from sessionlore.operators.calls import Wording, answered
 from sessionlore.plans import workloads
-from sessionlore.queries import AS_OF, GAP_US, MIN_US, WS, _event_stream, _events, _N, _notes, _replayed, _responses, _second, _segments, query, read
+from sessionlore.queries import AS_OF, GAP_US, MIN_US, WS, _event_stream, _events, _N, _notes, _replayed, _second, _segments, query, read
 from sessionlore.schemas import CHARACTERS
 from sessionlore.sources.shared import new_path
 from sessionlore.sources.tables import append_rows, latest_snapshot, read_table, write_markdown, write_table

@@ -111,7 +111,7 @@ def test_a_long_silence_forgets(spark, tmp_path):
 
 def test_names_as_of_in_two_streams(spark, tmp_path):
     rng = random.Random(4)
-    rows = [(1, rng.choice([0, 1, 2, None]), at(k * 100_000), f"u{k}", k) for k in range(150)]
+    rows = [(1, rng.choice([0, 1, 2, None]), at(k * 100_000 + 7), f"u{k}", (1 << 60) + k) for k in range(150)]
     updates = [(1, rng.choice([0, 1, None]), rng.choice([f"N{k}", ""]), at(rng.randrange(150) * 100_000), k) for k in range(40)]
     left, right = "guild_id long, user_id long, started_at timestamp, label string, k long", "guild_id long, user_id long, character_name string, updated_at timestamp, seq long"
     for folder, triggers, schema in (("rows", dealt(rng, rows, 2, 5, 4_000_000), left), ("updates", dealt(rng, updates, 3, 4, 4_000_000), right)):
@@ -123,5 +123,5 @@ def test_names_as_of_in_two_streams(spark, tmp_path):
     run.awaitTermination()
     got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").where("started_at < '2024-01-01 12:00:00'")
     want = registry.with_names_as_of(spark.createDataFrame(rows, left), spark.createDataFrame(updates, right), "label")
-    key = lambda df: sorted((r["k"], r["character_name"]) for r in df.select("k", F.col("character_name")).collect())
+    key = lambda df: sorted((r["k"], r["started_at"], r["label"], r["character_name"]) for r in df.select("k", "started_at", "label", F.col("character_name")).collect())
     assert key(got) == key(want)
