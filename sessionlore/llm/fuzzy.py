@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlore.llm.common import arrow_map, dropped, gathered, narrow, row_bytes, stored
+from sessionlore.llm.common import arrow_map, gathered, narrow, row_bytes, stored
 from sessionlore.llm.textvec import buffer, hash_of, prefix_sums, spread
 
 WINDOW, SPREAD, LEAST, RUN = 7, 64, 32, 4
@@ -247,7 +247,7 @@ def compared_with_next(docs: DataFrame, partition_bytes: int = PARTITION_BYTES,
         if held is not None:
             yield border(2, held[0][0].as_py(), held[1])
 
-    found, path = stored(arrow_map(ordered, run, RESULT + ", kind int, part int, text string"), "fingerprints")
+    found, _ = stored(arrow_map(ordered, run, RESULT + ", kind int, part int, text string"), "fingerprints")
     inner = found.where("kind = 0").drop("kind", "part", "text")
     # One number for each range that has rows.
     used = sorted(r["part"] for r in found.where("kind = 1").select("part").collect())

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sessionlore.llm.common import arrow_map, dropped, row_bytes, slices, stored
 from sessionlore.llm.subwords import Subwords, default_path
 from sessionlore.llm.textvec import spread
-from sessionlore.llm.tokens import packed, tokenized, unpacked
+from sessionlore.llm.tokens import tokenized, unpacked
 
 WINDOW = 4096
 END_ID = 2
