@@ -146,6 +146,8 @@ def probabilities(counts: DataFrame) -> DataFrame:
         rows = rows.select("g", *[F.coalesce(c, F.lit(0)).alias(c) for c in names], F.shiftrightunsigned("g", 16).alias("h"), suffix(k - 1).alias("s"))
         p = lambda c, k=k: F.coalesce((F.col(c) - discounts[k].of(c)) / F.col(f"total_{c}"), F.lit(0.0)) + F.coalesce(f"back_{c}", F.lit(1.0)) * F.col(f"q_{c}")
         lower = rows.join(discounts[k].contexts(seen[k]), "h", "left").join(lower.select(F.col("g").alias("s"), *[F.col(f"p_{c}").alias(f"q_{c}") for c in names]), "s", "left").select("g", *[p(c).alias(f"p_{c}") for c in names])
+        if k < ORDER:  # plans stay small: an order is planned without those before
+            lower, _ = stored(lower, f"lower-{k}")
     return lower.select("g", *[F.log(f"p_{c}").alias(f"logp{c[1:]}") for c in names])
 
 
@@ -213,8 +215,9 @@ def scored(docs: DataFrame, logp: DataFrame, limit: int = BROADCAST_GRAMS) -> Da
     spark = docs.sparkSession
     columns = [c for c in logp.columns if c != "g"]
     if logp.count() <= limit:
-        known = logp.toPandas()
-        name, arrays = uuid.uuid4().hex, spark.sparkContext.broadcast((known["g"].to_numpy(np.int64).view(np.uint64), np.ascontiguousarray(known[columns].to_numpy())))
+        known = logp.toArrow()
+        name, arrays = uuid.uuid4().hex, spark.sparkContext.broadcast((known["g"].to_numpy().view(np.uint64), np.column_stack([known[c].to_numpy() for c in columns])))
+        del known
 
         def run(batches: Iterator[pa.RecordBatch]):
             table = Lookup.of(name, arrays)
