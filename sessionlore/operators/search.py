@@ -86,10 +86,16 @@ def _grouped(notes: DataFrame, questions: DataFrame, group_notes: int = GROUP_NO
     return dealt(notes, "id", "salt", "_salts", "block", "_blocks"), dealt(questions, "question_id", "block", "_blocks", "salt", "_salts")
 
 
-def top_notes_batch(questions: DataFrame, notes: DataFrame, k: int = DEPTH, group_notes: int = GROUP_NOTES, group_questions: int = GROUP_QUESTIONS) -> DataFrame:
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from zero, as in Spark."""
+    return np.copysign(np.floor(np.abs(x) * 10.0**digits + 0.5), x) / 10.0**digits
+
+
+def top_notes_batch(questions: DataFrame, notes: DataFrame, k: int = DEPTH, group_notes: int = GROUP_NOTES, group_questions: int = GROUP_QUESTIONS, digits: int | None = None) -> DataFrame:
     """As :func:`top_notes` for many questions: a matrix product for each group of a
     guild's notes and questions. Shorter vectors are filled up with zeros; one that is
-    null or holds a null has no likeness to any."""
+    null or holds a null has no likeness to any. ``digits`` rounds the score before
+    the best are taken, so that what is equal then goes by note id."""
 
     def whole(v: Column) -> Column:
         return F.when(v.isNull() | F.exists(v, lambda x: x.isNull()), F.array().cast("array<double>")).otherwise(wide(v))
@@ -108,6 +114,7 @@ def top_notes_batch(questions: DataFrame, notes: DataFrame, k: int = DEPTH, grou
         ids, v = ids[order], v[order]
         norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
         score = np.divide(q @ v.T, norms, out=np.zeros(norms.shape), where=norms != 0)
+        score = score if digits is None else _rounded(score, digits)
         # What is no number comes first, as in Spark's order.
         at = np.argsort(-np.where(np.isnan(score), np.inf, score), axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"question_id": np.repeat(questions["question_id"].to_numpy(), at.shape[1]), "note_id": ids[at].reshape(-1), "score": np.take_along_axis(score, at, 1).reshape(-1)})

@@ -444,7 +444,7 @@ def semantic_topk(spark, sf_dir):
 @query(_TOP)
 def semantic_topk_batch(spark, sf_dir):
     questions, rows = _vectors(spark, sf_dir)
-    return search.top_notes_batch(questions, rows.select("guild_id", "id", "embedding")).select("question_id", "note_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return search.top_notes_batch(questions, rows.select("guild_id", "id", "embedding"), digits=6).select("question_id", "note_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""

@@ -143,3 +143,14 @@ def test_summary_job(spark, tmp_path):
     vectors = workloads.embedded(after, lambda: lambda ts: [[1.0, 2.0] for _ in ts])
     asked = spark.createDataFrame([(1, 9, [1.0, 2.0])], "question_id long, guild_id long, embedding array<double>")
     assert workloads.retrieval(asked, after, vectors).first()["context"].startswith("[npc] T\nx")
+
+
+def test_scores_are_rounded_before_the_best_are_taken(spark):
+    """Of two likenesses that are equal at six digits the smaller id comes first, also
+    where only one of them is taken."""
+    n = spark.createDataFrame([(1, 0, [1.0, 1.00001e-4]), (2, 0, [1.0, 1e-4]), (3, 0, [0.0, 1.0]), (4, 0, [-1.0, 0.0])], "id long, guild_id long, embedding array<double>")
+    q = spark.createDataFrame([(7, 0, [1.0, 0.0])], "question_id long, guild_id long, embedding array<double>")
+    for k in (1, 4):
+        got, want = ([tuple(r) for r in f(q, n, k, digits=6).select("note_id", "score", "rank").orderBy("rank").collect()] for f in (search.top_notes_batch, search.top_notes))
+        assert got == want and got[0][0] == 1
+    assert search.top_notes_batch(q, n, 1).first()["note_id"] == 2
