@@ -335,7 +335,7 @@ def fit(rows: DataFrame, size: int, part_windows: int = PART_WINDOWS, rounds: in
             rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
 
             def arrays():
-                for part in training_windows(batches, size, turn, rounds):
+                for part in training_windows(batches, size, turn, rounds=rounds):
                     yield part[rng.permutation(len(part))]
 
             after, seen = trained(w, vocabulary, arrays(), RATE / (1 + turn * ROUNDS / rounds))
@@ -367,7 +367,7 @@ def n_training_windows(batch: pa.RecordBatch) -> np.ndarray:
     return -(-(length + 1) // WIDTH)
 
 
-def training_windows(batches: Iterator[pa.RecordBatch], vocabulary_size: int, turn: int | None = None, rounds: int = ROUNDS, rows: int = 10_000) -> Iterator[np.ndarray]:
+def training_windows(batches: Iterator[pa.RecordBatch], vocabulary_size: int, turn: int | None = None, rows: int = 10_000, rounds: int = ROUNDS) -> Iterator[np.ndarray]:
     """All windows of the coded texts of (row, w), or those of one of
     ``rounds`` turns, about ``rows`` at a time. Turns take the windows of a text
     in rotation, beginning with the one that its number says."""
