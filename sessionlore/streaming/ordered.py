@@ -1,11 +1,16 @@
 """Streams whose rows are handled in order of event time, whatever trigger they
 come in.
 
-Rows of a key wait in its state until the watermark has passed them: no earlier row
+Rows of a key wait in state until the watermark has passed them: no earlier row
 can come any more. Then they are released in order of time, and what is done with
 them is what a batch job would do. A key's state is the rows within the delay and a
 small summary of those before; it goes when both are empty, or when its time to live
 is over.
+
+Keys are dealt to buckets by a hash. A bucket has one state, and all its keys are
+handled at once, in arrays: a call for each key costs milliseconds, however few its
+rows are. Keys and what a step only hands on pass as texts, so that a missing value
+does not turn whole numbers into floats.
 """
 
 from __future__ import annotations
@@ -16,21 +21,30 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-#: Of (summary, released rows, watermark in us) makes (summary or None, rows of the
-#: result, time in us at which it must be called again or None).
-Step = Callable[[tuple, pd.DataFrame, int], tuple]
+#: Of (summaries, released rows, watermark in us) makes (summaries, rows of the result,
+#: least time in us at which it must be called again or None). Each frame has ``_key``
+#: and may be None; released rows are in order of key, time and the given order.
+Step = Callable[[pd.DataFrame | None, pd.DataFrame | None, int], tuple]
 
+#: States of a stream; one holds all rows within the delay of its keys.
+BUCKETS = 1024
 
 #: Exact times, and columns that are null.
-_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def as_text(columns: list[str]) -> Column:
+    return F.to_json(F.struct(*columns), _JSON) if columns else F.lit("{}")
 
 
-def _packed(rows: pd.DataFrame) -> bytes:
+def _packed(rows: pd.DataFrame | None) -> bytes | None:
+    if rows is None or not len(rows):
+        return None
     sink = io.BytesIO()
     table = pa.Table.from_pandas(rows, preserve_index=False)
     with pa.ipc.new_stream(sink, table.schema) as out:
@@ -38,144 +52,163 @@ def _packed(rows: pd.DataFrame) -> bytes:
     return sink.getvalue()
 
 
-def _opened(raw: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(raw).read_all().to_pandas()
+def _opened(raw: bytes | None) -> pd.DataFrame | None:
+    return None if raw is None else pa.ipc.open_stream(bytes(raw)).read_all().to_pandas()
 
 
-def micros(times: pd.Series) -> np.ndarray:
-    return times.astype("datetime64[us]").astype("int64").to_numpy()
+def _joined(frames: list[pd.DataFrame | None]) -> pd.DataFrame | None:
+    some = [f for f in frames if f is not None and len(f)]
+    return pd.concat(some, ignore_index=True) if len(some) > 1 else some[0] if some else None
 
 
-def in_order(rows: DataFrame, keys: list[str], at: str, order: list[str], delay: str, step: Step, summary: str, output: str) -> DataFrame:
-    """``output`` rows of ``step``, called for each key with released rows in order of
-    (``at``, ``order``) and with its ``summary``, a DDL text whose columns are null for a
-    new key. The result begins with the keys. A row later than the watermark is dropped,
-    as everywhere."""
-    state_schema = f"{summary}, _waiting binary"
-    n_summary = len(summary.split(", "))
+def in_order(rows: DataFrame, keys: list[str], at: str, order: list[str], used: list[str], kept: list[str], delay: str, step: Step, output: str, buckets: int = BUCKETS) -> DataFrame:
+    """(keys, ``kept``, ``output``): the rows that ``step`` makes of released rows, which
+    it gets with ``_key``, ``_us`` (the time), the columns that it has ``used``, and ``_row``, the text of the
+    ``kept`` ones; those it returns have ``_key``, ``_row`` and ``output``, a DDL text. A row later
+    than the watermark is dropped, as everywhere."""
+    sorting = [f"_{c}_{k}" for k in range(len(order)) for c in ("null", "order")]
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *held, raw = state.get if state.exists else (*([None] * n_summary), None)
+    def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, waiting = map(_opened, state.get) if state.exists else (None, None)
         mark = max(0, state.getCurrentWatermarkMs()) * 1000
-        waiting = [] if raw is None else [_opened(bytes(raw))]
-        if not state.hasTimedOut:
-            waiting += list(parts)
-        rows = pd.concat(waiting, ignore_index=True) if len(waiting) > 1 else waiting[0] if waiting else None
+        new = [] if state.hasTimedOut else [part.drop(columns=["_bucket", at]) for part in parts]
+        rows = _joined([waiting, *new])
+        released = None
         if rows is not None:
-            rows = rows.sort_values([at, *order], kind="stable", ignore_index=True)
-            ready = micros(rows[at]) < mark
-            released, rows = rows[ready], rows[~ready]
-        else:
-            released = pd.DataFrame()
-        after, out, again = step(tuple(held), released, mark)
-        left = rows is not None and len(rows)
-        if after is None and not left:
+            ready = (rows["_us"] < mark).to_numpy()
+            released, rows = rows[ready].sort_values(["_key", "_us", *sorting], kind="stable", ignore_index=True), rows[~ready]
+        after, out, again = step(held, released if released is not None and len(released) else None, mark)
+        after, left = _packed(after), _packed(rows)
+        if after is None and left is None:
             if state.exists:
                 state.remove()
         else:
-            state.update((*(after if after is not None else [None] * n_summary), _packed(rows) if left else None))
-            times = ([int(micros(rows[at][:1])[0])] if left else []) + ([again] if again is not None else [])
+            state.update((after, left))
+            times = ([int(rows["_us"].min())] if left is not None else []) + ([again] if again is not None else [])
             if times:
                 # A timer fires once the watermark is beyond it.
                 state.setTimeoutTimestamp(max(min(times) // 1000, mark // 1000 + 1))
         if out is not None and len(out):
-            for place, (name, value) in enumerate(zip(keys, key, strict=True)):
-                out.insert(place, name, value)
             yield out
 
-    thin = rows.withWatermark(at, delay)
-    return thin.groupBy(*keys).applyInPandasWithState(run, output, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    kind = lambda columns: StructType([rows.schema[c] for c in columns])
+    # A missing number would turn the others into floats, whose order is not exact.
+    sorted_by = [x for c in order for x in (F.col(c).isNull(), F.coalesce(c, F.lit("0").try_cast(rows.schema[c].dataType)))]
+    thin = rows.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), as_text(keys).alias("_key"), at, F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(0).cast("long")).alias("_us"), *used, as_text(kept).alias("_row"), *[x.alias(name) for name, x in zip(sorting, sorted_by, strict=True)])
+    made = thin.withWatermark(at, delay).groupBy("_bucket").applyInPandasWithState(run, f"_key string, _row string, {output}", "_held binary, _waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+    named = [c for c in made.columns if c not in ("_key", "_row")]
+    read = made.select(F.from_json("_key", kind(keys), _JSON).alias("_key"), *([F.from_json("_row", kind(kept), _JSON).alias("_row")] if kept else []), *named)
+    return read.select("_key.*", *(["_row.*"] if kept else []), *named)
 
 
-def ddl(rows: DataFrame, columns: list[str]) -> str:
-    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Whether a row is its key's first one."""
+    return np.append(True, keys[1:] != keys[:-1])[: len(keys)]
 
 
-def runs_of_failures(outcome: np.ndarray, failures: int, limit: int) -> tuple[np.ndarray, int]:
-    """The action of each row in order, and the number of failures after them:
-    failures since the last good row, counted anew after each ``limit``-th."""
+def failures_in_runs(outcome: np.ndarray, first: np.ndarray, before: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The action of each row in order, and the number of failures after it: failures
+    since the last good row or the last ``first`` one, which counts on from ``before``,
+    counted anew after each ``limit``-th."""
     good, bad = outcome == "data", outcome == "error"
-    total = np.cumsum(bad)
-    # Failures before the last good row; what was held counts until the first one.
-    base = np.maximum.accumulate(np.where(good, total, -1))
-    count = np.where(base < 0, total + failures, total - base)
+    total, place = np.cumsum(bad), np.arange(len(outcome))
+    start, last_good = np.maximum.accumulate(np.where(first, place, 0)), np.maximum.accumulate(np.where(good, place, -1))
+    base = np.where(last_good >= start, total[np.maximum(last_good, 0)], total[start] - bad[start] - before[start])
+    count = total - base
     action = np.full(len(outcome), None, object)
     action[good] = "pass"
     action[bad] = np.where((count[bad] - 1) % limit == limit - 1, "quarantine", "drop")
-    return action, int(count[-1] % limit) if len(outcome) else failures
+    return action, count % limit
 
 
-def segments(rows: DataFrame, keys: list[str], idle_us: int, min_speech_us: int, packet_us: int, delay: str, at: str, ended: str, names: tuple[str, ...] = ()) -> DataFrame:
+def runs_of_failures(outcome: np.ndarray, failures: int, limit: int) -> tuple[np.ndarray, int]:
+    """As :func:`failures_in_runs` for the rows of one run, and the number after them."""
+    if not len(outcome):
+        return np.full(0, None, object), failures
+    action, after = failures_in_runs(outcome, np.arange(len(outcome)) == 0, np.full(len(outcome), failures), limit)
+    return action, int(after[-1])
+
+
+def segments(rows: DataFrame, keys: list[str], idle_us: int, min_speech_us: int, packet_us: int, delay: str, at: str, ended: str, names: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
     """Bursts of packets in order of time, with the ``names`` of their first packet.
     A silence of ``idle_us`` closes a burst, and so does a row whose ``ended`` is true,
     after the packets of its own time; that keeps a burst that is still open then,
     however short it is."""
-    thin = rows.select(*keys, at, ended, *names)
-    named = [ddl(thin, list(names))] if names else []
-    output = ", ".join([ddl(thin, keys), "started_at timestamp, ended_at timestamp, n_packets long, duration_s double, forced boolean", *named])
-
-    def step(held: tuple, released: pd.DataFrame, mark: int) -> tuple:
-        start, last, n, *told = held
-        times, ends = (micros(released[at]), released[ended].fillna(False).to_numpy(bool)) if len(released) else (np.zeros(0, np.int64), np.zeros(0, bool))
-        who = released[list(names)].to_numpy(object) if len(released) and names else np.empty((len(times), len(names)), object)
-        starts, weights = times, np.ones(len(times), np.int64)
-        if n:  # the open burst goes before, as one packet
-            times, ends, starts, weights = np.append(last, times), np.append(False, ends), np.append(start, starts), np.append(n, weights)
-            who = np.concatenate((np.array([told], object).reshape(1, len(names)), who))
+    thin = rows.select(*keys, at, F.coalesce(ended, F.lit(False)).alias("_ended"), *names)
+
+    def step(held: pd.DataFrame | None, released: pd.DataFrame | None, mark: int) -> tuple:
+        # An open burst goes before its key's rows, as one packet.
+        parts = [] if held is None else [held.assign(_time=held["_last"], _ended=False)]
+        if released is not None:
+            times = released["_us"].to_numpy(np.int64)
+            parts.append(pd.DataFrame({"_key": released["_key"], "_row": released["_row"], "_start": times, "_time": times, "_n": 1, "_ended": released["_ended"].to_numpy(bool)}))
+        whole = _joined(parts)
+        if whole is None:
+            return None, None, None
+        whole = whole.iloc[np.argsort(pd.factorize(whole["_key"])[0], kind="stable")]
+        key, who = whole["_key"].to_numpy(object), whole["_row"].to_numpy(object)
+        starts, times, weights, ends = whole["_start"].to_numpy(np.int64), whole["_time"].to_numpy(np.int64), whole["_n"].to_numpy(np.int64), whole["_ended"].to_numpy(bool)
         packets = np.flatnonzero(~ends)
         if not len(packets):
             return None, None, None
+        speaker = np.cumsum(_starts(key))
         # Packets of one burst follow each other without a silence or an end between.
-        new = np.ones(len(packets), bool)
-        new[1:] = (np.diff(times[packets]) >= idle_us) | (np.diff(np.cumsum(ends)[packets]) > 0)
+        new = _starts(speaker[packets])
+        new[1:] |= (np.diff(times[packets]) >= idle_us) | (np.diff(np.cumsum(ends)[packets]) > 0)
         begin = np.flatnonzero(new)
         firsts, lasts = packets[begin], packets[np.append(begin[1:], len(packets)) - 1]
         size = np.add.reduceat(weights[packets], begin)
         end_at = np.flatnonzero(ends)
         at_end = np.append(end_at, len(times))[np.searchsorted(end_at, lasts)]
-        ended_here = at_end < np.append(firsts[1:], len(times))
+        ended_here = at_end < np.minimum(np.append(firsts[1:], len(times)), np.searchsorted(speaker, speaker[lasts], "right"))
         forced = ended_here & (np.append(times, 0)[at_end] - times[lasts] < idle_us)
-        closed = ended_here.copy()
-        closed[:-1] = True
-        closed[-1] |= mark >= times[lasts[-1]] + idle_us
+        closed = ended_here | (mark >= times[lasts] + idle_us)
+        closed[:-1] |= speaker[firsts[1:]] == speaker[firsts[:-1]]
         kept = closed & (forced | (size * packet_us >= min_speech_us))
-        out = pd.DataFrame({"started_at": pd.to_datetime(starts[firsts[kept]], unit="us"), "ended_at": pd.to_datetime(times[lasts[kept]], unit="us"), "n_packets": size[kept], "duration_s": size[kept] * packet_us / 1e6, "forced": forced[kept]})
-        for k, name in enumerate(names):
-            out[name] = who[firsts[kept], k]
-        if closed[-1]:
-            return None, out, None
-        summary = (int(starts[firsts[-1]]), int(times[lasts[-1]]), int(size[-1]), *who[firsts[-1]])
-        return summary, out, summary[1] + idle_us
+        out = pd.DataFrame({"_key": key[firsts[kept]], "_row": who[firsts[kept]], "_started": starts[firsts[kept]], "_ended": times[lasts[kept]], "n_packets": size[kept], "duration_s": size[kept] * packet_us / 1e6, "forced": forced[kept]})
+        first, last = firsts[~closed], lasts[~closed]
+        after = pd.DataFrame({"_key": key[first], "_row": who[first], "_start": starts[first], "_last": times[last], "_n": size[~closed]})
+        return after, out, int(times[last].min()) + idle_us if len(last) else None
 
-    return in_order(thin, keys, at, [ended], delay, step, ", ".join(["_start long, _last long, _n long", *named]), output)
+    done = in_order(thin, keys, at, ["_ended"], ["_ended"], list(names), delay, step, "_started long, _ended long, n_packets long, duration_s double, forced boolean", buckets)
+    return done.select(*keys, F.timestamp_micros("_started").alias("started_at"), F.timestamp_micros("_ended").alias("ended_at"), "n_packets", "duration_s", "forced", *names)
 
 
-def quarantine(rows: DataFrame, key: str, at: str, order: list[str], outcome: str, limit: int, delay: str, forget_us: int | None = None) -> DataFrame:
+def quarantine(rows: DataFrame, key: str, at: str, order: list[str], outcome: str, limit: int, delay: str, forget_us: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(key, at, order, outcome, action). A source without failures has no state; one
     that has been silent for ``forget_us`` of event time begins anew."""
     thin = rows.select(key, at, *order, outcome)
 
-    def step(held: tuple, released: pd.DataFrame, mark: int) -> tuple:
-        failures, last = held[0] or 0, held[1]
+    def step(held: pd.DataFrame | None, released: pd.DataFrame | None, mark: int) -> tuple:
         out = None
-        if len(released):
-            times = micros(released[at])
+        if released is not None:
+            name, times = released["_key"].to_numpy(object), released["_us"].to_numpy(np.int64)
+            first, place = _starts(name), pd.Index([]) if held is None else pd.Index(held["_key"])
+            found = place.get_indexer(name[first])
+            before, last = np.zeros(len(times), np.int64), np.append(times[:1], times[:-1])
+            last[first] = times[first]
+            if held is not None:
+                before[first] = np.where(found >= 0, held["_failures"].to_numpy(np.int64)[found], 0)
+                last[first] = np.where(found >= 0, held["_last"].to_numpy(np.int64)[found], times[first])
             # Where a silence was too long, what was held is forgotten.
-            gaps = np.diff(times, prepend=times[0] if last is None else last)
-            parts = np.flatnonzero(gaps >= forget_us) if forget_us is not None else []
-            actions, results = [], released[outcome].to_numpy(object)
-            for k, part in enumerate(np.split(results, parts)):
-                action, failures = runs_of_failures(part, failures if k == 0 else 0, limit)
-                actions.append(action)
-            out, last = released[[at, *order, outcome]].assign(action=np.concatenate(actions)), int(times[-1])
-        if not failures or (forget_us is not None and mark >= last + forget_us):
+            silent = times - last >= forget_us if forget_us is not None else np.zeros(len(times), bool)
+            before[silent] = 0
+            action, failures = failures_in_runs(released[outcome].to_numpy(object), first | silent, before, limit)
+            out = released[["_key", "_row"]].assign(action=action)
+            final = np.append(first[1:], True)
+            now = pd.DataFrame({"_key": name[final], "_failures": failures[final], "_last": times[final]})
+            held = _joined([None if held is None else held.drop(index=found[found >= 0]), now])
+        if held is None:
             return None, out, None
-        return (int(failures), int(last)), out, None if forget_us is None else last + forget_us
+        held = held[held["_failures"] > 0]
+        if forget_us is not None:
+            held = held[held["_last"] + forget_us > mark]
+        return held, out, int(held["_last"].min()) + forget_us if forget_us is not None and len(held) else None
 
-    return in_order(thin, [key], at, order, delay, step, "_failures long, _last long", f"{ddl(thin, [key, at, *order, outcome])}, action string")
+    return in_order(thin, [key], at, order, [outcome], [at, *order, outcome], delay, step, "action string", buckets)
 
 
-def names_as_of(rows: DataFrame, updates: DataFrame, keys: list[str], at: str, fallback: str, name: str, delay: str) -> DataFrame:
+def names_as_of(rows: DataFrame, updates: DataFrame, keys: list[str], at: str, fallback: str, name: str, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """Rows with the name of the last update (keys, character_name, updated_at, seq)
     at or before their time, an empty one too, else the ``fallback`` column. Of a key's
     updates, state keeps those within the delay and the last one before. A null key
@@ -184,24 +217,25 @@ def names_as_of(rows: DataFrame, updates: DataFrame, keys: list[str], at: str, f
     for k in keys:
         null_key = null_key | F.col(k).isNull()
     mine = [c for c in rows.columns if c not in keys]
-    # A row's own columns pass as one text: missing ones would turn whole numbers into floats.
-    own = F.to_json(F.struct(*mine), _JSON).alias("_row")
-    ups = updates.where(~null_key).select(*keys, F.col("updated_at").alias(at), F.lit(0).alias("_kind"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("_seq"), F.col("character_name").alias("_name"), F.lit("").alias("_row"))
-    both = rows.where(~null_key).select(*keys, at, F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_seq"), F.col(fallback).cast("string").alias("_name"), own).unionByName(ups)
-
-    def step(held: tuple, released: pd.DataFrame, mark: int) -> tuple:
-        known, told = held
-        if not len(released):
-            return (held if known else None), None, None
-        is_update = (released["_kind"] == 0).to_numpy()
-        names, place = released["_name"].to_numpy(object), np.maximum.accumulate(np.where(is_update, np.arange(len(released)), -1))
-        found = np.where(place >= 0, names[np.maximum(place, 0)], told if known else names)
-        out = pd.DataFrame({"_row": released["_row"].to_numpy(object)[~is_update], "_found": found[~is_update]})
-        if place[-1] >= 0:
-            known, told = True, names[place[-1]]
-        return ((True, told) if known else None), out, None
-
-    met = in_order(both, keys, at, ["_kind", "_seq"], delay, step, "_known boolean, _told string", f"{ddl(rows, keys)}, _row string, _found string")
+    ups = updates.where(~null_key).select(*keys, F.col("updated_at").alias(at), F.lit(0).alias("_kind"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("_seq"), F.col("character_name").alias("_name"), F.lit("").alias("_own"))
+    both = rows.where(~null_key).select(*keys, at, F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_seq"), F.col(fallback).cast("string").alias("_name"), as_text(mine).alias("_own")).unionByName(ups)
+
+    def step(held: pd.DataFrame | None, released: pd.DataFrame | None, mark: int) -> tuple:
+        if released is None:
+            return held, None, None
+        key, names = released["_key"].to_numpy(object), released["_name"].to_numpy(object)
+        is_update, first = (released["_kind"] == 0).to_numpy(), _starts(key)
+        index = np.arange(len(key))
+        place, start = np.maximum.accumulate(np.where(is_update, index, -1)), np.maximum.accumulate(np.where(first, index, 0))
+        before = (pd.Index([]) if held is None else pd.Index(held["_key"])).get_indexer(key)
+        told = np.append([] if held is None else held["_told"].to_numpy(object), [None])
+        found = np.where(place >= start, names[np.maximum(place, 0)], np.where(before >= 0, told[before], names))
+        out = pd.DataFrame({"_key": key[~is_update], "_row": released["_row"].to_numpy(object)[~is_update], "_own": released["_own"].to_numpy(object)[~is_update], "_found": found[~is_update]})
+        final = np.append(first[1:], True) & (place >= start)
+        now = pd.DataFrame({"_key": key[final], "_told": names[place[final]]})
+        return _joined([None if held is None else held[~held["_key"].isin(now["_key"])], now]), out, None
+
+    met = in_order(both, keys, at, ["_kind", "_seq"], ["_kind", "_name", "_own"], [], delay, step, "_own string, _found string", buckets)
     kind = StructType([rows.schema[c] for c in mine])
-    met = met.select(*keys, F.from_json("_row", kind, _JSON).alias("_row"), F.col("_found").alias(name)).select(*keys, "_row.*", name)
+    met = met.select(*keys, F.from_json("_own", kind, _JSON).alias("_own"), F.col("_found").alias(name)).select(*keys, "_own.*", name)
     return met.unionByName(rows.where(null_key).select(*keys, *mine, F.col(fallback).cast("string").alias(name)))

@@ -125,3 +125,16 @@ def test_names_as_of_in_two_streams(spark, tmp_path):
     want = registry.with_names_as_of(spark.createDataFrame(rows, left), spark.createDataFrame(updates, right), "label")
     key = lambda df: sorted((r["k"], r["started_at"], r["label"], r["character_name"]) for r in df.select("k", "started_at", "label", F.col("character_name")).collect())
     assert key(got) == key(want)
+
+
+def test_keys_of_a_bucket_share_a_state(spark, tmp_path):
+    """Sources without and with failures, one of them null, in two buckets; numbers beyond 2^53 beside a missing one stay exact."""
+    rng = random.Random(5)
+    rows = [((1 << 60) + k % 40 if k % 40 else None, at(k * 50_000), None if k == 7 else (1 << 60) + k, rng.choice(["error", "error", "data", "none"])) for k in range(600)]
+    schema = "ssrc long, at timestamp, n long, outcome string"
+    transform = lambda s: ordered.quarantine(s, "ssrc", "at", ["n"], "outcome", 3, "10 seconds", buckets=2)
+    got, state = replay(spark, dealt(rng, rows, 1, 3, 5_000_000), schema, transform, tmp_path, [(9, LAST, 9, "error")])
+    want = packets.quarantine(spark.createDataFrame(rows, schema), ["ssrc"], ["at"])
+    key = lambda df: sorted((str(r["ssrc"]), r["at"], str(r["n"]), str(r["action"])) for r in df.select("ssrc", "at", "n", "action").collect())
+    assert key(got) == key(want)
+    assert max(state) <= 2
