@@ -8,6 +8,7 @@ stores that ``pyarrow.fs`` reaches: a shared mount, HDFS, or an object store.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +27,13 @@ HEADER_ERROR, PAYLOAD_ERROR = "Corrupted Opus packet header", "Corrupted Opus pa
 PACKET_SCHEMA = "path string, packet_no int, sequence int, timestamp long, payload binary, error string"
 #: Bytes of files that one task reads, and file bytes of one batch of packets.
 PARTITION_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+#: Files of one batch, since small ones cost more than their bytes.
+BATCH_FILES = 10_000
 #: Files of which frames are looked for in step.
 IN_STEP = 16
+#: Files and folders that the driver lists itself; beyond, folders are dealt to about
+#: FOLDER_TASKS tasks, which list them.
+LISTED, FOLDER_TASKS = 10_000, 1_000
 
 
 def _within(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -193,15 +199,28 @@ def _checked(path: str) -> str:
     return path
 
 
+def _found(store, place: str) -> list:
+    """What a folder holds, without folders of jobs that are not done."""
+    from pyarrow import fs
+
+    return [f for f in store.get_file_info(fs.FileSelector(place, allow_not_found=True)) if not f.base_name.startswith("_staged-")]
+
+
 @dataclass
 class Files(InputPartition):
+    """Files, or folders with all that is below them."""
+
     paths: list[str]
+    folders: bool = False
 
 
 @dataclass
 class Written(WriterCommitMessage):
+    """A task's staged folder: files by their number, and beside it the text of their
+    paths, so that no list of files passes the driver."""
+
     staged: str
-    paths: list[str]
+    n_files: int
 
 
 class Archives(DataSource):
@@ -223,7 +242,7 @@ class Archives(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         if overwrite:
             raise ValueError("archives are only added: use mode('append')")
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], self.options.get("job"))
 
 
 class ArchiveReader(DataSourceReader):
@@ -231,38 +250,88 @@ class ArchiveReader(DataSourceReader):
         self.folder, self.suffix, self.partition_bytes = folder, suffix, partition_bytes
 
     def partitions(self) -> list[Files]:
-        """Files in tasks of about as many bytes each; a larger file is one task."""
-        from pyarrow import fs
-
+        """Files in tasks of about as many bytes each; a larger file is one task. Once
+        LISTED files and folders have been found, the folders of the next level are
+        dealt to tasks."""
         store, base = _store(self.folder)
-        found = [f for f in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if f.is_file and f.path.lower().endswith(self.suffix) and "/_staged-" not in f.path]
+        found, level = [], [base.rstrip("/")]
+        while level and len(found) + len(level) <= LISTED:
+            every = [f for folder in level for f in _found(store, folder)]
+            found += [f for f in every if f.is_file and f.path.lower().endswith(self.suffix)]
+            level = [f.path for f in every if not f.is_file]
         found.sort(key=lambda f: f.path)
+        below = len(base.rstrip("/")) + 1
         ends = np.cumsum([f.size or 0 for f in found])
         cuts = np.flatnonzero(np.diff(np.maximum(ends - 1, 0) // self.partition_bytes, prepend=-1)).tolist()
-        return [Files([f.path[len(base.rstrip("/")) + 1 :] for f in found[i:j]]) for i, j in zip(cuts, [*cuts[1:], len(found)], strict=True)]
+        size = -(-len(level) // FOLDER_TASKS)
+        folders = [Files([p[below:] for p in level[i : i + size]], True) for i in range(0, len(level), max(1, size))]
+        return [Files([f.path[below:] for f in found[i:j]]) for i, j in zip(cuts, [*cuts, len(found)][1:], strict=True)] + folders
+
+    def _paths(self, partition: Files) -> Iterator[str]:
+        if not partition.folders:
+            yield from partition.paths
+            return
+        store, base = _store(self.folder)
+        below, level = len(base.rstrip("/")) + 1, [f"{base.rstrip('/')}/{p}" for p in reversed(partition.paths)]
+        while level:
+            every = sorted(_found(store, level.pop()), key=lambda f: f.path)
+            yield from (f.path[below:] for f in every if f.is_file and f.path.lower().endswith(self.suffix))
+            level += [f.path for f in reversed(every) if not f.is_file]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, base = _store(self.folder)
         held, size = [], 0
-        for k, path in enumerate(partition.paths):
+        for path in self._paths(partition):
             with store.open_input_stream(f"{base}/{path}") as file:
                 held.append((path, file.read()))
             size += len(held[-1][1])
-            if size >= BATCH_BYTES or k == len(partition.paths) - 1:
-                yield from _batches(pa.array([p for p, _ in held]), pa.array([c for _, c in held], pa.large_binary()))
+            if size >= BATCH_BYTES or len(held) >= BATCH_FILES:
+                yield from self._packets(held)
                 held, size = [], 0
+        yield from self._packets(held)
+
+    def _packets(self, held: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            yield from _batches(pa.array([p for p, _ in held]), pa.array([c for _, c in held], pa.large_binary()))
+
+
+def _put(folder: str, written: list[str]) -> int:
+    """Moves what tasks have staged into place; files that an earlier try has moved stay there."""
+    from pyarrow import fs
+
+    store, base = _store(folder)
+    n = 0
+    for staged in written:
+        with store.open_input_stream(f"{base}/{staged}.paths") as file:
+            paths = json.loads(file.read())
+        for k, path in enumerate(paths):
+            source, target = f"{base}/{staged}/{k}", f"{base}/{path}"
+            try:
+                store.move(source, target)
+            except OSError:
+                if store.get_file_info(source).type == fs.FileType.NotFound:
+                    if store.get_file_info(target).type == fs.FileType.NotFound:
+                        raise
+                    continue
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                store.move(source, target)
+        n += len(paths)
+    return n
 
 
 class ArchiveWriter(DataSourceArrowWriter):
     """A task writes files of its own, in a staged folder; the commit of the job puts
-    them in place. Files of failed tasks and jobs are never seen."""
+    them in place. Files of failed tasks and jobs are never seen. With a ``job`` named,
+    the commit only notes which tasks have succeeded, for :func:`_written`."""
 
-    def __init__(self, folder: str):
-        self.folder, self.job = folder, f"_staged-{uuid.uuid4().hex}"
+    def __init__(self, folder: str, job: str | None = None):
+        self.folder, self.apart = folder, job is not None
+        self.job = job or f"_staged-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, base = _store(self.folder)
         staged, paths, file, current = f"{self.job}/{uuid.uuid4().hex}", [], None, None
+        store.create_dir(f"{base}/{staged}", recursive=True)
         try:
             for batch in iterator:
                 names = batch.column("path").to_pylist()
@@ -280,22 +349,26 @@ class ArchiveWriter(DataSourceArrowWriter):
                     if whole or path != current:
                         if file is not None:
                             file.close()
-                        place = f"{base}/{staged}/{_checked(path)}"
-                        store.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                        file, current = store.open_output_stream(place), path
+                        _checked(path)
+                        file, current = store.open_output_stream(f"{base}/{staged}/{len(paths)}"), path
                         paths.append(path)
                     file.write(pa.py_buffer(piece))
         finally:
             if file is not None:
                 file.close()
-        return Written(staged, paths)
+        with store.open_output_stream(f"{base}/{staged}.paths") as file:
+            file.write(json.dumps(paths).encode())
+        return Written(staged, len(paths))
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, base = _store(self.folder)
-        for message in messages:
-            for path in message.paths if message else []:
-                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
-                store.move(f"{base}/{message.staged}/{path}", f"{base}/{path}")
+        written = [m.staged for m in messages if m and m.n_files]
+        if self.apart:
+            store, base = _store(self.folder)
+            store.create_dir(f"{base}/{self.job}", recursive=True)
+            with store.open_output_stream(f"{base}/{self.job}/written") as file:
+                file.write(json.dumps(written).encode())
+            return
+        _put(self.folder, written)
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -306,6 +379,30 @@ class ArchiveWriter(DataSourceArrowWriter):
             store.delete_dir(f"{base}/{self.job}")
 
 
+def _written(rows: DataFrame, folder: str) -> None:
+    """Write rows to a staged folder; when that is done, tasks put each other's files in
+    place, since moving them one by one takes the driver as long as there are files."""
+    spark, writer = rows.sparkSession, ArchiveWriter(folder, f"_staged-{uuid.uuid4().hex}")
+    register(spark)
+    rows.write.format("skopus").option("job", writer.job).mode("append").save(folder)
+    store, base = _store(folder)
+    with store.open_input_stream(f"{base}/{writer.job}/written") as file:
+        written = json.loads(file.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_put(folder, [written[i] for i in batch.column("id").to_pylist()])], pa.int64())], ["n"])
+
+    if written:
+        spark.range(0, len(written), 1, len(written)).mapInArrow(run, "n long").agg(F.sum("n")).first()
+    writer.abort([])
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for files: named, since small files cost more than Spark's sizes tell it."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Archives)
 
@@ -314,13 +411,64 @@ def write_archives(packets: DataFrame, folder: str, partitions: int | None = Non
     """Write packets (path, arrival_no, sequence, timestamp, payload) to files below
     ``folder``, in order of arrival. A file is written as its packets come: no segment
     is held as a whole."""
-    register(packets.sparkSession)
     rows = packets.select("path", "arrival_no", F.col("sequence").cast("int").alias("sequence"), F.col("timestamp").cast("long").alias("timestamp"), "payload")
-    dealt = rows.repartition(partitions, "path") if partitions else rows.repartition("path")
-    dealt.sortWithinPartitions("path", "arrival_no").drop("arrival_no").write.format("skopus").mode("append").save(folder)
+    dealt = rows.repartition(partitions or _tasks(packets.sparkSession), "path")
+    _written(dealt.sortWithinPartitions("path", "arrival_no").drop("arrival_no"), folder)
 
 
-def write_files(files: DataFrame, folder: str) -> None:
+def write_files(files: DataFrame, folder: str, partitions: int | None = None) -> None:
     """Write whole files (path, content)."""
-    register(files.sparkSession)
-    files.select("path", "content").write.format("skopus").mode("append").save(folder)
+    _written(files.select("path", "content").repartition(partitions or _tasks(files.sparkSession), "path"), folder)
+
+
+def existing(paths: DataFrame, folder: str, partitions: int | None = None) -> DataFrame:
+    """(path, length) of those (path) that are files below a folder. The task that has a
+    path asks for it: no folder is listed, and no list passes the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(folder)
+        for batch in batches:
+            names = [p for p in batch.column("path").to_pylist() if p and ".." not in p.split("/")]
+            found = [(p, f.size) for p, f in zip(names, store.get_file_info([f"{base}/{p}" for p in names]), strict=True) if f.is_file]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["path", "length"])
+
+    return paths.select("path").repartition(partitions or _tasks(paths.sparkSession), "path").distinct().mapInArrow(run, "path string, length long")
+
+
+def listed(folders: DataFrame, folder: str) -> DataFrame:
+    """(path, is_file) of what folders (path), below ``folder``, hold; each is listed by the
+    task that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(folder)
+        below = len(base.rstrip("/")) + 1
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                found = _found(store, f"{base.rstrip('/')}/{path}".rstrip("/"))
+                yield pa.RecordBatch.from_arrays([pa.array([f.path[below:] for f in found], pa.string()), pa.array([f.is_file for f in found], pa.bool_())], ["path", "is_file"])
+
+    return folders.select("path").mapInArrow(run, "path string, is_file boolean")
+
+
+def contents(files: DataFrame, folder: str) -> DataFrame:
+    """(path, content) of files (path) below a folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(folder)
+
+        def batch_of(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.string()), pa.array([c for _, c in held], pa.binary())], ["path", "content"])
+
+        held, size = [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with store.open_input_stream(f"{base}/{path}") as file:
+                    held.append((path, file.read()))
+                size += len(held[-1][1])
+                if size >= BATCH_BYTES or len(held) >= BATCH_FILES:
+                    yield batch_of(held)
+                    held, size = [], 0
+        if held:
+            yield batch_of(held)
+
+    return files.select("path").mapInArrow(run, "path string, content binary")

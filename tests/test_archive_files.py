@@ -87,3 +87,32 @@ def test_routes_by_listing(spark, tmp_path):
 def test_frames_of_nothing():
     file, at, broken = packets.frames(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
     assert len(file) == len(at) == len(broken) == 0
+
+
+def test_no_list_of_files_passes_the_driver(spark, tmp_path, monkeypatch):
+    """Folders beyond a number are dealt to tasks, and a task's message has no paths."""
+    rows = [(f"u{k % 9}/{k}.skopus", k, k, k, b"x%d" % k) for k in range(90)]
+    packets.write_archives(spark.createDataFrame(rows, PACKETS), str(tmp_path), partitions=3)
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("_")] == []
+    monkeypatch.setattr(packets, "LISTED", 5)
+    monkeypatch.setattr(packets, "FOLDER_TASKS", 4)
+    reader = packets.ArchiveReader(str(tmp_path), ".skopus", 1 << 20)
+    parts = reader.partitions()
+    assert all(p.folders for p in parts) and [len(p.paths) for p in parts] == [3, 3, 3]
+    got = sorted(x for p in parts for batch in reader.read(p) for x in batch.column("path").to_pylist())
+    assert got == sorted(r[0] for r in rows)
+    assert "paths" not in packets.Written.__dataclass_fields__
+    # Files that an earlier try has put in place stay there.
+    writer = packets.ArchiveWriter(str(tmp_path), "_staged-again")
+    import pyarrow as pa
+
+    done = writer.write(iter([pa.record_batch({"path": ["a/1.skopus", "a/2.skopus"], "content": pa.array([b"1", b"2"], pa.binary())})]))
+    for _ in range(2):
+        assert packets._put(str(tmp_path), [done.staged]) == 2
+    assert (tmp_path / "a/2.skopus").read_bytes() == b"2"
+
+
+def test_files_that_are_asked_for(spark, tmp_path):
+    packets.write_files(spark.createDataFrame([("a/1.wav", b"x"), ("a/é 2.wav", b"xy")], "path string, content binary"), str(tmp_path))
+    asked = spark.createDataFrame([("a/1.wav",), ("a/é 2.wav",), ("a/1.wav",), ("a/3.wav",), ("a",), (None,), ("b/../a/1.wav",)], "path string")
+    assert sorted(tuple(r) for r in packets.existing(asked, str(tmp_path)).collect()) == [("a/1.wav", 1), ("a/é 2.wav", 2)]
