@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sessionlore.functions.text import wav_path
 from sessionlore.operators import packets
 from sessionlore.plans import workloads
 from sessionlore.queries import GAP_US, MIN_US, _events, query, read
-from sessionlore.sources.packets import HEADER_ERROR, PAYLOAD_ERROR, archives_of, listing, register, write_archives, write_files
+from sessionlore.sources.packets import HEADER_ERROR, PAYLOAD_ERROR, archives_of, existing, register, write_archives, write_files
 from sessionlore.sources.shared import new_path
 from sessionlore.table_queries import stored
 
@@ -57,7 +58,7 @@ def segment_routes(spark, sf_dir):
     folder = new_path(spark, "audio")
     made = parts.where("p_size % 3 = 0").select(F.concat(F.lit("s/"), F.col("p_partkey").cast("string"), F.lit(".wav")).alias("path"), F.col("p_name").cast("binary").alias("content"))
     write_files(made.unionByName(parts.where("p_partkey % 5 > 1").select(F.col("audio_path").alias("path"), F.lit(b"").alias("content"))), folder)
-    return packets.routed(parts.select("p_partkey", "audio_path"), listing(spark, folder)).select("p_partkey", "route", F.coalesce("ready_path", F.lit("")).alias("ready_path"))
+    return packets.routed(parts.select("p_partkey", "audio_path"), existing(parts.select(wav_path("audio_path").alias("path")), folder)).select("p_partkey", "route", F.coalesce("ready_path", F.lit("")).alias("ready_path"))
 
 
 def _listening():
