@@ -15,7 +15,7 @@ from sessionlore.plans import workloads
 from sessionlore.queries import AS_OF, GAP_US, MIN_US, WS, _event_stream, _events, _N, _notes, _replayed, _second, _segments, query, read
 from sessionlore.schemas import CHARACTERS
 from sessionlore.sources.shared import new_path
-from sessionlore.sources.tables import append_rows, latest_snapshot, read_table, write_markdown, write_table
+from sessionlore.sources.tables import append_rows, latest_snapshot, read_markdown, read_table, write_markdown, write_table
 from sessionlore.streaming import live
 
 
@@ -74,8 +74,7 @@ def markdown_sinks(spark, sf_dir):
     write_markdown(documents, f"{folder}/table")
     write_markdown(documents, f"{folder}/text", as_text=True)
     table = spark.read.parquet(f"{folder}/table").select(F.lit("table").alias("sink"), "session_id", "kind", "markdown")
-    text = spark.read.text(f"{folder}/text", wholetext=True)
-    return table.unionByName(text.select(F.lit("text").alias("sink"), F.col("session_id").cast("long").alias("session_id"), "kind", F.col("value").alias("markdown")))
+    return table.unionByName(read_markdown(spark, f"{folder}/text").select(F.lit("text").alias("sink"), "session_id", "kind", "markdown"))
 
 
 # ---- lookups and upserts -----------------------------------------------------

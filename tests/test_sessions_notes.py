@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sessionlore.operators import audit, notes, sessions, transcripts
@@ -141,3 +142,16 @@ def test_tables_and_audit(spark, tmp_path):
     tables.write_markdown(docs, f"{folder}/table")
     assert next((tmp_path / "md/kind=summary/session_id=1").glob("part-*")).read_text() == "# a\nb\n"
     assert spark.read.parquet(f"{folder}/table").count() == 1
+
+
+def test_text_sinks_and_back(spark, tmp_path):
+    rows = [(1, "summary", "# a\nb\n"), (1, "a b/c=ü+%", "x"), (1, "summary", "second\n\n"), (None, None, ""), (2, "..", "é\n")]
+    docs, folder = spark.createDataFrame(rows, "session_id long, kind string, markdown string"), f"{tmp_path}/md"
+    tables.write_markdown(docs, folder, as_text=True)
+    want = {(s, k, t if t.endswith("\n") else t + "\n") for s, k, t in rows}
+    found = [tuple(r) for r in tables.read_markdown(spark, folder).collect()]
+    assert len(found) == len(rows) and set(found) == want
+    spark_own = spark.read.text(folder, wholetext=True)
+    assert {(r["session_id"], r["kind"], r["value"]) for r in spark_own.collect()} == want
+    with pytest.raises(FileExistsError):
+        tables.write_markdown(docs, folder, as_text=True)
