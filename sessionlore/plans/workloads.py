@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlore.functions.text import display_label, embedding_text, summary_markdown, transcript_chunks
+from sessionlore.functions.text import display_label, embedding_text, summary_markdown, transcript_chunks, wav_path
 from sessionlore.operators import inference, notes, packets, registry, search, slices, summaries, transcripts
 from sessionlore.operators import sessions as states
 from sessionlore.operators.calls import Wording, answered
 from sessionlore.operators.upserts import numbered
 from sessionlore.schemas import COMPLETED
-from sessionlore.sources.packets import listing, write_archives
+from sessionlore.sources.packets import existing, write_archives
 from sessionlore.sources.shared import new_path
 from sessionlore.sources.tables import append_rows, read_table
 
@@ -33,7 +33,6 @@ def recordings_to_transcripts(rows: DataFrame, updates: DataFrame, session_end:
     transcripts (session_id, markdown; only of sessions that did not fail). The model
     gets the address of each segment's wav, where one is there, or of its archive.
     ``arrival_no`` is a packet's own number in its session."""
-    spark = rows.sparkSession
     good = packets.valid_packets(rows).withColumn("label", display_label("display_name", "name", "user_id"))
     keys = ["guild_id", "session_id", "user_id"]
     found = packets.speech_segments(good, keys, idle_us, min_speech_us, session_end=session_end, names=("label",))
@@ -46,7 +45,7 @@ def recordings_to_transcripts(rows: DataFrame, updates: DataFrame, session_end:
     placed = good.select(*keys, "arrival_no", "sequence", F.col("rtp_timestamp").alias("timestamp"), "payload").join(thin.select(*keys, "arrival_no", "path"), [*keys, "arrival_no"])
     write_archives(placed, folder)
     segments = numbered_rows.select("id", "session_id", "user_id", F.col("label").alias("display_name"), "character_name", "started_at", "ended_at", "audio_path", F.lit(None).cast("string").alias("transcript_text"))
-    ways = packets.routed(segments, listing(spark, folder)).where("route != 'unsupported'")
+    ways = packets.routed(segments, existing(segments.select(wav_path("audio_path").alias("path")), folder)).where("route != 'unsupported'")
     asked = ways.select("session_id", "audio_path", F.concat(F.lit(folder.rstrip("/") + "/"), F.when(F.col("route") == "ready", F.col("ready_path")).otherwise(F.col("audio_path"))).alias("address"))
     replies = persist(inference.with_model(asked, "address", make_model, "transcript_text", partitions=partitions).drop("address"), "texts")
     done = states.apply_transcripts(segments, replies.where("transcript_text_error is null").withColumn("seq", F.lit(0)))
