@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 Model = Callable[[list], list]
 
@@ -20,9 +22,10 @@ def with_model(rows: DataFrame, column: str, make_model: Callable[[], Model], ou
     if partitions:
         rows = rows.repartition(partitions)
     empty: object = [] if kind.startswith("array") else ""
+    target = to_arrow_type(StructType.fromDDL(f"x {kind}")["x"].dataType)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
 
         def one(value):
@@ -43,10 +46,11 @@ def with_model(rows: DataFrame, column: str, make_model: Callable[[], Model], ou
                 pass
             return [one(v) for v in values]
 
-        for part in batches:
-            values = part[column].tolist()
-            done = [x for i in range(0, len(values), batch) for x in some(values[i : i + batch])]
-            results = [(empty if x is None and e is None else x) for x, e in done]
-            yield part.assign(**{output: pd.Series(results, index=part.index, dtype=object), f"{output}_error": pd.Series([e for _, e in done], index=part.index, dtype=object)})
+        for whole in batches:
+            # A call's rows leave before the next call: Python holds no more of them than these.
+            for part in (whole.slice(i, batch) for i in range(0, whole.num_rows, batch)):
+                done = some(part.column(column).to_pandas().tolist())
+                results = pa.array([(empty if x is None and e is None else x) for x, e in done], target)
+                yield pa.RecordBatch.from_arrays([*part.columns, results, pa.array([e for _, e in done], pa.string())], [*part.schema.names, output, f"{output}_error"])
 
-    return rows.mapInPandas(run, f"{fields}, `{output}` {kind}, `{output}_error` string")
+    return rows.mapInArrow(run, f"{fields}, `{output}` {kind}, `{output}_error` string")

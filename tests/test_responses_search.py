@@ -2,6 +2,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sessionlore.functions.responses import has_content, normalized
@@ -154,3 +155,23 @@ def test_scores_are_rounded_before_the_best_are_taken(spark):
         got, want = ([tuple(r) for r in f(q, n, k, digits=6).select("note_id", "score", "rank").orderBy("rank").collect()] for f in (search.top_notes_batch, search.top_notes))
         assert got == want and got[0][0] == 1
     assert search.top_notes_batch(q, n, 1).first()["note_id"] == 2
+
+
+def test_a_model_holds_the_rows_of_one_call(spark):
+    """Rows come in batches as large as Spark's, and leave call by call."""
+    seen = []
+    rows = spark.range(200, numPartitions=1).select(F.when(F.col("id") != 5, F.col("id") + (1 << 60)).alias("id"), F.lit("a").alias("text"))
+
+    def make():
+        def model(texts):
+            seen.append(len(texts))
+            return [[float(len(seen)), None] for _ in texts]
+
+        return model
+
+    found = inference.with_model(rows, "text", make, "v", kind="array<double>", batch=64)
+    got = found.collect()
+    assert [r["v"][0] for r in got] == [1.0] * 64 + [2.0] * 64 + [3.0] * 64 + [4.0] * 8 and got[0]["v"][1] is None
+    assert got[5]["id"] is None and got[199]["id"] == (1 << 60) + 199
+    sizes = found.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+    assert sum(r["n"] for r in sizes.collect()) == 200
