@@ -490,6 +490,37 @@ def test_text_log_p(size, used):
         assert abs(got[k] - total) < 1e-3 * max(1, abs(total))
 
 
+def test_classes_cost_little():
+    counts = 1e8 / np.arange(1, 5001) ** 1.3
+    v = attention.Vocabulary(counts.astype(np.int64), 100)
+    n = np.sort(np.concatenate((counts.astype(np.int64) + 0.5, [100.5, 1e-3])))[::-1]
+    mass, members = np.add.reduceat(n / n.sum(), v.first[:-1]), np.diff(v.first)
+    roots = np.sqrt(n[attention.OWN_CLASS :] / n.sum()).sum()
+    assert v.n_classes + mass[members > 1] @ members[members > 1] < 1.05 * (attention.OWN_CLASS + 2 * roots)
+
+
+@pytest.mark.parametrize("names", ["ou", "qk", "c", "d", "b"])
+def test_sums_out_of_range_are_taken_again(names):
+    rng = np.random.default_rng(13)
+    v = attention.Vocabulary(rng.integers(1, 50, 500), 10)
+    w = random_weights(v, rng)
+    w |= {k: w[k] * np.float32(300 if k in "qk" else 1000) for k in names}
+    ids, n = rng.integers(0, 500, 70), np.array([3, 67])
+    seen = attention.windows(ids, n, 500, step=attention.WIDTH)[0]
+    double = {k: x.astype(np.float64) for k, x in w.items()}
+    loss, g = attention.gradient(w, v, seen)
+    assert np.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+    got, want = attention.text_log_p(w, v, ids, n), attention.text_log_p(double, v, ids, n)
+    assert np.isfinite(got).all() and np.allclose(got, want, rtol=0.02)
+
+
+def test_rounds_of_one_text(spark):
+    path = attention.default_path()
+    docs = frame(spark, [(4, "the cat sat on the mat " * 50, "en")]).withColumn("training", F.lit(True))
+    weights, vocabulary = attention.fit(attention.coded(docs, path), attention.Subwords.of(path).size)
+    assert not np.array_equal(weights["o"], attention.fresh(vocabulary)["o"])
+
+
 def test_no_training_text_is_uniform():
     v = attention.Vocabulary(np.zeros(500, np.int64), 0)
     got = attention.text_log_p(attention.fresh(v), v, np.arange(40), np.array([40, 0]))
